@@ -1,0 +1,10 @@
+"""Operators for preparing training text at scale. Nothing else in the library imports this subpackage.
+
+Functions that run in tasks are sent to the executors by value, so the package need not be installed there.
+"""
+
+import sys
+
+from pyspark import cloudpickle
+
+cloudpickle.register_pickle_by_value(sys.modules[__name__])
