@@ -27,6 +27,8 @@ from .common import by_group, byte_batches, components, dealt_blocks, local_root
 BITS = 64
 #: Largest group of probes that one block compares; larger ones are dealt into pairs of parts.
 BLOCK_ROWS = 512
+#: A probe is a shuffled row; comparing two rows within a block costs this much less.
+PROBE_COST = 100
 #: Fingerprints from which candidate counts are estimated. Only the cost depends on them, never the result.
 SAMPLE = 2000
 
@@ -126,7 +128,7 @@ def plan(n: int, corr: np.ndarray, sample: np.ndarray, distance: int) -> list[tu
                 probes = sum(comb(len(p), k) for k in range(t + 1))
                 share = near[: t + 1].sum() / max(1, len(xor))
                 least = probes / 2.0 ** len(p)  # what unrelated bits would give; the sample can't show rates this small
-                row.append(n * probes + n * n / 2 * max(share, least))
+                row.append(PROBE_COST * n * probes + n * n / 2 * max(share, least))
             cost.append(row)
         plans.append((*allocate(cost, distance - m + 1), parts))
     _, thresholds, parts = min(plans, key=lambda x: x[0])
