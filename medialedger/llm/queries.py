@@ -6,9 +6,19 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
+from .langid import op7_language_id
+from .mixing import OP2_SQL, op2_mixing
+from .pieces import op3_sentencepiece
+from .quality import op4_quality
 from .simhash import op9_simhash
+from .suffix_dedup import op10_suffix_dedup
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
+    "op2_mixing": op2_mixing,
+    "op3_sentencepiece": op3_sentencepiece,
+    "op4_quality": op4_quality,
+    "op7_language_id": op7_language_id,
     "op9_simhash": op9_simhash,
+    "op10_suffix_dedup": op10_suffix_dedup,
 }
-ORACLE: dict[str, str] = {}
+ORACLE: dict[str, str] = {"op2_mixing": OP2_SQL}
