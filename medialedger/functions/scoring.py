@@ -63,7 +63,7 @@ def composite(config: Config) -> Column:
 
 def rounded(x: Column, digits: int = 0) -> Column:
     """As text, half to even on the exact value, without grouping."""
-    return F.replace(F.format_number(x, "0" if digits == 0 else "0." + "0" * digits), F.lit(","))
+    return F.call_function("format_number", x, F.lit("0" if digits == 0 else "0." + "0" * digits))
 
 
 def note(config: Config) -> Column:
