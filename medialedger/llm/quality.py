@@ -21,7 +21,6 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
-from pyspark.sql import Window as W
 
 from .common import byte_batches, table
 
@@ -204,9 +203,10 @@ def fit(rows: list[tuple[bytes, int]], share_good: float, rounds: int = 150) ->
 def train(docs: DataFrame, labels: DataFrame, per_class: int = 800) -> Model | None:
     known = labels.where("doc_id is not null and quality in (0, 1)").select(F.col("doc_id"), F.col("quality").cast("int").alias("quality")).groupBy("doc_id").agg(F.max("quality").alias("quality"))
     shares = {r["quality"]: r["n"] for r in known.groupBy("quality").agg(F.count(F.lit(1)).alias("n")).collect()}
-    order = W.partitionBy("quality").orderBy(F.xxhash64(F.col("doc_id").cast("string")), "doc_id")
-    picked = known.withColumn("_n", F.row_number().over(order)).where(F.col("_n") <= per_class).drop("_n")
-    rows = docs.where("text is not null").select("doc_id", F.col("text").cast("string")).join(picked, "doc_id").collect()
+    order = [F.xxhash64(F.col("doc_id").cast("string")), F.col("doc_id")]
+    picked = known.where("quality = 0").orderBy(*order).limit(per_class).unionByName(known.where("quality = 1").orderBy(*order).limit(per_class))
+    # twice per_class ids at most, so they are sent to the texts, not the texts to them
+    rows = docs.where("text is not null").select("doc_id", F.col("text").cast("string")).join(F.broadcast(picked), "doc_id").collect()
     rows = sorted({(zlib.crc32(str(r["doc_id"]).encode()), r["doc_id"], r["text"], r["quality"]) for r in rows})
     return fit([(r[2].encode(), r[3]) for r in rows], shares.get(1, 0) / max(1, sum(shares.values())))
 
