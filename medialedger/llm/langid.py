@@ -266,7 +266,8 @@ def train(docs: DataFrame, per_lang: int = 400, held_out: tuple[int, int] = (3,
     order = [F.xxhash64(F.col("doc_id").cast("string")), F.col("doc_id")]
     first = usable.select("doc_id", "lang").withColumn("_n", F.row_number().over(W.partitionBy("lang").orderBy(*order))).where(F.col("_n") <= per_lang)
     picked = first.select("doc_id").distinct()
-    rows = usable.select("doc_id", "text", "lang").join(picked, "doc_id", "left_semi").collect()
+    # per_lang ids of each language at most, so they are sent to the texts, not the texts to them
+    rows = usable.select("doc_id", "text", "lang").join(F.broadcast(picked), "doc_id", "left_semi").collect()
     rows.sort(key=lambda r: (zlib.crc32(str(r["doc_id"]).encode()), r["doc_id"], r["lang"], r["text"]))
     return fit([(r["text"].encode(), r["lang"]) for r in rows])
 
