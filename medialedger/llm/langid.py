@@ -31,6 +31,8 @@ from .common import byte_batches, table
 FEATURES = 1 << 15
 AFFIX, GRAMS = 3, (1, 2, 3)
 SEGMENT = 64
+#: Gradient steps that even a small sample gets.
+LEAST_STEPS = 200
 LETTER = re.compile(r"[^\W\d_]")
 #: Words whose emissions a task keeps.
 KEPT_WORDS = 200_000
@@ -44,9 +46,9 @@ class Field:
 
 
 def features(words: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
-    """Hashed features of all words in a row, and where each word's begin."""
+    """Hashed features of all words in a row, A-Z lower-cased, and where each word's begin."""
     size = np.array([len(w) for w in words])
-    buf = np.frombuffer(b"".join(words), np.uint8).astype(np.uint64) + np.uint64(1)
+    buf = np.frombuffer(b"".join(words).lower(), np.uint8).astype(np.uint64) + np.uint64(1)
     begin = np.r_[0, np.cumsum(size)[:-1]]
     word = np.repeat(np.arange(len(words)), size)
     mult = np.uint64(0x9E3779B97F4A7C15)
@@ -127,8 +129,7 @@ def fit(rows: list[tuple[bytes, str]], rounds: int = 3, batch: int = 128, seed:
     # each language is seen as often as any other
     chance = np.array([1 / share[y] for _, y in cuts])
     chance /= chance.sum()
-    total = rounds * min(len(cuts), 20_000)
-    for _ in range(max(1, total // (2 * batch))):
+    for _ in range(max(LEAST_STEPS, rounds * min(len(cuts), 20_000) // (2 * batch))):
         pick = rng.choice(len(cuts), (batch, 2), p=chance)
         # mostly one language a segment, as in texts; else a switch in its middle
         stay = rng.random(batch) < 0.8
@@ -275,12 +276,11 @@ def train(docs: DataFrame, per_lang: int = 400, held_out: tuple[int, int] = (3,
 def identify(docs: DataFrame, field: Field) -> DataFrame:
     """docs with lang_pred and score."""
     columns = docs.columns
-    model = docs.sparkSession.sparkContext.broadcast(field)  # fixed size: FEATURES x languages
 
     def go(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        scorer = Scorer(model.value)
+        scorer = Scorer(field)  # sent with the function; its size is fixed, FEATURES x languages
         for batch, raw in byte_batches(batches):
-            if model.value.langs:
+            if field.langs:
                 found = scorer.scores(raw)
             else:
                 found = [("und", 0.0)] * len(raw)

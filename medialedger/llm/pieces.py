@@ -21,8 +21,10 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark import Broadcast
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from .common import byte_batches, table
 
@@ -103,8 +105,16 @@ class Pieces:
             last = ends.pop(k + 1)
         return last
 
-    def __getstate__(self) -> dict:
-        return self.__dict__ | {"words": {}, "flat": np.zeros(0, np.int32), "starts": np.zeros(1, np.int64)}
+    def sent(self, spark: SparkSession) -> Broadcast:
+        """For the tasks, as a dictionary of plain values: the size of the vocabulary, whatever the corpus."""
+        return spark.sparkContext.broadcast(self.__dict__ | {"words": {}, "flat": np.zeros(0, np.int32), "starts": np.zeros(1, np.int64)})
+
+    @classmethod
+    def received(cls, values: dict) -> Pieces:
+        """In a task. Words encoded by one task are kept for the worker's next."""
+        p = object.__new__(cls)
+        p.__dict__ = values
+        return p
 
 
 def span_hash(s: str) -> int:
@@ -278,11 +288,11 @@ def encoded(docs: DataFrame, p: Pieces) -> DataFrame:
 
     A text with word marks of its own is the one kind that decodes otherwise: the marks become spaces.
     """
-    model = docs.sparkSession.sparkContext.broadcast(p)  # the vocabulary, whatever the corpus
+    model = p.sent(docs.sparkSession)
     columns = docs.columns
 
     def go(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        p = model.value
+        p = Pieces.received(model.value)
         raw_pieces = np.array([bytes([p.byte_of[i]]) if i in p.byte_of else t.encode() for i, t in enumerate(p.text)], object)
         mark = MARK.encode()
         for batch, raw in byte_batches(batches):
@@ -296,24 +306,21 @@ def encoded(docs: DataFrame, p: Pieces) -> DataFrame:
             array = pa.ListArray.from_arrays(pa.array(ends, pa.int32()), pa.array(ids, pa.int32()))
             yield pa.RecordBatch.from_arrays([*(batch.column(c) for c in columns), array, pa.array(count, pa.int64()), pa.array(same)], [*columns, "ids", "n_ids", "round_trip"])
 
-    from pyspark.sql import types as T
-
     more = [T.StructField("ids", T.ArrayType(T.IntegerType())), T.StructField("n_ids", T.LongType()), T.StructField("round_trip", T.BooleanType())]
     return docs.mapInArrow(go, T.StructType([*docs.schema.fields, *more]))
 
 
 def decoded(rows: DataFrame, p: Pieces) -> DataFrame:
     """rows with `decoded`, the text of `ids`; null for null."""
-    model = rows.sparkSession.sparkContext.broadcast(p)
+    model = p.sent(rows.sparkSession)
     columns = rows.columns
 
     def go(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        p = Pieces.received(model.value)
         for batch in batches:
-            out = [None if x is None else decode(x, model.value) for x in batch.column("ids").to_pylist()]
+            out = [None if x is None else decode(x, p) for x in batch.column("ids").to_pylist()]
             yield pa.RecordBatch.from_arrays([*(batch.column(c) for c in columns), pa.array(out, pa.string())], [*columns, "decoded"])
 
-    from pyspark.sql import types as T
-
     return rows.mapInArrow(go, T.StructType([*rows.schema.fields, T.StructField("decoded", T.StringType())]))
 
 

@@ -160,17 +160,14 @@ def fit(rows: list[tuple[bytes, int]], share_good: float, rounds: int = 150) ->
     y_all = np.array([y for _, y in rows], float)
     if len(set(y_all.tolist())) < 2:
         return None
-    mats = []
-    for part in (slice(None), ):
-        bucket, row, value = [], [], []
-        for k, (t, _) in enumerate(rows[part]):
-            for b, _text in hashed(words_of([t])):
-                u, c = np.unique(b, return_counts=True)
-                bucket.append(u)
-                row.append(np.full(len(u), k))
-                value.append(c / max(1, len(b)))
-        mats.append((np.concatenate(bucket), np.concatenate(row), np.concatenate(value)))
-    (bucket, row, value), n = mats[0], len(rows)
+    buckets, owners, shares = [], [], []
+    for k, (t, _) in enumerate(rows):
+        for b, _text in hashed(words_of([t])):
+            u, c = np.unique(b, return_counts=True)
+            buckets.append(u)
+            owners.append(np.full(len(u), k))
+            shares.append(c / max(1, len(b)))
+    bucket, row, value, n = np.concatenate(buckets), np.concatenate(owners), np.concatenate(shares), len(rows)
     held = np.arange(n) % 3 == 2
     y, use = y_all, ~held
     balance = np.where(y == 1, 0.5 / max(1, (y[use] == 1).sum()), 0.5 / max(1, (y[use] == 0).sum())) * use
@@ -213,11 +210,10 @@ def train(docs: DataFrame, labels: DataFrame, per_class: int = 800) -> Model | N
 
 def assess(docs: DataFrame, model: Model | None) -> DataFrame:
     """docs with the base counts, base_failed, p_good (null without a model) and kept."""
-    sent = docs.sparkSession.sparkContext.broadcast(model)  # BUCKETS weights
     columns = docs.columns
 
     def go(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        m = sent.value
+        m = model  # sent with the function: BUCKETS weights
         for batch, raw in byte_batches(batches):
             w = words_of(raw)
             c = base_counts(raw, w)
