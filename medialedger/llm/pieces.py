@@ -7,7 +7,8 @@ scores is not what merging gives, a step between neighbouring pieces is allowed
 alone: undoing the later merge of the two sides again and again, no piece across the border may come before the merge that
 is undone. One path remains then, and it is the one that merging gives.
 
-Words are a run of word marks with what follows it. A distinct word is encoded once for a task's batch and kept for later ones.
+Texts are cut into words between characters that stand next to each other in no piece: no token crosses such a border, so each
+word is encoded by itself, once, and kept for later texts.
 
 Defined cases: null and empty texts have no ids; characters without a piece become byte pieces (or the unknown id where the
 model has none); words of any length are encoded whole.
@@ -15,7 +16,6 @@ model has none); words of any length are encoded whole.
 
 from __future__ import annotations
 
-import re
 import struct
 from collections.abc import Iterator
 
@@ -33,8 +33,7 @@ PUBLIC_MODEL = "/opt/tokenizers/piece_bpe_32k.model"
 FAR = np.int64(1 << 40)
 BASE = np.uint64(0x9E3779B97F4A7C15)
 #: Cells of a batch's span table, and words that a task keeps.
-CELLS, KEPT_WORDS = 2_000_000, 300_000
-CHUNK = re.compile(f"{MARK}+[^{MARK}]*|[^{MARK}]+")
+CELLS, KEPT_WORDS = 2_000_000, 1_000_000
 UNIGRAM, BPE = 1, 2
 NORMAL, UNKNOWN, USER, BYTE = 1, 2, 4, 6
 
@@ -77,7 +76,14 @@ class Pieces:
         usable = [i for i, e in enumerate(entries) if e[2] in (NORMAL, USER) and e[0]]
         order = {i: r for r, i in enumerate(sorted(usable, key=lambda i: (-entries[i][1], i)))}
         self.longest = max((len(self.text[i]) for i in usable), default=1)
-        self.joins_words = any(MARK in self.text[i].lstrip(MARK) for i in usable)
+        # characters of longer pieces by class, and the classes that stand next to each other in a piece
+        pairs = {(ord(a), ord(b)) for i in usable for a, b in zip(self.text[i], self.text[i][1:], strict=False)}
+        known = sorted({c for x in pairs for c in x})
+        self.class_of = np.zeros(0x110000, np.uint16)
+        self.class_of[known] = np.arange(1, len(known) + 1)
+        self.joined = np.zeros((len(known) + 1, len(known) + 1), bool)
+        for a, b in pairs:
+            self.joined[self.class_of[a], self.class_of[b]] = True
         rank_of = {self.text[i]: order[i] for i in usable}
         split = {i: self._last_merge(self.text[i], rank_of) if kind == BPE else 0 for i in usable}
         hashes = np.array([span_hash(self.text[i]) for i in usable], np.uint64)
@@ -215,12 +221,12 @@ def viterbi(codes: np.ndarray, p: Pieces) -> tuple[np.ndarray, np.ndarray]:
     return spans, back
 
 
-def encode_words(words: list[str], p: Pieces) -> list[list[int]]:
-    """Ids of each word."""
-    out: list[list[int]] = [[]] * len(words)
+def encode_words(words: list[str], p: Pieces) -> tuple[np.ndarray, np.ndarray]:
+    """(ids of all words in a row, number of ids of each word)."""
     by_length: dict[int, list[int]] = {}
     for k, w in enumerate(words):
         by_length.setdefault(len(w), []).append(k)
+    owners, starts, found = [], [], []
     for length, which in by_length.items():
         if not length:
             continue
@@ -229,49 +235,64 @@ def encode_words(words: list[str], p: Pieces) -> list[list[int]]:
             part = which[a : a + most]
             codes = np.frombuffer("".join(words[k] for k in part).encode("utf-32-le", "surrogatepass"), "<u4").reshape(len(part), length).astype(np.uint64)
             spans, back = viterbi(codes, p)
-            end, got, rows = np.full(len(part), length), [], np.arange(len(part))
+            end, rows, owner = np.full(len(part), length), np.arange(len(part)), np.array(part)
             while len(rows):
                 start = back[rows, end[rows]]
-                got.append((rows, start, p.id[spans[rows, start, end[rows] - start - 1]]))
+                owners.append(owner[rows])
+                starts.append(start.astype(np.int64) << 3)  # room for a character's bytes
+                found.append(p.id[spans[rows, start, end[rows] - start - 1]])
                 end[rows] = start
                 rows = rows[start > 0]
-            ids: list[list[int]] = [[] for _ in part]
-            for rows, start, found in reversed(got):
-                for r, s, i in zip(rows.tolist(), start.tolist(), found.tolist(), strict=True):
-                    if i >= 0:
-                        ids[r].append(i)
-                    else:
-                        c = words[part[r]][s]
-                        ids[r] += [p.byte_ids[b] for b in c.encode("utf-8", "surrogatepass")] if p.byte_ids else [p.unknown]
-            for k, x in zip(part, ids, strict=True):
-                out[k] = x
-    return out
-
-
-def split_words(text: str, p: Pieces) -> list[str]:
-    marked = (MARK if p.dummy_prefix else "") + text.replace(" ", MARK)
-    return [marked] if p.joins_words else CHUNK.findall(marked)
+    if not owners:
+        return np.zeros(0, np.int32), np.zeros(len(words), np.int64)
+    owner, start, ids = np.concatenate(owners), np.concatenate(starts), np.concatenate(found)
+    lost = np.flatnonzero(ids < 0)
+    if len(lost) and p.byte_ids:
+        more = [(o, s + k, p.byte_ids[b]) for o, s in zip(owner[lost].tolist(), start[lost].tolist(), strict=True) for k, b in enumerate(words[o][s >> 3].encode("utf-8", "surrogatepass"))]
+        extra = np.array(more, np.int64)
+        keep = ids >= 0
+        owner, start, ids = np.r_[owner[keep], extra[:, 0]], np.r_[start[keep], extra[:, 1]], np.r_[ids[keep], extra[:, 2]]
+    elif len(lost):
+        ids[lost] = p.unknown
+    order = np.lexsort((start, owner))
+    return ids[order].astype(np.int32), np.bincount(owner, minlength=len(words))
+
+
+def split_words(raw: list[str | None], p: Pieces) -> tuple[list[str], np.ndarray]:
+    """(words of all texts in a row, number of words of each text)."""
+    marked = [((MARK if p.dummy_prefix else "") + t.replace(" ", MARK)) if t else "" for t in raw]
+    size = np.array(list(map(len, marked)), np.int64)
+    whole = "".join(marked)
+    if not whole:
+        return [], np.zeros(len(raw), np.int64)
+    kind = p.class_of[np.frombuffer(whole.encode("utf-32-le", "surrogatepass"), "<u4")]
+    cut = np.r_[True, ~p.joined[kind[:-1], kind[1:]], True]
+    ends = np.cumsum(size)
+    cut[ends] = True
+    at = np.flatnonzero(cut)
+    places = at.tolist()
+    words = [whole[a:z] for a, z in zip(places, places[1:], strict=False)]
+    return words, np.diff(np.r_[0, np.searchsorted(at, ends)])
 
 
 def encode_batch(raw: list[str | None], p: Pieces) -> tuple[np.ndarray, np.ndarray]:
     """(ids of all texts in a row, number of ids of each text)."""
-    split = [split_words(t, p) if t else [] for t in raw]
-    new = list({w for ws in split for w in ws}.difference(p.words))
+    split, count = split_words(raw, p)
+    new = list(set(split).difference(p.words))
     if len(new) + len(p.words) > KEPT_WORDS:
         p.words, p.flat, p.starts = {}, np.zeros(0, np.int32), np.zeros(1, np.int64)
-        new = list({w for ws in split for w in ws})
+        new = list(set(split))
     if new:
-        got = encode_words(new, p)
+        ids, size = encode_words(new, p)
         p.words.update(zip(new, range(len(p.words), len(p.words) + len(new)), strict=True))
-        p.flat = np.concatenate([p.flat, np.fromiter((i for x in got for i in x), np.int32)])
-        p.starts = np.r_[p.starts, p.starts[-1] + np.cumsum([len(x) for x in got])]
-    known = p.words
-    at = np.array([known[w] for ws in split for w in ws], np.int64)
+        p.flat = np.concatenate([p.flat, ids])
+        p.starts = np.r_[p.starts, p.starts[-1] + np.cumsum(size)]
+    at = np.fromiter(map(p.words.__getitem__, split), np.int64, len(split))
     size = p.starts[at + 1] - p.starts[at]
     offset = np.arange(int(size.sum())) - np.repeat(np.cumsum(size) - size, size)
     ids = p.flat[np.repeat(p.starts[at], size) + offset]
     ends = np.r_[0, np.cumsum(size)]
-    words = np.r_[0, np.cumsum([len(ws) for ws in split])]
+    words = np.r_[0, np.cumsum(count)]
     return ids, ends[words[1:]] - ends[words[:-1]]
 
 
