@@ -10,6 +10,8 @@ stay null and their header line is left out; responses without an id get one fro
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -18,7 +20,9 @@ from .common import table
 CRLF = "\r\n"
 #: References by name that are decoded, besides all by number. Fixed values.
 NAMED = {"&lt;": "<", "&gt;": ">", "&quot;": '"', "&apos;": "'", "&nbsp;": " ", "&copy;": "©", "&reg;": "®", "&middot;": "·", "&ndash;": "–", "&mdash;": "—", "&hellip;": "…", "&laquo;": "«", "&raquo;": "»", "&euro;": "€"}
-HIDDEN = r"(?is)<!--.*?-->|<script\b.*?</script\s*>|<style\b.*?</style\s*>|<noscript\b.*?</noscript\s*>|<template\b.*?</template\s*>|<head\b.*?</head\s*>"
+HIDDEN = r"(?is)<(?:!--.*?-->|script\b.*?</script\s*>|style\b.*?</style\s*>|noscript\b.*?</noscript\s*>|template\b.*?</template\s*>|head\b.*?</head\s*>)"
+#: White space that isn't a single blank already.
+SPACES = r"[\x09-\x0D][\x20\x09-\x0D]*|\x20[\x20\x09-\x0D]+"
 BREAKS = r"(?i)</?(?:address|article|aside|blockquote|body|br|dd|div|dl|dt|fieldset|figcaption|figure|footer|form|h[1-6]|header|hr|li|main|nav|ol|p|pre|section|table|td|th|tr|ul)\b[^>]*>"
 TAG = r"<[!?/a-zA-Z][^>]*>"
 LINK = r"""(?i)<a\b[^>]*?\shref\s*=\s*"([^"]*)\""""
@@ -37,6 +41,11 @@ def record_id(*parts: Column) -> Column:
     return F.concat(F.lit("<urn:uuid:"), F.concat_ws("-", *cut), F.lit(">"))
 
 
+def once(value: Column, f: Callable[[Column], Column]) -> Column:
+    """f of a value that f uses more than once, made only once."""
+    return F.element_at(F.transform(F.array(value), f), 1)
+
+
 def numbered(text: Column) -> Column:
     """References by decimal or hexadecimal number."""
 
@@ -53,18 +62,21 @@ def numbered(text: Column) -> Column:
 
 def decoded(text: Column) -> Column:
     """Character references; the ampersand last, so nothing is decoded twice."""
-    text = numbered(text)
-    for name, char in NAMED.items():
-        text = F.replace(text, F.lit(name), F.lit(char))
-    return F.replace(text, F.lit("&amp;"), F.lit("&"))
+
+    def named(x: Column) -> Column:
+        out = numbered(x)
+        for name, char in NAMED.items():
+            out = F.replace(out, F.lit(name), F.lit(char))
+        return F.when(F.instr(x, "&") == 0, x).otherwise(F.replace(out, F.lit("&amp;"), F.lit("&")))
+
+    return once(text, named)
 
 
 def plain_text(page: Column) -> Column:
     """Visible text: a line for each block, with single blanks and without empty lines."""
-    text = F.regexp_replace(page, HIDDEN, " ")
-    text = F.regexp_replace(F.regexp_replace(text, r"[\x20\x09-\x0D]+", " "), BREAKS, "\n")
+    text = F.regexp_replace(F.regexp_replace(F.regexp_replace(page, HIDDEN, " "), SPACES, " "), BREAKS, "\n")
     text = decoded(F.regexp_replace(text, TAG, ""))
-    return F.trim(F.regexp_replace(F.regexp_replace(text, " *\n[ \n]*", "\n"), " +", " "), F.lit(" \n"))
+    return F.trim(F.regexp_replace(F.regexp_replace(text, " *\n[ \n]*", "\n"), " {2,}", " "), F.lit(" \n"))
 
 
 def links(page: Column) -> Column:
@@ -72,7 +84,7 @@ def links(page: Column) -> Column:
 
 
 def title(page: Column) -> Column:
-    return F.trim(F.regexp_replace(decoded(F.regexp_extract(page, TITLE, 1)), r"[\x20\x09-\x0D]+", " "))
+    return F.trim(F.regexp_replace(decoded(F.regexp_extract(page, TITLE, 1)), SPACES, " "))
 
 
 def responses_of(pages: DataFrame, url: str = "url", payload: str = "html", date: str = "1970-01-01T00:00:00Z") -> DataFrame:
