@@ -464,3 +464,113 @@ def library_diff(s, sf):
 def content_digest(s, sf):
     return d.read(s, sf, "documents").select("doc_id", F.sha2("text", 256).alias("digest"))
 
+
+
+@query("SELECT path, FALSE AS is_duplicate FROM cat WHERE error IS NULL AND verdict IN ('TOP PICK', 'STRONG')")
+def strong_rows(s, sf):
+    return cat.strong_rows(d.catalog(s, sf), CONFIG).select("path", "is_duplicate")
+
+
+@query("SELECT path FROM cat WHERE verdict IN ('TOP PICK', 'STRONG')")
+def shortlist(s, sf):
+    return cat.shortlist(d.catalog(s, sf), CONFIG).select("path")
+
+
+@query("SELECT path FROM cat WHERE source_type = 'video_frame' AND taken_at IS NULL AND error IS NULL")
+def undated_frames(s, sf):
+    return cat.undated_frames(d.catalog(s, sf)).select("path")
+
+
+@query(f", {BEST} SELECT source_video, count(*) - 2 AS capped FROM best GROUP BY source_video HAVING count(*) > 2")
+def extraction_capped(s, sf):
+    return video.extraction_capped(d.catalog(s, sf), Config(extract_per_clip=2))
+
+
+TODO = f"{d.LISTING_SQL}, todo AS (SELECT l.path FROM listing l WHERE NOT EXISTS (SELECT 1 FROM cat c WHERE c.path = l.path AND abs(c.mtime - l.mtime) < 1.0 AND c.size = l.size AND error IS NULL) AND NOT EXISTS (SELECT 1 FROM cat c WHERE c.source_video = l.path AND error IS NULL))"
+
+
+@query(f", {TODO} SELECT count(*) FILTER (kind = 'photo') AS stills, count(*) FILTER (kind = 'video') AS videos, count(*) FILTER (t.path IS NULL) AS done, count(t.path) AS todo, count(*) FILTER (l.size < 1500) AS too_small, count(*) FILTER (contains(rel_path, '/_hidden/')) AS hidden FROM listing l LEFT JOIN todo t ON t.path = l.path")
+def scan_stats(s, sf):
+    listing = d.listing(s, sf).withColumns({"too_small": F.col("size") < 1500, "hidden": paths.is_hidden(F.col("rel_path"), CONFIG.hide_folder)})
+    return report.scan_stats(listing, cat.resume_todo(listing, d.catalog(s, sf)))
+
+
+@query(f", {d.LISTING_SQL} SELECT kind, count(*) AS files, CAST(sum(size) AS BIGINT) AS bytes FROM listing GROUP BY kind")
+def output_inventory(s, sf):
+    return report.output_inventory(d.listing(s, sf).withColumnRenamed("size", "length"))
+
+
+@query(f", {d.TAGS_SQL}, x AS (SELECT key, unnest(tags) AS tag, generate_subscripts(tags, 1) AS pos FROM tags), c AS (SELECT arg_min(tag, (key, pos)) AS tag, count(DISTINCT key) AS photos, lower(tag) AS low FROM x GROUP BY lower(tag)) SELECT tag, photos FROM c WHERE contains(low, 'e') AND low <> 'the' ORDER BY low LIMIT 40")
+def tag_menu(s, sf):
+    return report.tag_menu(d.tags(s, sf), "E", ["The"])
+
+
+@query(f", {d.TAGS_SQL} SELECT key, array_to_string(list_filter(tags, lambda x: lower(x) <> 'the'), '|') AS tags FROM tags WHERE len(list_filter(tags, lambda x: lower(x) <> 'the')) > 0")
+def remove_tag(s, sf):
+    left, _ = report.remove_tag(d.tags(s, sf), "THE")
+    return left.select("key", F.array_join("tags", "|").alias("tags"))
+
+
+@query(f", {d.TAGS_SQL}, x AS (SELECT key, unnest(tags) AS tag, generate_subscripts(tags, 1) AS pos FROM tags) SELECT key, CAST(min(pos) - 1 AS INT) AS pos, arg_min(tag, pos) AS tag FROM x GROUP BY key, lower(tag)")
+def first_spellings(s, sf):
+    return report.distinct_spellings(d.tags(s, sf)).select("key", "pos", "tag")
+
+
+@query(f", {d.TAGS_SQL} SELECT key FROM tags WHERE key IN (SELECT path FROM cat WHERE verdict = 'PASS' UNION SELECT source_video FROM cat WHERE verdict = 'PASS')")
+def tags_of_report(s, sf):
+    return report.tags_of_report(d.tags(s, sf), d.catalog(s, sf).where("verdict = 'PASS'")).select("key")
+
+
+@query(f", {FILES} SELECT CASE WHEN f.local_sha IS NULL THEN 'missing' WHEN m.local_sha = f.local_sha THEN 'reused' ELSE 'upload' END AS status, count(*) AS files, CAST(sum(bytes) AS BIGINT) AS bytes FROM files f LEFT JOIN manifest m ON m.photo_id = f.photo_id AND m.kind = f.kind GROUP BY 1")
+def upload_totals(s, sf):
+    _, files, manifest = _files(s, sf)
+    return publish.upload_totals(publish.upload_plan(files, manifest))
+
+
+@query(f", {SHORT} SELECT photo_id, filename AS title, array_to_string(list_filter([regexp_replace(folder, '^[0-9]{{4}}-[0-9]{{2}}-[0-9]{{2}} - ', ''), substr(taken_at, 1, 10), CASE WHEN width IS NOT NULL THEN width || ' × ' || height || ' · ' || printf('%.1f', width * height / 1e6) || ' MP' END], lambda x: x IS NOT NULL), ' · ') AS description FROM short")
+def photo_preview(s, sf):
+    return publish.photo_preview(publish.gallery_items(d.catalog(s, sf), CONFIG))
+
+
+@query(f", {SHORT}, g AS (SELECT DISTINCT gallery FROM short) SELECT gallery, CAST(row_number() OVER (ORDER BY lower(gallery), gallery) - 1 AS INT) AS idx FROM g")
+def gallery_index(s, sf):
+    return publish.gallery_index(publish.gallery_items(d.catalog(s, sf), CONFIG))
+
+
+@query("SELECT photo_id, hearts, coalesce(rel_path, '') AS rel_path FROM counts JOIN allowed USING (photo_id)", H)
+def hearts_with_paths(s, sf):
+    return hearts.hearts_with_paths(hearts.heart_counts(hearts.fold(_good(s, sf))), d.allowed(s, sf))
+
+
+@query("SELECT seq FROM req WHERE photo_id IN (SELECT photo_id FROM allowed)", H)
+def known_requests(s, sf):
+    return hearts.known_only(d.requests(s, sf), d.allowed(s, sf)).select("seq")
+
+
+@query(", new AS (SELECT photo_id, 'n/' || CAST(seq AS VARCHAR) AS rel_path, seq AS pos FROM req WHERE seq % 3 = 0), latest AS (SELECT photo_id, arg_max(rel_path, pos) AS p FROM new WHERE regexp_full_match(photo_id, '[0-9a-f]{16}') GROUP BY photo_id) SELECT coalesce(a.photo_id, l.photo_id) AS photo_id, coalesce(p, rel_path) AS rel_path, coalesce(added_at, 7) AS added_at FROM allowed a FULL JOIN latest l ON a.photo_id = l.photo_id", H)
+def register_photos(s, sf):
+    new = d.requests(s, sf).where("seq % 3 = 0").select("photo_id", F.concat(F.lit("n/"), F.col("seq").cast("string")).alias("rel_path"), F.col("seq").alias("pos"))
+    return hearts.register_photos(d.allowed(s, sf), new, 7)[0]
+
+
+@query("SELECT path || '#t=' || printf('%.3f', timestamp_s) AS virtual, path AS file, timestamp_s AS seconds, CASE WHEN timestamp_s >= 3600 THEN '1:' ELSE '' END || CAST(CAST(timestamp_s AS BIGINT) // 60 AS VARCHAR) || ':' || lpad(CAST(CAST(timestamp_s AS BIGINT) % 60 AS VARCHAR), 2, '0') AS clock FROM cat WHERE timestamp_s IS NOT NULL")
+def virtual_paths(s, sf):
+    rows = d.catalog(s, sf).where("timestamp_s is not null").select(paths.virtual_path(F.col("path"), F.col("timestamp_s")).alias("virtual"))
+    file, seconds = paths.split_virtual(F.col("virtual"))
+    return rows.select("virtual", file.alias("file"), seconds.alias("seconds"), paths.hhmmss(seconds).alias("clock"))
+
+
+@query("SELECT path, lower(folder || ' ' || regexp_replace(folder, '^[0-9]{4}-[0-9]{2}-[0-9]{2} - ', '') || ' ' || filename) AS start FROM cat")
+def search_blob(s, sf):
+    blob = tag_functions.search_blob()
+    head = F.lower(F.concat_ws(" ", "folder", paths.strip_folder_date(F.col("folder")), "filename"))
+    return d.catalog(s, sf).select("path", F.substring(blob, F.lit(1), F.length(head)).alias("start"))
+
+
+@query(f", {COVERS} SELECT gallery, CAST(row_number() OVER (ORDER BY gallery = 'Unfiled', max(composite) DESC, gallery) AS INT) AS place FROM g GROUP BY gallery")
+def sort_tiles(s, sf):
+    from pyspark.sql import Window as W
+
+    tiles = report.sort_tiles(report.folder_tiles(d.catalog(s, sf)), "score", True)
+    order = [F.col("gallery") == paths.UNFILED, F.desc("best"), F.col("gallery")]
+    return tiles.select("gallery", F.row_number().over(W.orderBy(*order)).alias("place"))
