@@ -31,7 +31,7 @@ WIDTH, GRAM = 100, 40
 #: Text that one pass holds; positions within it take 21 bits.
 SLICE = 1 << 20
 #: Shards are cut into suffix arrays of about so many bytes, never within a hash.
-SHARD_BYTES = 2_000_000
+SHARD_BYTES = 1_000_000
 NULL_ID = -(1 << 63)
 _LOW = (1 << 21) - 1
 _BASES = (0x9E3779B97F4A7C15 | 1, 0xD6E8FEB86659FD93 | 1)
@@ -84,10 +84,9 @@ def runs(buf: np.ndarray, ends: np.ndarray, width: int, gram: int) -> tuple[np.n
         have += step
     at = (low - (key & low)).astype(np.int64)
     # windows that lie in one text
-    start = np.arange(windows)
-    text = np.searchsorted(ends, start, "right")
-    valid = start + width <= ends[text]
-    new = np.r_[True, (at[1:] != at[:-1]) | (text[1:] != text[:-1])] & valid
+    end = np.repeat(ends, np.diff(np.r_[0, ends]))[:windows]
+    valid = np.arange(width, windows + width) <= end
+    new = np.r_[True, (at[1:] != at[:-1]) | (end[1:] != end[:-1])] & valid
     first = np.flatnonzero(new)
     if not len(first):
         return none
@@ -193,11 +192,11 @@ def induce(t: np.ndarray, larger: np.ndarray, lms: np.ndarray) -> np.ndarray:
 def suffix_array(t: np.ndarray, depth: int) -> np.ndarray:
     """Suffixes of t in the order of their first `depth` characters at least; t ends with its only 0."""
     n = len(t)
-    diff = np.flatnonzero(t[:-1] != t[1:])
-    nxt = np.searchsorted(diff, np.arange(n - 1))
-    larger = np.zeros(n, bool)  # suffix i > suffix i + 1
-    at = diff[np.minimum(nxt, len(diff) - 1)]
-    larger[:-1] = t[at] > t[at + 1]
+    differs = t[:-1] != t[1:]
+    diff = np.flatnonzero(differs)
+    down = t[diff] > t[diff + 1]
+    larger = np.zeros(n, bool)  # suffix i > suffix i + 1, as the next two characters that differ say
+    larger[:-1] = down[np.cumsum(differs) - differs]
     lms = np.flatnonzero(~larger[1:] & larger[:-1]) + 1
     if len(lms) < 2:
         return induce(t, larger, lms)
@@ -240,9 +239,14 @@ def common_prefixes(t: np.ndarray, sa: np.ndarray, width: int) -> np.ndarray:
     todo, at = np.flatnonzero(phi >= 0), 0
     while at < width and len(todo):
         x = words[todo + at] ^ words[phi[todo] + at]
-        lead = sum((x < np.uint64(1 << (63 - 9 * k))).astype(np.int64) for k in range(1, 8))
-        plcp[todo] = np.minimum(width, at + lead)
-        todo, at = todo[(x == 0) & (todo + at + 7 < n) & (phi[todo] + at + 7 < n)], at + 7
+        same = x == 0
+        ended, left = todo[~same], x[~same]
+        lead = np.full(len(left), at)
+        for k in range(1, 7):
+            lead += left < np.uint64(1 << (63 - 9 * k))
+        plcp[ended] = np.minimum(width, lead)
+        todo, at = todo[same], at + 7
+        plcp[todo] = min(width, at)
     return plcp
 
 
@@ -265,7 +269,10 @@ def later_windows(width: int):
                 t = np.r_[t, np.uint16(0)]
                 sa = suffix_array(t, width)
                 plcp = common_prefixes(t, sa, width)
-                group = np.cumsum(plcp[sa] < width)
+                like = plcp[sa] >= width
+                group = np.cumsum(~like)
+                shared = like | np.r_[like[1:], False]
+                sa, group = sa[shared], group[shared]
                 row = np.searchsorted(begin, sa, "right") - 1
                 window = sa - begin[row] <= length[row] - width  # others run over the end of their bytes
                 sa, group, row = sa[window], group[window], row[window]
