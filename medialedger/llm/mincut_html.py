@@ -255,9 +255,11 @@ def main_text(page: str | None, weights: np.ndarray = PRIOR) -> str:
 
 
 def train(pages: DataFrame, n: int = SAMPLE_PAGES) -> np.ndarray:
-    key = F.xxhash64(F.col("html"))
-    rows = pages.where("html is not null").select("html").orderBy(key, "html").limit(n).collect()
-    return fit([r["html"] for r in rows])
+    """Weights from the n pages with the smallest hashes; only hashes are sorted, and only n pages leave the executors."""
+    keyed = pages.where("html is not null").select(F.xxhash64("html").alias("k"), "html")
+    picked = keyed.select("k").distinct().orderBy("k").limit(n)
+    rows = keyed.join(F.broadcast(picked), "k").groupBy("k").agg(F.min("html").alias("html")).collect()
+    return fit([r["html"] for r in sorted(rows, key=lambda r: r["k"])])
 
 
 def extracted(pages: DataFrame, weights: np.ndarray) -> DataFrame:
