@@ -79,12 +79,13 @@ def features(words: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
     return found_all[order], np.searchsorted(owner_all[order], np.arange(len(words)))
 
 
-def emissions(words: list[bytes], weights: np.ndarray) -> np.ndarray:
-    if not words:
-        return np.zeros((0, weights.shape[1]))
-    f, begin = features(words)
-    count = np.diff(np.r_[begin, len(f)])
-    return np.add.reduceat(weights[f], begin, axis=0) / np.sqrt(count)[:, None]
+def emissions(words: list[bytes], weights: np.ndarray, most: int = 10_000) -> np.ndarray:
+    out = [np.zeros((0, weights.shape[1]))]
+    for a in range(0, len(words), most):
+        f, begin = features(words[a : a + most])
+        count = np.diff(np.r_[begin, len(f)])
+        out.append(np.add.reduceat(weights[f], begin, axis=0) / np.sqrt(count)[:, None])
+    return np.concatenate(out)
 
 
 def steps(em: np.ndarray, moves: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
