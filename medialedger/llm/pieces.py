@@ -33,7 +33,7 @@ PUBLIC_MODEL = "/opt/tokenizers/piece_bpe_32k.model"
 FAR = np.int64(1 << 40)
 BASE = np.uint64(0x9E3779B97F4A7C15)
 #: Cells of a batch's span table, and words that a task keeps.
-CELLS, KEPT_WORDS = 2_000_000, 1_000_000
+CELLS, KEPT_WORDS = 1_000_000, 400_000
 UNIGRAM, BPE = 1, 2
 NORMAL, UNKNOWN, USER, BYTE = 1, 2, 4, 6
 
