@@ -10,10 +10,10 @@ from pyspark.errors import AnalysisException
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ..config import Config, Defect
+from ..config import Config
 from ..functions.dates import megapixels, pretty_date, pretty_time
-from ..functions.paths import slashed
 from ..operators.catalog import evolve, skipped
+from ..operators.publish import entry_json
 from ..schema import CATALOG, REPORT_COLUMNS
 
 #: Suffixes by kind. Fixed values.
@@ -68,21 +68,10 @@ def write_catalog(catalog: DataFrame, path: str) -> None:
     catalog.sortWithinPartitions("path").write.mode("overwrite").parquet(path)
 
 
-def parsed_tags(text: Column) -> Column:
-    """map<key, tags> of a JSON object; broken text gives an empty map, other values and elements are dropped."""
-    return F.from_json(text, "map<string,string>")
-
-
 def read_tags(spark: SparkSession, path: str) -> tuple[DataFrame, DataFrame]:
     """(tags as (key, tags), one row with the numbers of dropped values and elements)."""
-    whole = spark.read.option("wholetext", True).text(path)
-    return tags_of_text(whole)
-
-
-def tags_of_text(whole: DataFrame) -> tuple[DataFrame, DataFrame]:
-    whole.select(F.try_parse_json("value").alias("v")).createOrReplaceTempView("_tags_json")
-    spark = whole.sparkSession
-    pairs = spark.sql("select e.key, e.value from _tags_json, lateral variant_explode(v) e where schema_of_variant(v) like 'OBJECT%'")
+    whole = spark.read.option("wholetext", True).text(path).select(F.try_parse_json("value").alias("v"))
+    pairs = spark.sql("select e.key, e.value from {whole}, lateral variant_explode(v) e where schema_of_variant(v) like 'OBJECT%'", whole=whole)
     pairs = pairs.withColumn("is_list", F.schema_of_variant("value").startswith("ARRAY"))
     lists = pairs.where("is_list").select("key", F.try_variant_get("value", "$", "array<variant>").alias("items"))
     keep = F.filter("items", lambda x: F.schema_of_variant(x) == "STRING")
@@ -122,9 +111,4 @@ def read_calibration(spark: SparkSession, path: str, config: Config) -> Config:
 
 def write_payload(entries: DataFrame, path: str) -> None:
     """The gallery's entries as JSON lines, one object for each photo."""
-    from ..operators.publish import entry_json
-
     entries.select(entry_json(F.col("entry")).alias("value")).write.mode("overwrite").text(path)
-
-
-__all__ = ["Defect", "fingerprint", "kind_of", "list_media", "read_calibration", "read_catalog", "read_images", "read_tags", "report_table", "slashed", "write_calibration", "write_catalog", "write_payload", "write_report"]
