@@ -276,6 +276,8 @@ def later_windows(width: int):
                 row = np.searchsorted(begin, sa, "right") - 1
                 window = sa - begin[row] <= length[row] - width  # others run over the end of their bytes
                 sa, group, row = sa[window], group[window], row[window]
+                if not len(sa):
+                    continue
                 order = np.lexsort((p[row] + sa - begin[row], d[row], group))
                 again = sa[order][np.r_[False, group[order][1:] == group[order][:-1]]]
                 again.sort()

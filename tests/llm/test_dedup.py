@@ -111,6 +111,14 @@ def test_repeats_are_brute_force(spark, monkeypatch, slice_bytes):
     assert got == brute_removed(rows)
 
 
+def test_shared_hashes_without_shared_windows(spark):
+    rng = random.Random(9)
+    some = "".join(rng.choice("abcdefgh") for _ in range(70))
+    rows = [(i, chr(65 + i) * 80 + some + chr(97 + i) * 80) for i in range(6)]
+    got = {r[0]: tuple(r[1:]) for r in suffix_dedup.removal_report(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
+    assert got == brute_removed(rows)
+
+
 def test_suffix_arrays_are_sorted():
     rng = np.random.default_rng(0)
     for trial in range(60):
