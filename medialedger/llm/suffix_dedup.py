@@ -11,8 +11,9 @@ are neighbours and form a run of at most width - gram + 1 windows. Runs therefor
    neighbour, leftmost-smaller substrings sorted and named, names refined recursively in pairs, then larger and smaller
    suffixes induced bucket by bucket), and common prefixes, permuted to text order and cut at `width`, show equal windows.
 
-Defined cases: doc_id identifies a document and null sorts first; rows that share a doc_id are not earlier than each other
-at the same position. Null and short texts have no window and keep all their bytes.
+Defined cases: doc_id only says which row is earlier, and null sorts first. Rows that share an id, or have none, are told
+apart by a hash of their text and stand in its order; of rows with one id and one text, one is the first and the others
+repeat it. Null and short texts have no window and keep all their bytes.
 """
 
 from __future__ import annotations
@@ -33,6 +34,8 @@ SLICE = 1 << 20
 #: Shards are cut into suffix arrays of about so many bytes, never within a hash.
 SHARD_BYTES = 1_000_000
 NULL_ID = -(1 << 63)
+#: A run's place and its number of windows in one long: p << N_BITS | n.
+N_BITS = 7
 _LOW = (1 << 21) - 1
 _BASES = (0x9E3779B97F4A7C15 | 1, 0xD6E8FEB86659FD93 | 1)
 _POWERS: dict[int, tuple[np.ndarray, np.ndarray]] = {}
@@ -114,18 +117,19 @@ def _slices(raw: list[bytes | None], width: int) -> Iterator[tuple[list[int], li
 
 
 def all_runs(width: int, gram: int, names: list[str]):
-    """The runs of all texts: `h` alone where they are only counted, else with document, place and bytes' hash."""
+    """The runs of all texts: `h` alone where they are only counted, else with row (d, x), place and bytes' hash."""
 
     def go(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            raw, doc = texts(batch.column("text")), np.asarray(batch.column("d"))
+            raw, doc, text = texts(batch.column("text")), np.asarray(batch.column("d")), np.asarray(batch.column("x"))
             for rows, offsets, buf, ends in _slices(raw, width):
                 h, first, count, ctx = runs(buf, ends, width, gram)
                 if not len(h):
                     continue
                 which = np.searchsorted(ends, first, "right")
                 base = np.r_[0, ends[:-1]][which]
-                cols = {"h": h, "d": doc[np.array(rows)[which]], "p": first - base + np.array(offsets)[which], "n": count, "ctx": ctx}
+                p, own = first - base + np.array(offsets)[which], np.array(rows)[which]
+                cols = {"h": h, "d": doc[own], "x": text[own], "q": p << N_BITS | count, "ctx": ctx}
                 yield pa.RecordBatch.from_arrays([pa.array(cols[c]) for c in names], names)
 
     return go
@@ -251,7 +255,7 @@ def common_prefixes(t: np.ndarray, sa: np.ndarray, width: int) -> np.ndarray:
 
 
 def later_windows(width: int):
-    """Windows of a shard that also stand earlier, as runs (d, p, n)."""
+    """Windows of a shard that also stand earlier, as runs (d, x, p, n)."""
 
     def go(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for whole in by_group(batches, ["h"], 4000):
@@ -260,7 +264,7 @@ def later_windows(width: int):
             size = np.add.reduceat(np.asarray(whole.column("n")) + width, starts)
             for a, z in pieces(size, SHARD_BYTES):
                 part = whole.slice(starts[a], (starts[z] if z < len(starts) else len(keys)) - starts[a])
-                d, p = np.asarray(part.column("d")), np.asarray(part.column("p"))
+                d, x, p = (np.asarray(part.column(c)) for c in ("d", "x", "p"))
                 raw = part.column("bytes").to_pylist()
                 t = np.frombuffer(b"\n".join(raw) + b"\n", np.uint8).astype(np.uint16) + 2
                 length = np.array([len(x) for x in raw])
@@ -278,7 +282,7 @@ def later_windows(width: int):
                 sa, group, row = sa[window], group[window], row[window]
                 if not len(sa):
                     continue
-                order = np.lexsort((p[row] + sa - begin[row], d[row], group))
+                order = np.lexsort((p[row] + sa - begin[row], x[row], d[row], group))
                 again = sa[order][np.r_[False, group[order][1:] == group[order][:-1]]]
                 again.sort()
                 if not len(again):
@@ -287,7 +291,7 @@ def later_windows(width: int):
                 cut = np.flatnonzero(np.r_[True, (again[1:] != again[:-1] + 1) | (row[1:] != row[:-1])])
                 n = np.r_[cut[1:], len(again)] - cut
                 row, at = row[cut], again[cut]
-                yield pa.RecordBatch.from_arrays([pa.array(d[row]), pa.array(p[row] + at - begin[row]), pa.array(n)], ["d", "p", "n"])
+                yield pa.RecordBatch.from_arrays([pa.array(d[row]), pa.array(x[row]), pa.array(p[row] + at - begin[row]), pa.array(n)], ["d", "x", "p", "n"])
 
     return go
 
@@ -297,15 +301,13 @@ def run_bytes(width: int):
 
     def go(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            raw = texts(batch.column("text"))
-            for k, (t, listed) in enumerate(zip(raw, batch.column("listed").to_pylist(), strict=True)):
-                listed = [x for x in listed if x["p"] + x["n"] + width - 1 <= len(t or b"")]
-                if listed:
-                    doc = batch.column("d")[k]
-                    yield pa.RecordBatch.from_arrays(
-                        [pa.array([x["h"] for x in listed]), pa.array([doc.as_py()] * len(listed)), pa.array([x["p"] for x in listed]), pa.array([x["n"] for x in listed]), pa.array([t[x["p"] : x["p"] + x["n"] + width - 1] for x in listed], pa.binary())],
-                        ["h", "d", "p", "n", "bytes"],
-                    )
+            for t, d, x, listed in zip(texts(batch.column("text")), batch.column("d").to_pylist(), batch.column("x").to_pylist(), batch.column("listed").to_pylist(), strict=True):
+                p, n = [y["q"] >> N_BITS for y in listed], [y["q"] & (1 << N_BITS) - 1 for y in listed]
+                part = [t[a : a + k + width - 1] for a, k in zip(p, n, strict=True)]
+                yield pa.RecordBatch.from_arrays(
+                    [pa.array([y["h"] for y in listed]), pa.array([d] * len(p)), pa.array([x] * len(p)), pa.array(p), pa.array(n), pa.array(part, pa.binary())],
+                    ["h", "d", "x", "p", "n", "bytes"],
+                )
 
     return go
 
@@ -323,27 +325,31 @@ def merged_spans(p: np.ndarray, n: np.ndarray, width: int, size: int) -> list[tu
     return out
 
 
-def _documents(docs: DataFrame) -> DataFrame:
-    return docs.select(F.coalesce(F.col("doc_id").cast("long"), F.lit(NULL_ID)).alias("d"), F.col("text").cast("string"))
+def _keyed(docs: DataFrame) -> DataFrame:
+    """docs with the key of each row: `_d` from its id, `_x` from its text. Only rows with the same id and text share one."""
+    return docs.withColumns({"_d": F.coalesce(F.col("doc_id").cast("long"), F.lit(NULL_ID)), "_x": F.xxhash64(F.col("text").cast("string"))})
 
 
 def repeated_spans(docs: DataFrame, width: int = WIDTH, gram: int = GRAM) -> DataFrame:
-    """(d, spans): for each document with something to remove, runs of windows (p, n) that also start earlier."""
-    own = _documents(docs)
+    """(d, x, spans): for each row key with something to remove, runs of windows (p, n) that also start earlier."""
+    own = _keyed(docs).select(F.col("_d").alias("d"), F.col("_x").alias("x"), F.col("text").cast("string"))
     seen = own.mapInArrow(all_runs(width, gram, ["h"]), "h long").groupBy("h").agg(F.count(F.lit(1)).alias("c")).where("c > 1").select("h")
     seen = saved(seen, "repeated-hashes")
-    live = own.mapInArrow(all_runs(width, gram, ["h", "d", "p", "n", "ctx"]), "h long, d long, p long, n long, ctx long").join(seen, "h")
+    live = own.mapInArrow(all_runs(width, gram, ["h", "d", "x", "q", "ctx"]), "h long, d long, x long, q long, ctx long").join(seen, "h")
     live = saved(live, "repeated-runs")
-    classes = live.groupBy("h", "ctx", "n").agg(F.min(F.struct("d", "p")).alias("first"))
+    # the bytes' hash tells their length too, so runs of one class have one number of windows
+    classes = live.groupBy("h", "ctx").agg(F.min(F.struct("d", "x", "q")).alias("first"))
     classes = saved(classes, "run-classes")
     # a run that is not the first of its class repeats that one whole
-    whole = live.join(classes, ["h", "ctx", "n"]).where("first.d <> d or first.p <> p").select("d", "p", "n")
+    later = live.join(classes, ["h", "ctx"]).where("first.d <> d or first.x <> x or first.q <> q")
+    whole = later.select("d", "x", F.shiftright("q", N_BITS).alias("p"), F.col("q").bitwiseAND((1 << N_BITS) - 1).alias("n"))
     # firsts of different classes with one hash share windows in part
     mixed = saved(classes.groupBy("h").agg(F.count(F.lit(1)).alias("c")).where("c > 1").select("h"), "mixed-hashes")
-    listed = classes.join(mixed, "h").groupBy(F.col("first.d").alias("d")).agg(F.collect_list(F.struct("h", F.col("first.p").alias("p"), "n")).alias("listed"))
-    shards = own.join(listed, "d").mapInArrow(run_bytes(width), "h long, d long, p long, n long, bytes binary")
-    part = shards.repartition("h").sortWithinPartitions("h").mapInArrow(later_windows(width), "d long, p long, n long")
-    return whole.unionByName(part).groupBy("d").agg(F.collect_list(F.struct("p", "n")).alias("spans"))
+    listed = classes.join(mixed, "h").groupBy(F.col("first.d").alias("d"), F.col("first.x").alias("x")).agg(F.collect_list(F.struct("h", F.col("first.q").alias("q"))).alias("listed"))
+    once = own.join(listed, ["d", "x"]).mapInArrow(run_bytes(width), "h long, d long, x long, p long, n long, bytes binary")
+    shards = once
+    part = shards.repartition("h").sortWithinPartitions("h").mapInArrow(later_windows(width), "d long, x long, p long, n long")
+    return whole.unionByName(part).groupBy("d", "x").agg(F.collect_list(F.struct("p", "n")).alias("spans"))
 
 
 def _spans_of(value: list[dict] | None, size: int, width: int) -> list[tuple[int, int]]:
@@ -353,8 +359,20 @@ def _spans_of(value: list[dict] | None, size: int, width: int) -> list[tuple[int
 
 
 def with_spans(docs: DataFrame, width: int, gram: int) -> DataFrame:
-    keyed = docs.withColumn("_d", F.coalesce(F.col("doc_id").cast("long"), F.lit(NULL_ID)))
-    return keyed.join(repeated_spans(docs, width, gram).withColumnsRenamed({"d": "_d", "spans": "_spans"}), "_d", "left").drop("_d")
+    """docs with `_spans`. Of rows with one key all but the first have all their windows in it."""
+    columns, key = docs.columns, ["_d", "_x"]
+    spans = repeated_spans(docs, width, gram).withColumnsRenamed({"d": "_d", "x": "_x", "spans": "_spans"})
+    keyed = _keyed(docs)
+    size = F.octet_length(F.col("text").cast("string")).cast("long")
+    shared = saved(keyed.where(size >= width).groupBy(*key).agg(F.count(F.lit(1)).alias("_c")).where("_c > 1").select(*key), "shared-keys")
+    if not shared.limit(1).count():
+        return keyed.join(spans, key, "left").drop(*key)
+    rows = saved(keyed.join(shared, key, "left_semi").withColumn("_row", F.monotonically_increasing_id()), "rows-of-shared-keys")
+    rows = rows.join(rows.groupBy(*key).agg(F.min("_row").alias("_first")), key)
+    all_of_it = F.array(F.struct(F.lit(0).cast("long").alias("p"), (size - width + 1).alias("n")))
+    later = rows.where("_row <> _first").select(*columns, all_of_it.alias("_spans"))
+    first = keyed.join(shared, key, "left_anti").unionByName(rows.where("_row = _first").select(*columns, *key))
+    return first.join(spans, key, "left").select(*columns, "_spans").unionByName(later)
 
 
 def removal_report(docs: DataFrame, width: int = WIDTH, gram: int = GRAM) -> DataFrame:

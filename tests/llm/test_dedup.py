@@ -149,6 +149,32 @@ def test_repeats_odd_rows(spark, odd, empty):
     assert suffix_dedup.removal_report(empty).count() == 0
 
 
+@pytest.mark.parametrize("doc_id", [None, 7])
+def test_rows_of_one_id_are_told_apart(spark, doc_id):
+    rng = random.Random(4)
+
+    def some(n):
+        return "".join(rng.choice("abcdefgh ") for _ in range(n))
+
+    passage = some(150)
+    texts = [some(300), some(40) + passage + some(200), some(260) + passage, "short"]
+    texts += [texts[0], "short"]
+    rows = [(doc_id, t) for t in texts] + [(9, some(20) + passage)]
+    df = spark.createDataFrame(rows, "doc_id long, text string")
+    got = [(r["n_bytes"], r["n_removed"]) for r in suffix_dedup.removal_report(df).collect()]
+    # the passage stays in one row, one of two equal rows goes whole, nothing else is touched
+    assert sorted(got) == sorted([(300, 0), (300, 300), *((len(t), n) for t, n in zip(texts[1:3], got_passage(df, texts[1:3]), strict=True)), (5, 0), (5, 0), (170, 150)])
+    kept = [r["text"] for r in suffix_dedup.without_repeats(df).collect()]
+    assert sum(passage in t for t in kept) == 1
+    assert sorted(kept) == sorted([texts[0], "", *(t if passage in t and t in kept else t.replace(passage, "") for t in texts[1:3]), "short", "short", rows[-1][1].replace(passage, "")])
+
+
+def got_passage(df, pair):
+    """Bytes that go from each of two rows: none from the one whose text has the smaller hash, the passage from the other."""
+    h = {r["text"]: r["h"] for r in df.select("text", F.xxhash64("text").alias("h")).collect()}
+    return [0 if h[t] == min(map(h.get, pair)) else 150 for t in pair]
+
+
 def test_cut_text_keeps_whole_characters(spark):
     t = "é" * 60 + "ü" * 60
     df = spark.createDataFrame([(1, t), (2, "x" + t + "yz"), (3, "é" * 120)], "doc_id long, text string")
