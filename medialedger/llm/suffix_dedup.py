@@ -7,7 +7,8 @@ are neighbours and form a run of at most width - gram + 1 windows. Runs therefor
 1. Hashes that no other run has are dropped: their windows occur once.
 2. Runs with the same hash and the same bytes repeat the first of them whole.
 3. Runs with the same hash but different bytes repeat each other in part. Their bytes are the text of a shard, dealt by
-   hash. Each shard's suffix array is built by induced sorting (suffixes classified as smaller or larger than their right
+   hash. A hash with many such runs is split: hashes of its windows tell in which run each repeated window stands first, and
+   every shard has one such run and a bounded number of those that repeat it, so each window meets its first place. Each shard's suffix array is built by induced sorting (suffixes classified as smaller or larger than their right
    neighbour, leftmost-smaller substrings sorted and named, names refined recursively in pairs, then larger and smaller
    suffixes induced bucket by bucket), and common prefixes, permuted to text order and cut at `width`, show equal windows.
 
@@ -31,8 +32,10 @@ from .common import by_group, pieces, saved, table, texts
 WIDTH, GRAM = 100, 40
 #: Text that one pass holds; positions within it take 21 bits.
 SLICE = 1 << 20
-#: Shards are cut into suffix arrays of about so many bytes, never within a hash.
+#: Shards are cut into suffix arrays of about so many bytes, never within a group.
 SHARD_BYTES = 1_000_000
+#: Most different runs of one hash that make a group as they are, and about so many that a group of a split hash has.
+SPLIT_RUNS = 2000
 NULL_ID = -(1 << 63)
 #: A run's place and its number of windows in one long: p << N_BITS | n.
 N_BITS = 7
@@ -258,9 +261,9 @@ def later_windows(width: int):
     """Windows of a shard that also stand earlier, as runs (d, x, p, n)."""
 
     def go(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for whole in by_group(batches, ["h"], 4000):
-            keys = np.asarray(whole.column("h"))
-            starts = np.flatnonzero(np.r_[True, keys[1:] != keys[:-1]])
+        for whole in by_group(batches, ["h", "part"], 4000):
+            keys, parts = np.asarray(whole.column("h")), np.asarray(whole.column("part"))
+            starts = np.flatnonzero(np.r_[True, (keys[1:] != keys[:-1]) | (parts[1:] != parts[:-1])])
             size = np.add.reduceat(np.asarray(whole.column("n")) + width, starts)
             for a, z in pieces(size, SHARD_BYTES):
                 part = whole.slice(starts[a], (starts[z] if z < len(starts) else len(keys)) - starts[a])
@@ -282,8 +285,13 @@ def later_windows(width: int):
                 sa, group, row = sa[window], group[window], row[window]
                 if not len(sa):
                     continue
-                order = np.lexsort((p[row] + sa - begin[row], x[row], d[row], group))
-                again = sa[order][np.r_[False, group[order][1:] == group[order][:-1]]]
+                at = p[row] + sa - begin[row]
+                order = np.lexsort((at, x[row], d[row], group))
+                sa, group, row, at = sa[order], group[order], row[order], at[order]
+                new = np.r_[True, group[1:] != group[:-1]]
+                first = np.flatnonzero(new)[np.cumsum(new) - 1]
+                # a run may stand in several groups of a split hash; it does not repeat itself
+                again = sa[(d[row] != d[row[first]]) | (x[row] != x[row[first]]) | (at != at[first])]
                 again.sort()
                 if not len(again):
                     continue
@@ -312,6 +320,46 @@ def run_bytes(width: int):
     return go
 
 
+def run_windows(width: int):
+    """The hash of each window of the given runs, with its run's key and its place."""
+
+    def go(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            raw = batch.column("bytes").to_pylist()
+            for a, z in pieces(map(len, raw), SLICE // 8):
+                b = np.frombuffer(b"".join(raw[a:z]), np.uint8).astype(np.uint64) + np.uint64(1)
+                n = np.asarray(batch.column("n"))[a:z]
+                size = n + width - 1
+                own = np.repeat(np.arange(len(n)), n)
+                at = np.arange(len(own)) - np.repeat(np.cumsum(n) - n, n)
+                start = np.repeat(np.cumsum(size) - size, n) + at
+                q = _prefix(b, _BASES[1])
+                w = _mixed((q[start + width] - q[start]) * _powers(_BASES[1])[1][start]).view(np.int64)
+                h, d, x, p = (np.asarray(batch.column(c))[a:z][own] for c in ("h", "d", "x", "p"))
+                yield pa.RecordBatch.from_arrays([pa.array(c) for c in (h, w, d, x, p, p + at)], ["h", "w", "d", "x", "p", "at"])
+
+    return go
+
+
+def split_shards(runs: DataFrame, width: int) -> DataFrame:
+    """Groups (h, part) of a bounded number of runs, for hashes of many runs: in each, a run and some of those that repeat a
+    window of it which stands nowhere earlier. A run without a repeated window is in none.
+    """
+    windows = saved(runs.mapInArrow(run_windows(width), "h long, w long, d long, x long, p long, at long"), "split-windows")
+    place = F.struct("d", "x", "at", "p")
+    firsts = windows.groupBy("h", "w").agg(F.count(F.lit(1)).alias("c"), F.min(place).alias("f")).where("c > 1").drop("c")
+    key = ["h", "d", "x", "p"]
+    met = windows.join(firsts, ["h", "w"]).select(*key, F.col("f.d").alias("fd"), F.col("f.x").alias("fx"), F.col("f.p").alias("fp")).distinct()
+    met = saved(met.where("d <> fd or x <> fx or p <> fp"), "split-runs")
+    first = ["h", "fd", "fx", "fp"]
+    parts = F.ceil(F.col("c") / SPLIT_RUNS).cast("int")
+    many = met.groupBy(*first).agg(F.count(F.lit(1)).alias("c")).withColumns({"parts": parts, "base": F.xxhash64(*first)})
+    dealt = met.join(many, first).select(*key, F.xxhash64("base", F.pmod(F.xxhash64("d", "x", "p"), F.col("parts"))).alias("part"))
+    heads = many.withColumn("k", F.explode(F.sequence(F.lit(0), F.col("parts") - 1)))
+    heads = heads.select("h", F.col("fd").alias("d"), F.col("fx").alias("x"), F.col("fp").alias("p"), F.xxhash64("base", F.col("k").cast("long")).alias("part"))
+    return dealt.unionByName(heads).join(runs, key).select("h", "part", "d", "x", "p", "n", "bytes")
+
+
 def merged_spans(p: np.ndarray, n: np.ndarray, width: int, size: int) -> list[tuple[int, int]]:
     """Maximal removed byte ranges, from runs of windows."""
     order = np.argsort(p, kind="stable")
@@ -344,11 +392,15 @@ def repeated_spans(docs: DataFrame, width: int = WIDTH, gram: int = GRAM) -> Dat
     later = live.join(classes, ["h", "ctx"]).where("first.d <> d or first.x <> x or first.q <> q")
     whole = later.select("d", "x", F.shiftright("q", N_BITS).alias("p"), F.col("q").bitwiseAND((1 << N_BITS) - 1).alias("n"))
     # firsts of different classes with one hash share windows in part
-    mixed = saved(classes.groupBy("h").agg(F.count(F.lit(1)).alias("c")).where("c > 1").select("h"), "mixed-hashes")
-    listed = classes.join(mixed, "h").groupBy(F.col("first.d").alias("d"), F.col("first.x").alias("x")).agg(F.collect_list(F.struct("h", F.col("first.q").alias("q"))).alias("listed"))
+    mixed = saved(classes.groupBy("h").agg(F.count(F.lit(1)).alias("c")).where("c > 1"), "mixed-hashes")
+    listed = classes.join(mixed.select("h"), "h").groupBy(F.col("first.d").alias("d"), F.col("first.x").alias("x")).agg(F.collect_list(F.struct("h", F.col("first.q").alias("q"))).alias("listed"))
     once = own.join(listed, ["d", "x"]).mapInArrow(run_bytes(width), "h long, d long, x long, p long, n long, bytes binary")
-    shards = once
-    part = shards.repartition("h").sortWithinPartitions("h").mapInArrow(later_windows(width), "d long, x long, p long, n long")
+    shards = once.withColumn("part", F.lit(0).cast("long"))
+    hot = mixed.where(F.col("c") > SPLIT_RUNS).select("h")
+    if hot.limit(1).count():
+        once = saved(once, "run-bytes")
+        shards = once.join(hot, "h", "left_anti").withColumn("part", F.lit(0).cast("long")).unionByName(split_shards(once.join(hot, "h", "left_semi"), width))
+    part = shards.repartition("h", "part").sortWithinPartitions("h", "part").mapInArrow(later_windows(width), "d long, x long, p long, n long")
     return whole.unionByName(part).groupBy("d", "x").agg(F.collect_list(F.struct("p", "n")).alias("spans"))
 
 

@@ -2,6 +2,7 @@
 
 import hashlib
 import random
+from collections import Counter
 
 import numpy as np
 import pytest
@@ -149,6 +150,31 @@ def test_repeats_odd_rows(spark, odd, empty):
     assert suffix_dedup.removal_report(empty).count() == 0
 
 
+def test_a_hash_of_many_runs_is_split(spark, monkeypatch):
+    monkeypatch.setattr(suffix_dedup, "SPLIT_RUNS", 5, raising=False)
+    whole = suffix_dedup.later_windows
+
+    def bounded(width):
+        inner = whole(width)
+
+        def go(batches):
+            batches = list(batches)
+            groups = Counter(k for b in batches for k in zip(*(b.column(c).to_pylist() for c in ("h", "part") if c in b.schema.names), strict=True))
+            assert max(groups.values(), default=0) <= 25, groups
+            return inner(iter(batches))
+
+        return go
+
+    monkeypatch.setattr(suffix_dedup, "later_windows", bounded)
+    rng = random.Random(8)
+    some = lambda n: "".join(rng.choice("abcdefgh ") for _ in range(n))
+    passage = some(170)
+    rows = [(i, some(90) + passage + some(90)) for i in range(60)]
+    rows += [(60 + i, some(60) + passage[: 100 + 3 * i] + some(60)) for i in range(20)]
+    got = {r[0]: tuple(r[1:]) for r in suffix_dedup.removal_report(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
+    assert got == brute_removed(rows)
+
+
 @pytest.mark.parametrize("doc_id", [None, 7])
 def test_rows_of_one_id_are_told_apart(spark, doc_id):
     rng = random.Random(4)
