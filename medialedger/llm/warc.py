@@ -4,13 +4,15 @@ Both new records refer to the response they come from (WARC-Refers-To), keep its
 a digest of their own block. Record ids are UUIDs made from the response's id, so a rerun gives the same records. Everything
 is column expressions: reading, deriving and writing never leave the JVM, and nothing is shuffled.
 
-Defined cases: a null payload is empty; a response without links or title has an empty list and an empty title; null targets
+Defined cases: references by name are those of HTML with their semicolon; without it they stay, as in OP5_SQL (HTML would
+decode some); comments, scripts and styles without an end run to the end of the page; a null payload is empty; a response without links or title has an empty list and an empty title; null targets
 stay null and their header line is left out; responses without an id get one from their target and payload.
 """
 
 from __future__ import annotations
 
 from collections.abc import Callable
+from html.entities import html5
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -18,15 +20,23 @@ from pyspark.sql import functions as F
 from .common import table
 
 CRLF = "\r\n"
-#: References by name that are decoded, besides all by number. Fixed values.
-NAMED = {"&lt;": "<", "&gt;": ">", "&quot;": '"', "&apos;": "'", "&nbsp;": " ", "&copy;": "©", "&reg;": "®", "&middot;": "·", "&ndash;": "–", "&mdash;": "—", "&hellip;": "…", "&laquo;": "«", "&raquo;": "»", "&euro;": "€"}
-HIDDEN = r"(?is)<(?:!--.*?-->|script\b.*?</script\s*>|style\b.*?</style\s*>|noscript\b.*?</noscript\s*>|template\b.*?</template\s*>|head\b.*?</head\s*>)"
+#: References by name, with their semicolon. The most frequent come first.
+FREQUENT = ("amp;", "lt;", "gt;", "quot;", "nbsp;", "apos;", "copy;", "mdash;", "ndash;", "hellip;", "rsquo;", "lsquo;", "rdquo;", "ldquo;")
+NAMES = dict.fromkeys(FREQUENT, "") | {n: c for n, c in html5.items() if n.endswith(";")}
+NAMES |= {n: html5[n] for n in FREQUENT} | {"nbsp;": " "}
+#: Numbers that stand for characters of Windows-1252.
+C1 = {k: bytes([k]).decode("cp1252") for k in range(128, 160) if k not in (0x81, 0x8D, 0x8F, 0x90, 0x9D)}
+#: The rest of a start tag up to its end: quotes count after an equals sign, and what they hold may contain '>'.
+REST = r"""(?:[^>=]++|=\s*+"[^"]*+"|=\s*+'[^']*+'|=)*+>"""
+HIDDEN = rf"(?is)<(?:!--.*?(?:-->|\z)|script\b{REST}.*?(?:</script\s*>|\z)|style\b{REST}.*?(?:</style\s*>|\z)|noscript\b{REST}.*?</noscript\s*>|template\b{REST}.*?</template\s*>|head\b{REST}.*?</head\s*>)"
 #: White space that isn't a single blank already.
 SPACES = r"[\x09-\x0D][\x20\x09-\x0D]*|\x20[\x20\x09-\x0D]+"
-BREAKS = r"(?i)</?(?:address|article|aside|blockquote|body|br|dd|div|dl|dt|fieldset|figcaption|figure|footer|form|h[1-6]|header|hr|li|main|nav|ol|p|pre|section|table|td|th|tr|ul)\b[^>]*>"
-TAG = r"<[!?/a-zA-Z][^>]*>"
-LINK = r"""(?i)<a\b[^>]*?\shref\s*=\s*"([^"]*)\""""
-TITLE = r"(?is)<title[^>]*>(.*?)</title\s*>"
+BREAKS = rf"(?i)</?(?:address|article|aside|blockquote|body|br|dd|div|dl|dt|fieldset|figcaption|figure|footer|form|h[1-6]|header|hr|li|main|nav|ol|p|pre|section|table|td|th|tr|ul)\b{REST}"
+TAG = rf"<(?:/?[a-zA-Z]{REST}|[!?/][^>]*+>)"
+VALUE = r"""(?:"[^"]*+"|'[^']*+'|[^\s"'>][^\s>]*+)"""
+#: The value of the first href of each link, with its quotes if it has any.
+LINK = rf"(?i)<a(?=[\s/])(?:[\s/]*+(?!href\s*+=)[^\s/>][^\s/>=]*+(?:\s*+=\s*+{VALUE})?+)*+[\s/]*+href\s*+=\s*+({VALUE})"
+TITLE = rf"(?is)<title\b{REST}(.*?)</title\s*>"
 FIELDS = {"warc_type": "WARC-Type", "record_id": "WARC-Record-ID", "refers_to": "WARC-Refers-To", "target_uri": "WARC-Target-URI", "warc_date": "WARC-Date", "payload_digest": "WARC-Payload-Digest", "block_digest": "WARC-Block-Digest", "content_type": "Content-Type"}
 
 
@@ -46,30 +56,34 @@ def once(value: Column, f: Callable[[Column], Column]) -> Column:
     return F.element_at(F.transform(F.array(value), f), 1)
 
 
-def numbered(text: Column) -> Column:
-    """References by decimal or hexadecimal number."""
+def _table(names: dict) -> Column:
+    return F.str_to_map(F.lit("\x01".join(f"{n}\x02{c}" for n, c in names.items())), F.lit("\x01"), F.lit("\x02"))
 
-    def one(x: Column, i: Column) -> Column:
-        number = F.regexp_extract(x, "^([0-9]{1,7});", 1)
-        hexa = F.regexp_extract(x, "^[xX]([0-9a-fA-F]{1,6});", 1)
-        code = F.when(number != "", number.cast("int")).otherwise(F.conv(F.when(hexa != "", hexa), 16, 10).cast("int"))
-        fine = (code > 0) & (code <= 0x10FFFF) & ~code.between(0xD800, 0xDFFF)
-        char = F.decode(F.unhex(F.lpad(F.hex(code), 8, "0")), "UTF-32")
-        return F.when(i == 0, x).when(fine, F.concat(char, F.regexp_replace(x, "^[xX]?[0-9a-fA-F]+;", ""))).otherwise(F.concat(F.lit("&#"), x))
 
-    return F.when(F.instr(text, "&#") == 0, text).otherwise(F.array_join(F.transform(F.split(text, "&#", -1), one), ""))
+def numbered(x: Column) -> Column:
+    """What follows an ampersand, with a decimal or hexadecimal number decoded as HTML has it."""
+    number = F.regexp_extract(x, "^#0*([0-9]+)", 1)
+    hexa = F.regexp_extract(x, "^#[xX]0*([0-9a-fA-F]+)", 1)
+    code = F.when(number != "", F.when(F.length(number) < 8, number.cast("int"))).otherwise(F.when(F.length(hexa) < 7, F.conv(hexa, 16, 10).cast("int")))
+    fine = (code > 0) & (code <= 0x10FFFF) & ~code.between(0xD800, 0xDFFF)
+    char = F.when(fine, F.decode(F.unhex(F.lpad(F.hex(code), 8, "0")), "UTF-32")).otherwise("\ufffd")
+    char = F.when(code.between(128, 159), F.coalesce(F.try_element_at(_table(C1), code.cast("string")), char)).otherwise(char)
+    rest = F.regexp_replace(x, "^#(?:[xX][0-9a-fA-F]+|[0-9]+);?", "")
+    return F.when((number != "") | (hexa != ""), F.concat(char, rest)).otherwise(F.concat(F.lit("&"), x))
 
 
 def decoded(text: Column) -> Column:
-    """Character references; the ampersand last, so nothing is decoded twice."""
+    """Character references, each once. A name without its semicolon stays as it is."""
+
+    def after(x: Column, name: Column) -> Column:
+        return F.substring(x, F.length(name) + 1, F.length(x))
 
-    def named(x: Column) -> Column:
-        out = numbered(x)
-        for name, char in NAMED.items():
-            out = F.replace(out, F.lit(name), F.lit(char))
-        return F.when(F.instr(x, "&") == 0, x).otherwise(F.replace(out, F.lit("&amp;"), F.lit("&")))
+    def one(x: Column, i: Column) -> Column:
+        name = F.regexp_extract(x, "^[a-zA-Z][a-zA-Z0-9]*;", 0)
+        named = F.concat(F.try_element_at(_table(NAMES), name), after(x, name))
+        return F.when(i == 0, x).when(F.startswith(x, F.lit("amp;")), F.concat(F.lit("&"), after(x, F.lit("amp;")))).when(F.startswith(x, F.lit("#")), numbered(x)).otherwise(F.coalesce(named, F.concat(F.lit("&"), x)))
 
-    return once(text, named)
+    return once(text, lambda t: F.when(F.instr(t, "&") == 0, t).otherwise(F.array_join(F.transform(F.split(t, "&", -1), one), "")))
 
 
 def plain_text(page: Column) -> Column:
@@ -80,7 +94,8 @@ def plain_text(page: Column) -> Column:
 
 
 def links(page: Column) -> Column:
-    return F.transform(F.regexp_extract_all(page, F.lit(LINK), F.lit(1)), decoded)
+    bare = F.transform(F.regexp_extract_all(page, F.lit(LINK), F.lit(1)), lambda v: F.regexp_replace(v, r"""(?s)^(["'])(.*)\1$""", "$2"))
+    return F.transform(bare, decoded)
 
 
 def title(page: Column) -> Column:
@@ -157,9 +172,18 @@ def op5_warc(spark, sf_dir: str) -> DataFrame:
     return out.select("page_id", "warc_type", "record_id", "refers_to", "target_uri", "payload_digest", "block_digest", "content_type", "content_length", "n_links", "block")
 
 
+#: What the SQL uses: it knows these references and double-quoted links only.
+SQL_NAMED = {"&lt;": "<", "&gt;": ">", "&quot;": '"', "&apos;": "'", "&nbsp;": " ", "&copy;": "©", "&reg;": "®", "&middot;": "·", "&ndash;": "–", "&mdash;": "—", "&hellip;": "…", "&laquo;": "«", "&raquo;": "»", "&euro;": "€"}
+SQL_HIDDEN = r"(?is)<(?:!--.*?-->|script\b.*?</script\s*>|style\b.*?</style\s*>|noscript\b.*?</noscript\s*>|template\b.*?</template\s*>|head\b.*?</head\s*>)"
+SQL_BREAKS = r"(?i)</?(?:address|article|aside|blockquote|body|br|dd|div|dl|dt|fieldset|figcaption|figure|footer|form|h[1-6]|header|hr|li|main|nav|ol|p|pre|section|table|td|th|tr|ul)\b[^>]*>"
+SQL_TAG = r"<[!?/a-zA-Z][^>]*>"
+SQL_LINK = r"""(?i)<a\b[^>]*?\shref\s*=\s*"([^"]*)\""""
+SQL_TITLE = r"(?is)<title[^>]*>(.*?)</title\s*>"
+
+
 def _sql_text(x: str) -> str:
-    names = "".join("replace(" for _ in [*NAMED, ""])
-    pairs = "".join(f", '{n}', '{c.replace(chr(39), chr(39) * 2)}')" for n, c in [*NAMED.items(), ("&amp;", "&")])
+    names = "".join("replace(" for _ in [*SQL_NAMED, ""])
+    pairs = "".join(f", '{n}', '{c.replace(chr(39), chr(39) * 2)}')" for n, c in [*SQL_NAMED.items(), ("&amp;", "&")])
     return f"{names}{x}{pairs}"
 
 
@@ -175,9 +199,9 @@ def _uuid(h: str) -> str:
 OP5_SQL = f"""
 WITH p AS (SELECT page_id, url, coalesce(html, '') AS html FROM pages),
 r AS (SELECT *, {_uuid("sha256('response|' || coalesce(url, '') || '|' || sha256(html))")} AS source, 'sha256:' || sha256(html) AS payload_digest,
-  regexp_extract_all(html, {_quoted(LINK)}, 1) AS links,
-  regexp_replace(regexp_replace(regexp_replace(regexp_replace(html, {_quoted(HIDDEN)}, ' ', 'g'), '[\\x20\\x09-\\x0D]+', ' ', 'g'), {_quoted(BREAKS)}, chr(10), 'g'), {_quoted(TAG)}, '', 'g') AS t,
-  regexp_extract(html, {_quoted(TITLE)}, 1) AS title FROM p),
+  regexp_extract_all(html, {_quoted(SQL_LINK)}, 1) AS links,
+  regexp_replace(regexp_replace(regexp_replace(regexp_replace(html, {_quoted(SQL_HIDDEN)}, ' ', 'g'), '[\\x20\\x09-\\x0D]+', ' ', 'g'), {_quoted(SQL_BREAKS)}, chr(10), 'g'), {_quoted(SQL_TAG)}, '', 'g') AS t,
+  regexp_extract(html, {_quoted(SQL_TITLE)}, 1) AS title FROM p),
 c AS (SELECT *, trim(regexp_replace(regexp_replace({_sql_text("t")}, ' *' || chr(10) || '[ ' || chr(10) || ']*', chr(10), 'g'), ' +', ' ', 'g'), ' ' || chr(10)) AS text,
   to_json({{'target': url, 'source': source, 'payload_digest': payload_digest, 'payload_length': octet_length(encode(html)), 'headers': ['HTTP/1.1 200 OK', 'Content-Type: text/html; charset=utf-8', 'Content-Length: ' || octet_length(encode(html))],
     'title': trim(regexp_replace({_sql_text("title")}, '[\\x20\\x09-\\x0D]+', ' ', 'g')), 'links': list_transform(links, lambda x: {_sql_text("x")})}}) AS meta FROM r),

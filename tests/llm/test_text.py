@@ -1,5 +1,6 @@
 """Tokens, languages, quality, scores, mixing, pages, archives and the pipeline."""
 
+import json
 import math
 import re
 import zlib
@@ -262,6 +263,26 @@ def test_archives(spark, tmp_path):
     assert back.where("block_digest <> concat('sha256:', sha2(cast(block as binary), 256))").count() == 0
 
 
+def test_markup_of_real_pages(spark):
+    """Small pages with what OP5_SQL does not know: the expected values are written by hand."""
+    html = [
+        """<a href='/one'>1</a><a class="x > y" href=/two/>2</a><a href="/three">3</a><a data-href="/no" title='a>b' HREF = '/four?a=1&copy=2&eacute;'>4</a><abbr href="/no">5</abbr>""",
+        "<title lang='a>b'>Caf&eacute; &ldquo;x&rdquo;</title><p title='a > b' data-x=\"c>d\">D&uuml;r &amp;lt; &#38;lt; &copy 2 &#150; &unknown; a&b</p><img alt='>'>end it's <b>",
+        "<p>before</p><script>var a = '<p>code</p>';",
+        "<p>before</p><style>p { color: red }",
+        "<p>before</p><!-- open <p>code</p>",
+    ]
+    pages = spark.createDataFrame(list(enumerate(html)), "page_id long, html string").withColumn("url", F.lit(None).cast("string"))
+    rows = warc.derivatives(warc.responses_of(pages)).collect()
+    meta = {r["page_id"]: r for r in rows if r["warc_type"] == "metadata"}
+    text = {r["page_id"]: r["block"] for r in rows if r["warc_type"] == "conversion"}
+    assert json.loads(meta[0]["block"])["links"] == ["/one", "/two/", "/three", "/four?a=1&copy=2é"]
+    assert meta[0]["n_links"] == 4
+    assert json.loads(meta[1]["block"])["title"] == "Café “x”"
+    assert text[1] == "Café “x”\nDür &lt; &lt; &copy 2 – &unknown; a&b\nend it's"
+    assert text[2] == text[3] == text[4] == "before"
+
+
 def test_pipeline(spark, docs):
     cp = pytest.importorskip("corpus_pipeline")
     ids, frame = None, docs
