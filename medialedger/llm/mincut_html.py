@@ -33,12 +33,14 @@ SAMPLE_PAGES = 400
 #: Most that an edge costs, between neighbours and within a container.
 NEAR, INSIDE = 0.6, 0.6
 
-TOKEN = re.compile(r"<!--.*?(?:-->|\Z)|<(script|style|noscript|template|textarea|svg|iframe|select|object)\b(?:\"[^\"]*\"|'[^']*'|[^'\">])*>.*?(?:</\1\s*>|\Z)|<(/?)([a-zA-Z][\w:-]*)((?:\"[^\"]*\"|'[^']*'|[^'\">])*)>|<[!?/][^>]*>", re.S | re.I)
+TOKEN = re.compile(r"<!--.*?(?:-->|\Z)|<(script|style|noscript|template|textarea|iframe)\b(?:\"[^\"]*\"|'[^']*'|[^'\">])*>.*?(?:</\1\s*>|\Z)|<(/?)([a-zA-Z][\w:-]*)((?:\"[^\"]*\"|'[^']*'|[^'\">])*)>|<[!?/][^>]*>", re.S | re.I)
 ATTRIBUTE = re.compile(r"\b(class|id|role|hidden|style)\b\s*(?:=\s*(\"[^\"]*\"|'[^']*'|[^\s\"'>]+))?", re.I)
 VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
 BLOCK = frozenset("address article aside blockquote body center dd details dialog div dl dt fieldset figcaption figure footer form h1 h2 h3 h4 h5 h6 head header hr html legend li main menu nav ol p pre section summary table tbody td tfoot th thead title tr ul button label option caption".split())
 ENDS_P = BLOCK - {"li", "dd", "dt", "td", "th", "tr", "label", "option", "button"}
 SIBLING = {"li": ("li",), "dd": ("dd", "dt"), "dt": ("dd", "dt"), "tr": ("tr", "td", "th"), "td": ("td", "th"), "th": ("td", "th"), "option": ("option",)}
+#: Elements whose text is not shown as the page's; without an end tag they end with their parent.
+DROPPED = frozenset("svg object select".split())
 KEEPS_LIST = frozenset("ul ol dl table tbody thead tfoot menu select".split())
 #: Containers whose tag or name tells their role. Fixed values.
 AWAY_TAGS = frozenset("nav footer aside form head title menu button dialog label".split())
@@ -84,7 +86,7 @@ def blocks_of(page: str) -> list[Block]:
     # an open element: tag, away, main, number
     stack: list[tuple[str, bool, bool, int]] = [("", False, False, 0)]
     text: list[str] = []
-    links = linked = number = 0
+    links = linked = number = dropped = 0
 
     def flush() -> None:
         nonlocal linked
@@ -104,13 +106,14 @@ def blocks_of(page: str) -> list[Block]:
         linked = 0
 
     def close(at: int) -> None:
-        nonlocal links
+        nonlocal links, dropped
+        dropped -= sum(1 for x in stack[at:] if x[0] in DROPPED)
         links -= sum(1 for x in stack[at:] if x[0] == "a")
         del stack[at:]
 
     pos = 0
     for m in TOKEN.finditer(page):
-        if m.start() > pos:
+        if m.start() > pos and not dropped:
             piece = page[pos : m.start()]
             text.append(piece)
             if links:
@@ -123,13 +126,24 @@ def blocks_of(page: str) -> list[Block]:
         if m[2]:
             for at in range(len(stack) - 1, 0, -1):
                 if stack[at][0] == tag:
-                    if tag in BLOCK or any(x[0] in BLOCK for x in stack[at:]):
+                    if not any(x[0] in DROPPED for x in stack[: at + 1]) and (tag in BLOCK or any(x[0] in BLOCK for x in stack[at:])):
                         flush()
                     close(at)
                     break
-                if tag not in BLOCK and stack[at][0] in BLOCK:
+                if tag not in BLOCK and tag not in DROPPED and stack[at][0] in BLOCK:
                     break
             continue
+        if dropped:
+            names = [x[0] for x in stack]
+            if "svg" in names and "foreignobject" not in names and tag in BLOCK and tag != "title":
+                close(names.index("svg"))  # blocks end an open drawing
+            else:
+                if tag not in VOID and not m[4].endswith("/"):
+                    number += 1
+                    stack.append((tag, True, False, number))
+                    links += tag == "a"
+                    dropped += tag in DROPPED
+                continue
         if tag == "br":
             text.append("\n")
             continue
@@ -155,7 +169,9 @@ def blocks_of(page: str) -> list[Block]:
         away, main = role(tag, m[4], stack[-1][2])
         stack.append((tag, away or stack[-1][1], main or stack[-1][2], number))
         links += tag == "a"
-    text.append(page[pos:])
+        dropped += tag in DROPPED
+    if not dropped:
+        text.append(page[pos:])
     flush()
     return out
 

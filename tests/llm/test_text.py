@@ -230,6 +230,18 @@ def test_pages(spark):
     assert mincut_html.extracted(pages.limit(0), mincut_html.train(pages.limit(0))).count() == 0
 
 
+def test_open_elements_end_with_their_parent():
+    def text(page):
+        return [b.text for b in mincut_html.blocks_of(page)]
+
+    assert text('<p>one <svg class="i"/> two</p><p>three</p>') == ["one two", "three"]
+    assert text("<p>one <svg><title>Icon</title><path d='x'/></svg> two</p>") == ["one two"]
+    assert text("<p>one <svg><path> <p>two</p>") == ["one", "two"]
+    for tag in ("object", "select"):
+        assert text(f"<div>one <{tag}> gone</div><p>two</p><p>three</p>") == ["one", "two", "three"]
+        assert text(f"<p>one <{tag}><option>gone</option></{tag}> two</p>") == ["one two"]
+
+
 def test_minimum_cut_is_least():
     rng = np.random.default_rng(2)
     for _ in range(40):
