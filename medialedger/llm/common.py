@@ -57,6 +57,32 @@ def pieces(sizes: Iterable[int], most: int = PIECE_BYTES) -> Iterator[tuple[int,
         yield start, i + 1
 
 
+def packed(docs: DataFrame, *own: str) -> DataFrame:
+    """The columns `own`, and all others as fields of one column `rest`, so that none of their names can meet an operator's."""
+    others = [F.col(f"`{c}`") for c in docs.columns if c not in own]
+    return docs.select(*own, (F.struct(*others) if others else F.struct(F.lit(True).alias("none"))).alias("rest"))
+
+
+def unpacked(rows: DataFrame, columns: list[str]) -> DataFrame:
+    """The given columns again, in their order, from rows that `packed` made."""
+    top = set(rows.columns) - {"rest"}
+    return rows.select(*(F.col(f"`{c}`") if c in top else F.col(f"rest.`{c}`").alias(c) for c in columns))
+
+
+def set_apart(docs: DataFrame, *results: str) -> DataFrame:
+    """docs with the columns renamed that have the name of a result: `_in` is added until the name is free. Case is ignored."""
+    taken = {c.lower() for c in docs.columns} | {r.lower() for r in results}
+    names = []
+    for c in docs.columns:
+        new = c
+        if c.lower() in {r.lower() for r in results}:
+            while new.lower() in taken:
+                new += "_in"
+            taken.add(new.lower())
+        names.append(new)
+    return docs.toDF(*names)
+
+
 def texts(column: pa.Array | pa.ChunkedArray) -> list[bytes | None]:
     """The UTF-8 bytes of a string column."""
     return column.cast(pa.binary()).to_pylist()
@@ -111,6 +137,29 @@ def local_roots(n: int, i: np.ndarray, j: np.ndarray) -> np.ndarray:
     return root
 
 
+def spanning_pairs(n: int, i: np.ndarray, j: np.ndarray, cost: np.ndarray) -> np.ndarray:
+    """Which of the links (i, j) of n rows join all that all of them join, those of least cost first."""
+    root, picked = np.arange(n), [np.zeros(0, np.int64)]
+    for c in np.unique(cost):
+        at = np.flatnonzero(cost == c)
+        while True:
+            a, b = root[i[at]], root[j[at]]
+            at = at[a != b]
+            if not len(at):
+                break
+            low, high = np.minimum(a, b)[a != b], np.maximum(a, b)[a != b]
+            order = np.lexsort((low, high))
+            first = order[np.r_[True, high[order][1:] != high[order][:-1]]]
+            picked.append(at[first])
+            root[high[first]] = low[first]
+            while True:
+                up = root[root]
+                if (up == root).all():
+                    break
+                root = up
+    return np.concatenate(picked)
+
+
 def same_group_pairs(group: np.ndarray, longest: int) -> Iterator[tuple[np.ndarray, np.ndarray]]:
     """All pairs of rows of the same group (groups stand together), by their distance in the order."""
     at = np.arange(len(group))

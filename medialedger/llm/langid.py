@@ -26,7 +26,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import Window as W
 
-from .common import byte_batches, table
+from .common import byte_batches, set_apart, table
 
 FEATURES = 1 << 15
 AFFIX, GRAMS = 3, (1, 2, 3)
@@ -275,7 +275,8 @@ def train(docs: DataFrame, per_lang: int = 400, held_out: tuple[int, int] = (3,
 
 
 def identify(docs: DataFrame, field: Field) -> DataFrame:
-    """docs with lang_pred and score."""
+    """docs with lang_pred and score; own columns of these names come as `lang_pred_in` and `score_in`."""
+    docs = set_apart(docs, "lang_pred", "score")
     columns = docs.columns
 
     def go(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:

@@ -26,7 +26,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .common import byte_batches, table
+from .common import byte_batches, set_apart, table
 
 MARK = "▁"
 PUBLIC_MODEL = "/opt/tokenizers/piece_bpe_32k.model"
@@ -307,9 +307,11 @@ def decode(ids: list[int], p: Pieces) -> str:
 def encoded(docs: DataFrame, p: Pieces) -> DataFrame:
     """docs with `ids` (array of int), `n_ids`, and `round_trip`: whether decoding gives the text back.
 
-    A text with word marks of its own is the one kind that decodes otherwise: the marks become spaces.
+    A text with word marks of its own is the one kind that decodes otherwise: the marks become spaces. Own columns of these
+    names get `_in`.
     """
     model = p.sent(docs.sparkSession)
+    docs = set_apart(docs, "ids", "n_ids", "round_trip")
     columns = docs.columns
 
     def go(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -334,6 +336,7 @@ def encoded(docs: DataFrame, p: Pieces) -> DataFrame:
 def decoded(rows: DataFrame, p: Pieces) -> DataFrame:
     """rows with `decoded`, the text of `ids`; null for null."""
     model = p.sent(rows.sparkSession)
+    rows = set_apart(rows, "decoded")
     columns = rows.columns
 
     def go(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:

@@ -22,7 +22,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .common import byte_batches, table
+from .common import byte_batches, set_apart, table
 
 BUCKETS = 1 << 15
 CHAR_GRAMS = (2, 4)
@@ -209,7 +209,8 @@ def train(docs: DataFrame, labels: DataFrame, per_class: int = 800) -> Model | N
 
 
 def assess(docs: DataFrame, model: Model | None) -> DataFrame:
-    """docs with the base counts, base_failed, p_good (null without a model) and kept."""
+    """docs with the base counts, base_failed, p_good (null without a model) and kept; own columns of these names get `_in`."""
+    docs = set_apart(docs, *BASE_COLUMNS, "base_failed", "p_good", "kept")
     columns = docs.columns
 
     def go(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:

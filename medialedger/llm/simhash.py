@@ -5,6 +5,10 @@ programme gives each partition its own threshold, at least -1 (skipped) and toge
 estimated probes and candidates are fewest. Two fingerprints within the distance then agree within the threshold of at
 least one partition, so none is missed, whatever the estimates say. Probes that meet are verified on all 64 bits.
 
+`near_duplicates` links fingerprints alone. `similar` also asks for a least similarity of the word shingles (their sets'
+intersection by their union). What meets within the distance leaves each block as a forest of its closest pairs, so a large
+group never becomes all of its pairs, and each pair of the forest is then computed exactly from the whole texts.
+
 Defined cases: null and blank texts have fingerprint 0 and are linked like any other. Texts of fewer words than a shingle
 hash the whole sequence. Rows with the same fingerprint are one node, so large groups of copies cost one row each. Rows
 with a null id get a fingerprint and the component of their fingerprint, but a null id is never a component's name.
@@ -13,6 +17,7 @@ with a null id get a fingerprint and the component of their fingerprint, but a n
 from __future__ import annotations
 
 from collections.abc import Iterator
+from functools import reduce
 from itertools import combinations
 from math import comb
 
@@ -22,7 +27,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import by_group, byte_batches, components, dealt_blocks, local_roots, same_group_pairs, saved
+from .common import by_group, byte_batches, components, dealt_blocks, local_roots, packed, same_group_pairs, saved, spanning_pairs, unpacked
 
 BITS = 64
 #: Largest group of probes that one block compares; larger ones are dealt into pairs of parts.
@@ -31,18 +36,27 @@ BLOCK_ROWS = 512
 PROBE_COST = 100
 #: Fingerprints from which candidate counts are estimated. Only the cost depends on them, never the result.
 SAMPLE = 2000
+#: Links that a block gathers before it thins them to a forest.
+GATHERED = 2_000_000
 
 
-def fingerprint(text: bytes | None, words: int = 3, seed: int = 42) -> int:
+def shingles(text: bytes | None, words: int, seed: int) -> np.ndarray:
+    """Hashes of a text's word shingles, repeats included; of all its words where they are fewer, none where it has none."""
     w = (text or b"").lower().split()
-    if not w:
-        return 0
+    digest, join = xxhash.xxh64_intdigest, b" ".join
     if len(w) <= words:
-        hashes = [xxhash.xxh64_intdigest(b" ".join(w), seed)]
-    else:
-        digest, join = xxhash.xxh64_intdigest, b" ".join
-        hashes = [digest(join(x), seed) for x in zip(*(w[k:] for k in range(words)), strict=False)]
-    h = np.array(hashes, "<u8")
+        return np.array([digest(join(w), seed)] if w else [], "<u8")
+    return np.array([digest(join(x), seed) for x in zip(*(w[k:] for k in range(words)), strict=False)], "<u8")
+
+
+def fingerprint(text: bytes | None, words: int = 3, seed: int = 42) -> int:
+    return majority(shingles(text, words, seed))
+
+
+def majority(h: np.ndarray) -> int:
+    """The bits that are set in over half of the hashes."""
+    if not len(h):
+        return 0
     bits = np.unpackbits(h.view(np.uint8).reshape(-1, 8), axis=1, bitorder="little").sum(axis=0, dtype=np.int64)
     return int(np.packbits(2 * bits > len(h), bitorder="little").view("<u8")[0])
 
@@ -145,45 +159,126 @@ def probes(nodes: DataFrame, chosen: list[tuple[list[int], int]]) -> DataFrame:
     return nodes.withColumn("_f", F.explode(F.array(*flips))).select("fp", "rep", F.xxhash64("_f.k", F.col("fp").bitwiseAND(F.col("_f.m")).bitwiseXOR(F.col("_f.x"))).alias("key"))
 
 
-def linked(distance: int):
-    """Links within each block, as a spanning forest: never more rows than the block has."""
+def look(h: np.ndarray, k: int) -> np.ndarray:
+    """The k-th of several independent hashes made from one."""
+    for _ in range(k):
+        h = (h ^ (h >> np.uint64(33))) * np.uint64(0xFF51AFD7ED558CCD)
+        h = (h ^ (h >> np.uint64(33))) * np.uint64(0xC4CEB9FE1A85EC53)
+    return h
+
+
+def linked(distance: int, closest: bool = False):
+    """Links within each block, as a spanning forest: never more rows than the block has. With `closest`, each is a pair
+    within the distance, and closer pairs come first.
+    """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for t in by_group(batches, ["key", "lo", "hi"], 20_000):
             key, lo, hi, part, fp, rep = (np.asarray(t.column(c)) for c in ("key", "lo", "hi", "part", "fp", "rep"))
             new = np.r_[True, (key[1:] != key[:-1]) | (lo[1:] != lo[:-1]) | (hi[1:] != hi[:-1])]
             group = np.cumsum(new)
-            left, right = [], []
+            left, right = np.zeros(0, np.int64), np.zeros(0, np.int64)
+            more: list[tuple[np.ndarray, np.ndarray]] = []
+
+            def thinned(n=len(fp), fp=fp):
+                i, j = (np.concatenate([old, *new]) for old, new in zip((left, right), zip(*more, strict=True), strict=True))
+                keep = spanning_pairs(n, i, j, np.bitwise_count(fp[i] ^ fp[j]) if closest else np.zeros(len(i)))
+                more.clear()
+                return i[keep], j[keep]
+
             for i, j in same_group_pairs(group, len(group)):
-                near = (np.bitwise_count(fp[i] ^ fp[j]) <= distance) & (fp[i] != fp[j]) & ((lo[i] == hi[i]) | (part[i] != part[j]))
-                left.append(i[near])
-                right.append(j[near])
-            if not left:
-                continue
-            root = local_roots(len(fp), np.concatenate(left), np.concatenate(right))
-            at = np.flatnonzero(root != np.arange(len(root)))
-            if len(at):
-                yield pa.RecordBatch.from_arrays([pa.array(rep[at]), pa.array(rep[root[at]])], ["a", "b"])
+                near = (np.bitwise_count(fp[i] ^ fp[j]) <= distance) & (rep[i] != rep[j]) & ((lo[i] == hi[i]) | (part[i] != part[j]))
+                if near.any():
+                    more.append((i[near], j[near]))
+                if sum(len(x) for x, _ in more) > GATHERED:
+                    left, right = thinned()
+            if more:
+                left, right = thinned()
+            if len(left):
+                yield pa.RecordBatch.from_arrays([pa.array(rep[left]), pa.array(rep[right])], ["a", "b"])
 
     return run
 
 
+def links_within(nodes: DataFrame, distance: int, closest: bool = False) -> DataFrame:
+    """(a, b): links of nodes (fp, rep) within the distance, as forests of the blocks in which their probes meet."""
+    n, corr = bit_correlations(nodes)
+    picked = nodes.select("fp").orderBy(F.xxhash64("fp"), "fp").limit(SAMPLE).collect()
+    sample = np.array([r["fp"] for r in picked], np.int64).view(np.uint64)
+    chosen = plan(n, corr, sample, distance)
+    blocks = dealt_blocks(probes(nodes, chosen), "key", "rep", BLOCK_ROWS)
+    return blocks.repartition("key", "lo", "hi").sortWithinPartitions("key", "lo", "hi").mapInArrow(linked(distance, closest), "a long, b long")
+
+
 def near_duplicates(docs: DataFrame, distance: int = 3, words: int = 3, seed: int = 42) -> DataFrame:
     """(doc_id, fp, component_id) for every row of docs; component_id is the smallest doc_id that its links reach."""
     fps = saved(fingerprints(docs, words, seed), "fingerprints")
     nodes = saved(fps.groupBy("fp").agg(F.min("doc_id").alias("rep")), "fingerprint-nodes")
     named = nodes.where("rep is not null")
-    n, corr = bit_correlations(named)
-    picked = named.orderBy(F.xxhash64("fp"), "fp").limit(SAMPLE).collect()
-    sample = np.array([r["fp"] for r in picked], np.int64).view(np.uint64)
-    chosen = plan(n, corr, sample, distance)
-    blocks = dealt_blocks(probes(named, chosen), "key", "fp", BLOCK_ROWS)
-    links = blocks.repartition("key", "lo", "hi").sortWithinPartitions("key", "lo", "hi").mapInArrow(linked(distance), "a long, b long")
+    links = links_within(named, distance)
     roots = components(links)
     named_root = nodes.join(roots.withColumnRenamed("node", "rep"), "rep", "left").select("fp", F.coalesce("root", "rep").alias("component_id"))
     return fps.join(named_root, "fp").select("doc_id", "fp", "component_id")
 
 
+def _shingled(words: int, seed: int):
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch, raw in byte_batches(batches):
+            sets = [np.unique(shingles(t, words, seed)).view(np.int64) for t in raw]
+            ends = np.r_[0, np.cumsum([len(x) for x in sets])]
+            yield pa.RecordBatch.from_arrays([batch.column("x"), pa.ListArray.from_arrays(pa.array(ends, pa.int32()), pa.array(np.concatenate(sets)))], ["x", "set"])
+
+    return run
+
+
+def similar_links(docs: DataFrame, links: DataFrame, words: int, similarity: float, seed: int) -> DataFrame:
+    """The links (a, b) between texts of docs (x, text) whose shingle sets are at least that similar; sets of no shingle are alike."""
+    needed = links.select(F.col("a").alias("x")).union(links.select("b")).distinct()
+    sets = docs.join(needed, "x", "left_semi").dropDuplicates(["x"]).mapInArrow(_shingled(words, seed), "x long, set array<long>")
+    sets = saved(sets, "shingle-sets")
+    a, b = (sets.select(F.col("x").alias(c), F.col("set").alias(f"{c}_set")) for c in "ab")
+    both = F.size(F.array_intersect("a_set", "b_set"))
+    either = F.size("a_set") + F.size("b_set") - both
+    return links.join(a, "a").join(b, "b").where(both >= similarity * either).select("a", "b")
+
+
+def similar(docs: DataFrame, words: int = 5, similarity: float = 0.8, distance: int = 7, looks: int = 2, seed: int = 42) -> DataFrame:
+    """(doc_id, x, row, group) for every row of docs (doc_id, text, rest): x and row are hashes of its text and of all of it,
+    group is the same for rows whose texts reach each other over links of at least this similarity. A text has as many
+    fingerprints as `looks` says; texts are compared if two of the same look are within the distance.
+    """
+    text = F.coalesce(F.col("text").cast("string"), F.lit(""))
+    keyed = docs.select(F.col("doc_id"), text.alias("text"), F.xxhash64(text).alias("x"), F.xxhash64("doc_id", "text", F.to_json("rest")).alias("row"))
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch, raw in byte_batches(batches):
+            h = [shingles(t, words, seed) for t in raw]
+            fps = [pa.array(np.array([majority(look(x, k)) for x in h], np.uint64).view(np.int64)) for k in range(looks)]
+            yield pa.RecordBatch.from_arrays([*(batch.column(c) for c in ("doc_id", "x", "row")), *fps], ["doc_id", "x", "row", *names])
+
+    kind, names = docs.schema["doc_id"].dataType.simpleString(), [f"fp{k}" for k in range(looks)]
+    rows = saved(keyed.mapInArrow(run, f"doc_id {kind}, x long, row long, {', '.join(f'{c} long' for c in names)}"), "fingerprints")
+    nodes = saved(rows.select(F.col("x").alias("rep"), *names).distinct(), "fingerprint-nodes")
+    found = [links_within(nodes.select("rep", F.col(c).alias("fp")), distance, closest=True) for c in names]
+    both = reduce(DataFrame.unionByName, found).select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b"))
+    links = saved(both.distinct(), "close-texts")
+    roots = components(saved(similar_links(keyed.select("x", "text"), links, words, similarity, seed), "similar-texts"))
+    return rows.join(roots, rows["x"] == roots["node"], "left").select("doc_id", "x", "row", F.coalesce("root", "x").alias("group"))
+
+
+def one_of_each(docs: DataFrame, words: int = 5, similarity: float = 0.8, distance: int = 7, looks: int = 2) -> DataFrame:
+    """docs with one row of each group of similar texts: the one with the smallest id, ids that are null last, then the one with
+    the smallest hash. Of rows that are equal throughout one stays. Columns beside doc_id and text may have any name.
+    """
+    own = packed(docs, "doc_id", "text")
+    groups = similar(own, words, similarity, distance, looks)
+    first = F.min(F.struct(F.col("doc_id").isNull().alias("nameless"), "doc_id", "x", "row"))
+    kept = groups.groupBy("group").agg(first.alias("first")).select(F.col("first.x").alias("x"), F.col("first.row").alias("row"))
+    text = F.coalesce(F.col("text").cast("string"), F.lit(""))
+    keyed = own.withColumns({"x": F.xxhash64(text), "row": F.xxhash64("doc_id", "text", F.to_json("rest"))})
+    return unpacked(keyed.join(kept, ["x", "row"]).dropDuplicates(["x", "row"]), docs.columns)
+
+
 def op9_simhash(spark, sf_dir: str) -> DataFrame:
     from .common import table
 

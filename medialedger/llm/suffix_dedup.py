@@ -27,7 +27,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import by_group, pieces, saved, table, texts
+from .common import by_group, packed, pieces, saved, table, texts, unpacked
 
 WIDTH, GRAM = 100, 40
 #: Text that one pass holds; positions within it take 21 bits.
@@ -449,8 +449,11 @@ def removal_report(docs: DataFrame, width: int = WIDTH, gram: int = GRAM) -> Dat
 
 
 def without_repeats(docs: DataFrame, width: int = WIDTH, gram: int = GRAM) -> DataFrame:
-    """docs with the repeated bytes cut out of `text`. A character goes only if all of its bytes do; a null text stays null."""
-    columns = docs.columns
+    """docs with the repeated bytes cut out of `text`; other columns may have any name. A character goes only if all of its
+    bytes do; a null text stays null.
+    """
+    own = packed(docs, "doc_id", "text")
+    columns = own.columns
 
     def go(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -471,7 +474,7 @@ def without_repeats(docs: DataFrame, width: int = WIDTH, gram: int = GRAM) -> Da
             text = pa.array(kept, pa.binary()).cast(pa.string())
             yield pa.RecordBatch.from_arrays([text if c == "text" else batch.column(c) for c in columns], columns)
 
-    return with_spans(docs, width, gram).mapInArrow(go, docs.schema)
+    return unpacked(with_spans(own, width, gram).mapInArrow(go, own.schema), docs.columns)
 
 
 def op10_suffix_dedup(spark, sf_dir: str) -> DataFrame:

@@ -236,12 +236,39 @@ def test_estimates_are_unbiased_and_bounded():
     x = rng.standard_normal((400, 64))
     x[200:] = x[:200] + 0.3 * rng.standard_normal((200, 64))
     x /= np.linalg.norm(x, axis=1, keepdims=True)
-    e = rotated_codes.Estimator(x)
+    e = rotated_codes.Estimator(rotated_codes.codes_of(x), 64)
     i, j = np.arange(200), np.arange(200) + 200
     exact = np.einsum("nd,nd->n", x[i], x[j])
-    upper = e.upper(i, j)
-    assert (upper >= exact).all()
-    assert e.upper(np.arange(199), np.arange(1, 200)).mean() < 0.6
+    got, bound = e.estimates(i, j)
+    assert (got + bound >= exact).all()
+    assert abs((got - exact).mean()) < 0.02
+    assert sum(e.estimates(np.arange(199), np.arange(1, 200))).mean() < 0.6
+
+
+def test_rows_of_one_vector_id_count_each(spark):
+    v, w = [1.0] * 64, [1.0, -1.0] * 32
+    rows = [(1, 0, v), (1, 0, w), (2, 0, v), (None, 0, w), (3, 1, v), (3, 1, v)]
+    df = spark.createDataFrame(rows, "vec_id long, label int, embedding array<double>")
+    got = sorted(map(tuple, rotated_codes.near_vectors(df).collect()), key=str)
+    assert got == sorted([(1, 1, 1), (1, 1, 1), (2, 1, 1), (None, 1, 1), (3, 1, 3), (3, 1, 3)], key=str)
+
+
+def test_planted_links_are_found(spark):
+    """Recall of links near the threshold, at the production parameters."""
+    rng = np.random.default_rng(5)
+    base = rng.standard_normal((1500, 64))
+    noise = rng.standard_normal((1500, 64)) * rng.uniform(0.05, 0.45, (1500, 1))
+    vec = np.concatenate([base, base + noise])
+    rows = [(i, i % 1500 % 4, v) for i, v in enumerate(vec.tolist())]
+    unit = vec / np.linalg.norm(vec, axis=1, keepdims=True)
+    label = np.arange(3000) % 1500 % 4
+    a, b = np.nonzero(np.triu(unit @ unit.T >= 0.93, 1) & (label[:, None] == label))
+    want = np.bincount(np.r_[a, b], minlength=3000)
+    got = {r["vec_id"]: r["n_links"] for r in rotated_codes.near_vectors(spark.createDataFrame(rows, "vec_id long, label int, embedding array<double>")).collect()}
+    have = np.array([got[i] for i in range(3000)])
+    assert (have <= want).all()
+    assert want.sum() > 1000
+    assert have.sum() >= 0.999 * want.sum()
 
 
 def test_bands_miss_as_stated():
