@@ -2,16 +2,20 @@
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
+import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import Window as W
 
 from ..config import Config
 from ..functions.dates import pretty_resolution
-from ..functions.paths import folder_group, photo_id, slashed, slugify, strip_folder_date, upload_filename
+from ..functions.paths import folder_group, photo_id, slashed, slug, strip_folder_date, upload_filename
 from ..functions.scoring import blank, split_note
 from ..functions.tags import clean_web_tags
 from .catalog import shortlist
+from .order import numbered
 
 
 def gallery_items(catalog: DataFrame, config: Config, limit: int | None = None) -> DataFrame:
@@ -80,27 +84,41 @@ def unknown_web_tags(web: DataFrame, known: DataFrame) -> DataFrame:
 
 def gallery_index(items: DataFrame) -> DataFrame:
     """(gallery, idx) from 0, by lower-cased name, then name."""
-    names = items.select("gallery").distinct()
-    return names.withColumn("idx", F.row_number().over(W.orderBy(F.lower("gallery"), "gallery")) - 1)
+    names = numbered(items.select("gallery").distinct(), "idx", F.lower("gallery"), F.col("gallery"))
+    return names.withColumn("idx", F.col("idx").cast("int"))
+
+
+def _free_slugs(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    """Slugs for galleries that come by family, then in order: the plain one, or the first number from 2 on that is free."""
+    family, given, tried = None, set(), {}
+    for b in batches:
+        out = []
+        for f, plain in zip(b["family"], b["plain"], strict=True):
+            if f != family:
+                family, given, tried = f, set(), {}
+            number, found = tried.get(plain, 1), plain
+            while found.lower() in given:
+                number += 1
+                found = f"{plain}-{number}"
+            tried[plain] = number
+            given.add(found.lower())
+            out.append(found)
+        yield b.assign(slug=out)[["gallery", "idx", "slug"]]
 
 
 def gallery_slugs(index: DataFrame) -> DataFrame:
-    """(gallery, idx, slug): colliding slugs are numbered in order, past taken ones. The list of galleries is short."""
-    rows, taken = [], set()
-    for r in index.orderBy("idx").collect():
-        base = s = slugify(r["gallery"])
-        n = 2
-        while s.lower() in taken:
-            s, n = f"{base}-{n}", n + 1
-        taken.add(s.lower())
-        rows.append((r["gallery"], r["idx"], s))
-    return index.sparkSession.createDataFrame(rows, "gallery string, idx int, slug string")
+    """(gallery, idx, slug): slugs that collide are numbered in order, past taken ones.
+
+    Only names that agree but for numbers at their ends can take each other's slug, so each such family is numbered alone.
+    """
+    named = index.withColumn("plain", slug(F.col("gallery"))).withColumn("family", F.regexp_replace(F.lower("plain"), "(-[0-9]+)+$", ""))
+    return named.repartition("family").sortWithinPartitions("family", "idx").mapInPandas(_free_slugs, "gallery string, idx int, slug string")
 
 
 def payload_entries(items: DataFrame, index: DataFrame, config: Config, tags: DataFrame | None = None, urls: DataFrame | None = None) -> DataFrame:
     """One struct for each photo of the gallery, fields without content left out when written as JSON."""
     facts, fault = split_note(F.col("note"), config)
-    rows = items.join(F.broadcast(index), "gallery")  # a name for each gallery
+    rows = items.join(index, "gallery")
     rows = rows.join(tags, "photo_id", "left") if tags is not None else rows.withColumn("tags", F.lit(None).cast("array<string>"))
     rows = rows.join(urls, "photo_id", "left") if urls is not None else rows.withColumns({"thumb_url": F.lit(None).cast("string"), "preview_url": F.lit(None).cast("string")})
     shown = strip_folder_date(F.col("folder"))
@@ -165,6 +183,6 @@ def resolve_links(urls: DataFrame, items: DataFrame, slugs: DataFrame) -> DataFr
     u = urls.select("url", kind.alias("kind"), key.alias("key")).where("kind is not null")
     p = photo_preview(items)
     photos = u.where("kind = 'photo'").join(p, F.col("key") == p["photo_id"]).select("url", "kind", "photo_id", "title", "description")
-    f = folder_preview(items).join(F.broadcast(slugs), "gallery")  # a row for each gallery
+    f = folder_preview(items).join(slugs, "gallery")
     folders = u.where("kind = 'folder'").join(f, F.col("key") == F.lower(f["slug"])).select("url", "kind", "photo_id", F.col("gallery").alias("title"), "description")
     return photos.unionByName(folders)

@@ -55,18 +55,25 @@ def folder_counts(rows: DataFrame) -> DataFrame:
 def covers(rows: DataFrame, k: int = 4) -> DataFrame:
     """The k best rows of each gallery; the limit is applied before the shuffle, too."""
     place = F.row_number().over(W.partitionBy("gallery").orderBy(F.desc_nulls_last("composite"), "path"))
-    return rows.withColumn("gallery", folder_group(F.col("folder"))).withColumn("rank", place).where(F.col("rank") <= k)
+    return with_galleries(rows).withColumn("rank", place).where(F.col("rank") <= k)
+
+
+def with_galleries(rows: DataFrame) -> DataFrame:
+    """rows with their gallery; names are taken apart once for each folder."""
+    folder = F.coalesce("folder", F.lit(""))
+    names = rows.select(folder.alias("_folder")).distinct().withColumn("gallery", folder_group(F.col("_folder")))
+    return rows.withColumn("_folder", folder).join(names, "_folder").drop("_folder")
 
 
 def folder_tiles(rows: DataFrame, likes: DataFrame | None = None) -> DataFrame:
     """A tile for each gallery that has rows: count, dates, likes (photo_id, hearts), best score, four cover paths."""
-    r = rows.withColumn("gallery", folder_group(F.col("folder"))).withColumn("_day", F.substring(blank(F.col("taken_at")), 1, 10))
+    r = with_galleries(rows).withColumn("_day", F.substring(blank(F.col("taken_at")), 1, 10))
     if likes is None:
         r = r.withColumn("hearts", F.lit(0).cast("long"))
     else:
         r = r.join(likes.select("photo_id", "hearts"), "photo_id", "left")
     tiles = r.groupBy("gallery").agg(F.count(F.lit(1)).alias("images"), F.min("_day").alias("oldest"), F.max("_day").alias("newest"), F.sum(F.coalesce("hearts", F.lit(0))).alias("likes"), F.max("composite").alias("best"))
-    top = covers(rows).groupBy("gallery").agg(F.transform(F.array_sort(F.collect_list(F.struct("rank", "path"))), lambda x: x["path"]).alias("covers"))
+    top = covers(rows.select("folder", "path", "composite")).groupBy("gallery").agg(F.transform(F.array_sort(F.collect_list(F.struct("rank", "path"))), lambda x: x["path"]).alias("covers"))
     return tiles.join(top, "gallery").withColumn("years", year_span(F.col("oldest"), F.col("newest")))
 
 
@@ -81,7 +88,10 @@ def sort_tiles(tiles: DataFrame, key: str = "name", descending: bool = False) ->
 def natural_key(name: Column) -> Column:
     """Compares numbers by value and letters without case and accents."""
     runs = F.regexp_extract_all(name, F.lit(r"([0-9]+|[^0-9]+)"), F.lit(1))
-    padded = F.transform(runs, lambda x: F.when(x.rlike("^[0-9]"), F.lpad(F.regexp_replace(x, "^0+(?=.)", ""), 20, "0")).otherwise(x))
+    # a number is led by its length, and that by the length's length, so that numbers of any size sort by value
+    bare = lambda x: F.regexp_replace(x, "^0+(?=.)", "")
+    size = lambda x: F.length(x).cast("string")
+    padded = F.transform(runs, lambda x: F.when(x.rlike("^[0-9]"), F.concat(size(size(bare(x))), size(bare(x)), bare(x))).otherwise(x))
     return F.collate(F.array_join(padded, ""), "UNICODE_CI_AI")
 
 

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import uuid
 from collections.abc import Callable
 
 import numpy as np
@@ -11,6 +12,9 @@ from pyspark.sql import functions as F
 from ..config import Config
 from ..functions import dates, paths, scoring, tags as tag_functions
 from ..operators import calibrate, catalog as cat, dedup, hearts, measure, publish, report, video
+from ..operators.components import scratch
+from ..operators.order import numbered
+from ..sources import files
 from . import derived as d
 from .derived import CONFIG
 
@@ -35,6 +39,19 @@ def _r(name: str, digits: int = 6):
     return F.round(name, digits).alias(name)
 
 
+def _number(c: str = "path"):
+    return F.regexp_extract(c, "IMG_([0-9]+)", 1).try_cast("long")
+
+
+def _placed(ordered: DataFrame) -> DataFrame:
+    """Ordered rows with `place`, from 1, as they stand: ids rise along the order."""
+    return numbered(ordered.withColumn("_at", F.monotonically_increasing_id()), "place", F.col("_at")).withColumn("place", F.col("place") + 1).drop("_at")
+
+
+def _folder(s: SparkSession, name: str) -> str:
+    return f"{scratch(s)}/{name}-{uuid.uuid4().hex}"
+
+
 @query("SELECT path, round(composite, 6) AS composite, verdict, note FROM cat WHERE measured")
 def score_catalog(s, sf):
     return d.catalog(s, sf).where("error is null and aesthetic_raw is not null").select("path", _r("composite"), "verdict", "note")
@@ -56,19 +73,25 @@ def keepers(s, sf):
     return cat.keepers(d.catalog(s, sf)).select("path", _r("composite"))
 
 
-STATS = """count(*) FILTER (error IS NULL) AS total, count(*) FILTER (error IS NULL AND verdict = 'TOP PICK') AS top, count(*) FILTER (error IS NULL AND verdict = 'STRONG') AS strong,
- count(*) FILTER (error IS NULL AND verdict = 'MAYBE') AS maybe, CAST(0 AS BIGINT) AS dups, count(DISTINCT folder) AS folders, count(*) FILTER (error IS NOT NULL) AS errors, count(*) FILTER (error IS NULL AND source_type = 'photo') AS photos,
+#: Reports over a catalog that has duplicates, by plain arithmetic.
+DUP = ", dup AS (SELECT *, k % 43 = 0 AS is_dup FROM cat)"
+STATS = """count(*) FILTER (error IS NULL) AS total, count(*) FILTER (error IS NULL AND NOT is_dup AND verdict = 'TOP PICK') AS top, count(*) FILTER (error IS NULL AND NOT is_dup AND verdict = 'STRONG') AS strong,
+ count(*) FILTER (error IS NULL AND NOT is_dup AND verdict = 'MAYBE') AS maybe, count(*) FILTER (error IS NULL AND is_dup) AS dups, count(DISTINCT folder) AS folders, count(*) FILTER (error IS NOT NULL) AS errors, count(*) FILTER (error IS NULL AND source_type = 'photo') AS photos,
  count(*) FILTER (error IS NULL AND source_type = 'video_frame') AS video_frames, count(DISTINCT source_video) AS clips, count(*) FILTER (error IS NULL AND extracted_path IS NOT NULL) AS extracted"""
 
 
-@query(f"SELECT {STATS} FROM cat")
+def _with_dups(s, sf) -> DataFrame:
+    return d.catalog(s, sf).withColumn("dup_of", F.when(_number() % 43 == 0, "/lib/keeper.jpg"))
+
+
+@query(f"{DUP} SELECT {STATS} FROM dup")
 def report_stats(s, sf):
-    return report.report_stats(d.catalog(s, sf), CONFIG)
+    return report.report_stats(_with_dups(s, sf), CONFIG)
 
 
-@query(f"SELECT {STATS}, count(*) FILTER (error IS NULL AND verdict IN ('TOP PICK', 'STRONG')) AS shortlisted, CAST(0 AS BIGINT) AS hidden_dups FROM cat")
+@query(f"{DUP} SELECT {STATS}, count(*) FILTER (error IS NULL AND NOT is_dup AND verdict IN ('TOP PICK', 'STRONG')) AS shortlisted, count(*) FILTER (error IS NULL AND is_dup AND verdict IN ('TOP PICK', 'STRONG')) AS hidden_dups FROM dup")
 def strong_stats(s, sf):
-    return report.strong_stats(d.catalog(s, sf), CONFIG)
+    return report.strong_stats(_with_dups(s, sf), CONFIG)
 
 
 NODES = "nodes AS (SELECT DISTINCT h FROM cat WHERE error IS NULL)"
@@ -95,15 +118,32 @@ def dup_groups(s, sf):
     return _groups(s, sf)
 
 
-@query(f", {REACH} SELECT c.path, CASE WHEN group_size > 1 AND keeper <> c.path THEN keeper END AS dup_of FROM cat c LEFT JOIN grp ON grp.path = c.path")
+FLAGGED = f"{REACH}, flagged AS (SELECT c.*, CASE WHEN group_size > 1 AND keeper <> c.path THEN keeper END AS dup_of FROM cat c LEFT JOIN grp ON grp.path = c.path)"
+
+
+def _flagged(s, sf) -> DataFrame:
+    return dedup.flag_duplicates(d.catalog(s, sf), _groups(s, sf))
+
+
+@query(f", {FLAGGED} SELECT path, dup_of FROM flagged")
 def flag_duplicates(s, sf):
-    rows = d.catalog(s, sf)
-    return dedup.flag_duplicates(rows, _groups(s, sf)).select("path", "dup_of")
+    return _flagged(s, sf).select("path", "dup_of")
+
+
+@query(f", {FLAGGED} SELECT path, dup_of IS NOT NULL AS is_duplicate FROM flagged WHERE error IS NULL AND verdict IN ('TOP PICK', 'STRONG')")
+def strong_rows(s, sf):
+    return cat.strong_rows(_flagged(s, sf), CONFIG).select("path", "is_duplicate")
+
+
+@query(f", {FLAGGED} SELECT path FROM flagged WHERE verdict IN ('TOP PICK', 'STRONG') AND dup_of IS NULL")
+def shortlist(s, sf):
+    return cat.shortlist(_flagged(s, sf), CONFIG).select("path")
 
 
-for name in ("dup_groups", "flag_duplicates"):
+for name in ("dup_groups", "flag_duplicates", "strong_rows", "shortlist"):
     ORACLE[name] = ORACLE[name].replace("WITH", R, 1)
 
+
 def _at(x: str, q: str, n: str) -> str:
     return f"list_sort(list({x}) FILTER ({x} IS NOT NULL))[1 + CAST(round_even({q} * ((SELECT {n} FROM n) - 1), 0) AS BIGINT)]"
 
@@ -122,7 +162,7 @@ def calibration(s, sf):
     rows = d.catalog(s, sf)
     c = calibrate.calibrate(rows, CONFIG) or CONFIG
     limits = [b for b, _ in c.bands]
-    one = rows.limit(1).select(*(F.lit(float(v)).alias(k) for k, v in zip(("a_low", "a_high", "n_low", "n_high"), (*c.aesthetic_range, *c.nima_range), strict=True)), *(F.round(F.lit(float(v)), 6).alias(k) for k, v in zip(("top", "strong", "maybe"), limits, strict=False)), F.lit(c.keeper_count).cast("long").alias("keeper_count"))
+    one = s.range(1).select(*(F.lit(float(v)).alias(k) for k, v in zip(("a_low", "a_high", "n_low", "n_high"), (*c.aesthetic_range, *c.nima_range), strict=True)), *(F.round(F.lit(float(v)), 6).alias(k) for k, v in zip(("top", "strong", "maybe"), limits, strict=False)), F.lit(c.keeper_count).cast("long").alias("keeper_count"))
     return one
 
 
@@ -228,9 +268,23 @@ def tag_counts(s, sf):
     return report.tag_counts(d.tags(s, sf))
 
 
-@query(f", {d.TAGS_SQL} SELECT key FROM tags WHERE list_has_any(list_transform(tags, lambda x: lower(x)), ['the', 'de', 'der'])")
+@query(f", {d.TAGS_SQL} SELECT path FROM cat JOIN tags ON key = path WHERE error IS NULL AND list_has_any(list_transform(tags, lambda x: lower(x)), ['the', 'de', 'der'])")
 def tag_filter(s, sf):
-    return d.tags(s, sf).where(F.arrays_overlap(F.transform("tags", F.lower), F.array(*map(F.lit, ("the", "de", "der"))))).select("key")
+    rows = report.attach_tags(d.catalog(s, sf), d.tags(s, sf))
+    return rows.where(report.card_filter(tags=("The", "DE", "der"))).select("path")
+
+
+@query(f"{DUP} SELECT path FROM dup WHERE error IS NULL AND NOT is_dup AND k % 3 > 0 AND verdict = 'MAYBE'")
+def liked_only(s, sf):
+    rows = _with_dups(s, sf).withColumn("hearts", _number() % 3)
+    return rows.where(report.card_filter(verdict="MAYBE", liked=True)).select("path")
+
+
+@query(f", {d.TAGS_SQL} SELECT path, CASE WHEN tags IS NOT NULL THEN array_to_string(tags, '|') WHEN source_video IS NOT NULL THEN 'clip|' || source_video ELSE '' END AS tags FROM cat LEFT JOIN tags ON key = path")
+def clip_tags(s, sf):
+    rows = d.catalog(s, sf)
+    clips = rows.where("source_video is not null").select(F.col("source_video").alias("key")).distinct().withColumn("tags", F.array(F.lit("clip"), F.col("key")))
+    return report.attach_tags(rows, d.tags(s, sf).unionByName(clips)).select("path", F.array_join("tags", "|").alias("tags"))
 
 
 @query(f", {d.TAGS_SQL} SELECT path FROM cat LEFT JOIN tags ON key = path WHERE error IS NULL AND source_type = 'photo' AND verdict = 'MAYBE' AND (contains(lower(folder), 'urgent') OR contains('|' || lower(coalesce(array_to_string(tags, '|'), '')) || '|', 'urgent'))")
@@ -242,14 +296,29 @@ def text_search(s, sf):
 SORT = "row_number() OVER (ORDER BY {c} IS NULL, {c} {o}, composite DESC NULLS LAST, path)"
 
 
-@query(f"SELECT path, CAST({SORT.format(c='taken_at', o='ASC')} AS INT) AS place FROM cat WHERE verdict = 'TOP PICK'")
+@query(f"SELECT path, {SORT.format(c='taken_at', o='ASC')} AS place FROM cat WHERE verdict = 'TOP PICK'")
 def sort_cards(s, sf):
-    rows = d.catalog(s, sf).where("verdict = 'TOP PICK'")
-    ordered = report.sort_cards(rows.select("path", "composite", "taken_at", "folder", "filename"), "date", False)
-    from pyspark.sql import Window as W
+    rows = d.catalog(s, sf).where("verdict = 'TOP PICK'").select("path", "composite", "taken_at", "folder", "filename")
+    return _placed(report.sort_cards(rows, "date", False)).select("path", "place")
+
 
-    taken = F.nullif("taken_at", F.lit(""))
-    return ordered.select("path", F.row_number().over(W.orderBy(taken.isNull(), taken, F.desc_nulls_last("composite"), "path")).alias("place"))
+@query("SELECT path, row_number() OVER (ORDER BY k % 5 DESC, composite DESC NULLS LAST, path) AS place FROM cat WHERE verdict = 'STRONG'")
+def sort_cards_by_hearts(s, sf):
+    rows = d.catalog(s, sf).where("verdict = 'STRONG'").select("path", "composite", "taken_at", "folder", "filename", (_number() % 5).alias("hearts"))
+    return _placed(report.sort_cards(rows, "hearts")).select("path", "place")
+
+
+@query("SELECT path, row_number() OVER (ORDER BY composite DESC NULLS LAST, path) AS place FROM cat")
+def catalog_order(s, sf):
+    return _placed(report.catalog_order(d.catalog(s, sf).select("path", "composite"))).select("path", "place")
+
+
+@query("SELECT p_partkey, row_number() OVER (ORDER BY p_partkey % 2, p_partkey) AS place FROM part", "")
+def natural_order(s, sf):
+    k = F.col("p_partkey")
+    name = F.concat(F.when(k % 3 == 0, "Sh\u00f6ot ").otherwise("shoot "), F.when(k % 2 == 0, F.lit("0")).otherwise(F.lit("1")), F.lit("-"), F.when(k % 5 == 0, F.concat(F.lit("000"), k.cast("string"))).otherwise(k.cast("string")), F.lit("0" * 25))
+    rows = d.read(s, sf, "part").select("p_partkey", name.alias("name"))
+    return _placed(rows.orderBy(report.natural_key(F.col("name")))).select("p_partkey", "place")
 
 
 @query(f"SELECT path, {IDS} AS photo_id, substr(sha1(path), 1, 20) || '.jpg' AS thumb, 'psc-' || {IDS} || '-t.jpg' AS upload FROM cat")
@@ -262,10 +331,6 @@ SHORT = f"short AS (SELECT *, {IDS} AS photo_id, {GALLERY} AS gallery FROM cat W
 FILES = f"{SHORT}, files AS (SELECT photo_id, kind, CASE WHEN k % 13 <> 0 THEN sha256(kind || CAST(k % 7 AS VARCHAR)) END AS local_sha, k % 900 AS bytes FROM short, (VALUES ('thumb'), ('preview')) v(kind)), manifest AS (SELECT photo_id, kind, sha256(kind || CAST(k % 14 AS VARCHAR)) AS local_sha, '/u' AS url_path, 'f' AS filename, CAST(1 AS BIGINT) AS uploaded_at FROM (SELECT * FROM short WHERE k % 3 <> 0 UNION ALL SELECT *, {IDS}, {GALLERY} FROM cat WHERE verdict = 'MAYBE' AND k % 100 = 1), (VALUES ('thumb'), ('preview')) v(kind))"
 
 
-def _number(c: str = "path"):
-    return F.regexp_extract(c, "IMG_([0-9]+)", 1).try_cast("long")
-
-
 def _files(s, sf) -> tuple[DataFrame, DataFrame, DataFrame]:
     rows = d.catalog(s, sf)
     items = publish.gallery_items(rows, CONFIG)
@@ -302,39 +367,70 @@ def resolve_tags(s, sf):
     return publish.resolve_tags(d.tags(s, sf), items).select("photo_id", F.array_join("tags", "|").alias("tags"))
 
 
-WEB = "web AS (SELECT photo_id, CASE WHEN k % 2 = 0 THEN ['b!', ' a', 'b', ''] ELSE ['!!'] END AS tags FROM short WHERE k % 5 = 1)"
+WEB = "web AS (SELECT photo_id, array_to_string(list_sort(list_distinct(list_filter(list_transform(CASE WHEN k % 2 = 0 THEN ['b!', ' a', 'b', '', 'n' || k] ELSE ['!!'] END, lambda x: trim(regexp_replace(x, '[^A-Za-z0-9 _-]', '', 'g'))), lambda x: x <> ''))), '|') AS clean FROM short WHERE k % 5 = 1)"
 
 
-@query(f", {SHORT}, {d.TAGS_SQL}, {WEB}, own AS (SELECT photo_id, array_to_string(list_sort(list_distinct(tags)), '|') AS tags, k FROM tags JOIN short ON path = key) SELECT coalesce(o.photo_id, w.photo_id) AS photo_id, CASE WHEN w.photo_id IS NOT NULL THEN 'a|b' ELSE o.tags END AS tags FROM own o FULL JOIN web w ON w.photo_id = o.photo_id WHERE w.photo_id IS NULL OR w.tags <> ['!!']")
+@query(f", {SHORT}, {d.TAGS_SQL}, {WEB}, own AS (SELECT photo_id, array_to_string(list_sort(list_distinct(tags)), '|') AS tags, k FROM tags JOIN short ON path = key) SELECT coalesce(o.photo_id, w.photo_id) AS photo_id, CASE WHEN w.photo_id IS NOT NULL THEN w.clean ELSE o.tags END AS tags FROM own o FULL JOIN web w ON w.photo_id = o.photo_id WHERE w.photo_id IS NULL OR w.clean <> ''")
 def merge_web_tags(s, sf):
     items = publish.gallery_items(d.catalog(s, sf), CONFIG)
     own = publish.resolve_tags(d.tags(s, sf), items)
     k = _number()
-    lists = F.when(k % 2 == 0, F.array(*map(F.lit, ("b!", " a", "b", "")))).otherwise(F.array(F.lit("!!")))
+    lists = F.when(k % 2 == 0, F.array(*map(F.lit, ("b!", " a", "b", "")), F.concat(F.lit("n"), k.cast("string")))).otherwise(F.array(F.lit("!!")))
     web = items.where(k % 5 == 1).select("photo_id", lists.alias("tags"))
     return publish.merge_web_tags(own, web, items).select("photo_id", F.array_join("tags", "|").alias("tags"))
 
 
-@query(f", {SHORT}, idx AS (SELECT gallery, row_number() OVER (ORDER BY lower(gallery), gallery) - 1 AS idx FROM (SELECT DISTINCT gallery FROM short)) SELECT photo_id AS id, verdict AS v, filename AS n, CAST(idx AS INT) AS g, coalesce(taken_at, '') AS d, CASE WHEN width IS NULL THEN '' ELSE width || ' × ' || height || ' · ' || printf('%.1f', width * height / 1e6) || ' MP' END AS r, fault AS w FROM short JOIN idx USING (gallery)")
+SHOWN = "regexp_replace(folder, '^[0-9]{4}-[0-9]{2}-[0-9]{2} - ', '')"
+SIZE = "CASE WHEN width IS NULL THEN '' ELSE width || ' × ' || height || ' · ' || printf('%.1f', width * height / 1e6) || ' MP' END"
+IDX = "idx AS (SELECT gallery, CAST(row_number() OVER (ORDER BY lower(gallery), gallery) - 1 AS INT) AS idx FROM (SELECT DISTINCT gallery FROM short))"
+FACTS = "CASE WHEN fault IS NULL THEN note ELSE substr(note, 1, length(note) - length(fault) - 3) END"
+
+
+@query(f""", {SHORT}, {IDX}, {d.TAGS_SQL}, own AS (SELECT key, array_to_string(list_sort(list_distinct(tags)), '|') AS t FROM tags)
+SELECT photo_id AS id, verdict AS v, round(composite, 1) AS s, filename AS n, {SHOWN} AS f, idx AS g, coalesce(taken_at, '') AS d, {SIZE} AS r, {FACTS} AS note, fault AS w, CASE WHEN k % 2 = 0 THEN '/t/' || photo_id WHEN k % 3 = 0 THEN '/p/' || photo_id END AS th, CASE WHEN k % 3 = 0 THEN '/p/' || photo_id WHEN k % 2 = 0 THEN '/t/' || photo_id END AS pv,
+CASE WHEN {SHOWN} <> folder THEN folder END AS fr, nullif(t, '') AS t FROM short JOIN idx USING (gallery) LEFT JOIN own ON key = path""")
 def payload(s, sf):
     items = publish.gallery_items(d.catalog(s, sf), CONFIG)
-    e = publish.payload_entries(items, publish.gallery_index(items), CONFIG)
-    return e.select(*(F.col(f"entry.{c}").alias(c) for c in ("id", "v", "n", "g", "d", "r", "w")))
+    k = _number()
+    urls = items.select("photo_id", F.when(k % 2 == 0, F.concat(F.lit("/t/"), "photo_id")).alias("thumb_url"), F.when(k % 3 == 0, F.concat(F.lit("/p/"), "photo_id")).alias("preview_url"))
+    e = publish.payload_entries(items, publish.gallery_index(items), CONFIG, publish.resolve_tags(d.tags(s, sf), items), urls)
+    return e.select(*(F.col(f"entry.{c}").alias(c) for c in ("id", "v", "s", "n", "f", "g", "d", "r", "note", "w", "th", "pv", "fr")), F.nullif(F.array_join("entry.t", "|"), F.lit("")).alias("t"))
+
+
+@query(f", {SHORT} SELECT path, photo_id FROM short ORDER BY composite DESC NULLS LAST, path LIMIT 100")
+def publish_limit(s, sf):
+    return publish.gallery_items(d.catalog(s, sf), CONFIG, limit=100).select("path", "photo_id")
+
 
+#: Names whose slugs collide with each other and with numbered ones.
+NAMES = "names AS (SELECT DISTINCT CASE p_partkey % 3 WHEN 0 THEN 'Set ' || (p_partkey % 11) WHEN 1 THEN 'sét  ' || (p_partkey % 11) || '!' ELSE 'SET-' || (p_partkey % 11) || ' ' || (p_partkey % 4) END AS gallery FROM part)"
 
-@query()
+
+@query(f"""WITH RECURSIVE {NAMES}, g AS (SELECT gallery, CAST(row_number() OVER (ORDER BY lower(gallery), gallery) - 1 AS INT) AS idx, trim(regexp_replace(lower(strip_accents(gallery)), '[^a-z0-9]+', '-', 'g'), '-') AS plain FROM names),
+step AS (SELECT gallery, idx, plain AS slug, [plain] AS taken FROM g WHERE idx = 0
+ UNION ALL SELECT gallery, idx, slug, list_append(taken, slug) FROM (SELECT g.gallery, g.idx, taken, CASE WHEN NOT list_contains(taken, plain) THEN plain ELSE list_filter(list_transform(range(2, 200), lambda n: plain || '-' || n), lambda x: NOT list_contains(taken, x))[1] END AS slug FROM step JOIN g ON g.idx = step.idx + 1))
+SELECT gallery, idx, slug FROM step""", "")
 def slugs(s, sf):
-    return publish.gallery_slugs(publish.gallery_index(publish.gallery_items(d.catalog(s, sf), CONFIG)))
+    k = F.col("p_partkey")
+    text = lambda n: (k % n).cast("string")
+    name = F.when(k % 3 == 0, F.concat(F.lit("Set "), text(11))).when(k % 3 == 1, F.concat(F.lit("sét  "), text(11), F.lit("!"))).otherwise(F.concat(F.lit("SET-"), text(11), F.lit(" "), text(4)))
+    return publish.gallery_slugs(publish.gallery_index(d.read(s, sf, "part").select(name.alias("gallery"))))
+
+
+BEST_OF = "best_of AS (SELECT gallery, arg_min(photo_id, (-composite, path)) AS photo_id, CASE count(*) WHEN 1 THEN '1 photograph' ELSE count(*) || ' photographs' END AS description, trim(regexp_replace(lower(gallery), '[^a-z0-9]+', '-', 'g'), '-') AS slug FROM short GROUP BY gallery)"
 
 
-@query(f", {SHORT} SELECT 'https://x.example/g?photo=' || upper(photo_id) AS url, photo_id, filename AS title FROM short")
+@query(f", {SHORT}, {BEST_OF} SELECT 'https://x.example/g?photo=' || upper(photo_id) AS url, 'photo' AS kind, photo_id, filename AS title FROM short UNION ALL SELECT 'https://x.example/g?photo=&folder=' || upper(slug), 'folder', photo_id, gallery FROM best_of")
 def resolve_links(s, sf):
     items = publish.gallery_items(d.catalog(s, sf), CONFIG)
-    urls = items.select(F.concat(F.lit("https://x.example/g?photo="), F.upper("photo_id")).alias("url")).unionByName(d.read(s, sf, "pages").select("url"))
-    return publish.resolve_links(urls, items, publish.gallery_slugs(publish.gallery_index(items))).where("kind = 'photo'").select("url", "photo_id", "title")
+    names = publish.gallery_slugs(publish.gallery_index(items))
+    photos = items.select(F.concat(F.lit("https://x.example/g?photo="), F.upper("photo_id")).alias("url"))
+    folders = names.select(F.concat(F.lit("https://x.example/g?photo=&folder="), F.upper("slug")).alias("url"))
+    urls = photos.unionByName(folders).unionByName(d.read(s, sf, "pages").select("url"))
+    return publish.resolve_links(urls, items, names).select("url", "kind", "photo_id", "title")
 
 
-@query(f", {SHORT} SELECT gallery, arg_min(photo_id, (-composite, path)) AS photo_id, CASE count(*) WHEN 1 THEN '1 photograph' ELSE count(*) || ' photographs' END AS description FROM short GROUP BY gallery")
+@query(f", {SHORT}, {BEST_OF} SELECT gallery, photo_id, description FROM best_of")
 def folder_preview(s, sf):
     return publish.folder_preview(publish.gallery_items(d.catalog(s, sf), CONFIG))
 
@@ -367,11 +463,22 @@ def top_hearts(s, sf):
     return hearts.top_hearts(hearts.heart_counts(hearts.fold(_good(s, sf))), d.allowed(s, sf), 20)
 
 
-@query()
+@query("""SELECT photo_id FROM hearts WHERE voter = sha256('salt' || 'token-' || md5('7'))""", H)
+def hearts_mine(s, sf):
+    voter = s.range(1).select(F.sha2(F.concat(F.lit("salttoken-"), F.md5(F.lit("7"))), 256)).first()[0]
+    return hearts.hearts_of(hearts.fold(_good(s, sf)), voter)
+
+
+@query(""", w AS (SELECT voter, ts, seq, row_number() OVER (PARTITION BY voter ORDER BY ts, seq) AS n FROM good),
+step AS (SELECT voter, n, seq, [ts] AS times, TRUE AS accepted FROM w WHERE n = 1
+ UNION ALL SELECT voter, n, seq, CASE WHEN len(kept) < 3 THEN list_append(kept, ts) ELSE kept END, len(kept) < 3 FROM (SELECT w.*, list_filter(times, lambda x: x >= w.ts - 86400) AS kept FROM step JOIN w ON w.voter = step.voter AND w.n = step.n + 1))
+SELECT seq, accepted FROM step""", H)
 def rate_limit(s, sf):
     return hearts.rate_limit(_good(s, sf), Config(heart_limit=3, heart_window=86_400)).select("seq", "accepted")
 
 
+ORACLE["rate_limit"] = ORACLE["rate_limit"].replace("WITH", R, 1)
+
 CLIPS = "clips AS (SELECT source_video AS path, CAST(count(*) * 7.25 AS DOUBLE) AS duration FROM cat WHERE source_video IS NOT NULL GROUP BY source_video)"
 
 
@@ -413,9 +520,10 @@ def pretty_fields(s, sf):
 ESC = "'file:///' || replace(replace(replace(replace(ltrim(replace({x}, '\\', '/'), '/'), '%', '%25'), ' ', '%20'), '#', '%23'), '?', '%3F')"
 
 
-@query(f"SELECT page_id, {ESC.format(x='url')} AS file_url, {ESC.format(x=chr(39) + '/lib' + chr(39))} AS folder_url FROM pages", "")
+@query(f"SELECT page_id, {ESC.format(x='url')} AS file_url, {ESC.format(x='array_to_string(string_split(url, chr(47))[:-2], chr(47))')} AS folder_url, CASE WHEN len(string_split(plain, '/')) > 3 THEN '/' || array_to_string(string_split(plain, '/')[4:], '/') ELSE '' END AS site FROM (SELECT *, string_split(string_split(url, '#')[1], '?')[1] AS plain FROM pages)", "")
 def urls(s, sf):
-    return d.read(s, sf, "pages").select("page_id", paths.file_url(F.col("url")).alias("file_url"), paths.folder_url(F.lit("/lib/x.jpg")).alias("folder_url"))
+    u = F.col("url")
+    return d.read(s, sf, "pages").select("page_id", paths.file_url(u).alias("file_url"), paths.folder_url(u).alias("folder_url"), paths.site_relative(u).alias("site"))
 
 
 @query("SELECT doc_id, trim(substr(trim(regexp_replace(regexp_replace(regexp_replace(text, '[ \\t\\n\\r\\x0b\\f\\x{85}\\x{a0}\\x{2028}\\x{2029}\\x{3000}]+', ' ', 'g'), '[^A-Za-z0-9 _-]', '', 'g'), ' +', ' ', 'g'), ' -_'), 1, 40), ' -_') AS tag FROM documents", "")
@@ -462,19 +570,9 @@ def library_diff(s, sf):
 
 @query("SELECT doc_id, sha256(text) AS digest FROM documents", "")
 def content_digest(s, sf):
-    return d.read(s, sf, "documents").select("doc_id", F.sha2("text", 256).alias("digest"))
-
+    return d.read(s, sf, "documents").select("doc_id", files.content_digest(F.col("text")).alias("digest"))
 
 
-@query("SELECT path, FALSE AS is_duplicate FROM cat WHERE error IS NULL AND verdict IN ('TOP PICK', 'STRONG')")
-def strong_rows(s, sf):
-    return cat.strong_rows(d.catalog(s, sf), CONFIG).select("path", "is_duplicate")
-
-
-@query("SELECT path FROM cat WHERE verdict IN ('TOP PICK', 'STRONG')")
-def shortlist(s, sf):
-    return cat.shortlist(d.catalog(s, sf), CONFIG).select("path")
-
 
 @query("SELECT path FROM cat WHERE source_type = 'video_frame' AND taken_at IS NULL AND error IS NULL")
 def undated_frames(s, sf):
@@ -511,6 +609,11 @@ def remove_tag(s, sf):
     return left.select("key", F.array_join("tags", "|").alias("tags"))
 
 
+@query(f", {d.TAGS_SQL} SELECT count(*) FILTER (list_contains(list_transform(tags, lambda x: lower(x)), 'the')) AS hits FROM tags")
+def remove_tag_hits(s, sf):
+    return report.remove_tag(d.tags(s, sf), "THE")[1]
+
+
 @query(f", {d.TAGS_SQL}, x AS (SELECT key, unnest(tags) AS tag, generate_subscripts(tags, 1) AS pos FROM tags) SELECT key, CAST(min(pos) - 1 AS INT) AS pos, arg_min(tag, pos) AS tag FROM x GROUP BY key, lower(tag)")
 def first_spellings(s, sf):
     return report.distinct_spellings(d.tags(s, sf)).select("key", "pos", "tag")
@@ -553,6 +656,12 @@ def register_photos(s, sf):
     return hearts.register_photos(d.allowed(s, sf), new, 7)[0]
 
 
+@query(", new AS (SELECT photo_id FROM req WHERE seq % 3 = 0) SELECT (SELECT count(*) FROM new WHERE regexp_full_match(photo_id, '[0-9a-f]{16}')) AS registered, (SELECT count(*) FROM new WHERE NOT regexp_full_match(photo_id, '[0-9a-f]{16}')) AS rejected, (SELECT count(*) FROM (SELECT photo_id FROM allowed UNION SELECT photo_id FROM new WHERE regexp_full_match(photo_id, '[0-9a-f]{16}'))) AS known", H)
+def register_counts(s, sf):
+    new = d.requests(s, sf).where("seq % 3 = 0").select("photo_id", F.lit("n").alias("rel_path"), F.col("seq").alias("pos"))
+    return hearts.register_photos(d.allowed(s, sf), new, 7)[1]
+
+
 @query("SELECT path || '#t=' || printf('%.3f', timestamp_s) AS virtual, path AS file, timestamp_s AS seconds, CASE WHEN timestamp_s >= 3600 THEN '1:' ELSE '' END || CAST(CAST(timestamp_s AS BIGINT) // 60 AS VARCHAR) || ':' || lpad(CAST(CAST(timestamp_s AS BIGINT) % 60 AS VARCHAR), 2, '0') AS clock FROM cat WHERE timestamp_s IS NOT NULL")
 def virtual_paths(s, sf):
     rows = d.catalog(s, sf).where("timestamp_s is not null").select(paths.virtual_path(F.col("path"), F.col("timestamp_s")).alias("virtual"))
@@ -560,17 +669,67 @@ def virtual_paths(s, sf):
     return rows.select("virtual", file.alias("file"), seconds.alias("seconds"), paths.hhmmss(seconds).alias("clock"))
 
 
-@query("SELECT path, lower(folder || ' ' || regexp_replace(folder, '^[0-9]{4}-[0-9]{2}-[0-9]{2} - ', '') || ' ' || filename) AS start FROM cat")
+@query(f"""SELECT path, lower(array_to_string(list_filter([folder, {SHOWN}, filename, substr(taken_at, 1, 10), day, clock, verdict, dims, note], lambda x: x IS NOT NULL), ' ')) AS blob
+FROM (SELECT *, {SIZE} AS dims FROM cat) JOIN ({PRETTY}) AS p USING (path)""")
 def search_blob(s, sf):
-    blob = tag_functions.search_blob()
-    head = F.lower(F.concat_ws(" ", "folder", paths.strip_folder_date(F.col("folder")), "filename"))
-    return d.catalog(s, sf).select("path", F.substring(blob, F.lit(1), F.length(head)).alias("start"))
+    return d.catalog(s, sf).select("path", tag_functions.search_blob().alias("blob"))
 
 
-@query(f", {COVERS} SELECT gallery, CAST(row_number() OVER (ORDER BY gallery = 'Unfiled', max(composite) DESC, gallery) AS INT) AS place FROM g GROUP BY gallery")
+@query(f", {COVERS} SELECT gallery, row_number() OVER (ORDER BY gallery = 'Unfiled', max(composite) DESC, gallery) AS place FROM g GROUP BY gallery")
 def sort_tiles(s, sf):
-    from pyspark.sql import Window as W
+    return _placed(report.sort_tiles(report.folder_tiles(d.catalog(s, sf)), "score", True)).select("gallery", "place")
+
+
+@query("SELECT n >= 30 AS unfitted, FALSE AS same, n >= 30 AS halved FROM (SELECT count(*) AS n FROM cat WHERE measured)")
+def should_recalibrate(s, sf):
+    rows = d.catalog(s, sf)
+    n = cat.keepers(rows).count()
+    found = (calibrate.should_recalibrate(rows, CONFIG.with_values({"keeper_count": was})) for was in (0, n, 2 * n))
+    return s.range(1).select(*(F.lit(x).alias(c) for x, c in zip(found, ("unfitted", "same", "halved"), strict=True)))
+
+
+@query("SELECT path, source_type, source_video, timestamp_s FROM cat")
+def union_of_kinds(s, sf):
+    rows = d.catalog(s, sf)
+    stills, frames = rows.where("source_type = 'photo'").drop("source_video", "timestamp_s"), rows.where("source_type = 'video_frame'")
+    return cat.union_all(stills, frames).select("path", "source_type", "source_video", "timestamp_s")
+
+
+@query("SELECT path, 'photo' AS source_type, verdict, TRUE AS no_width, CAST(height AS DOUBLE) AS height FROM cat")
+def catalog_file(s, sf):
+    """An old catalog without some columns, written and read."""
+    path = _folder(s, "catalog")
+    files.write_catalog(d.catalog(s, sf).drop("source_type", "width"), path)
+    return files.read_catalog(s, path).select("path", "source_type", "verdict", F.col("width").isNull().alias("no_width"), F.col("height").cast("double").alias("height"))
 
-    tiles = report.sort_tiles(report.folder_tiles(d.catalog(s, sf)), "score", True)
-    order = [F.col("gallery") == paths.UNFILED, F.desc("best"), F.col("gallery")]
-    return tiles.select("gallery", F.row_number().over(W.orderBy(*order)).alias("place"))
+
+@query(f"SELECT filename, verdict, coalesce(day, '') AS taken_date, note FROM cat JOIN ({PRETTY}) AS p USING (path) WHERE verdict IN ('TOP PICK', 'STRONG')")
+def shortlist_file(s, sf):
+    path = _folder(s, "shortlist")
+    files.write_shortlist(d.catalog(s, sf), CONFIG, path)
+    got = s.read.option("header", True).option("escape", '"').csv(path)
+    return got.select("filename", "verdict", F.coalesce("taken_date", F.lit("")).alias("taken_date"), "note")
+
+
+@query(f", {SHORT}, {IDX} SELECT photo_id AS id, verdict AS v, CAST(idx AS BIGINT) AS g FROM short JOIN idx USING (gallery)")
+def payload_file(s, sf):
+    path = _folder(s, "payload")
+    items = publish.gallery_items(d.catalog(s, sf), CONFIG)
+    files.write_payload(publish.payload_entries(items, publish.gallery_index(items), CONFIG), path)
+    return s.read.schema("id string, v string, g long").json(path)
+
+
+@query("SELECT photo_id, token, action, seq FROM req", H)
+def heart_log_file(s, sf):
+    path = _folder(s, "hearts")
+    d.requests(s, sf).write.json(path)
+    return files.read_heart_log(s, path).select("photo_id", "token", "action", "seq")
+
+
+@query(f", {FILES} SELECT coalesce(f.photo_id, m.photo_id) AS photo_id, coalesce(f.kind, m.kind) AS kind, CASE WHEN f.photo_id IS NOT NULL THEN f.local_sha ELSE m.local_sha END AS local_sha FROM manifest m FULL JOIN (SELECT * FROM files WHERE local_sha IS NOT NULL) f ON m.photo_id = f.photo_id AND m.kind = f.kind")
+def manifest_file(s, sf):
+    path = _folder(s, "manifest")
+    _, new, manifest = _files(s, sf)
+    files.append_manifest(manifest, path)
+    files.append_manifest(new.where("local_sha is not null").select("photo_id", "kind", "local_sha", F.lit("/n").alias("url_path"), F.lit("g").alias("filename"), F.lit(2).cast("long").alias("uploaded_at")), path)
+    return files.read_manifest(s, path).select("photo_id", "kind", "local_sha")

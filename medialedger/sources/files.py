@@ -12,8 +12,9 @@ from pyspark.sql import functions as F
 
 from ..config import Config
 from ..functions.dates import megapixels, pretty_date, pretty_time
-from ..operators.catalog import evolve, skipped
-from ..operators.publish import entry_json
+from ..operators.catalog import evolve, shortlist, skipped
+from ..operators.publish import entry_json, manifest_put
+from ..operators.report import catalog_order
 from ..schema import CATALOG, REPORT_COLUMNS
 
 #: Suffixes by kind. Fixed values.
@@ -40,12 +41,16 @@ def list_media(spark: SparkSession, root: str, folder: str | None = None, includ
     return out if config is None else out.where(~skipped(config))
 
 
+def content_digest(content: Column) -> Column:
+    return F.sha2(content.cast("binary"), 256)
+
+
 def fingerprint(spark: SparkSession, root: str) -> DataFrame:
     """(rel_path, size, mtime, sha256) of all files, for comparing a library with itself."""
     files = spark.read.format("binaryFile").option("recursiveFileLookup", True).load(root)
     plain = F.regexp_replace("path", "^[a-z]+:/*", "/")
     top = "/" + root.split(":", 1)[-1].strip("/")
-    return files.select(F.substring(plain, F.lit(len(top) + 2), F.length(plain)).alias("rel_path"), F.col("length").alias("size"), F.col("modificationTime").cast("long").alias("mtime"), F.sha2("content", 256).alias("sha256"))
+    return files.select(F.substring(plain, F.lit(len(top) + 2), F.length(plain)).alias("rel_path"), F.col("length").alias("size"), F.col("modificationTime").cast("long").alias("mtime"), content_digest(F.col("content")).alias("sha256"))
 
 
 def read_images(spark: SparkSession, path: str | Sequence[str]) -> DataFrame:
@@ -80,6 +85,48 @@ def read_tags(spark: SparkSession, path: str) -> tuple[DataFrame, DataFrame]:
     return tags, dropped
 
 
+def read_web_tags(spark: SparkSession, path: str) -> tuple[DataFrame, DataFrame]:
+    """(tags as (photo_id, tags), one row with the numbers of dropped values and elements); keys that are no ids are dropped, too."""
+    tags, dropped = read_tags(spark, path)
+    ident = F.lower("key").rlike("^[0-9a-f]{16}$")
+    wrong = tags.agg(F.count_if(~ident).alias("dropped_keys")).withColumn("_k", F.lit(1))
+    return tags.where(ident).select(F.lower("key").alias("photo_id"), "tags"), dropped.withColumn("_k", F.lit(1)).join(wrong, "_k").drop("_k")
+
+
+#: A request to set or take back a heart, as it is logged.
+HEART_LOG = "photo_id string, token string, action string, ts long, seq long"
+
+
+def read_heart_log(spark: SparkSession, path: str, kind: str = "json") -> DataFrame:
+    """Logged requests: JSON lines or Parquet."""
+    return spark.read.schema(HEART_LOG).option("recursiveFileLookup", True).format(kind).load(path)
+
+
+def stream_heart_log(spark: SparkSession, path: str, kind: str = "json", files_per_batch: int = 1000) -> DataFrame:
+    """The same log as it grows; a batch has so many files at most."""
+    reader = spark.readStream.schema(HEART_LOG).option("recursiveFileLookup", True).option("maxFilesPerTrigger", files_per_batch)
+    return reader.format(kind).load(path)
+
+
+MANIFEST = "photo_id string, kind string, local_sha string, url_path string, filename string, uploaded_at long"
+
+
+def read_manifest(spark: SparkSession, path: str) -> DataFrame:
+    """What was uploaded: the latest entry of each photo and kind; none where nothing was written yet."""
+    try:
+        rows = spark.read.schema(MANIFEST).parquet(path)
+    except AnalysisException as e:
+        if e.getCondition() != "PATH_NOT_FOUND":
+            raise
+        rows = spark.createDataFrame([], MANIFEST)
+    return manifest_put(rows.limit(0), rows)
+
+
+def append_manifest(entries: DataFrame, path: str) -> None:
+    """Adds entries; read_manifest takes the latest, so nothing is rewritten."""
+    entries.select(*(c.split()[0] for c in MANIFEST.split(", "))).write.mode("append").parquet(path)
+
+
 def report_table(rows: DataFrame) -> DataFrame:
     """The report's columns with size, date, time and joined tags."""
     tags = F.array_join("tags", "; ") if "tags" in rows.columns else F.lit("")
@@ -87,7 +134,12 @@ def report_table(rows: DataFrame) -> DataFrame:
 
 
 def write_report(rows: DataFrame, path: str) -> None:
-    report_table(rows.orderBy(F.desc_nulls_last("composite"), "path")).write.mode("overwrite").option("header", True).option("escape", '"').csv(path)
+    report_table(catalog_order(rows)).write.mode("overwrite").option("header", True).option("escape", '"').csv(path)
+
+
+def write_shortlist(rows: DataFrame, config: Config, path: str) -> None:
+    """The report's columns for the shortlist's rows."""
+    write_report(shortlist(rows, config), path)
 
 
 def write_calibration(spark: SparkSession, config: Config, path: str) -> None:

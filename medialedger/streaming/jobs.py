@@ -2,22 +2,25 @@
 
 from __future__ import annotations
 
+import hashlib
 from collections import deque
 from collections.abc import Callable, Iterator
 from typing import Any
 
 import pandas as pd
+from pyspark.errors import AnalysisException
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.streaming import StatefulProcessor, StatefulProcessorHandle
 from pyspark.sql.streaming.query import StreamingQuery
 
 from ..config import Config
-from ..operators.catalog import upsert
+from ..operators.catalog import evolve
 from ..operators.hearts import accept_in_order, fold, heart_counts
-from ..sources.files import read_catalog, write_catalog
+from ..schema import CATALOG, KEPT_ON_UPSERT
 
 REQUESTS = "photo_id string, voter string, action string, ts long, seq long"
+COUNTS = "photo_id string, hearts long, version long"
 
 
 def scan_files(spark: SparkSession, folder: str) -> DataFrame:
@@ -25,25 +28,64 @@ def scan_files(spark: SparkSession, folder: str) -> DataFrame:
     return spark.readStream.format("binaryFile").schema("path string, modificationTime timestamp, length long, content binary").option("recursiveFileLookup", True).load(folder)
 
 
+def _table(spark: SparkSession, path: str, empty: str) -> DataFrame:
+    """A Parquet table that may not have been written yet."""
+    try:
+        return spark.read.option("mergeSchema", True).parquet(path)
+    except AnalysisException as e:
+        if e.getCondition() not in ("PATH_NOT_FOUND", "UNABLE_TO_INFER_SCHEMA"):
+            raise
+        return spark.createDataFrame([], empty)
+
+
+def _next_version(rows: DataFrame) -> int:
+    """After the newest version; only names of partitions are read."""
+    return int(rows.agg(F.coalesce(F.max("version"), F.lit(0))).first()[0]) + 1
+
+
+def measured_rows(spark: SparkSession, catalog: str) -> DataFrame:
+    return _table(spark, catalog, ", ".join(f"{f.name} {f.dataType.simpleString()}" for f in CATALOG) + ", version long")
+
+
 def incremental_scan(files: DataFrame, measure: Callable[[DataFrame], DataFrame], catalog: str, checkpoint: str) -> StreamingQuery:
-    """Measures only new files and merges them into the catalog, snapshot by snapshot; ends when all are in."""
+    """Measures only new files and adds them to the catalog as a version of their own; ends when all are in.
+
+    Versions follow the newest one of the catalog, not the stream's batches, so a fresh checkpoint adds to what is there. A
+    batch that is run again adds its rows again, which the catalog takes as the same.
+    """
+
+    def add(batch: DataFrame, number: int) -> None:
+        version = _next_version(measured_rows(batch.sparkSession, catalog))
+        measure(batch).write.mode("overwrite").parquet(f"{catalog}/version={version}")  # holds no row yet
 
-    def merge(batch: DataFrame, number: int) -> None:
-        spark = batch.sparkSession
-        old = read_catalog(spark, f"{catalog}/v{number}")
-        write_catalog(upsert(old, measure(batch)), f"{catalog}/v{number + 1}")
+    return files.writeStream.foreachBatch(add).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
 
-    return files.writeStream.foreachBatch(merge).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
+
+def current_catalog(spark: SparkSession, catalog: str) -> DataFrame:
+    """One row for each path: the newest, but for the names and the extracted file, which stay as first written."""
+    rows = measured_rows(spark, catalog)
+    kept = [c for c in rows.columns if c in KEPT_ON_UPSERT]
+    rest = [c for c in rows.columns if c not in (*kept, "path", "version")]
+    both = rows.groupBy("path").agg(F.max_by(F.struct(*rest), "version").alias("new"), F.min_by(F.struct(*kept), "version").alias("old"))
+    return evolve(both.select("path", *(f"new.{c}" for c in rest), *(f"old.{c}" for c in kept)))
+
+
+def compact(spark: SparkSession, catalog: str, into: str) -> None:
+    """The current catalog as the only version of a new folder, sorted within files by path."""
+    current_catalog(spark, catalog).sortWithinPartitions("path").write.parquet(f"{into}/version=1")
 
 
 class RateLimiter(StatefulProcessor):
-    """Accepts a voter's writes in time order; the state is the accepted times within the window."""
+    """Accepts a voter's writes in time order; the state is the accepted times within the window.
+
+    With an idle time, a voter that writes nothing for so many seconds of the clock is forgotten.
+    """
 
-    def __init__(self, limit: int, window: int):
-        self.limit, self.window = limit, window
+    def __init__(self, limit: int, window: int, idle: int | None = None):
+        self.limit, self.window, self.idle = limit, window, idle
 
     def init(self, handle: StatefulProcessorHandle) -> None:
-        self.times = handle.getValueState("times", "times array<long>")
+        self.times = handle.getValueState("times", "times array<long>", ttlDurationMs=1000 * self.idle if self.idle else None)
 
     def handleInputRows(self, key: Any, rows: Iterator[pd.DataFrame], timer_values: Any) -> Iterator[pd.DataFrame]:
         frame = pd.concat(list(rows)).sort_values(["ts", "seq"])
@@ -56,23 +98,80 @@ class RateLimiter(StatefulProcessor):
         pass
 
 
-def limited_stream(requests: DataFrame, config: Config) -> DataFrame:
-    """requests with `accepted`, one state for each voter."""
-    return requests.groupBy("voter").transformWithStateInPandas(RateLimiter(config.heart_limit, config.heart_window), f"{REQUESTS}, accepted boolean", "append", "none")
+def limited_stream(requests: DataFrame, config: Config, idle_windows: int | None = None) -> DataFrame:
+    """requests with `accepted`, one state for each voter.
 
+    A stream that never ends may forget voters that were idle for so many windows; it then runs on by the clock, so a job that
+    ends when all is read has to do without.
+    """
+    idle = idle_windows * config.heart_window if idle_windows else None
+    limiter = RateLimiter(config.heart_limit, config.heart_window, idle)
+    return requests.groupBy("voter").transformWithStateInPandas(limiter, f"{REQUESTS}, accepted boolean", "append", "processingTime" if idle else "none")
 
-def heart_log(requests: DataFrame, config: Config, path: str, checkpoint: str) -> StreamingQuery:
-    """Appends accepted writes to a log; hearts and counts are derived from it, so a replay can't count twice."""
+
+class HeartState(StatefulProcessor):
+    """Whether a voter hearts a photo: the write with the latest (ts, seq) decides, in whatever order they come."""
+
+    def init(self, handle: StatefulProcessorHandle) -> None:
+        self.last = handle.getValueState("last", "ts long, seq long, hearted boolean")
+
+    def handleInputRows(self, key: Any, rows: Iterator[pd.DataFrame], timer_values: Any) -> Iterator[pd.DataFrame]:
+        before = tuple(self.last.get()) if self.last.exists() else (-(1 << 62), -1, False)
+        last = before
+        for frame in rows:
+            i = frame.sort_values(["ts", "seq"]).iloc[-1]
+            last = max(last, (int(i["ts"]), int(i["seq"]), i["action"] == "add"))
+        self.last.update(last)
+        if last[2] != before[2]:
+            yield pd.DataFrame({"photo_id": [key[0]], "voter": [key[1]], "hearted": [last[2]], "ts": [last[0]], "seq": [last[1]]})
+
+    def close(self) -> None:
+        pass
+
+
+def heart_changes(accepted: DataFrame) -> DataFrame:
+    """(photo_id, voter, hearted, ts, seq) whenever a voter's heart for a photo comes or goes."""
+    return accepted.groupBy("photo_id", "voter").transformWithStateInPandas(HeartState(), "photo_id string, voter string, hearted boolean, ts long, seq long", "append", "none")
+
+
+def _log_folder(path: str, checkpoint: str) -> str:
+    """Each checkpoint has a folder of its own, as its batches are numbered from 0."""
+    return f"{path}/run={hashlib.sha256(checkpoint.encode()).hexdigest()[:16]}"
+
+
+def heart_log(requests: DataFrame, config: Config, path: str, checkpoint: str, counts: str | None = None) -> StreamingQuery:
+    """Appends accepted writes to a log; hearts and counts are derived from it, so a replay can't count twice.
+
+    With `counts`, a table of running counts gets a new version of the photos that a batch touches, and of no others.
+    """
 
     def put(batch: DataFrame, number: int) -> None:
-        batch.write.mode("overwrite").parquet(f"{path}/batch={number}")
+        batch.write.mode("overwrite").parquet(f"{_log_folder(path, checkpoint)}/batch={number}")
+        if counts is not None:
+            spark = batch.sparkSession
+            touched = logged(spark, f"{_log_folder(path, checkpoint)}/batch={number}").select("photo_id").distinct()
+            new = touched.join(counts_from_log(spark, path, touched), "photo_id", "left").select("photo_id", F.coalesce("hearts", F.lit(0)).cast("long").alias("hearts"))
+            new.write.mode("overwrite").parquet(f"{counts}/version={_next_version(_table(spark, counts, COUNTS))}")
 
     accepted = limited_stream(requests, config).where("accepted")
     return accepted.writeStream.foreachBatch(put).option("checkpointLocation", checkpoint).trigger(availableNow=True).outputMode("append").start()
 
 
-def counts_from_log(spark: SparkSession, path: str) -> DataFrame:
-    return heart_counts(fold(spark.read.schema(REQUESTS).option("recursiveFileLookup", True).parquet(path)))
+def logged(spark: SparkSession, path: str) -> DataFrame:
+    """The log's writes; what several runs accepted alike counts once."""
+    return spark.read.schema(REQUESTS).option("recursiveFileLookup", True).parquet(path).dropDuplicates(["voter", "photo_id", "ts", "seq"])
+
+
+def counts_from_log(spark: SparkSession, path: str, photos: DataFrame | None = None) -> DataFrame:
+    """Hearts of all photos, or of the given ones."""
+    rows = logged(spark, path)
+    return heart_counts(fold(rows if photos is None else rows.join(photos, "photo_id", "left_semi")))
+
+
+def running_counts(spark: SparkSession, counts: str) -> DataFrame:
+    """(photo_id, hearts): the newest version of each photo's count."""
+    rows = _table(spark, counts, COUNTS)
+    return rows.groupBy("photo_id").agg(F.max_by("hearts", "version").alias("hearts")).where("hearts > 0")
 
 
 def windowed_hearts(requests: DataFrame, width: str = "1 hour", late: str = "10 minutes") -> DataFrame:
