@@ -206,18 +206,20 @@ def compared(threshold: float, miss: float):
         for t in by_group(batches, BLOCK, 2000):
             band, node, copies = (np.asarray(t.column(c)) for c in ("band", "node", "copies"))
             sizes, dims, raw = np.asarray(t.column("size")), np.asarray(t.column("dims")), t.column("x").to_pylist()
-            place, x, values = np.zeros(t.num_rows, np.int64), {}, {}
+            place, x = np.zeros(t.num_rows, np.int64), {}
             for at, rows in _by_dims(raw):
                 place[at], x[rows.shape[1]] = np.arange(len(at)), rows
-            for size in np.unique(sizes):
+            widths = {int(n): bands_for(int(n), threshold, miss) for n in np.unique(sizes)}
+            values = np.repeat(-1 - np.arange(t.num_rows)[:, None], max(w[1] for w in widths.values()), axis=1)
+            for size, (bits, bands) in widths.items():
                 for d in x:
                     mine = np.flatnonzero((sizes == size) & (dims == d))
-                    found = band_values(x[d][place[mine]], *bands_for(int(size), threshold, miss))
-                    values |= dict(zip(mine.tolist(), found, strict=True))
+                    values[mine, :bands] = band_values(x[d][place[mine]], bits, bands)
+            number = np.arange(values.shape[1])
             links, left, right = np.zeros(t.num_rows, np.int64), [], []
             for i, j in _block_pairs(t, threshold):
                 # only in the first band that both share
-                first = np.array([not (values[a][:k] == values[b][:k]).any() for a, b, k in zip(i.tolist(), j.tolist(), band[i].tolist(), strict=True)], bool)
+                first = ~((values[i] == values[j]) & (number < band[i][:, None])).any(axis=1)
                 i, j = i[first], j[first]
                 if not len(i):
                     continue
