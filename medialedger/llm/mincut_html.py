@@ -1,12 +1,16 @@
 """Main text of web pages by minimum-cut labelling.
 
-A page is cut into text blocks. A logistic classifier over a block's size, links, tag, place and the names of its containers
-gives the cost of calling it content or boilerplate; these are the capacities to the two terminals. Blocks that follow each
-other, and blocks that follow each other within the same container, are tied by edges that cost more the closer they stand in
-the document tree. The minimum cut, found by maximum flow, is the labelling with the least sum of costs and cut edges.
-
-The classifier starts from fixed weights and is fitted, and held close to them, on the blocks of a bounded sample of pages
-whose containers name their role (menus, footers, articles ...).
+A page is cut into text blocks. A logistic classifier gives the cost of calling a block content or boilerplate; these are the
+capacities to the two terminals. Blocks that follow each other, and blocks that follow each other within the same container,
+are tied by edges that cost more the closer they stand in the document tree. The minimum cut, found by maximum flow, is the
+labelling with the least sum of costs and cut edges.
+
+The classifier looks at structure: a block's size, links, tag and ending, the links of its container, and what share of the
+page's unlinked text its region holds. Names of containers are a vote among others, and none where a container's names
+disagree. These weights are fitted, and held close to their starting values, on a bounded sample of pages; the labels come from
+elsewhere, the elements by which pages say what a part is for (article and main, or nav, footer, aside, form ...), which are no
+inputs of the fit. Where a page has such elements they count as evidence of fixed weight: what lies in them, and, on a page that
+marks its article, what lies outside.
 
 Defined cases: null or empty pages have an empty text; tags that are not closed end where their parent or, for paragraphs and
 items, the next block begins; comments, scripts and styles without an end run to the end of the page.
@@ -17,8 +21,9 @@ from __future__ import annotations
 import html
 import math
 import re
-from collections import deque
+from collections import Counter, deque
 from collections.abc import Iterator
+from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
@@ -50,17 +55,40 @@ MAIN_TAGS = frozenset(("article", "main"))
 MAIN_NAMES = frozenset("article story post entry main content body text".split())
 NAME = re.compile(r"[a-z]+")
 SPACE = re.compile(r"\s+")
-#: Fixed weights: none, size, links, heading, list item, paragraph, away, main, punctuation.
-PRIOR = np.array([-1.5, 0.35, -3.0, 0.3, -0.4, 0.5, -7.0, 4.0, 0.4])
+#: Starting weights of what is fitted: none, size, links, heading, list item, paragraph, end of a sentence, links of the
+#: container, unlinked share of the region, name says away, name says main.
+PRIOR = np.array([-1.5, 0.35, -3.0, 0.3, -0.4, 0.5, 0.4, -1.5, 3.0, -4.0, 2.5])
+#: Weights of what elements say: away, main, outside of the marked article, outside of what a name marks.
+STATED = np.array([-7.0, 3.5, -5.0, -2.0])
+#: Least share of the text, but for what elements say is away, that a marked article has.
+MARKED = 0.2
 
 
-class Block:
-    __slots__ = ("away", "container", "depth", "linked", "main", "path", "tag", "text")
+@dataclass(slots=True)
+class Role:
+    """What an element and those around it say: by tag, by name; the outermost that says anything is the region."""
 
+    away: bool = False
+    main: bool = False
+    name_away: bool = False
+    name_main: bool = False
+    region: int = 0
 
-def role(tag: str, attributes: str, within_main: bool) -> tuple[bool, bool]:
-    """(away, main) of an element by its tag and names."""
-    away, main = tag in AWAY_TAGS or (tag == "header" and not within_main), tag in MAIN_TAGS
+
+@dataclass(slots=True)
+class Block:
+    text: str
+    linked: float
+    tag: str
+    role: Role
+    container: int
+    depth: int
+    common: int  # elements that it shares with the block before
+
+
+def role(tag: str, attributes: str, around: Role, number: int) -> Role:
+    away, main = tag in AWAY_TAGS or (tag == "header" and not around.main), tag in MAIN_TAGS
+    votes = [0, 0]
     if attributes and ("=" in attributes or "hidden" in attributes):
         for m in ATTRIBUTE.finditer(attributes):
             key, value = m[1].lower(), (m[2] or "").strip("\"'").lower()
@@ -73,43 +101,56 @@ def role(tag: str, attributes: str, within_main: bool) -> tuple[bool, bool]:
                     parts = NAME.findall(name)
                     if not parts or parts[0] in ("has", "with", "no", "is"):
                         continue
-                    if tag not in ("html", "body", "main") and any(p in AWAY_NAMES for p in parts) and not (tag == "article" and not {"comment", "comments", "reply", "ad", "promo", "related"} & set(parts)):
+                    if tag == "article" and {"comment", "comments", "reply", "ad", "promo", "related"} & set(parts):
                         away = True
+                    elif tag not in ("html", "body", "main", "article") and any(p in AWAY_NAMES for p in parts):
+                        votes[0] += 1
                     elif any(p in MAIN_NAMES for p in parts):
-                        main = True
-    return away, main
+                        votes[1] += 1
+    name_away, name_main = bool(votes[0]) and not votes[1], bool(votes[1]) and not votes[0]
+    if not (away or main or name_away or name_main):
+        return around
+    return Role(away or around.away, main or around.main, name_away or around.name_away, name_main or around.name_main, around.region or number)
 
 
 def blocks_of(page: str) -> list[Block]:
     """Text blocks in page order."""
     out: list[Block] = []
-    # an open element: tag, away, main, number
-    stack: list[tuple[str, bool, bool, int]] = [("", False, False, 0)]
+    # an open element: tag, role, number; and how many of each tag are open
+    stack: list[tuple[str, Role, int]] = [("", Role(), 0)]
+    open_tags: Counter[str] = Counter()
     text: list[str] = []
     links = linked = number = dropped = 0
+    shallow = 1  # the fewest open elements since the last block
 
     def flush() -> None:
-        nonlocal linked
+        nonlocal linked, shallow
         if text:
             words = SPACE.sub(" ", html.unescape("".join(text))).strip()
             if words:
-                b = Block()
-                b.text, b.linked = words, min(1.0, linked / len(words))
                 top = len(stack) - 1
                 while top and stack[top][0] not in BLOCK:
                     top -= 1
-                b.tag, b.away, b.main, own = stack[top]
-                b.path = tuple(x[3] for x in stack[: top + 1])
-                b.container, b.depth = (stack[top - 1][3] if top else 0), top
-                out.append(b)
+                out.append(Block(words, min(1.0, linked / len(words)), stack[top][0], stack[top][1], stack[top - 1][2] if top else 0, top + 1, min(shallow, top + 1)))
+                shallow = top + 1
             text.clear()
         linked = 0
 
-    def close(at: int) -> None:
+    def push(tag: str, role: Role) -> None:
         nonlocal links, dropped
-        dropped -= sum(1 for x in stack[at:] if x[0] in DROPPED)
-        links -= sum(1 for x in stack[at:] if x[0] == "a")
+        stack.append((tag, role, number))
+        open_tags[tag] += 1
+        links += tag == "a"
+        dropped += tag in DROPPED
+
+    def close(at: int) -> None:
+        nonlocal links, dropped, shallow
+        for tag, *_ in stack[at:]:
+            open_tags[tag] -= 1
+            links -= tag == "a"
+            dropped -= tag in DROPPED
         del stack[at:]
+        shallow = min(shallow, at)
 
     pos = 0
     for m in TOKEN.finditer(page):
@@ -124,32 +165,34 @@ def blocks_of(page: str) -> list[Block]:
             continue
         tag = tag.lower()
         if m[2]:
+            if not open_tags[tag]:
+                continue
+            above, block = 0, tag in BLOCK
             for at in range(len(stack) - 1, 0, -1):
                 if stack[at][0] == tag:
-                    if not any(x[0] in DROPPED for x in stack[: at + 1]) and (tag in BLOCK or any(x[0] in BLOCK for x in stack[at:])):
+                    if dropped == above and block:
                         flush()
                     close(at)
                     break
                 if tag not in BLOCK and tag not in DROPPED and stack[at][0] in BLOCK:
                     break
+                above += stack[at][0] in DROPPED
+                block = block or stack[at][0] in BLOCK
             continue
         if dropped:
-            names = [x[0] for x in stack]
-            if "svg" in names and "foreignobject" not in names and tag in BLOCK and tag != "title":
-                close(names.index("svg"))  # blocks end an open drawing
+            if open_tags["svg"] and not open_tags["foreignobject"] and tag in BLOCK and tag != "title":
+                close(next(k for k, x in enumerate(stack) if x[0] == "svg"))  # blocks end an open drawing
             else:
                 if tag not in VOID and not m[4].endswith("/"):
                     number += 1
-                    stack.append((tag, True, False, number))
-                    links += tag == "a"
-                    dropped += tag in DROPPED
+                    push(tag, stack[-1][1])
                 continue
         if tag == "br":
             text.append("\n")
             continue
         if tag in BLOCK:
             flush()
-            if tag in ENDS_P:
+            if tag in ENDS_P and open_tags["p"]:
                 for at in range(len(stack) - 1, 0, -1):
                     if stack[at][0] == "p":
                         close(at)
@@ -166,38 +209,62 @@ def blocks_of(page: str) -> list[Block]:
         if tag in VOID or m[4].endswith("/") and tag not in BLOCK:
             continue
         number += 1
-        away, main = role(tag, m[4], stack[-1][2])
-        stack.append((tag, away or stack[-1][1], main or stack[-1][2], number))
-        links += tag == "a"
-        dropped += tag in DROPPED
+        push(tag, role(tag, m[4], stack[-1][1], number))
     if not dropped:
         text.append(page[pos:])
     flush()
     return out
 
 
-def features(blocks: list[Block]) -> np.ndarray:
-    rows = []
-    for b in blocks:
-        t = b.text
-        rows.append((1.0, math.log1p(len(t)), b.linked, b.tag[:1] == "h" and b.tag[1:].isdigit(), b.tag == "li", b.tag in ("p", "blockquote", "pre"), b.away, b.main and not b.away, t[-1] in ".!?\"'”»:…"))
-    return np.array(rows, float)
+def features(blocks: list[Block]) -> tuple[np.ndarray, np.ndarray]:
+    """(what the fitted weights see, what elements say) of a page's blocks."""
+    size = np.array([len(b.text) for b in blocks], float)
+    linked = np.array([b.linked for b in blocks])
+    away, main, name_away, name_main = np.array([(b.role.away, b.role.main, b.role.name_away, b.role.name_main) for b in blocks]).T
+    main, name_main = main & ~away, name_main & ~name_away
+
+    def sums(ids: list[int], values: np.ndarray) -> np.ndarray:
+        _, at = np.unique(ids, return_inverse=True)
+        return np.bincount(at, values)[at]
+
+    container = [b.container for b in blocks]
+    region = [b.role.region or b.container for b in blocks]
+    unlinked = size * (1 - linked)
+    tags = [b.tag for b in blocks]
+    seen = [
+        np.ones(len(blocks)),
+        np.log1p(size),
+        linked,
+        [t[:1] == "h" and t[1:].isdigit() for t in tags],
+        [t == "li" for t in tags],
+        [t in ("p", "blockquote", "pre") for t in tags],
+        [b.text[-1] in ".!?\"'”»:…" for b in blocks],
+        sums(container, size * linked) / sums(container, size),
+        sums(region, unlinked) / max(1.0, unlinked.sum()),
+        name_away,
+        name_main,
+    ]
+    rest = max(1.0, size[~away].sum())
+    marked, named = size[main].sum() >= MARKED * rest, size[name_main & ~away].sum() >= MARKED * rest
+    stated = [away, main, ~main & marked, ~name_main & ~main & (named and not marked)]
+    return np.stack(seen, axis=1).astype(float), np.stack(stated, axis=1).astype(float)
 
 
 def fit(pages: list[str], rounds: int = 200) -> np.ndarray:
-    """Weights from the blocks that lie in named containers, held close to the fixed ones."""
-    x = [features(b) for b in map(blocks_of, pages) if b]
-    if not x:
+    """Weights from the blocks whose elements say what they are for, held close to the starting ones."""
+    both = [features(b) for b in map(blocks_of, pages) if b]
+    if not both:
         return PRIOR
-    x = np.concatenate(x)
-    use = (x[:, 6] > 0) | (x[:, 7] > 0)
-    x, y = x[use], x[use, 7]
-    if not len(x):
+    x, stated = (np.concatenate(z) for z in zip(*both, strict=True))
+    use = (stated[:, 0] > 0) | (stated[:, 1] > 0)
+    x, y = x[use], stated[use, 1]
+    if len(set(y.tolist())) < 2:
         return PRIOR
+    weight = np.where(y > 0, 0.5 / y.sum(), 0.5 / (1 - y).sum())  # both kinds count alike
     w = PRIOR.copy()
     for _ in range(rounds):
         p = 1 / (1 + np.exp(-np.clip(x @ w, -30, 30)))
-        w -= 0.3 * (x.T @ (p - y) / len(x) / np.maximum(1, np.abs(x).max(axis=0)) + 0.05 * (w - PRIOR))
+        w -= 0.3 * (x.T @ ((p - y) * weight) / np.maximum(1, np.abs(x).max(axis=0)) + 0.05 * (w - PRIOR))
     return w
 
 
@@ -207,13 +274,7 @@ def edges_of(blocks: list[Block]) -> dict[tuple[int, int], float]:
     last: dict[int, int] = {}
     for i, b in enumerate(blocks):
         if i:
-            a = blocks[i - 1]
-            common = 0
-            for x, y in zip(a.path, b.path, strict=False):
-                if x != y:
-                    break
-                common += 1
-            apart = len(a.path) + len(b.path) - 2 * common
+            apart = blocks[i - 1].depth + b.depth - 2 * min(b.common, blocks[i - 1].depth)
             out[i - 1, i] = NEAR / max(1, apart - 1)
         before = last.get(b.container)
         if before is not None:
@@ -223,47 +284,65 @@ def edges_of(blocks: list[Block]) -> dict[tuple[int, int], float]:
 
 
 def minimum_cut(content: np.ndarray, boilerplate: np.ndarray, edges: dict[tuple[int, int], float]) -> list[bool]:
-    """For each node whether it is content, with the least sum of costs: content[i] or boilerplate[i], and cut edges."""
+    """For each node whether it is content, with the least sum of costs: content[i] or boilerplate[i], and cut edges.
+
+    A node whose costs differ by more than all its edges is settled, and its edges become costs of its neighbours; most nodes
+    settle so. Flow is sent between those that are left, each source in turn by shortest paths. What a source still reaches
+    when no path is left is content and can't be passed any more, so no part of a page is searched twice in vain.
+    """
     n = len(content)
     # what flows straight from terminal to terminal is the same for all labellings
     excess = (boilerplate - content).tolist()
-    near: list[list[int]] = [[] for _ in range(n)]
-    left: dict[tuple[int, int], float] = {}
+    left: list[dict[int, float]] = [{} for _ in range(n)]
     for (i, j), c in edges.items():
-        left[i, j] = left[j, i] = c
-        near[i].append(j)
-        near[j].append(i)
-    tiny = 1e-9
-    while True:
-        came: dict[int, int] = {i: -1 for i in range(n) if excess[i] > tiny}
-        todo, end = deque(came), -1
-        while todo and end < 0:
-            i = todo.popleft()
-            for j in near[i]:
-                if j not in came and left[i, j] > tiny:
-                    came[j] = i
-                    if excess[j] < -tiny:
-                        end = j
-                        break
-                    todo.append(j)
-        if end < 0:
-            return [i in came for i in range(n)]
-        path = [end]
-        while came[path[-1]] >= 0:
-            path.append(came[path[-1]])
-        flow = min(excess[path[-1]], -excess[end], min(left[a, b] for b, a in zip(path, path[1:], strict=False)))
-        for b, a in zip(path, path[1:], strict=False):
-            left[a, b] -= flow
-            left[b, a] += flow
-        excess[path[-1]] -= flow
-        excess[end] += flow
+        left[i][j] = left[i].get(j, 0.0) + c
+        left[j][i] = left[j].get(i, 0.0) + c
+    tiny, keep, todo = 1e-9, [False] * n, list(range(n))
+    settled = [False] * n
+    while todo:
+        i = todo.pop()
+        if settled[i] or abs(excess[i]) <= sum(left[i].values()):
+            continue
+        settled[i], keep[i] = True, excess[i] > 0
+        for j, c in left[i].items():
+            excess[j] += c if keep[i] else -c
+            del left[j][i]
+            todo.append(j)
+        left[i] = {}
+    for source in range(n):
+        while not settled[source] and excess[source] > tiny:
+            came, line, end = {source: -1}, deque([source]), -1
+            while line and end < 0:
+                i = line.popleft()
+                for j, c in left[i].items():
+                    if c > tiny and j not in came and not settled[j]:
+                        came[j] = i
+                        if excess[j] < -tiny:
+                            end = j
+                            break
+                        line.append(j)
+            if end < 0:
+                for i in came:
+                    settled[i] = keep[i] = True
+                break
+            path = [end]
+            while came[path[-1]] >= 0:
+                path.append(came[path[-1]])
+            flow = min(excess[source], -excess[end], *(left[a][b] for b, a in zip(path, path[1:], strict=False)))
+            for b, a in zip(path, path[1:], strict=False):
+                left[a][b] -= flow
+                left[b][a] = left[b].get(a, 0.0) + flow
+            excess[source] -= flow
+            excess[end] += flow
+    return keep
 
 
 def main_text(page: str | None, weights: np.ndarray = PRIOR) -> str:
     blocks = blocks_of(page) if page else []
     if not blocks:
         return ""
-    z = np.clip(features(blocks) @ weights, -30, 30)
+    seen, stated = features(blocks)
+    z = np.clip(seen @ weights + stated @ STATED, -30, 30)
     # costs are the negative logarithms of the classifier's probabilities
     cost_content, cost_boilerplate = np.logaddexp(0, -z), np.logaddexp(0, z)
     keep = minimum_cut(cost_content, cost_boilerplate, edges_of(blocks))

@@ -242,6 +242,57 @@ def test_open_elements_end_with_their_parent():
         assert text(f"<p>one <{tag}><option>gone</option></{tag}> two</p>") == ["one two"]
 
 
+LONG = "This is a long paragraph of plain text, with a good number of words in it, that says something. " * 3
+
+
+def test_names_of_containers_are_votes():
+    """A name that two sides claim decides nothing, and what lies outside of a marked article goes without any name."""
+    page = f'<body><nav><a href="x">a</a></nav><div class="post-content related-topics"><p>{LONG}</p><p>{LONG}</p></div></body>'
+    assert mincut_html.main_text(page) == f"{LONG.strip()} {LONG.strip()}"
+    page = f"<body><article><p>{LONG}</p><p>Short one.</p></article><div><p>Thank you for writing it. {LONG}</p></div></body>"
+    assert mincut_html.main_text(page) == f"{LONG.strip()} Short one."
+    page = f'<body><div id="content"><p>{LONG}</p></div><div class="comments"><p>I disagree. {LONG}</p></div></body>'
+    assert mincut_html.main_text(page) == LONG.strip()
+
+
+def made_page(rng, named):
+    """A page and its article's text, with elements that say what they are for, or with plain ones of no name."""
+
+    def words(n):
+        return " ".join("".join(rng.choice("abcdefghij") for _ in range(rng.randint(2, 9))) for _ in range(n))
+
+    head, foot, main = ("nav", "footer", "article") if named else ("div", "div", "div")
+    links = "".join(f'<li><a href="/{k}">{words(rng.randint(1, 2))}</a></li>' for k in range(rng.randint(4, 9)))
+    paragraphs = [words(rng.randint(30, 90)).capitalize() + "." for _ in range(rng.randint(2, 7))]
+    title = words(4)
+    body = f"<{main}><h1>{title}</h1>" + "".join(f"<p>{x}</p>" for x in paragraphs) + f"</{main}>"
+    page = f"<html><body><{head}><ul>{links}</ul></{head}>{body}<{foot}><ul>{links[::1]}</ul><a href='/c'>{words(2)}</a></{foot}></body></html>"
+    return page, " ".join([title, *paragraphs])
+
+
+def test_pages_without_names_after_learning_from_others():
+    rng = random.Random(12)
+    weights = mincut_html.fit([made_page(rng, True)[0] for _ in range(60)])
+    right = total = 0
+    for _ in range(60):
+        page, want = made_page(rng, False)
+        got = set(mincut_html.main_text(page, weights).split())
+        right += len(got & set(want.split())) - len(got - set(want.split()))
+        total += len(set(want.split()))
+    assert right >= 0.97 * total
+
+
+def test_long_and_deep_pages_take_time_in_proportion():
+    took = []
+    for n in (5_000, 40_000):
+        page = "<body>" + "".join(f"<div><p>Word {i}.</p><ul><li><a href=x>{i}</a> and {i}</li></ul></div>" for i in range(n // 2))
+        start = time.perf_counter()
+        mincut_html.main_text(page)
+        took.append(time.perf_counter() - start)
+    assert took[1] < 30 * took[0]
+    assert mincut_html.main_text("<div>" * 4000 + LONG + "</b>" * 4000) == LONG.strip()
+
+
 def test_minimum_cut_is_least():
     rng = np.random.default_rng(2)
     for _ in range(40):
