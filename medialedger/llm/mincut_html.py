@@ -246,7 +246,8 @@ def features(blocks: list[Block]) -> tuple[np.ndarray, np.ndarray]:
     ]
     rest = max(1.0, size[~away].sum())
     marked, named = size[main].sum() >= MARKED * rest, size[name_main & ~away].sum() >= MARKED * rest
-    stated = [away, main, ~main & marked, ~name_main & ~main & (named and not marked)]
+    # a name within the article that speaks against it leaves the block to the classifier
+    stated = [away, main & ~name_away, ~main & marked, ~name_main & ~main & (named and not marked)]
     return np.stack(seen, axis=1).astype(float), np.stack(stated, axis=1).astype(float)
 
 
