@@ -8,6 +8,9 @@ from collections import Counter
 from itertools import product
 
 import numpy as np
+import random
+import time
+
 import pytest
 from pyspark.sql import functions as F
 
