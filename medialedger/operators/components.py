@@ -10,9 +10,11 @@ from pyspark.sql import functions as F
 
 
 def scratch(spark: SparkSession) -> str:
-    """The shared folder of the cluster; a new local one only where none is set."""
+    """The shared folder of the cluster; a new local one only where none is set and all runs on one machine."""
     own = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir()
     if not own:
+        if not spark.sparkContext.master.startswith("local"):
+            raise ValueError("spark.checkpoint.dir must name a folder that all executors share")
         spark.sparkContext.setCheckpointDir(tempfile.mkdtemp(prefix="spark-"))
         own = spark.sparkContext.getCheckpointDir()
     return own.rstrip("/")
