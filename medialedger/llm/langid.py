@@ -36,6 +36,8 @@ LEAST_STEPS = 200
 LETTER = re.compile(r"[^\W\d_]")
 #: Words whose emissions a task keeps.
 KEPT_WORDS = 200_000
+#: Parts of a language from which its sample is drawn.
+PARTS = 16
 
 
 @dataclass
@@ -266,10 +268,14 @@ def train(docs: DataFrame, per_lang: int = 400, held_out: tuple[int, int] = (3,
     mod, rest = held_out
     usable = docs.where(F.col("text").isNotNull() & F.col("lang").isNotNull() & (remainder(F.col("doc_id"), mod) != rest))
     order = [F.xxhash64(F.col("doc_id").cast("string")), F.col("doc_id")]
-    first = usable.select("doc_id", "lang").withColumn("_n", F.row_number().over(W.partitionBy("lang").orderBy(*order))).where(F.col("_n") <= per_lang)
+    # the first of each part of a language, then the first of these: no task sees more of a language than PARTS times per_lang
+    ids = usable.select("doc_id", F.col("lang").cast("string").alias("lang")).withColumn("_part", F.pmod(order[0], F.lit(PARTS)))
+    first = ids.withColumn("_n", F.row_number().over(W.partitionBy("lang", "_part").orderBy(*order))).where(F.col("_n") <= per_lang)
+    first = first.withColumn("_n", F.row_number().over(W.partitionBy("lang").orderBy(*order))).where(F.col("_n") <= per_lang)
     picked = first.select("doc_id").distinct()
-    # per_lang ids of each language at most, so they are sent to the texts, not the texts to them
-    rows = usable.select("doc_id", "text", "lang").join(F.broadcast(picked), "doc_id", "left_semi").collect()
+    # per_lang ids of each language at most, so they are sent to the texts, not the texts to them; one text of each id
+    texts = usable.select("doc_id", F.col("text").cast("string").alias("text"), F.col("lang").cast("string").alias("lang")).join(F.broadcast(picked), "doc_id", "left_semi")
+    rows = texts.groupBy("doc_id", "lang").agg(F.min("text").alias("text")).collect()
     rows.sort(key=lambda r: (zlib.crc32(str(r["doc_id"]).encode()), r["doc_id"], r["lang"], r["text"]))
     return fit([(r["text"].encode(), r["lang"]) for r in rows])
 

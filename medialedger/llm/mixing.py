@@ -71,8 +71,10 @@ def mix(docs: DataFrame, weights: Sequence[float] = WEIGHTS, share: float = SHAR
     queued = queued.alias("q").join(target.alias("t"), F.col("q.source").eqNullSafe(F.col("t.source"))).select("q.*", "t.source_size", "t.target")
     queued = queued.where("target > 0").withColumn("pass", F.explode(F.sequence(F.lit(0), F.lit(most - 1))))
     queued = queued.withColumn("finish", (F.col("pass") * F.col("source_size") + F.col("sent")) / F.col("target"))
-    # no time after the largest is ever taken, so bins of equal width cover all finish times up to it
-    queued = queued.withColumn("bin", F.least(F.floor(F.col("finish") * (TIME_BINS // 2)), F.lit(TIME_BINS)).cast("int"))
+    # by time 1 and one more document of each source all targets are sent, so nothing that finishes later is taken
+    longest = own.groupBy("source").agg(F.max("size").alias("longest")).alias("l").join(target.alias("t"), F.col("l.source").eqNullSafe(F.col("t.source")))
+    end = 1.0 + float(longest.where("target > 0").agg(F.coalesce(F.max(F.col("longest") / F.col("target")), F.lit(0.0))).first()[0]) + 1e-6
+    queued = queued.where(F.col("finish") <= end).withColumn("bin", F.floor(F.col("finish") / end * TIME_BINS).cast("int"))
     queued = saved(queued.select("doc_id", "_h", "source", "size", "pass", "finish", "bin"), "queue")
     bins = queued.groupBy("bin").agg(F.sum("size").alias("words"))
     bins = bins.withColumn("before", F.sum("words").over(W.orderBy("bin")) - F.col("words"))

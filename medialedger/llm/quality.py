@@ -202,8 +202,9 @@ def train(docs: DataFrame, labels: DataFrame, per_class: int = 800) -> Model | N
     shares = {r["quality"]: r["n"] for r in known.groupBy("quality").agg(F.count(F.lit(1)).alias("n")).collect()}
     order = [F.xxhash64(F.col("doc_id").cast("string")), F.col("doc_id")]
     picked = known.where("quality = 0").orderBy(*order).limit(per_class).unionByName(known.where("quality = 1").orderBy(*order).limit(per_class))
-    # twice per_class ids at most, so they are sent to the texts, not the texts to them
-    rows = docs.where("text is not null").select("doc_id", F.col("text").cast("string")).join(F.broadcast(picked), "doc_id").collect()
+    # twice per_class ids at most, so they are sent to the texts, not the texts to them; one text of each id
+    texts = docs.where("text is not null").select("doc_id", F.col("text").cast("string")).join(F.broadcast(picked), "doc_id")
+    rows = texts.groupBy("doc_id", "quality").agg(F.min("text").alias("text")).collect()
     rows = sorted({(zlib.crc32(str(r["doc_id"]).encode()), r["doc_id"], r["text"], r["quality"]) for r in rows})
     return fit([(r[2].encode(), r[3]) for r in rows], shares.get(1, 0) / max(1, sum(shares.values())))
 
