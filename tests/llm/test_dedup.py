@@ -9,7 +9,7 @@ import pytest
 import xxhash
 from pyspark.sql import functions as F
 
-from medialedger.llm import rotated_codes, simhash, suffix_dedup
+from medialedger.llm import common, rotated_codes, simhash, suffix_dedup
 
 
 def roots_of(n, pairs):
@@ -275,3 +275,41 @@ def test_bands_miss_as_stated():
     bits, bands = rotated_codes.bands_for(5000)
     agree = (1 - np.arccos(0.93) / np.pi) ** bits
     assert (1 - agree) ** bands <= rotated_codes.MISS
+
+
+def test_similar_texts_are_brute_force(spark):
+    """Groups at similarity 0.8 of five-word shingles: none that brute force lacks, nearly all that it has."""
+    rng = random.Random(6)
+    words = [f"w{i}" for i in range(400)]
+    texts = []
+    for _ in range(60):
+        base = [rng.choice(words) for _ in range(120)]
+        for edits in (0, 0, 1, 2, 4, 12):
+            w = list(base)
+            for _ in range(edits):
+                w[rng.randrange(120)] = rng.choice(words)
+            texts.append(" ".join(w))
+    texts += [None, "", "one two", "One  TWO"]
+    sets = [set(simhash.shingles((t or "").encode(), 5, 42).tolist()) for t in texts]
+    alike = lambda a, b: len(a & b) >= 0.8 * len(a | b)
+    pairs = [(i, j) for i in range(len(texts)) for j in range(max(0, i - 6), i) if alike(sets[i], sets[j])]
+    want = roots_of(len(texts), pairs)
+    df = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    kept = {r["doc_id"] for r in simhash.one_of_each(df).collect()}
+    exact = {i for i, r in enumerate(want) if i == r}
+    assert exact <= kept
+    assert len(kept - exact) <= 0.1 * (len(texts) - len(exact))
+
+
+def test_forests_join_what_links_join():
+    rng = np.random.default_rng(2)
+    for _ in range(30):
+        n = int(rng.integers(2, 40))
+        i, j = rng.integers(0, n, (2, 60))
+        i, j = i[i != j], j[i != j]
+        cost = rng.integers(0, 4, len(i))
+        kept = common.spanning_pairs(n, i, j, cost)
+        assert roots_of(n, zip(i[kept], j[kept], strict=True)) == roots_of(n, zip(i, j, strict=True))
+        for c in range(4):  # at every cost, the links up to it
+            a, b = kept[cost[kept] <= c], cost <= c
+            assert roots_of(n, zip(i[a], j[a], strict=True)) == roots_of(n, zip(i[b], j[b], strict=True))
