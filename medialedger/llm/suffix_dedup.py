@@ -9,7 +9,7 @@ are neighbours and form a run of at most width - gram + 1 windows. Runs therefor
 3. Runs with the same hash but different bytes repeat each other in part. Their bytes are the text of a shard, dealt by
    hash. A hash with many such runs is split: hashes of its windows tell in which run each repeated window stands first, and
    every shard has one such run and a bounded number of those that repeat it, so each window meets its first place. Each shard's suffix array is built by induced sorting (suffixes classified as smaller or larger than their right
-   neighbour, leftmost-smaller substrings sorted and named, names refined recursively in pairs, then larger and smaller
+   neighbour, leftmost-smaller substrings sorted and named, names refined in pairs as far as `width` goes, then larger and smaller
    suffixes induced bucket by bucket), and common prefixes, permuted to text order and cut at `width`, show equal windows.
 
 Defined cases: doc_id only says which row is earlier, and null sorts first. Rows that share an id, or have none, are told

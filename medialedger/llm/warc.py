@@ -2,7 +2,7 @@
 
 Both new records refer to the response they come from (WARC-Refers-To), keep its target, date and payload digest, and carry
 a digest of their own block. Record ids are UUIDs made from the response's id, so a rerun gives the same records. Everything
-is column expressions: reading, deriving and writing never leave the JVM, and nothing is shuffled.
+is column expressions but for joining what was read to whole records: deriving and writing never leave the JVM, and nothing is shuffled.
 
 Defined cases: references by name are those of HTML with their semicolon; without it they stay, as in OP5_SQL (HTML would
 decode some); comments, scripts and styles without an end run to the end of the page; a null payload is empty; a response without links or title has an empty list and an empty title; null targets
@@ -11,15 +11,18 @@ stay null and their header line is left out; responses without an id get one fro
 
 from __future__ import annotations
 
-from collections.abc import Callable
+import re
+from collections.abc import Callable, Iterator
 from html.entities import html5
 
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import table
+from .common import table, texts
 
 CRLF = "\r\n"
+VERSION, LENGTH = b"WARC/1.0\r\n", re.compile(rb"(?im)^Content-Length:[ \t]*(\d+)")
 #: References by name, with their semicolon. The most frequent come first.
 FREQUENT = ("amp;", "lt;", "gt;", "quot;", "nbsp;", "apos;", "copy;", "mdash;", "ndash;", "hellip;", "rsquo;", "lsquo;", "rdquo;", "ldquo;")
 NAMES = dict.fromkeys(FREQUENT, "") | {n: c for n, c in html5.items() if n.endswith(";")}
@@ -156,15 +159,38 @@ def write_warc(records: DataFrame, path: str, compression: str = "gzip") -> None
     records.select(record_text(records).alias("value")).write.option("lineSep", CRLF + CRLF).option("compression", compression).text(path)
 
 
+def _whole_records(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """(head, block) of records: pieces between version lines are joined until a block has its length."""
+
+    def out(rows: list[tuple[bytes, bytes]]) -> pa.RecordBatch:
+        columns = [pa.array([r[k].decode("utf-8", "replace") for r in rows], pa.string()) for k in (0, 1)]
+        return pa.RecordBatch.from_arrays(columns, ["head", "block"])
+
+    held = b""
+    for batch in batches:
+        rows = []
+        for piece in texts(batch.column("value")):
+            piece = held + VERSION + piece if held else piece
+            head, _, block = piece.partition(b"\r\n\r\n")
+            size = LENGTH.search(head)
+            n = int(size[1]) if size else 0
+            held = piece if len(block) < n else b""
+            if piece and not held:
+                rows.append((head + b"\r\n", block[:n]))
+        yield out(rows)
+    if held:  # the file ends within a block
+        head, _, block = held.partition(b"\r\n\r\n")
+        yield out([(head + b"\r\n", block)])
+
+
 def read_warc(spark: SparkSession, path: str) -> DataFrame:
-    """Records of WARC files: the columns of FIELDS and `block`. Files are split at the version line, plain or compressed."""
-    raw = spark.read.option("lineSep", f"WARC/1.0{CRLF}").text(path).where(F.length("value") > 0)
-    cut = F.instr("value", CRLF + CRLF)
-    head, rest = F.substring("value", F.lit(1), cut + 1), F.substring("value", cut + 4, F.length("value"))
-    fields = {c: F.nullif(F.regexp_extract(head, rf"(?im)^{name}:[ \t]*([^\r\n]*)", 1), F.lit("")) for c, name in FIELDS.items()}
-    size = F.regexp_extract(head, r"(?im)^Content-Length:[ \t]*(\d+)", 1).cast("int")
-    block = F.substring(F.encode(rest, "UTF-8"), F.lit(1), size).cast("string")
-    return raw.select(*(v.alias(c) for c, v in fields.items()), block.alias("block"))
+    """Records of WARC files: the columns of FIELDS and `block`. Files are split at the version line, plain or compressed; a
+    version line within a block is part of it, as its length says.
+    """
+    raw = spark.read.option("lineSep", VERSION.decode()).text(path)
+    found = raw.mapInArrow(_whole_records, "head string, block string")
+    fields = {c: F.nullif(F.regexp_extract("head", rf"(?im)^{name}:[ \t]*([^\r\n]*)", 1), F.lit("")) for c, name in FIELDS.items()}
+    return found.select(*(v.alias(c) for c, v in fields.items()), "block")
 
 
 def op5_warc(spark, sf_dir: str) -> DataFrame:

@@ -478,3 +478,12 @@ def test_stages_with_odd_rows(spark, odd, empty):
     last = cp.sentencepiece(spark, wide, SF)
     assert last.count() == wide.count()
     assert cp.sentencepiece(spark, empty, SF).count() == 0
+
+
+def test_a_version_line_within_a_block(spark, tmp_path):
+    block = "one\r\nWARC/1.0\r\nContent-Length: 3\r\n\r\nabc\r\nWARC/1.0\r\nend é"
+    rows = [(1, "http://a", block), (2, "http://b", "plain"), (3, "http://c", "")]
+    records = spark.createDataFrame(rows, "n int, target_uri string, block string")
+    warc.write_warc(records.coalesce(1), str(tmp_path / "w"))
+    got = warc.read_warc(spark, str(tmp_path / "w")).orderBy("target_uri").collect()
+    assert [(r["target_uri"], r["block"]) for r in got] == [(t, b) for _, t, b in rows]
