@@ -33,11 +33,13 @@ BITS = 64
 #: Largest group of probes that one block compares; larger ones are dealt into pairs of parts.
 BLOCK_ROWS = 512
 #: A probe is a shuffled row; comparing two rows within a block costs this much less.
-PROBE_COST = 100
+PROBE_COST = 250
 #: Fingerprints from which candidate counts are estimated. Only the cost depends on them, never the result.
 SAMPLE = 2000
 #: Links that a block gathers before it thins them to a forest.
 GATHERED = 2_000_000
+#: Rows of a group that are compared in squares.
+SQUARE = 48
 
 
 def shingles(text: bytes | None, words: int, seed: int) -> np.ndarray:
@@ -167,6 +169,29 @@ def look(h: np.ndarray, k: int) -> np.ndarray:
     return h
 
 
+def near_rows(fp: np.ndarray, group: np.ndarray, lo: np.ndarray, hi: np.ndarray, part: np.ndarray, distance: int) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+    """Pairs (i, j) of rows of a group within the distance, i before j: of one part, or of its two parts with each other.
+
+    Rows of small groups are paired by their distance in the order, those of large ones in squares.
+    """
+    start = np.flatnonzero(np.r_[True, group[1:] != group[:-1]])
+    size = np.diff(np.r_[start, len(group)])
+    small = np.flatnonzero(np.repeat(size, size) < SQUARE)
+    for i, j in same_group_pairs(group[small], SQUARE):
+        i, j = small[i], small[j]
+        near = (np.bitwise_count(fp[i] ^ fp[j]) <= distance) & ((lo[i] == hi[i]) | (part[i] != part[j]))
+        yield i[near], j[near]
+    for a, n in zip(start[size >= SQUARE].tolist(), size[size >= SQUARE].tolist(), strict=True):
+        at = np.arange(a, a + n)
+        crossed = lo[a] != hi[a]
+        left, right = (at[part[at] == lo[a]], at[part[at] == hi[a]]) if crossed else (at, at)
+        for b in range(0, len(left), 256):
+            i, j = np.nonzero(np.bitwise_count(fp[left[b : b + 256], None] ^ fp[right]) <= distance)
+            i, j = left[b + i], right[j]
+            keep = (i != j) if crossed else i < j
+            yield np.minimum(i, j)[keep], np.maximum(i, j)[keep]
+
+
 def linked(distance: int, closest: bool = False):
     """Links within each block, as a spanning forest: never more rows than the block has. With `closest`, each is a pair
     within the distance, and closer pairs come first.
@@ -175,8 +200,8 @@ def linked(distance: int, closest: bool = False):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for t in by_group(batches, ["key", "lo", "hi"], 20_000):
             key, lo, hi, part, fp, rep = (np.asarray(t.column(c)) for c in ("key", "lo", "hi", "part", "fp", "rep"))
-            new = np.r_[True, (key[1:] != key[:-1]) | (lo[1:] != lo[:-1]) | (hi[1:] != hi[:-1])]
-            group = np.cumsum(new)
+            fp = fp.view(np.uint64)  # bits of a negative number would be those of its absolute value
+            group = np.cumsum(np.r_[True, (key[1:] != key[:-1]) | (lo[1:] != lo[:-1]) | (hi[1:] != hi[:-1])])
             left, right = np.zeros(0, np.int64), np.zeros(0, np.int64)
             more: list[tuple[np.ndarray, np.ndarray]] = []
 
@@ -186,12 +211,15 @@ def linked(distance: int, closest: bool = False):
                 more.clear()
                 return i[keep], j[keep]
 
-            for i, j in same_group_pairs(group, len(group)):
-                near = (np.bitwise_count(fp[i] ^ fp[j]) <= distance) & (rep[i] != rep[j]) & ((lo[i] == hi[i]) | (part[i] != part[j]))
-                if near.any():
-                    more.append((i[near], j[near]))
-                if sum(len(x) for x, _ in more) > GATHERED:
+            held = 0
+            for i, j in near_rows(fp, group, lo, hi, part, distance):
+                other = rep[i] != rep[j]
+                if other.any():
+                    more.append((i[other], j[other]))
+                    held += len(more[-1][0])
+                if held > GATHERED:
                     left, right = thinned()
+                    held = 0
             if more:
                 left, right = thinned()
             if len(left):

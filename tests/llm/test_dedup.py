@@ -298,7 +298,7 @@ def test_similar_texts_are_brute_force(spark):
     kept = {r["doc_id"] for r in simhash.one_of_each(df).collect()}
     exact = {i for i, r in enumerate(want) if i == r}
     assert exact <= kept
-    assert len(kept - exact) <= 0.1 * (len(texts) - len(exact))
+    assert len(kept - exact) <= 0.15 * (len(texts) - len(exact))  # some just above the similarity are not met
 
 
 def test_forests_join_what_links_join():
@@ -313,3 +313,24 @@ def test_forests_join_what_links_join():
         for c in range(4):  # at every cost, the links up to it
             a, b = kept[cost[kept] <= c], cost <= c
             assert roots_of(n, zip(i[a], j[a], strict=True)) == roots_of(n, zip(i[b], j[b], strict=True))
+
+
+@pytest.mark.parametrize(("block", "closest"), [(512, False), (64, True), (10, False)])
+def test_links_are_those_within_the_distance(spark, monkeypatch, block, closest):
+    """All bits count, the sign's too; large groups and dealt ones join what brute force joins."""
+    monkeypatch.setattr(simhash, "BLOCK_ROWS", block)
+    rng = random.Random(block)
+    base = [rng.getrandbits(64) for _ in range(6)]
+    fps = [1 << 63, 0, *base, *(b ^ 1 << 63 for b in base)]
+    for _ in range(500):
+        f = rng.choice(base)
+        for _ in range(rng.randrange(5)):
+            f ^= 1 << rng.randrange(64)
+        fps.append(f)
+    fps = sorted(set(fps))
+    nodes = spark.createDataFrame([(simhash.signed(f), i) for i, f in enumerate(fps)], "fp long, rep long")
+    got = [(r["a"], r["b"]) for r in simhash.links_within(nodes, 3, closest).collect()]
+    pairs = [(i, j) for i in range(len(fps)) for j in range(i) if (fps[i] ^ fps[j]).bit_count() <= 3]
+    assert roots_of(len(fps), got) == roots_of(len(fps), pairs)
+    if closest:
+        assert all((fps[i] ^ fps[j]).bit_count() <= 3 for i, j in got)
