@@ -62,13 +62,13 @@ def pieces(sizes: Iterable[int], most: int = PIECE_BYTES) -> Iterator[tuple[int,
 def packed(docs: DataFrame, *own: str) -> DataFrame:
     """The columns `own`, and all others as fields of one column `rest`, so that none of their names can meet an operator's."""
     others = [F.col(f"`{c}`") for c in docs.columns if c not in own]
-    return docs.select(*own, (F.struct(*others) if others else F.struct(F.lit(True).alias("none"))).alias("rest"))
+    return docs.select(*own, (F.struct(*others) if others else F.struct(F.lit(True).alias("\x01"))).alias("rest"))
 
 
 def unpacked(rows: DataFrame, columns: list[str]) -> DataFrame:
     """The given columns again, in their order, from rows that `packed` made."""
-    top = set(rows.columns) - {"rest"}
-    return rows.select(*(F.col(f"`{c}`") if c in top else F.col(f"rest.`{c}`").alias(c) for c in columns))
+    packed_names = set(rows.schema["rest"].dataType.fieldNames())
+    return rows.select(*(F.col(f"rest.`{c}`").alias(c) if c in packed_names else F.col(f"`{c}`") for c in columns))
 
 
 def set_apart(docs: DataFrame, *results: str) -> DataFrame:
