@@ -15,6 +15,11 @@ from pyspark.sql import functions as F
 #: What separates words: ASCII white space. It is what bytes.split() splits at.
 WORD = "[^\\x20\\x09-\\x0D]+"
 UPPER, LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
+#: SQL for the unsigned CRC-32 of an integer's decimal digits.
+CRC32_SQL = (
+    "xor(list_reduce(list_prepend(4294967295, list_transform(string_split(CAST({} AS VARCHAR), ''), lambda x: CAST(ord(x) AS BIGINT))),"
+    " lambda c, b: list_reduce(list_prepend(xor(c, b), range(8)), lambda r, k: CASE WHEN r % 2 = 1 THEN xor(r >> 1, 3988292384) ELSE r >> 1 END)), 4294967295)"
+)
 #: Tasks hand their rows on in pieces of about so many bytes of text.
 PIECE_BYTES = 2_000_000
 

@@ -27,7 +27,7 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .common import LOWER, UPPER, saved, table
+from .common import CRC32_SQL, LOWER, UPPER, saved, table
 
 FAN = 8
 #: Levels of a builder, and its leaves.
@@ -277,3 +277,44 @@ def op12_merkle_manifest(spark, sf_dir: str) -> DataFrame:
     proofs, _ = manifest(leaves, "doc_id", "digest", "_salt")
     out = proofs.withColumn("folded_root", folded(F.coalesce("row.changed", "digest"), F.col("way")))
     return out.select("row.doc_id", F.col("digest").alias("leaf"), "subroot", "root", siblings_hash(F.col("way")).alias("proof_sha256"), "folded_root", (F.col("folded_root") == F.col("root")).alias("verified"))
+
+
+def _value_sql(x: str) -> str:
+    return f"coalesce(strlen(CAST({x} AS VARCHAR)) || ':' || CAST({x} AS VARCHAR), '-')"
+
+
+OP12_SQL = f"""
+WITH RECURSIVE docs AS (
+  SELECT row_number() OVER () AS rid, doc_id, dense_rank() OVER (ORDER BY lang NULLS FIRST) - 1 AS g,
+         sha256({" || ".join(map(_value_sql, ("doc_id", "source", "lang", "n_chars", "text")))}) AS leaf,
+         sha256({" || ".join(map(_value_sql, ("doc_id", "source", "lang", "n_chars", f"translate(text, '{UPPER}', '{LOWER}')")))}) AS low,
+         coalesce({CRC32_SQL.format("doc_id")} % 3 = 0, false) AS changed
+  FROM documents),
+leaves AS (SELECT *, row_number() OVER (PARTITION BY g ORDER BY doc_id NULLS FIRST, leaf, rid) - 1 AS idx FROM docs),
+tree AS (
+  SELECT g, 0 AS level, idx, leaf AS h, count(*) OVER (PARTITION BY g) AS n FROM leaves
+  UNION ALL
+  SELECT g, level + 1, idx // 8, sha256(string_agg(h, '' ORDER BY idx)), (n + 7) // 8 FROM tree WHERE n > 1 GROUP BY g, level, idx // 8, n),
+subs AS (SELECT g, h AS subroot, level FROM tree WHERE n = 1),
+top AS (
+  SELECT 0 AS level, g AS idx, subroot AS h, (SELECT count(*) FROM subs) AS n FROM subs
+  UNION ALL
+  SELECT level + 1, idx // 8, sha256(string_agg(h, '' ORDER BY idx)), (n + 7) // 8 FROM top WHERE n > 1 GROUP BY level, idx // 8, n),
+sides AS (
+  SELECT *, coalesce(string_agg(h, '') OVER (PARTITION BY g, level, idx // 8 ORDER BY idx ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), '') AS l,
+         coalesce(string_agg(h, '') OVER (PARTITION BY g, level, idx // 8 ORDER BY idx ROWS BETWEEN 1 FOLLOWING AND UNBOUNDED FOLLOWING), '') AS r
+  FROM (SELECT g, level, idx, h FROM tree WHERE n > 1 UNION ALL SELECT -1, level, idx, h FROM top WHERE n > 1)),
+climb AS (
+  SELECT rid, g, idx, 0 AS level, CASE WHEN changed THEN low ELSE leaf END AS cur, '' AS proof FROM leaves
+  UNION ALL
+  SELECT c.rid, c.g, c.idx // 8, c.level + 1, sha256(s.l || c.cur || s.r), c.proof || s.l || s.r
+  FROM climb c JOIN sides s ON s.g = c.g AND s.level = c.level AND s.idx = c.idx),
+over AS (
+  SELECT c.rid, c.g AS idx, 0 AS level, c.cur, c.proof FROM climb c JOIN subs s ON s.g = c.g AND s.level = c.level
+  UNION ALL
+  SELECT o.rid, o.idx // 8, o.level + 1, sha256(s.l || o.cur || s.r), o.proof || s.l || s.r
+  FROM over o JOIN sides s ON s.g = -1 AND s.level = o.level AND s.idx = o.idx),
+done AS (SELECT rid, arg_max(cur, level) AS folded_root, arg_max(proof, level) AS proof FROM over GROUP BY rid)
+SELECT d.doc_id, d.leaf, s.subroot, t.h AS root, sha256(x.proof) AS proof_sha256, x.folded_root, x.folded_root = t.h AS verified
+FROM docs d JOIN subs s ON s.g = d.g JOIN done x ON x.rid = d.rid CROSS JOIN (SELECT h FROM top WHERE n = 1) t
+"""

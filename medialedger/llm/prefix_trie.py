@@ -27,7 +27,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from .common import saved, table
+from .common import CRC32_SQL, saved, table
 from .mixing import size_of
 
 #: Conversations of a block of ids, and the number of turns they can take from its first.
@@ -190,3 +190,42 @@ def texts(nodes: DataFrame, conversations: DataFrame) -> DataFrame:
 def op11_conversation_trie(spark, sf_dir: str) -> DataFrame:
     out = trie(rebuilt(positions(table(spark, sf_dir, "conversations")), "digest", "words"))
     return out.select("conv_id", "depth", "parent_conv_id", "n_convs", "n_children", "n_leaves", "saved_tokens", "ends_sha256")
+
+
+OP11_SQL = rf"""
+WITH own AS (
+  SELECT conv_id, digest, words, row_number() OVER (PARTITION BY conv_id ORDER BY turn NULLS FIRST, role, digest) AS pos
+  FROM (SELECT CAST(conv_id AS BIGINT) AS conv_id, turn, coalesce(role, '') AS role,
+               sha256(strlen(coalesce(role, '')) || ':' || coalesce(role, '') || coalesce(text, '')) AS digest,
+               len(regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+')) AS words
+        FROM conversations WHERE conv_id IS NOT NULL)),
+ids AS (
+  SELECT conv_id, conv_id - conv_id % 20 AS base, {CRC32_SQL.format("conv_id")} % 4 AS h
+  FROM (SELECT DISTINCT conv_id FROM own)),
+turns AS (
+  SELECT i.conv_id, 0 AS part, o.pos, o.digest, o.words FROM ids i JOIN own o ON o.conv_id = i.base AND o.pos <= i.h
+  UNION ALL
+  SELECT i.conv_id, 1, o.pos, o.digest, o.words FROM ids i JOIN own o ON o.conv_id = i.conv_id AND o.pos > i.h),
+lists AS (
+  SELECT i.conv_id, coalesce(list(t.digest ORDER BY part, pos) FILTER (t.pos IS NOT NULL), []) AS ds,
+         coalesce(list(t.words ORDER BY part, pos) FILTER (t.pos IS NOT NULL), []) AS ws
+  FROM ids i LEFT JOIN turns t ON t.conv_id = i.conv_id GROUP BY i.conv_id),
+prefixes AS (
+  SELECT conv_id, d, ds, array_to_string(ds[1:d], ' ') AS node, CASE WHEN d > 0 THEN array_to_string(ds[1:d - 1], ' ') END AS up,
+         CASE WHEN d > 0 THEN ws[d] ELSE 0 END AS words, d = len(ds) AS ends
+  FROM (SELECT *, unnest(range(0, len(ds) + 1)) AS d FROM lists)),
+nodes AS (
+  SELECT node, any_value(up) AS up, min(conv_id) AS conv_id, any_value(d) AS depth, any_value(words) AS words, count(*) AS n_convs,
+         any_value(ds[1:d]) AS ds
+  FROM prefixes GROUP BY node),
+children AS (SELECT up AS node, count(*) AS n_children FROM nodes WHERE up IS NOT NULL GROUP BY up),
+above AS (
+  SELECT array_to_string(ds[1:k], ' ') AS node, words * (n_convs - 1) AS saved, leaf
+  FROM (SELECT n.*, c.node IS NULL AS leaf, unnest(range(0, depth + 1)) AS k FROM nodes n LEFT JOIN children c ON c.node = n.node)),
+sums AS (SELECT node, count(*) FILTER (leaf) AS n_leaves, sum(saved) AS saved_tokens FROM above GROUP BY node),
+ends AS (SELECT node, sha256(string_agg(CAST(conv_id AS VARCHAR), ',' ORDER BY conv_id)) AS ends_sha256 FROM prefixes WHERE ends GROUP BY node)
+SELECT n.conv_id, CAST(n.depth AS BIGINT) AS depth, p.conv_id AS parent_conv_id, n.n_convs, coalesce(c.n_children, 0) AS n_children,
+       s.n_leaves, CAST(s.saved_tokens AS BIGINT) AS saved_tokens, coalesce(e.ends_sha256, sha256('')) AS ends_sha256
+FROM nodes n LEFT JOIN nodes p ON p.node = n.up LEFT JOIN children c ON c.node = n.node JOIN sums s ON s.node = n.node
+LEFT JOIN ends e ON e.node = n.node
+"""

@@ -8,12 +8,12 @@ from pyspark.sql import DataFrame, SparkSession
 
 from .ctxmix import op6_lm_scoring
 from .langid import op7_language_id
-from .merkle import op12_merkle_manifest
+from .merkle import OP12_SQL, op12_merkle_manifest
 from .mincut_html import op8_html_extraction
 from .mixing import OP2_SQL, op2_mixing
 from .packing import op13_best_fit_packing
 from .pieces import op3_sentencepiece
-from .prefix_trie import op11_conversation_trie
+from .prefix_trie import OP11_SQL, op11_conversation_trie
 from .quality import op4_quality
 from .rotated_codes import op1_embedding_near_dedup
 from .simhash import op9_simhash
@@ -35,4 +35,4 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op12_merkle_manifest": op12_merkle_manifest,
     "op13_best_fit_packing": op13_best_fit_packing,
 }
-ORACLE: dict[str, str] = {"op2_mixing": OP2_SQL, "op5_warc": OP5_SQL}
+ORACLE: dict[str, str] = {"op2_mixing": OP2_SQL, "op5_warc": OP5_SQL, "op11_conversation_trie": OP11_SQL, "op12_merkle_manifest": OP12_SQL}
