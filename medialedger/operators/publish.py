@@ -15,7 +15,9 @@ from ..functions.paths import folder_group, photo_id, slashed, slug, strip_folde
 from ..functions.scoring import blank, split_note
 from ..functions.tags import clean_web_tags
 from .catalog import shortlist
+from .components import stored
 from .order import numbered
+from .skew import hot_join
 
 
 def gallery_items(catalog: DataFrame, config: Config, limit: int | None = None) -> DataFrame:
@@ -51,24 +53,36 @@ def manifest_put(manifest: DataFrame, new: DataFrame) -> DataFrame:
     return latest.select("photo_id", "kind", *(f"x.{c}" for c in cols)).select(*manifest.columns)
 
 
+def path_endings(keys: DataFrame, heads: DataFrame) -> DataFrame:
+    """(key, ending): the endings of keys (key, norm) that begin with one of the heads (head), which are first components of paths.
+
+    An ending may begin within a component, so each distinct component is taken apart once, and the heads that end it are looked
+    up; a key then has one row for each such head of each of its components, usually none or one.
+    """
+    parts = F.split("norm", "/")
+    each = keys.select("key", parts.alias("parts"), F.posexplode(parts).alias("at", "part"))
+    left = F.slice("parts", F.col("at") + 2, F.size("parts"))
+    each = stored(each.select("key", "part", F.when(F.size(left) > 0, F.concat(F.lit("/"), F.array_join(left, "/"))).otherwise("").alias("left")))
+    tails = each.select("part").distinct().select("part", F.explode(F.expr("transform(sequence(0, length(part)), n -> right(part, n))")).alias("head"))
+    ended = hot_join(tails, heads.select("head").distinct(), "head").groupBy("part").agg(F.collect_set("head").alias("heads"))
+    return hot_join(each, ended, "part").select("key", F.explode("heads").alias("head"), "left").select("key", F.concat("head", "left").alias("ending"))
+
+
 def resolve_tags(tags: DataFrame, items: DataFrame) -> DataFrame:
     """(photo_id, tags) for tags (key, tags): by the key's own id, else by the best photo whose rel_path ends the key.
 
-    The ending is tried on equal last components; paths without a folder may end a component and are few enough to try all.
-    Where keys meet in one photo, the last key in order wins.
+    Endings are joined with paths by equality, so neither a file name nor a suffix that all keys share makes pairs. Where keys
+    meet in one photo, the last key in order wins.
     """
-    t = tags.withColumns({"_norm": F.lower(slashed(F.col("key"))), "_id": photo_id(F.col("key"))})
-    i = items.select("photo_id", F.lower(slashed(F.col("rel_path"))).alias("_rel"), "composite", F.col("path").alias("_path"))
-    direct = t.join(i.select("photo_id"), t["_id"] == i["photo_id"]).select("key", "tags", "photo_id")
-    rest = t.join(direct.select("key").distinct(), "key", "left_anti")
-    last = lambda c: F.regexp_extract(c, "[^/]*$", 0)
-    nested = i.where(F.col("_rel").contains("/")).withColumn("_last", last(F.col("_rel")))
-    deep = rest.withColumn("_last", last(F.col("_norm"))).join(nested, "_last").where(F.col("_norm").endswith(F.col("_rel"))).select("key", "tags", "photo_id", "composite", "_path")
-    loose = i.where(~F.col("_rel").contains("/") & (F.col("_rel") != "")).withColumn("_tail", F.substring("_rel", -4, 4))
-    flat = rest.withColumn("_tail", F.substring("_norm", -4, 4)).join(loose, "_tail").where(F.col("_norm").endswith(F.col("_rel"))).select("key", "tags", "photo_id", "composite", "_path")
-    best = deep.unionByName(flat).withColumn("_n", F.row_number().over(W.partitionBy("key").orderBy(F.desc_nulls_last("composite"), "_path"))).where("_n = 1").select("key", "tags", "photo_id")
-    found = direct.unionByName(best)
-    return found.groupBy("photo_id").agg(F.max_by(F.array_sort(F.array_distinct("tags")), "key").alias("tags"))
+    t = tags.withColumns({"norm": F.lower(slashed(F.col("key"))), "_id": photo_id(F.col("key"))})
+    rel = F.lower(slashed(F.col("rel_path")))
+    order = F.struct(F.col("composite").isNull(), -F.col("composite"), F.col("path"))
+    best = items.where(rel != "").groupBy(rel.alias("ending")).agg(F.min_by("photo_id", order).alias("photo_id"), F.min(order).alias("order"))
+    direct = t.join(items.select("photo_id").distinct(), F.col("_id") == F.col("photo_id"), "left_semi").select("key", F.col("_id").alias("photo_id"))
+    rest = t.select("key", "norm").join(direct.select("key").distinct(), "key", "left_anti")
+    ended = hot_join(path_endings(rest, best.select(F.substring_index("ending", "/", 1).alias("head"))), best, "ending")
+    found = direct.unionByName(ended.groupBy("key").agg(F.min_by("photo_id", "order").alias("photo_id")))
+    return t.select("key", "tags").join(found, "key").groupBy("photo_id").agg(F.max_by(F.array_sort(F.array_distinct("tags")), "key").alias("tags"))
 
 
 def merge_web_tags(own: DataFrame, web: DataFrame, known: DataFrame) -> DataFrame:

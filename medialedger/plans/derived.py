@@ -97,9 +97,9 @@ def allowed(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def tags(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """(key, tags): the first words of documents on catalog paths."""
+    """(key, tags): the words of documents on catalog paths."""
     d = read(spark, sf_dir, "documents")
-    words = F.slice(F.split(F.coalesce("text", F.lit("")), "[ \n]+"), 1, 3)
+    words = F.split(F.coalesce("text", F.lit("")), "[ \n]+")
     n = F.col("doc_id") + 1
     o = raw_catalog(spark, sf_dir).select("path", F.regexp_extract("path", "IMG_([0-9]+)", 1).try_cast("long").alias("_n"))
     return d.select(n.alias("_n"), words.alias("tags")).join(o, "_n").select(F.col("path").alias("key"), "tags")
@@ -170,5 +170,5 @@ hearts AS (SELECT photo_id, voter FROM lastw WHERE action = 'add'),
 counts AS (SELECT photo_id, count(*) AS hearts FROM hearts GROUP BY photo_id)
 """
 TAGS_SQL = r"""
-tags AS (SELECT path AS key, regexp_split_to_array(coalesce(text, ''), '[ \n]+')[1:3] AS tags FROM documents JOIN cat ON k = doc_id + 1)
+tags AS (SELECT path AS key, regexp_split_to_array(coalesce(text, ''), '[ \n]+') AS tags FROM documents JOIN cat ON k = doc_id + 1)
 """

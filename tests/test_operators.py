@@ -427,3 +427,42 @@ def test_reports(spark, tmp_path):
     assert len(got) == 2
     assert got[0]["taken_date"] == "June 28, 2011"
     assert got[0]["tags"] == "p; q"
+
+
+def plain_tags(tags, items):
+    """Every key against every photo, as text."""
+    order = sorted(items, key=lambda r: (r["composite"] is None, -(r["composite"] or 0), r["path"]))
+    norm = lambda x: x.replace("\\", "/").lower()
+    ids = {r["photo_id"] for r in items}
+    own = {r["key"]: r["_id"] for r in tags}
+    out = {}
+    for r in sorted(tags, key=lambda r: r["key"]):
+        hit = own[r["key"]] if own[r["key"]] in ids else next((i["photo_id"] for i in order if i["rel_path"] and norm(r["key"]).endswith(norm(i["rel_path"]))), None)
+        if hit:
+            out[hit] = sorted(set(r["tags"]))
+    return out
+
+
+def test_endings_of_paths_are_brute_force(spark):
+    rng = random.Random(8)
+    names = ["a", "ba", "cba", "IMG_1.jpg", "xIMG_1.jpg", "b", "", "é"]
+    path = lambda n: rng.choice(("/", "\\", "/")).join(rng.choice(names) for _ in range(rng.randint(1, n)))
+    rels = sorted({path(3) for _ in range(120)})
+    items = spark.createDataFrame([(f"/lib/{r}", r, rng.choice((None, 1.0, 2.0, 3.0))) for r in rels], "path string, rel_path string, composite double").withColumn("photo_id", publish.photo_id(F.col("rel_path")))
+    tags = spark.createDataFrame([(k, [f"t{n}", "x"]) for n, k in enumerate(sorted({path(5) for _ in range(400)}))], "key string, tags array<string>")
+    got = {r["photo_id"]: r["tags"] for r in publish.resolve_tags(tags, items).collect()}
+    assert got == plain_tags(tags.withColumn("_id", publish.photo_id(F.col("key"))).collect(), items.collect())
+
+
+def test_shared_file_names_make_no_pairs(spark):
+    """One name in as many folders, and photos without a folder: rows grow with the keys, not with keys times photos."""
+    n = 20_000
+    keys = spark.range(n).select(F.concat(F.lit("/old/f"), F.col("id").cast("string"), F.lit("/IMG_0001.jpg")).alias("key"), F.array(F.col("id").cast("string")).alias("tags"))
+    nested = spark.range(n).select(F.concat(F.lit("f"), F.col("id").cast("string"), F.lit("/IMG_0001.jpg")).alias("rel_path"))
+    root = spark.range(2000).select(F.concat(F.lit("R"), F.col("id").cast("string"), F.lit(".jpg")).alias("rel_path"))
+    items = nested.unionByName(root).select(F.concat(F.lit("/lib/"), "rel_path").alias("path"), "rel_path", F.lit(1.0).alias("composite"), publish.photo_id(F.col("rel_path")).alias("photo_id"))
+    heads = items.select(F.substring_index(F.lower("rel_path"), "/", 1).alias("head"))
+    assert publish.path_endings(keys.select("key", F.lower("key").alias("norm")), heads).count() == n
+    got = publish.resolve_tags(keys, items)
+    assert got.count() == n
+    assert got.where(F.col("photo_id") == publish.photo_id(F.concat(F.lit("f"), F.col("tags")[0], F.lit("/IMG_0001.jpg")))).count() == n
