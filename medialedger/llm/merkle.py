@@ -248,7 +248,8 @@ def manifest(leaves: DataFrame, *order: str) -> tuple[DataFrame, list[DataFrame]
 
     The proof: (grp, subroot, root, idx, digest, row, way), with one way through the group's tree and that of the groups' roots.
     """
-    tiers = trees(numbered(leaves, "grp", *order).select("grp", "idx", "digest", "row"))
+    # written before it is dealt: finding the ranges would make every digest once more
+    tiers = trees(numbered(saved(leaves, "leaves"), "grp", *order).select("grp", "idx", "digest", "row"))
     tops = subroots(tiers).select(F.lit(0).alias("all"), F.col("digest"), F.struct("grp").alias("row"))
     tops = numbered(tops.withColumn("_k", F.col("row.grp")), "all", "_k").select(F.col("all").alias("grp"), "idx", "digest", "row")
     top = trees(tops)
