@@ -7,7 +7,9 @@ from collections import deque
 from collections.abc import Callable, Iterator
 from typing import Any
 
+import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark.errors import AnalysisException
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -20,7 +22,8 @@ from ..operators.hearts import accept_in_order, fold, heart_counts
 from ..schema import CATALOG, KEPT_ON_UPSERT
 
 REQUESTS = "photo_id string, voter string, action string, ts long, seq long"
-COUNTS = "photo_id string, hearts long, version long"
+REQUEST_COLUMNS = ["photo_id", "voter", "action", "ts", "seq"]
+CHANGES = "photo_id string, change long, run string, batch int"
 
 
 def scan_files(spark: SparkSession, folder: str) -> DataFrame:
@@ -76,85 +79,168 @@ def compact(spark: SparkSession, catalog: str, into: str) -> None:
 
 
 class RateLimiter(StatefulProcessor):
-    """Accepts a voter's writes in time order; the state is the accepted times within the window.
+    """Accepts a voter's writes in order of (ts, seq), however they come.
 
-    With an idle time, a voter that writes nothing for so many seconds of the clock is forgotten.
+    Writes wait in chunks until the watermark has passed them; no earlier one can come then, and a timer decides all that it has
+    passed. Only times and numbers are sorted, chunks are read one by one. The accepted times within the window are a list, one
+    entry each; a timer clears it when the window has passed.
     """
 
-    def __init__(self, limit: int, window: int, idle: int | None = None):
-        self.limit, self.window, self.idle = limit, window, idle
+    def __init__(self, limit: int, window: int):
+        self.limit, self.window = limit, window
 
     def init(self, handle: StatefulProcessorHandle) -> None:
-        self.times = handle.getValueState("times", "times array<long>", ttlDurationMs=1000 * self.idle if self.idle else None)
+        self.handle = handle
+        self.times = handle.getListState("times", "ts long")
+        self.waiting = [handle.getListState(f"waiting{k}", "chunk binary") for k in (0, 1)]
 
-    def handleInputRows(self, key: Any, rows: Iterator[pd.DataFrame], timer_values: Any) -> Iterator[pd.DataFrame]:
-        frame = pd.concat(list(rows)).sort_values(["ts", "seq"])
-        state = deque(self.times.get()[0] if self.times.exists() else [])
-        accepted = accept_in_order([int(t) for t in frame["ts"]], self.limit, self.window, state)
-        self.times.update((list(state),))
-        yield frame.assign(accepted=accepted)[["photo_id", "voter", "action", "ts", "seq", "accepted"]]
+    def handleInputRows(self, key: Any, rows: Iterator[pd.DataFrame], timerValues: Any) -> Iterator[pd.DataFrame]:
+        store = self.waiting[1 if self.waiting[1].exists() else 0]
+        for frame in rows:
+            if len(frame):
+                store.appendValue((packed(frame[REQUEST_COLUMNS]),))
+                self.handle.registerTimer(1000 * int(frame["ts"].min()))
+        return iter(())
+
+    def handleExpiredTimer(self, key: Any, timerValues: Any, expiredTimerInfo: Any) -> Iterator[pd.DataFrame]:
+        passed = timerValues.getCurrentWatermarkInMs() // 1000
+        times = deque(t for (t,) in self.times.get()) if self.times.exists() else deque()
+        here, there = self.waiting if self.waiting[0].exists() else reversed(self.waiting)
+        if here.exists():
+            order = [np.zeros((2, 0), np.int64)]
+            for (chunk,) in here.get():
+                at = unpacked(chunk, ["ts", "seq"])
+                order.append(at[:, at[0] <= passed])
+            ts, seq = np.concatenate(order, axis=1)
+            by_time = np.lexsort((seq, ts))
+            accepted = np.zeros(len(ts), bool)
+            accepted[by_time] = accept_in_order(ts[by_time].tolist(), self.limit, self.window, times)
+            done, least = 0, None
+            for (chunk,) in here.get():
+                frame = pa.ipc.open_stream(chunk).read_pandas()
+                now = frame["ts"] <= passed
+                n = int(now.sum())
+                if n:
+                    yield frame[now].assign(accepted=accepted[done : done + n])
+                    done += n
+                if n < len(frame):
+                    there.appendValue((packed(frame[~now]),))
+                    left = int(frame["ts"][~now].min())
+                    least = left if least is None else min(least, left)
+            here.clear()
+            if least is not None:
+                self.handle.registerTimer(1000 * least)
+        while times and times[0] < passed - self.window:
+            times.popleft()
+        if times:
+            self.times.put([(t,) for t in times])
+            self.handle.registerTimer(1000 * (times[-1] + self.window + 1))
+        else:
+            self.times.clear()
 
     def close(self) -> None:
         pass
 
 
-def limited_stream(requests: DataFrame, config: Config, idle_windows: int | None = None) -> DataFrame:
-    """requests with `accepted`, one state for each voter.
+def packed(frame: pd.DataFrame) -> bytes:
+    table = pa.Table.from_pandas(frame, preserve_index=False)
+    sink = pa.BufferOutputStream()
+    with pa.ipc.new_stream(sink, table.schema) as out:
+        out.write_table(table)
+    return sink.getvalue().to_pybytes()
+
+
+def unpacked(chunk: bytes, columns: list[str]) -> np.ndarray:
+    table = pa.ipc.open_stream(chunk).read_all()
+    return np.stack([table.column(c).to_numpy() for c in columns])
+
 
-    A stream that never ends may forget voters that were idle for so many windows; it then runs on by the clock, so a job that
-    ends when all is read has to do without.
+def limited_stream(requests: DataFrame, config: Config, late: str = "1 minute") -> DataFrame:
+    """requests with `accepted`, as `rate_limit` would decide over all of them, once no earlier write can come.
+
+    `late` is how far a write may come behind the newest one; later ones are dropped. Decisions wait for it.
     """
-    idle = idle_windows * config.heart_window if idle_windows else None
-    limiter = RateLimiter(config.heart_limit, config.heart_window, idle)
-    return requests.groupBy("voter").transformWithStateInPandas(limiter, f"{REQUESTS}, accepted boolean", "append", "processingTime" if idle else "none")
+    timed = requests.select(*REQUEST_COLUMNS, F.timestamp_seconds("ts").alias("at")).withWatermark("at", late)
+    limiter = RateLimiter(config.heart_limit, config.heart_window)
+    return timed.groupBy("voter").transformWithStateInPandas(limiter, f"{REQUESTS}, accepted boolean", "append", "eventTime")
 
 
 class HeartState(StatefulProcessor):
-    """Whether a voter hearts a photo: the write with the latest (ts, seq) decides, in whatever order they come."""
+    """Whether a voter hearts a photo: the write with the latest (ts, seq) decides, in whatever order they come.
+
+    All writes come out again with `change`: on a batch's last one 1 or -1 if the heart came or went with the batch, else 0.
+    """
 
     def init(self, handle: StatefulProcessorHandle) -> None:
         self.last = handle.getValueState("last", "ts long, seq long, hearted boolean")
 
-    def handleInputRows(self, key: Any, rows: Iterator[pd.DataFrame], timer_values: Any) -> Iterator[pd.DataFrame]:
+    def handleInputRows(self, key: Any, rows: Iterator[pd.DataFrame], timerValues: Any) -> Iterator[pd.DataFrame]:
         before = tuple(self.last.get()) if self.last.exists() else (-(1 << 62), -1, False)
-        last = before
+        last, held = before, None
         for frame in rows:
+            if not len(frame):
+                continue
             i = frame.sort_values(["ts", "seq"]).iloc[-1]
             last = max(last, (int(i["ts"]), int(i["seq"]), i["action"] == "add"))
+            if held is not None:
+                yield held
+            held = frame[REQUEST_COLUMNS].assign(change=0)
         self.last.update(last)
-        if last[2] != before[2]:
-            yield pd.DataFrame({"photo_id": [key[0]], "voter": [key[1]], "hearted": [last[2]], "ts": [last[0]], "seq": [last[1]]})
+        if held is not None:
+            held.iloc[-1, held.columns.get_loc("change")] = int(last[2]) - int(before[2])
+            yield held
 
     def close(self) -> None:
         pass
 
 
 def heart_changes(accepted: DataFrame) -> DataFrame:
-    """(photo_id, voter, hearted, ts, seq) whenever a voter's heart for a photo comes or goes."""
-    return accepted.groupBy("photo_id", "voter").transformWithStateInPandas(HeartState(), "photo_id string, voter string, hearted boolean, ts long, seq long", "append", "none")
+    """accepted writes with `change`, what each adds to its photo's hearts."""
+    return accepted.groupBy("photo_id", "voter").transformWithStateInPandas(HeartState(), f"{REQUESTS}, change int", "append", "none")
 
 
 def _log_folder(path: str, checkpoint: str) -> str:
     """Each checkpoint has a folder of its own, as its batches are numbered from 0."""
-    return f"{path}/run={hashlib.sha256(checkpoint.encode()).hexdigest()[:16]}"
+    return f"{path}/run=r{hashlib.sha256(checkpoint.encode()).hexdigest()[:16]}"
 
 
-def heart_log(requests: DataFrame, config: Config, path: str, checkpoint: str, counts: str | None = None) -> StreamingQuery:
-    """Appends accepted writes to a log; hearts and counts are derived from it, so a replay can't count twice.
+def heart_log(requests: DataFrame, config: Config, path: str, checkpoint: str, counts: str | None = None, late: str = "1 minute", roll: int = 100) -> StreamingQuery:
+    """Appends accepted writes to a log; with `counts`, also what each batch adds to each photo's hearts.
 
-    With `counts`, a table of running counts gets a new version of the photos that a batch touches, and of no others.
+    A batch is written under its number and overwritten when it is run again, so a replay can't count twice. Only the batch
+    itself is read for its changes, never the log. Every `roll` batches, changes are summed once, so that readers of the counts
+    have few of them to add.
     """
 
     def put(batch: DataFrame, number: int) -> None:
-        batch.write.mode("overwrite").parquet(f"{_log_folder(path, checkpoint)}/batch={number}")
-        if counts is not None:
-            spark = batch.sparkSession
-            touched = logged(spark, f"{_log_folder(path, checkpoint)}/batch={number}").select("photo_id").distinct()
-            new = touched.join(counts_from_log(spark, path, touched), "photo_id", "left").select("photo_id", F.coalesce("hearts", F.lit(0)).cast("long").alias("hearts"))
-            new.write.mode("overwrite").parquet(f"{counts}/version={_next_version(_table(spark, counts, COUNTS))}")
-
-    accepted = limited_stream(requests, config).where("accepted")
-    return accepted.writeStream.foreachBatch(put).option("checkpointLocation", checkpoint).trigger(availableNow=True).outputMode("append").start()
+        own = f"{_log_folder(path, checkpoint)}/batch={number}"
+        batch.write.mode("overwrite").parquet(own)
+        if counts is None:
+            return
+        spark = batch.sparkSession
+        changes = spark.read.schema(f"{REQUESTS}, change int").parquet(own).groupBy("photo_id").agg(F.sum("change").cast("long").alias("change"))
+        changes.where("change <> 0").write.mode("overwrite").parquet(f"{_log_folder(f'{counts}/changes', checkpoint)}/batch={number}")
+        if (number + 1) % roll == 0:
+            run = _log_folder("", checkpoint).removeprefix("/run=")
+            summed = _changes(spark, counts, number).where(F.col("run") == run).groupBy("photo_id").agg(F.sum("change").alias("change"))
+            summed.write.mode("overwrite").parquet(f"{counts}/sums/run={run}/batch={number}")
+
+    accepted = limited_stream(requests, config, late).where("accepted")
+    return heart_changes(accepted).writeStream.foreachBatch(put).option("checkpointLocation", checkpoint).trigger(availableNow=True).outputMode("append").start()
+
+
+def _changes(spark: SparkSession, counts: str, before: int | None = None) -> DataFrame:
+    """(run, batch, photo_id, change): of each run the newest sum, and the changes since; of batches before a number only."""
+    sums, changes = (_table(spark, f"{counts}/{t}", CHANGES) for t in ("sums", "changes"))
+    if before is not None:
+        sums = sums.where(F.col("batch") < before)
+    # a row for each run
+    newest = {r["run"]: r["batch"] for r in sums.groupBy("run").agg(F.max("batch").alias("batch")).collect()}
+    since = F.lit(True)
+    for run, batch in newest.items():
+        sums = sums.where((F.col("run") != run) | (F.col("batch") == batch))
+        since = since & ((F.col("run") != run) | (F.col("batch") > batch))
+    return sums.unionByName(changes.where(since))
 
 
 def logged(spark: SparkSession, path: str) -> DataFrame:
@@ -162,16 +248,14 @@ def logged(spark: SparkSession, path: str) -> DataFrame:
     return spark.read.schema(REQUESTS).option("recursiveFileLookup", True).parquet(path).dropDuplicates(["voter", "photo_id", "ts", "seq"])
 
 
-def counts_from_log(spark: SparkSession, path: str, photos: DataFrame | None = None) -> DataFrame:
-    """Hearts of all photos, or of the given ones."""
-    rows = logged(spark, path)
-    return heart_counts(fold(rows if photos is None else rows.join(photos, "photo_id", "left_semi")))
+def counts_from_log(spark: SparkSession, path: str) -> DataFrame:
+    """Hearts of all photos, from all that was accepted."""
+    return heart_counts(fold(logged(spark, path)))
 
 
 def running_counts(spark: SparkSession, counts: str) -> DataFrame:
-    """(photo_id, hearts): the newest version of each photo's count."""
-    rows = _table(spark, counts, COUNTS)
-    return rows.groupBy("photo_id").agg(F.max_by("hearts", "version").alias("hearts")).where("hearts > 0")
+    """(photo_id, hearts): the sum of each photo's changes."""
+    return _changes(spark, counts).groupBy("photo_id").agg(F.sum("change").alias("hearts")).where("hearts > 0")
 
 
 def windowed_hearts(requests: DataFrame, width: str = "1 hour", late: str = "10 minutes") -> DataFrame:

@@ -1,6 +1,7 @@
 """Operators on small fixtures, against plain versions."""
 
 import random
+import shutil
 import struct
 import zlib
 from collections import deque
@@ -289,18 +290,75 @@ def test_requests_are_checked(spark):
     assert tuple(counts.first()) == (3, 1, 2)
 
 
+END = [("f" * 16, "nobody", "remove", 10**9, 10**9)]
+
+
+def stream_of(spark, folder):
+    return spark.readStream.schema(jobs.REQUESTS).option("recursiveFileLookup", True).parquet(folder)
+
+
+def put_batch(spark, folder, k, rows):
+    spark.createDataFrame(rows, jobs.REQUESTS).coalesce(1).write.parquet(f"{folder}/{k}")
+
+
 def test_stream_is_batch(spark, tmp_path):
+    """Writes come out of order, within the time allowed; the log goes between batches and counts don't need it; a batch runs twice."""
     data, df = requests(spark, 300, 3)
     small = Config(heart_limit=5, heart_window=300)
-    ordered = sorted(data, key=lambda r: (r[3], r[4]))
+    rng = random.Random(7)
+    late = sorted(data, key=lambda r: r[3] + rng.randrange(400))
+    where = {k: str(tmp_path / k) for k in ("in", "log", "cp", "counts", "kept")}
+
+    def run():
+        jobs.heart_log(stream_of(spark, where["in"]), small, where["log"], where["cp"], where["counts"], "400 seconds", roll=2).awaitTermination()
+
     for k in range(3):
-        spark.createDataFrame(ordered[100 * k : 100 * (k + 1)], jobs.REQUESTS).coalesce(1).write.parquet(str(tmp_path / f"in/{k}"))
-        source = spark.readStream.schema(jobs.REQUESTS).option("recursiveFileLookup", True).parquet(str(tmp_path / "in"))
-        jobs.heart_log(source, small, str(tmp_path / "log"), str(tmp_path / "cp"), str(tmp_path / "counts")).awaitTermination()
-    got = {r["photo_id"]: r["hearts"] for r in jobs.counts_from_log(spark, str(tmp_path / "log")).collect()}
-    assert got == {r["photo_id"]: r["hearts"] for r in jobs.running_counts(spark, str(tmp_path / "counts")).collect()}
-    batch = hearts.heart_counts(hearts.fold(hearts.rate_limit(df, small).where("accepted")))
-    assert got == {r["photo_id"]: r["hearts"] for r in batch.collect()}
+        put_batch(spark, where["in"], k, late[100 * k : 100 * (k + 1)])
+        run()
+        jobs.logged(spark, where["log"]).write.parquet(f"{where['kept']}/{k}")
+        shutil.rmtree(where["log"])
+    put_batch(spark, where["in"], 3, END)
+    run()
+    jobs.logged(spark, where["log"]).write.parquet(f"{where['kept']}/3")
+    want = hearts.rate_limit(df, small).where("accepted")
+    kept = jobs.logged(spark, where["kept"]).where("voter <> 'nobody'")
+    assert sorted(r["seq"] for r in kept.collect()) == sorted(r["seq"] for r in want.collect())
+    counts = {r["photo_id"]: r["hearts"] for r in hearts.heart_counts(hearts.fold(want)).collect()}
+    assert {r["photo_id"]: r["hearts"] for r in jobs.running_counts(spark, where["counts"]).collect()} == counts
+    assert {r["photo_id"]: r["hearts"] for r in jobs.counts_from_log(spark, where["kept"]).collect()} == counts
+    assert (tmp_path / "counts/sums").exists()
+    last = max(int(p.name) for p in (tmp_path / "cp/commits").iterdir() if p.name.isdigit())
+    for p in (tmp_path / "cp/commits").glob(f"*{last}*"):
+        p.unlink()
+    run()
+    assert {r["photo_id"]: r["hearts"] for r in jobs.running_counts(spark, where["counts"]).collect()} == counts
+
+
+def test_idle_voters_are_forgotten(spark, tmp_path):
+    """After the window, a voter has no state and no timer left."""
+    small = Config(heart_limit=2, heart_window=100)
+    for k, at in enumerate((1000, 1050, 5000, 9000)):
+        put_batch(spark, str(tmp_path / "in"), k, [("p", f"v{k}", "add", at, k)])
+        out = jobs.limited_stream(stream_of(spark, str(tmp_path / "in")), small, "10 seconds")
+        seen = []
+        out.writeStream.foreachBatch(lambda b, n: seen.extend(b.collect())).option("checkpointLocation", str(tmp_path / "cp")).trigger(availableNow=True).outputMode("append").start().awaitTermination()  # noqa: B023
+    states = spark.read.format("statestore").option("path", str(tmp_path / "cp")).option("stateVarName", "times").load()
+    assert states.count() <= 1
+
+
+def test_many_writes_of_one_voter(spark, tmp_path):
+    """They are kept in chunks and read one by one."""
+    n = 60_000
+    df = spark.range(n).select(F.lit("p").alias("photo_id"), F.lit("v").alias("voter"), F.lit("add").alias("action"), (F.col("id") * 7919 % n + 1).alias("ts"), F.col("id").alias("seq"))
+    df.write.parquet(str(tmp_path / "in/0"))
+    put_batch(spark, str(tmp_path / "in"), 1, END)
+    small = Config(heart_limit=5, heart_window=300)
+    out = jobs.limited_stream(stream_of(spark, str(tmp_path / "in")), small)
+    put = lambda b, k: b.write.parquet(str(tmp_path / f"out/{k}"))
+    out.writeStream.foreachBatch(put).option("checkpointLocation", str(tmp_path / "cp")).trigger(availableNow=True).outputMode("append").start().awaitTermination()
+    got = spark.read.option("recursiveFileLookup", True).parquet(str(tmp_path / "out")).where("voter = 'v'")
+    assert got.count() == n
+    assert {r["seq"] for r in got.where("accepted").collect()} == {r["seq"] for r in hearts.rate_limit(df, small).where("accepted").collect()}
 
 
 def png(path, gray):
@@ -359,9 +417,9 @@ def test_hearts_as_keyed_state(spark, tmp_path):
     for k, batch in enumerate(batches):
         spark.createDataFrame(batch, jobs.REQUESTS).coalesce(1).write.parquet(str(tmp_path / f"in/{k}"))
         source = spark.readStream.schema(jobs.REQUESTS).option("recursiveFileLookup", True).parquet(str(tmp_path / "in"))
-        put = lambda b, n: seen.extend(tuple(r) for r in b.select("photo_id", "voter", "hearted").collect())
+        put = lambda b, n: seen.extend(tuple(r) for r in b.where("change <> 0").select("photo_id", "voter", "change").collect())
         jobs.heart_changes(source).writeStream.foreachBatch(put).option("checkpointLocation", str(tmp_path / "cp")).trigger(availableNow=True).outputMode("append").start().awaitTermination()
-    assert sorted(seen) == [("p", "v", True), ("p", "w", False), ("p", "w", True)]
+    assert sorted(seen) == [("p", "v", 1), ("p", "w", -1), ("p", "w", 1)]
 
 
 def test_logs_and_manifests(spark, tmp_path):
