@@ -7,11 +7,14 @@ from collections.abc import Iterator
 
 import pandas as pd
 from pyspark.sql import DataFrame
+from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from ..config import Config
 from ..functions.paths import voter_hash
 
+#: Steps of time in a window, in which gaps are looked for.
+STEPS = 8
 PHOTO_ID, TOKEN = "^[0-9a-f]{16}$", "^[A-Za-z0-9-]{16,64}$"
 
 
@@ -46,27 +49,53 @@ def accept_in_order(times: list[int], limit: int, window: int, state: deque[int]
     return out
 
 
-def rate_limit(requests: DataFrame, config: Config) -> DataFrame:
-    """requests (voter, ts, seq ...) with `accepted`.
+def limited_seconds(seconds: DataFrame, limit: int, window: int) -> DataFrame:
+    """(voter, ts, most) from (voter, ts, n): how many of the n writes of a second are accepted.
 
-    Acceptance depends on earlier acceptances, so a voter's writes are read in order, in Arrow batches; the state that a
-    voter needs is at most the limit's number of times, however many writes there are.
+    A voter's seconds are cut where nothing was written for longer than the window, as nothing before counts there; each piece is
+    decided on its own. Such gaps are found in steps of time, of which a voter has no more for writing more.
     """
-    limit, window = config.heart_limit, config.heart_window
-    columns = requests.columns
+    step = max(1, window // STEPS)
+    seconds = seconds.withColumn("_step", F.floor(F.col("ts") / step))
+    order = W.partitionBy("voter").orderBy("_step")
+    free = (F.col("_step") - F.lag("_step").over(order) - 1) * step
+    begins = F.coalesce(free >= window, F.lit(False)).cast("int")
+    pieces = seconds.select("voter", "_step").distinct().withColumn("_begins", begins).withColumn("_piece", F.sum("_begins").over(order))
+    same = F.col("s.voter").eqNullSafe(F.col("p.voter")) & (F.col("s._step") == F.col("p._step"))
+    cut = seconds.alias("s").join(pieces.alias("p"), same).select("s.voter", "p._piece", "s.ts", "s.n")
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        voter, state = None, deque()
+        before, state = None, deque()
         for b in batches:
-            out = []
-            for v, rows in b.groupby("voter", sort=False, dropna=False):
-                if v != voter:
-                    voter, state = v, deque()
-                out.append(pd.Series(accept_in_order(rows["ts"].tolist(), limit, window, state), index=rows.index))
-            yield b.assign(accepted=pd.concat(out) if out else [])[[*columns, "accepted"]]
-
-    kinds = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in requests.schema)
-    return requests.repartition("voter").sortWithinPartitions("voter", "ts", "seq").mapInPandas(run, f"{kinds}, accepted boolean")
+            most = []
+            for voter, piece, t, n in zip(b["voter"], b["_piece"], b["ts"], b["n"], strict=True):
+                if before != (voter, piece):
+                    before, state = (voter, piece), deque()
+                while state and state[0] < t - window:
+                    state.popleft()
+                most.append(min(n, limit - len(state)))
+                state.extend([t] * most[-1])
+            yield b[["voter", "ts"]].assign(most=most)
+
+    kinds = ", ".join(f"{c} {seconds.schema[c].dataType.simpleString()}" for c in ("voter", "ts"))
+    return cut.repartition("voter", "_piece").sortWithinPartitions("voter", "_piece", "ts").mapInPandas(run, f"{kinds}, most long")
+
+
+def rate_limit(requests: DataFrame, config: Config) -> DataFrame:
+    """requests (voter, ts, seq ...) with `accepted`: fewer than the limit accepted within the window before; ties by seq.
+
+    Acceptance depends on earlier acceptances, but only on how many there were in each second: these are decided first, from
+    counts, and the first writes of each second then get what it has. So a voter with most of the writes is dealt to many
+    tasks. A write without a time is never accepted.
+    """
+    seconds = requests.where("ts is not null").groupBy("voter", "ts").agg(F.count(F.lit(1)).alias("n"))
+    most = limited_seconds(seconds, config.heart_limit, config.heart_window)
+    both = requests.unionByName(most.withColumnRenamed("most", "_most"), allowMissingColumns=True)
+    # the row of a second's decision comes first, then its writes in order
+    order = W.partitionBy("voter", "ts").orderBy(F.col("_most").isNull(), "seq")
+    nth = F.row_number().over(order) - 1
+    ranked = both.withColumns({"_nth": nth, "_of": F.max("_most").over(order.rowsBetween(W.unboundedPreceding, 0))})
+    return ranked.where("_most is null").select(*requests.columns, F.coalesce(F.col("_nth") <= F.col("_of"), F.lit(False)).alias("accepted"))
 
 
 def fold(accepted: DataFrame) -> DataFrame:

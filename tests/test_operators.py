@@ -276,6 +276,37 @@ def test_limits_and_hearts(spark):
     assert top.count() == 1
 
 
+@pytest.mark.parametrize(("limit", "window"), [(3, 50), (1, 7), (5, 1)])
+def test_one_voter_has_all_writes(spark, limit, window):
+    """With pauses of all lengths around the window, many writes in a second, and rows that repeat or have no voter or time."""
+    rng, t, data = random.Random(limit), 1000, []
+    for k in range(1500):
+        t += rng.choice((0, 0, 1, window - 1, window, window + 1, 2 * window, rng.randrange(4 * window)))
+        data.append(("p", rng.choice(("v", "v", None)), "add", t, k))
+    data += [("p", "v", "add", None, 9000), *data[:5]]
+    df = spark.createDataFrame(data, jobs.REQUESTS)
+    out = hearts.rate_limit(df, Config(heart_limit=limit, heart_window=window)).collect()
+    want = []
+    for voter in ("v", None):
+        state = deque()
+        own = sorted((r[3], r[4]) for r in data if r[1] == voter and r[3] is not None)
+        flags = hearts.accept_in_order([x for x, _ in own], limit, window, state)
+        want += [(str(voter), *x, f) for x, f in zip(own, flags, strict=True)]
+    assert sorted((str(r["voter"]), r["ts"], r["seq"], r["accepted"]) for r in out if r["ts"] is not None) == sorted(want)
+    assert [r["accepted"] for r in out if r["ts"] is None] == [False]
+
+
+def test_pieces_of_a_voter_go_to_many_tasks(spark):
+    small = Config(heart_limit=2, heart_window=60)
+    df = spark.range(400).select(F.lit("p").alias("photo_id"), F.lit("v").alias("voter"), F.lit("add").alias("action"), (F.col("id") * 1000).alias("ts"), F.col("id").alias("seq"))
+    seconds = df.groupBy("voter", "ts").agg(F.count(F.lit(1)).alias("n"))
+    spark.conf.set("spark.sql.adaptive.coalescePartitions.enabled", "false")  # else small tasks are joined
+    used = hearts.limited_seconds(seconds, 2, 60).select(F.spark_partition_id().alias("task")).distinct().count()
+    spark.conf.unset("spark.sql.adaptive.coalescePartitions.enabled")
+    assert used > 1
+    assert hearts.rate_limit(df, small).where("accepted").count() == 400
+
+
 def test_requests_are_checked(spark):
     token = "a" * 16
     data = [("0" * 16, token), ("0" * 15, token), ("0" * 16, "short"), ("f" * 16, token), (None, None), ("0" * 15, "short")]
