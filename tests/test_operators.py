@@ -11,7 +11,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from medialedger.config import Config
-from medialedger.operators import calibrate, catalog, components, dedup, hearts, measure, publish, report, video
+from medialedger.operators import calibrate, catalog, components, dedup, hearts, measure, publish, report, search, video
 from medialedger.schema import CATALOG
 from medialedger.sources import files
 from medialedger.streaming import jobs
@@ -555,3 +555,37 @@ def test_shared_file_names_make_no_pairs(spark):
     got = publish.resolve_tags(keys, items)
     assert got.count() == n
     assert got.where(F.col("photo_id") == publish.photo_id(F.concat(F.lit("f"), F.col("tags")[0], F.lit("/IMG_0001.jpg")))).count() == n
+
+
+def test_search_is_brute_force(spark, tmp_path):
+    """Terms within texts and tags, over their borders, with repeated letters, short ones and none."""
+    rng = random.Random(11)
+    words = ["ana", "banana", "an", "Größe", "a", "nan", "x y", "2019 - Trip", "_"]
+    df = rows(spark, [{"path": f"/{k}", "folder": rng.choice(words), "filename": f"{rng.choice(words)}{k}.jpg", "verdict": "STRONG", "composite": 70.0, "aesthetic_raw": 5.0} for k in range(300)])
+    df = df.withColumn("tags", F.when(F.length("folder") > 2, F.array(F.col("filename"), F.lit("banana"))).otherwise(F.array().cast("array<string>")))
+    df = df.unionByName(df.limit(3))
+    index = str(tmp_path / "index")
+    search.write_index(df, index)
+    everything = report.card_filter(duplicates=True)
+    for term in ("banana", "nanan", "ana", "ANA|B", "ÖSSE", "größe1", "größe", "an", "", "2019 - trip", "nothing like it", "a2", "jpg|ban"):
+        got = sorted(r["path"] for r in search.search_cards(df, index, term, everything).collect())
+        assert got == sorted(r["path"] for r in df.where(report.card_filter(duplicates=True, text=term)).collect()), term
+    with pytest.raises(ValueError, match="no posting list"):
+        search.find(spark, index, "ab")
+
+
+def test_search_reads_posted_rows(spark, tmp_path):
+    """Of many posting lists only the row groups of the term's are read, and no card is."""
+    df = rows(spark, [{"path": f"/{k}", "folder": "some folder of many", "filename": f"{k * 7919 % 100_000:06d}.jpg"} for k in range(4000)]).withColumn("tags", F.array(F.lit("one"), F.lit("two")))
+    index = str(tmp_path / "index")
+    spark.sparkContext._jsc.hadoopConfiguration().setInt("parquet.block.size", 1 << 16)
+    search.write_index(df, index)
+    spark.sparkContext._jsc.hadoopConfiguration().unset("parquet.block.size")
+    spark.conf.set("spark.sql.adaptive.enabled", "false")
+    found = search.find(spark, index, "007919")
+    assert [r["path"] for r in found.collect()] == ["/1"]
+    leaves = found._jdf.queryExecution().executedPlan().collectLeaves()
+    read = sum(leaves.apply(k).metrics().apply("numOutputRows").value() for k in range(leaves.size()) if "Scan" in leaves.apply(k).nodeName() and "parquet" in leaves.apply(k).nodeName())
+    spark.conf.unset("spark.sql.adaptive.enabled")
+    total = spark.read.parquet(index).count()
+    assert 0 < read < total / 5
