@@ -73,15 +73,33 @@ def test_equal_frames_and_bursts(spark):
     assert flagged.columns == df.columns
 
 
-def test_percentiles_are_nearest(spark):
-    for n in (1, 2, 5, 40, 101):
-        values = [(i * 37 % n) / 10 for i in range(n)]
-        df = spark.createDataFrame([(v,) for v in values] + [(None,)], "v double")
-        qs = (0.0, 0.02, 0.5, 0.8, 0.95, 0.99, 1.0)
-        want = [sorted(values)[min(n - 1, int(round(q * (n - 1))))] for q in qs]
-        assert calibrate.nearest_percentiles(df, "v", qs) == want
-        assert calibrate.nearest_percentiles(df, "v", qs, exact_distinct=0) == want
-    assert calibrate.nearest_percentiles(spark.createDataFrame([], "v double"), "v", (0.5,)) == [None]
+def test_order_statistics_are_brute_force(spark):
+    """Of all sizes, signs and magnitudes, of values that differ in their last bit, of ties, nulls and numbers that are none."""
+    rng = random.Random(2)
+    qs = (0.0, 0.02, 0.5, 0.8, 0.95, 0.99, 1.0)
+    want = lambda x: [sorted(x)[min(len(x) - 1, int(round(q * (len(x) - 1))))] for q in qs]
+    columns = [[(i * 37 % n) / 10 for i in range(n)] for n in (1, 2, 5, 40, 101)]
+    columns += [
+        [rng.uniform(-1, 1) * 10 ** rng.randint(-300, 300) for _ in range(300)],
+        [1 + k * 2.0**-52 for k in range(200)],
+        [-1 - k * 2.0**-52 for k in range(200)],
+        [0.0, -0.0, 5e-324, -5e-324, float("inf"), float("-inf"), 1e308] * 20,
+        [7.25] * 50 + [7.5],
+    ]
+    most = max(map(len, columns))
+    table = [tuple(c[k] if k < len(c) else None for c in columns) for k in range(most)]
+    names = [f"v{i}" for i in range(len(columns))]
+    df = spark.createDataFrame(table, ", ".join(f"{c} double" for c in names)).repartition(3)
+    got = calibrate.order_statistics(df, dict.fromkeys(names, qs))
+    for c, values in zip(names, columns, strict=True):
+        assert got[c].n == len(values)
+        assert got[c].values == want(values), c
+    none = calibrate.order_statistics(df.limit(0), {"v0": (0.5,), "v1": ()})
+    assert none == {"v0": (0, [None]), "v1": (0, [])}
+    odd = spark.createDataFrame([(float("nan"),), (1.0,), (None,)], "v double")
+    first, last = calibrate.order_statistics(odd, {"v": (0.0, 1.0)})["v"].values
+    assert first == 1.0
+    assert last != last
 
 
 def test_calibration(spark):
