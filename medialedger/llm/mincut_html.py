@@ -32,14 +32,16 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from .common import table
+from .markup import short_numbers, tokens
 
 #: Pages from which the classifier is fitted.
 SAMPLE_PAGES = 400
 #: Most that an edge costs, between neighbours and within a container.
 NEAR, INSIDE = 0.6, 0.6
 
-TOKEN = re.compile(r"<!--.*?(?:-->|\Z)|<(script|style|noscript|template|textarea|iframe)\b(?:\"[^\"]*\"|'[^']*'|[^'\">])*>.*?(?:</\1\s*>|\Z)|<(/?)([a-zA-Z][\w:-]*)((?:\"[^\"]*\"|'[^']*'|[^'\">])*)>|<[!?/][^>]*>", re.S | re.I)
-ATTRIBUTE = re.compile(r"\b(class|id|role|hidden|style)\b\s*(?:=\s*(\"[^\"]*\"|'[^']*'|[^\s\"'>]+))?", re.I)
+#: Elements of which nothing is looked at.
+RAW = frozenset("script style noscript template textarea iframe".split())
+ATTRIBUTE = re.compile(r"(?<![\w:.-])(class|id|role|hidden|style)(?![\w:.-])\s*+(?:=\s*+(\"[^\"]*\"|'[^']*'|[^\s\"'>]+))?", re.I)
 VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
 BLOCK = frozenset("address article aside blockquote body center dd details dialog div dl dt fieldset figcaption figure footer form h1 h2 h3 h4 h5 h6 head header hr html legend li main menu nav ol p pre section summary table tbody td tfoot th thead title tr ul button label option caption".split())
 ENDS_P = BLOCK - {"li", "dd", "dt", "td", "th", "tr", "label", "option", "button"}
@@ -48,7 +50,7 @@ SIBLING = {"li": ("li",), "dd": ("dd", "dt"), "dt": ("dd", "dt"), "tr": ("tr", "
 DROPPED = frozenset("svg object select".split())
 KEEPS_LIST = frozenset("ul ol dl table tbody thead tfoot menu select".split())
 #: Containers whose tag or name tells their role. Fixed values.
-AWAY_TAGS = frozenset("nav footer aside form head title menu button dialog label".split())
+AWAY_TAGS = frozenset("nav footer aside head title menu button dialog label".split())
 AWAY_NAMES = frozenset("ad ads advert adverts advertisement banner breadcrumb breadcrumbs comment comments commentlist cookie cookies consent copyright disclaimer discussion disqus dropdown footer footnav gdpr login masthead menu menubar modal nav navbar navigation newsletter notice notices notification pager pagination popup promo promoted promotion related replies reply respond recommended search share sharing sidebar sidenav signin signup skip social sponsor sponsored subscribe subscription tagcloud toolbar topbar widget widgets".split())
 AWAY_ROLES = frozenset("navigation banner contentinfo complementary search form dialog alert menu menubar".split())
 MAIN_TAGS = frozenset(("article", "main"))
@@ -58,10 +60,14 @@ SPACE = re.compile(r"\s+")
 #: Starting weights of what is fitted: none, size, links, heading, list item, paragraph, end of a sentence, links of the
 #: container, unlinked share of the region, name says away, name says main.
 PRIOR = np.array([-1.5, 0.35, -3.0, 0.3, -0.4, 0.5, 0.4, -1.5, 3.0, -4.0, 2.5])
-#: Weights of what elements say: away, main, outside of the marked article, outside of what a name marks.
-STATED = np.array([-7.0, 3.5, -5.0, -2.0])
+#: Weights of what elements say: away, main, outside of the marked article, outside of what a name marks, and of a name that
+#: says away within the marked article.
+STATED = np.array([-7.0, 3.5, -5.0, -2.0, -5.0])
 #: Least share of the text, but for what elements say is away, that a marked article has.
 MARKED = 0.2
+#: A form with this share of the page's text, or a container with this share of the article's, is the page's own, whatever
+#: it is called.
+MOST = 0.5
 
 
 @dataclass(slots=True)
@@ -73,6 +79,8 @@ class Role:
     name_away: bool = False
     name_main: bool = False
     region: int = 0
+    form: int = 0  # the outermost form
+    named: int = 0  # the outermost container whose name says away
 
 
 @dataclass(slots=True)
@@ -89,10 +97,10 @@ class Block:
 def role(tag: str, attributes: str, around: Role, number: int) -> Role:
     away, main = tag in AWAY_TAGS or (tag == "header" and not around.main), tag in MAIN_TAGS
     votes = [0, 0]
-    if attributes and ("=" in attributes or "hidden" in attributes):
+    if attributes and ("=" in attributes or "hidden" in attributes.lower()):
         for m in ATTRIBUTE.finditer(attributes):
             key, value = m[1].lower(), (m[2] or "").strip("\"'").lower()
-            if key == "hidden" and not m[2] or key == "style" and re.search(r"display\s*:\s*none", value):
+            if key == "hidden" or key == "style" and re.search(r"display\s*:\s*none", value):
                 away = True
             elif key == "role":
                 away, main = away or value in AWAY_ROLES, main or value in ("main", "article")
@@ -108,9 +116,12 @@ def role(tag: str, attributes: str, around: Role, number: int) -> Role:
                     elif any(p in MAIN_NAMES for p in parts):
                         votes[1] += 1
     name_away, name_main = bool(votes[0]) and not votes[1], bool(votes[1]) and not votes[0]
-    if not (away or main or name_away or name_main):
+    form = number if tag == "form" else 0
+    if not (away or main or name_away or name_main or form):
         return around
-    return Role(away or around.away, main or around.main, name_away or around.name_away, name_main or around.name_main, around.region or number)
+    region = around.region or (number if away or main or name_away or name_main else 0)
+    named = around.named or (number if name_away else 0)
+    return Role(away or around.away, main or around.main, name_away or around.name_away, name_main or around.name_main, region, around.form or form, named)
 
 
 def blocks_of(page: str) -> list[Block]:
@@ -126,7 +137,7 @@ def blocks_of(page: str) -> list[Block]:
     def flush() -> None:
         nonlocal linked, shallow
         if text:
-            words = SPACE.sub(" ", html.unescape("".join(text))).strip()
+            words = SPACE.sub(" ", html.unescape(short_numbers("".join(text)))).strip()
             if words:
                 top = len(stack) - 1
                 while top and stack[top][0] not in BLOCK:
@@ -153,18 +164,16 @@ def blocks_of(page: str) -> list[Block]:
         shallow = min(shallow, at)
 
     pos = 0
-    for m in TOKEN.finditer(page):
-        if m.start() > pos and not dropped:
-            piece = page[pos : m.start()]
+    for start, end, kind, tag, attributes in tokens(page, RAW):
+        if start > pos and not dropped:
+            piece = page[pos:start]
             text.append(piece)
             if links:
                 linked += len(piece)
-        pos = m.end()
-        tag = m[3]
-        if tag is None:
+        pos = end
+        if kind not in ("open", "close"):
             continue
-        tag = tag.lower()
-        if m[2]:
+        if kind == "close":
             if not open_tags[tag]:
                 continue
             above, block = 0, tag in BLOCK
@@ -183,7 +192,7 @@ def blocks_of(page: str) -> list[Block]:
             if open_tags["svg"] and not open_tags["foreignobject"] and tag in BLOCK and tag != "title":
                 close(next(k for k, x in enumerate(stack) if x[0] == "svg"))  # blocks end an open drawing
             else:
-                if tag not in VOID and not m[4].endswith("/"):
+                if tag not in VOID and not attributes.endswith("/"):
                     number += 1
                     push(tag, stack[-1][1])
                 continue
@@ -206,10 +215,10 @@ def blocks_of(page: str) -> list[Block]:
                         break
                     if stack[at][0] in KEEPS_LIST:
                         break
-        if tag in VOID or m[4].endswith("/") and tag not in BLOCK:
+        if tag in VOID or attributes.endswith("/") and tag not in BLOCK:
             continue
         number += 1
-        push(tag, role(tag, m[4], stack[-1][1], number))
+        push(tag, role(tag, attributes, stack[-1][1], number))
     if not dropped:
         text.append(page[pos:])
     flush()
@@ -221,12 +230,14 @@ def features(blocks: list[Block]) -> tuple[np.ndarray, np.ndarray]:
     size = np.array([len(b.text) for b in blocks], float)
     linked = np.array([b.linked for b in blocks])
     away, main, name_away, name_main = np.array([(b.role.away, b.role.main, b.role.name_away, b.role.name_main) for b in blocks]).T
-    main, name_main = main & ~away, name_main & ~name_away
 
     def sums(ids: list[int], values: np.ndarray) -> np.ndarray:
         _, at = np.unique(ids, return_inverse=True)
         return np.bincount(at, values)[at]
 
+    form = np.array([b.role.form for b in blocks])
+    away = away | (form > 0) & (sums(form, size * ~away) < MOST * max(1.0, size[~away].sum()))
+    main, name_main = main & ~away, name_main & ~name_away
     container = [b.container for b in blocks]
     region = [b.role.region or b.container for b in blocks]
     unlinked = size * (1 - linked)
@@ -246,8 +257,9 @@ def features(blocks: list[Block]) -> tuple[np.ndarray, np.ndarray]:
     ]
     rest = max(1.0, size[~away].sum())
     marked, named = size[main].sum() >= MARKED * rest, size[name_main & ~away].sum() >= MARKED * rest
-    # a name within the article that speaks against it leaves the block to the classifier
-    stated = [away, main & ~name_away, ~main & marked, ~name_main & ~main & (named and not marked)]
+    # a small part of the article whose name speaks against it is none of it; a large one is left to the classifier
+    within = main & name_away & (sums([b.role.named for b in blocks], size * main) < MOST * size[main].sum())
+    stated = [away, main & ~name_away, ~main & marked, ~name_main & ~main & (named and not marked), within]
     return np.stack(seen, axis=1).astype(float), np.stack(stated, axis=1).astype(float)
 
 
@@ -359,7 +371,7 @@ def train(pages: DataFrame, n: int = SAMPLE_PAGES) -> np.ndarray:
 
 
 def extracted(pages: DataFrame, weights: np.ndarray) -> DataFrame:
-    """pages, but for their html, with text and n_chars."""
+    """pages, but for their html, with text and n_chars; columns of these names are replaced."""
     columns = [c for c in pages.columns if c not in ("html", "text", "n_chars")]
 
     def go(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:

@@ -2,11 +2,14 @@
 
 Both new records refer to the response they come from (WARC-Refers-To), keep its target, date and payload digest, and carry
 a digest of their own block. Record ids are UUIDs made from the response's id, so a rerun gives the same records. Everything
-is column expressions but for joining what was read to whole records: deriving and writing never leave the JVM, and nothing is shuffled.
+is column expressions but for joining what was read to whole records, and for pages whose markup is malformed or very long: regular
+expressions could take time that grows with the square of such a page, so these are read by a scanner that passes once, in Arrow
+batches. Nothing is shuffled.
 
 Defined cases: references by name are those of HTML with their semicolon; without it they stay, as in OP5_SQL (HTML would
-decode some); comments, scripts and styles without an end run to the end of the page; a null payload is empty; a response without links or title has an empty list and an empty title; null targets
-stay null and their header line is left out; responses without an id get one from their target and payload.
+decode some); comments, scripts and styles without an end run to the end of the page; a null payload is empty; a response
+without links or title has an empty list and an empty title; null targets stay null and their header line is left out; responses
+without an id get one from their target and payload. Columns of responses that have the name of a result are replaced.
 """
 
 from __future__ import annotations
@@ -15,11 +18,13 @@ import re
 from collections.abc import Callable, Iterator
 from html.entities import html5
 
+import pandas as pd
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from .common import table, texts
+from .markup import Scanner, tokens
 
 CRLF = "\r\n"
 VERSION, LENGTH = b"WARC/1.0\r\n", re.compile(rb"(?im)^Content-Length:[ \t]*(\d+)")
@@ -34,7 +39,8 @@ REST = r"""(?:[^>=]++|=\s*+"[^"]*+"|=\s*+'[^']*+'|=)*+>"""
 HIDDEN = rf"(?is)<(?:!--.*?(?:-->|\z)|script\b{REST}.*?(?:</script\s*>|\z)|style\b{REST}.*?(?:</style\s*>|\z)|noscript\b{REST}.*?</noscript\s*>|template\b{REST}.*?</template\s*>|head\b{REST}.*?</head\s*>)"
 #: White space that isn't a single blank already.
 SPACES = r"[\x09-\x0D][\x20\x09-\x0D]*|\x20[\x20\x09-\x0D]+"
-BREAKS = rf"(?i)</?(?:address|article|aside|blockquote|body|br|dd|div|dl|dt|fieldset|figcaption|figure|footer|form|h[1-6]|header|hr|li|main|nav|ol|p|pre|section|table|td|th|tr|ul)\b{REST}"
+BREAK_TAGS = "address article aside blockquote body br dd div dl dt fieldset figcaption figure footer form h1 h2 h3 h4 h5 h6 header hr li main nav ol p pre section table td th tr ul".split()
+BREAKS = rf"(?i)</?(?:{'|'.join(BREAK_TAGS)})\b{REST}"
 TAG = rf"<(?:/?[a-zA-Z]{REST}|[!?/][^>]*+>)"
 VALUE = r"""(?:"[^"]*+"|'[^']*+'|[^\s"'>][^\s>]*+)"""
 #: The value of the first href of each link, with its quotes if it has any.
@@ -93,7 +99,7 @@ def plain_text(page: Column) -> Column:
     """Visible text: a line for each block, with single blanks and without empty lines."""
     text = F.regexp_replace(F.regexp_replace(F.regexp_replace(page, HIDDEN, " "), SPACES, " "), BREAKS, "\n")
     text = decoded(F.regexp_replace(text, TAG, ""))
-    return F.trim(F.regexp_replace(F.regexp_replace(text, " *\n[ \n]*", "\n"), " {2,}", " "), F.lit(" \n"))
+    return F.trim(F.regexp_replace(F.regexp_replace(text, "(?<! ) *+\n[ \n]*+", "\n"), " {2,}", " "), F.lit(" \n"))
 
 
 def links(page: Column) -> Column:
@@ -105,6 +111,69 @@ def title(page: Column) -> Column:
     return F.trim(F.regexp_replace(decoded(F.regexp_extract(page, TITLE, 1)), SPACES, " "))
 
 
+#: Limits of what regular expressions read: characters of a page and of a tag, and elements whose end is looked for.
+PAGE_MOST, TAG_MOST, SOUGHT_MOST = 300_000, 2000, 32
+
+
+def well_formed(page: Column) -> Column:
+    """Whether regular expressions read a page in time in proportion: every tag ends before the next begins, and is short."""
+    bare = F.regexp_replace(page, f"<[a-zA-Z/!?][^<>]{{0,{TAG_MOST}}}+>", "")
+    sought = F.regexp_count(page, F.lit(r"(?i)<(?:noscript|template|head|title)\b"))
+    return (F.length(page) <= PAGE_MOST) & ~bare.rlike("<[a-zA-Z/!?]") & (sought <= SOUGHT_MOST)
+
+
+SPACE_RUN, LINES, BLANKS = re.compile("[\x20\x09-\x0D]+"), re.compile(r"(?<! ) *+\n[ \n]*+"), re.compile(" {2,}")
+REFERENCE = re.compile(r"&(?:#0*([0-9]+);?|#[xX]0*([0-9a-fA-F]+);?|([a-zA-Z][a-zA-Z0-9]*+;))")
+LINK_START, TITLE_START = re.compile(r"<a(?=[\s/])", re.I), re.compile(r"<title\b", re.I)
+HREF = re.compile(LINK.removeprefix("(?i)<a(?=[\\s/])"), re.I)
+
+
+def decoded_text(text: str) -> str:
+    def one(m: re.Match) -> str:
+        if m[3]:
+            return NAMES.get(m[3], m[0])
+        digits, base, most = (m[1], 10, 8) if m[1] else (m[2], 16, 7)
+        code = int(digits, base) if len(digits) < most else 0
+        if code in C1:
+            return C1[code]
+        return chr(code) if 0 < code <= 0x10FFFF and not 0xD800 <= code <= 0xDFFF else "\ufffd"
+
+    return REFERENCE.sub(one, text)
+
+
+def scanned(page: str) -> tuple[str, list[str], str]:
+    """(plain text, links, title) of any page, as the expressions have them, in one pass each."""
+    parts, pos = [], 0
+    for start, end, kind, tag, _ in tokens(page, frozenset(("script", "style")), frozenset(("noscript", "template", "head"))):
+        parts.append(SPACE_RUN.sub(" ", page[pos:start]))
+        parts.append(" " if kind in ("comment", "raw") else "\n" if tag in BREAK_TAGS else "")
+        pos = end
+    parts.append(SPACE_RUN.sub(" ", page[pos:]))
+    text = BLANKS.sub(" ", LINES.sub("\n", decoded_text("".join(parts)))).strip(" \n")
+    scan, found, pos = Scanner(page), [], 0
+    while m := LINK_START.search(page, pos):
+        end = scan.tag_end(m.end())
+        pos = end if end > 0 else len(page)
+        href = HREF.match(page[m.end() : pos])
+        if href:
+            value = href[1]
+            found.append(decoded_text(value[1:-1] if len(value) > 1 and value[0] == value[-1] in "\"'" else value))
+    m = TITLE_START.search(page)
+    begin = scan.tag_end(m.end()) if m else -1
+    end = scan.close_of("title", begin) if begin > 0 else None
+    return text, found, SPACE_RUN.sub(" ", decoded_text(page[begin : end[0]])).strip(" ") if end else ""
+
+
+def scanned_pages(page: Column) -> Column:
+    """`scanned` of pages that are not null."""
+
+    def go(pages: pd.Series) -> pd.DataFrame:
+        rows = [scanned(p) if p is not None else (None, None, None) for p in pages]
+        return pd.DataFrame({"text": pd.Series([r[0] for r in rows], dtype=object), "links": pd.Series([r[1] for r in rows], dtype=object), "title": pd.Series([r[2] for r in rows], dtype=object)})
+
+    return F.pandas_udf(go, "text string, links array<string>, title string")(page)
+
+
 def responses_of(pages: DataFrame, url: str = "url", payload: str = "html", date: str = "1970-01-01T00:00:00Z") -> DataFrame:
     """pages as response records: their columns, `record_id`, `target_uri`, `warc_date`, `http_header`, `payload`, `payload_digest`."""
     p = F.coalesce(F.col(payload).cast("string"), F.lit(""))
@@ -116,19 +185,22 @@ def responses_of(pages: DataFrame, url: str = "url", payload: str = "html", date
 def derivatives(responses: DataFrame) -> DataFrame:
     """Two records for each response, in columns beside those of the response but for its payload and headers."""
     own = [c for c in responses.columns if c not in ("record_id", "target_uri", "warc_date", "http_header", "payload", "payload_digest", "warc_type", "refers_to", "content_type", "block", "block_digest", "content_length", "n_links")]
-    r = responses.withColumn("_links", links(F.col("payload")))
+    r = responses.withColumn("_fine", well_formed(F.col("payload")))
+    r = r.withColumn("_scanned", scanned_pages(F.when(~F.col("_fine"), F.col("payload"))))
+    either = lambda f, c: F.when(F.col("_fine"), f(F.col("payload"))).otherwise(F.col(f"_scanned.{c}"))
+    r = r.withColumn("_links", either(links, "links"))
     envelope = F.struct(
         F.col("target_uri").alias("target"),
         F.col("record_id").alias("source"),
         F.col("payload_digest").alias("payload_digest"),
         F.octet_length("payload").alias("payload_length"),
         F.filter(F.split("http_header", CRLF), lambda x: x != "").alias("headers"),
-        title(F.col("payload")).alias("title"),
+        either(title, "title").alias("title"),
         F.col("_links").alias("links"),
     )
     kinds = F.array(
         F.struct(F.lit("metadata").alias("warc_type"), F.lit("application/json").alias("content_type"), F.to_json(envelope, {"ignoreNullFields": "false"}).alias("block")),
-        F.struct(F.lit("conversion").alias("warc_type"), F.lit("text/plain; charset=utf-8").alias("content_type"), plain_text(F.col("payload")).alias("block")),
+        F.struct(F.lit("conversion").alias("warc_type"), F.lit("text/plain; charset=utf-8").alias("content_type"), either(plain_text, "text").alias("block")),
     )
     out = r.withColumn("_k", F.explode(kinds))
     return out.select(

@@ -440,6 +440,70 @@ def test_markup_of_real_pages(spark):
     assert text[2] == text[3] == text[4] == "before"
 
 
+ENDLESS = {
+    "open quotes": '<a b="' * 170_000,
+    "quoted ends": '<a b=">" ' * 110_000,
+    "two kinds of quotes": "<a b='>\" " * 110_000,
+    "open noscript": "<noscript>" * 100_000,
+    "open title": "<title>" * 140_000,
+    "open head and template": "<head><template>" * 60_000,
+    "open script": "<script" * 140_000,
+    "comments": "<!--" * 250_000,
+    "quotes": '"' * 1_000_000,
+    "less than": "<" * 1_000_000,
+    "declarations": "<!" * 400_000 + "<!--",
+    "tags": "<b " * 300_000 + "<!--",
+    "number": "&#" + "9" * 1_000_000 + ";",
+    "references": "&nbsp;" * 170_000,
+    "attributes": "<a " + "b=c " * 250_000 + ">",
+    "end tags": "</p" * 330_000,
+    "blanks": "<a" + " " * 1_000_000,
+}
+
+
+@pytest.mark.parametrize("name", ENDLESS)
+def test_no_page_hangs(name):
+    """Pages of about 1 MB that never end what they begin."""
+    for read in (mincut_html.main_text, warc.scanned):
+        for page in (ENDLESS[name], ENDLESS[name] + f"<p>{LONG}</p>"):
+            start = time.process_time()
+            read(page)
+            assert time.process_time() - start < 2, read
+
+
+def test_archives_of_endless_pages(spark):
+    pages = spark.createDataFrame([(k, v) for k, v in enumerate(ENDLESS.values())], "page_id long, html string").withColumn("url", F.lit("u"))
+    start = time.perf_counter()
+    assert warc.derivatives(warc.responses_of(pages)).select(F.sum("content_length")).first()[0] > 0
+    assert time.perf_counter() - start < 60
+    assert warc.derivatives(warc.responses_of(pages.limit(0))).count() == 0
+
+
+def test_scanner_reads_as_the_expressions_do(spark):
+    """Well-formed pages by either way, with references, lines, hidden parts and links of all kinds."""
+    rng = random.Random(6)
+    parts = ["<p>", "</p>", "<br/>", "text", " ", "\n", "&amp;", "&#65;", "&#x41", "&eacute;", "&bad;", "&#150;", "&#0;", "&nbsp;", "<b class='x'>", "</b>", '<a href="/x?a=1&amp;b">', "<a title=y href='/z'>", "<a href=/q>", "</a>", "<!-- c -->", "<script>var x</script>", "<style>y</style>", "<noscript>n</noscript>", "<title>A &lt; b</title>", "<head><meta charset=x></head>", "<!doctype html>", "<h2 id=k>", "</h2>", "1 < 2"]
+    pages = ["".join(rng.choice(parts) for _ in range(rng.randint(0, 40))) for _ in range(400)]
+    rows = spark.createDataFrame([(p,) for p in pages], "p string")
+    got = rows.select("p", warc.well_formed(F.col("p")).alias("fine"), F.struct(warc.plain_text(F.col("p")), warc.links(F.col("p")), warc.title(F.col("p"))).alias("x")).collect()
+    assert sum(r["fine"] for r in got) > 300
+    for r in got:
+        if r["fine"]:
+            assert tuple(r["x"]) == warc.scanned(r["p"]), r["p"]
+
+
+def test_parts_of_an_article():
+    """What is hidden or an advert goes, and a form that holds the page stays."""
+    main = mincut_html.main_text
+    for hidden in ("hidden", 'hidden=""', "HIDDEN='hidden'", 'style="display: none"'):
+        assert main(f"<body><article><p>{LONG}</p><div {hidden}>{LONG}</div></article>") == LONG.strip()
+    assert main(f'<body><article aria-hidden="false" data-id="comments"><p>{LONG}</p></article>') == LONG.strip()
+    assert main(f'<body><article><p>{LONG}</p><div class="ad">Buy this now.</div><p>{LONG}</p></article>') == f"{LONG.strip()} {LONG.strip()}"
+    assert main(f"<body><form action=x><nav><a href=1>menu</a></nav><div><p>{LONG}</p><p>{LONG}</p></div><footer>Foot</footer></form>") == f"{LONG.strip()} {LONG.strip()}"
+    assert main(f"<body><article><p>{LONG}</p></article><form><p>Sign up here now please.</p></form>") == LONG.strip()
+    assert main(f'<body><main><p>{LONG}</p><p>{LONG}</p><section class="comments"><p>I disagree. {LONG}</p></section></main>') == f"{LONG.strip()} {LONG.strip()}"
+
+
 def test_pipeline(spark, docs):
     cp = pytest.importorskip("corpus_pipeline")
     ids, frame = None, docs
