@@ -120,13 +120,39 @@ def _free_slugs(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         yield b.assign(slug=out)[["gallery", "idx", "slug"]]
 
 
+def contested(bases: DataFrame) -> DataFrame:
+    """base of those of the plain slugs (base, k of galleries) that can meet another's numbers, or whose numbers can meet another.
+
+    A slug `x-n` is met by the n-th gallery of `x` at the earliest, and later by as many as `x` has slugs of others below n; so most
+    numbered names are met by nobody.
+    """
+    parts = r"^(.*)-([1-9][0-9]{0,8})$"
+    numbers = bases.select("base", F.regexp_extract("base", parts, 1).alias("over"), F.regexp_extract("base", parts, 2).try_cast("long").alias("n")).where("n >= 2")
+    taken = numbers.join(bases.select(F.col("base").alias("over")), "over", "left_semi").select("base", F.lit(1).alias("own"))
+    # a slug that may be gone when its first gallery comes needs a number more
+    reach = bases.join(taken, "base", "left").select(F.col("base").alias("over"), (F.col("k") + F.coalesce("own", F.lit(0))).alias("reach")).where("reach > 1")
+    nth = F.row_number().over(W.partitionBy("over").orderBy("n"))
+    met = numbers.join(reach, "over").withColumn("_nth", nth).where(F.col("n") < F.col("reach") + F.col("_nth"))
+    return met.select(F.explode(F.array("base", "over")).alias("base")).distinct()
+
+
 def gallery_slugs(index: DataFrame) -> DataFrame:
     """(gallery, idx, slug): slugs that collide are numbered in order, past taken ones.
 
-    Only names that agree but for numbers at their ends can take each other's slug, so each such family is numbered alone.
+    Galleries of one plain slug are numbered by their place among them, in ranges of the order. Only where a number can meet
+    another gallery's plain slug do names depend on each other; these come in order, by family (names that agree but for
+    numbers at their ends).
     """
-    named = index.withColumn("plain", slug(F.col("gallery"))).withColumn("family", F.regexp_replace(F.lower("plain"), "(-[0-9]+)+$", ""))
-    return named.repartition("family").sortWithinPartitions("family", "idx").mapInPandas(_free_slugs, "gallery string, idx int, slug string")
+    plain = slug(F.col("gallery"))
+    named = numbered(index.select("gallery", "idx", plain.alias("plain")).withColumn("base", F.lower("plain")), "at", F.col("base"), F.col("idx"))
+    named = stored(named)
+    bases = stored(named.groupBy("base").agg(F.count(F.lit(1)).alias("k"), F.min("at").alias("first")))
+    flags = bases.join(contested(bases).withColumn("met", F.lit(True)), "base", "left")
+    ranked = hot_join(named, flags, "base").withColumn("number", F.col("at") - F.col("first") + 1)
+    own = F.when(F.col("number") == 1, F.col("plain")).otherwise(F.concat("plain", F.lit("-"), F.col("number").cast("string")))
+    alone = ranked.where("met is null").select("gallery", "idx", own.alias("slug"))
+    rest = ranked.where("met").select("gallery", "idx", "plain", F.regexp_replace("base", "(-[0-9]+)+$", "").alias("family"))
+    return alone.unionByName(rest.repartition("family").sortWithinPartitions("family", "idx").mapInPandas(_free_slugs, "gallery string, idx int, slug string"))
 
 
 def payload_entries(items: DataFrame, index: DataFrame, config: Config, tags: DataFrame | None = None, urls: DataFrame | None = None) -> DataFrame:

@@ -11,6 +11,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from medialedger.config import Config
+from medialedger.functions.paths import slug, slugify
 from medialedger.operators import calibrate, catalog, components, dedup, hearts, measure, publish, report, search, video
 from medialedger.schema import CATALOG
 from medialedger.sources import files
@@ -607,3 +608,32 @@ def test_search_reads_posted_rows(spark, tmp_path):
     spark.conf.unset("spark.sql.adaptive.enabled")
     total = spark.read.parquet(index).count()
     assert 0 < read < total / 5
+
+
+def test_slugs_are_those_of_one_pass(spark):
+    """Names of few letters and numbers, so that plain and numbered slugs meet in all ways."""
+    rng = random.Random(13)
+    for size in (60, 400):
+        names = [" ".join(rng.choice(("a", "A!", "2", "3", "4", "02", "é", "日")) for _ in range(rng.randint(1, 3))) for _ in range(size)]
+        df = spark.createDataFrame(list(zip(names, range(size), strict=True)), "gallery string, idx int").repartition(3)
+        got = {r["idx"]: r["slug"] for r in publish.gallery_slugs(df).collect()}
+        given = set()
+        for k, name in enumerate(names):
+            plain, number = slugify(name), 1
+            found = plain
+            while found.lower() in given:
+                number += 1
+                found = f"{plain}-{number}"
+            given.add(found.lower())
+            assert got[k] == found, (k, name)
+
+
+def test_numbered_names_are_not_one_family(spark):
+    """`Set`, `Set 2` ... and many galleries of one name: nothing is decided in one task but where numbers meet."""
+    n = 5000
+    sets = spark.range(1, n + 1).select(F.concat(F.lit("Set "), F.col("id").cast("string")).alias("gallery"), F.col("id").cast("int").alias("idx"))
+    more = spark.createDataFrame([("Set", 0), *((f"Trip{'!' * k}", n + 1 + k) for k in range(50))], "gallery string, idx int")
+    bases = sets.unionByName(more).select(slug(F.col("gallery")).alias("base")).groupBy("base").agg(F.count(F.lit(1)).alias("k"))
+    assert publish.contested(bases).count() == 0
+    got = {r["idx"]: r["slug"] for r in publish.gallery_slugs(sets.unionByName(more)).collect()}
+    assert got == {0: "set"} | {k: f"set-{k}" for k in range(1, n + 1)} | {n + 1 + k: "trip" if not k else f"trip-{k + 1}" for k in range(50)}
