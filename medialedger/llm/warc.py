@@ -111,15 +111,16 @@ def title(page: Column) -> Column:
     return F.trim(F.regexp_replace(decoded(F.regexp_extract(page, TITLE, 1)), SPACES, " "))
 
 
-#: Limits of what regular expressions read: characters of a page and of a tag, and elements whose end is looked for.
-PAGE_MOST, TAG_MOST, SOUGHT_MOST = 300_000, 2000, 32
+#: Limits of what regular expressions read: characters of a page and of a tag, and elements whose end is looked for in a page
+#: that is not short.
+PAGE_MOST, TAG_MOST, SOUGHT_MOST, SHORT = 300_000, 2000, 32, 20_000
 
 
 def well_formed(page: Column) -> Column:
     """Whether regular expressions read a page in time in proportion: every tag ends before the next begins, and is short."""
-    bare = F.regexp_replace(page, f"<[a-zA-Z/!?][^<>]{{0,{TAG_MOST}}}+>", "")
-    sought = F.regexp_count(page, F.lit(r"(?i)<(?:noscript|template|head|title)\b"))
-    return (F.length(page) <= PAGE_MOST) & ~bare.rlike("<[a-zA-Z/!?]") & (sought <= SOUGHT_MOST)
+    open_ended = page.rlike(f"<[a-zA-Z/!?][^<>]{{0,{TAG_MOST}}}+(?!>)")
+    sought = F.when(F.length(page) > SHORT, F.regexp_count(page, F.lit(r"(?i)<(?:noscript|template|head|title)\b"))).otherwise(0)
+    return (F.length(page) <= PAGE_MOST) & ~open_ended & (sought <= SOUGHT_MOST)
 
 
 SPACE_RUN, LINES, BLANKS = re.compile("[\x20\x09-\x0D]+"), re.compile(r"(?<! ) *+\n[ \n]*+"), re.compile(" {2,}")
