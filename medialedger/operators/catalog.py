@@ -58,24 +58,31 @@ def report_rows(catalog: DataFrame, config: Config, listing: DataFrame | None =
     return rows.withColumn("dropped", reason)
 
 
+def real_path() -> Column:
+    return F.coalesce(blank(F.col("source_video")), F.col("path"))
+
+
+def keyed(catalog: DataFrame) -> DataFrame:
+    """catalog with `_file`, the file that a row is of: its clip's path, or its own. A stored layout has it and is dealt by it, so
+    that joins by file need not shuffle the catalog.
+    """
+    return catalog if "_file" in catalog.columns else catalog.withColumn("_file", real_path())
+
+
 def resume_todo(listing: DataFrame, catalog: DataFrame, force: bool = False, limit: int | None = None) -> DataFrame:
     """Files to measure: not those with an error-free row of the same size and time, nor clips with any error-free frame."""
     todo = listing
     if not force:
-        done = catalog.where(fine()).select("path", F.col("mtime").alias("_m"), F.col("size").alias("_s"))
-        todo = todo.join(done, (todo["path"] == done["path"]) & (F.abs(todo["mtime"] - F.col("_m")) < 1.0) & (todo["size"] == F.col("_s")), "left_anti")
-        clips = catalog.where(fine() & blank(F.col("source_video")).isNotNull()).select(F.col("source_video").alias("path")).distinct()
-        todo = todo.join(clips, "path", "left_anti")
+        done = keyed(catalog).where(fine()).select("_file", blank(F.col("source_video")).isNotNull().alias("_frame"), F.col("mtime").alias("_m"), F.col("size").alias("_s"))
+        same = (F.abs(todo["mtime"] - F.col("_m")) < 1.0) & (todo["size"] == F.col("_s"))
+        todo = todo.join(done, (todo["path"] == F.col("_file")) & (F.col("_frame") | same), "left_anti")
     return todo if limit is None else todo.orderBy("path").limit(limit)
 
 
-def real_path() -> Column:
-    return F.coalesce(blank(F.col("source_video")), F.col("path"))
-
-
 def flag_existing(catalog: DataFrame, listing: DataFrame) -> DataFrame:
     here = listing.select(F.col("path").alias("_p")).distinct().withColumn("_here", F.lit(True))
-    return catalog.withColumn("_r", real_path()).join(here, F.col("_r") == F.col("_p"), "left").withColumn("exists", F.coalesce("_here", F.lit(False))).drop("_r", "_p", "_here")
+    out = keyed(catalog).join(here, F.col("_file") == F.col("_p"), "left").withColumn("exists", F.coalesce("_here", F.lit(False)))
+    return out.select(*catalog.columns, "exists")
 
 
 def existing_only(catalog: DataFrame, listing: DataFrame | None) -> DataFrame:
@@ -84,9 +91,15 @@ def existing_only(catalog: DataFrame, listing: DataFrame | None) -> DataFrame:
 
 
 def upsert(old: DataFrame, new: DataFrame) -> DataFrame:
-    """new rows replace old ones by path, but for the names and the extracted file, which stay."""
-    o, n = old.alias("o"), new.alias("n")
-    both = o.join(n, F.col("o.path") == F.col("n.path"), "full")
+    """new rows replace old ones by path, but for the names and the extracted file, which stay. Of a layout by file, rows of a path
+    stay with its file.
+    """
+    o, n = old.alias("o"), (keyed(new) if "_file" in old.columns else new).alias("n")
+    same = F.col("o.path") == F.col("n.path")
+    if "_file" in old.columns:
+        # only the file is a key of the join, as the layout is dealt by nothing else
+        same = (F.col("o._file") == F.col("n._file")) & (F.col("o.path") >= F.col("n.path")) & (F.col("o.path") <= F.col("n.path"))
+    both = o.join(n, same, "full")
     is_new = F.col("n.path").isNotNull()
 
     def pick(c: str) -> Column:

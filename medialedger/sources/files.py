@@ -2,7 +2,9 @@
 
 from __future__ import annotations
 
+import hashlib
 import json
+import uuid
 from collections.abc import Sequence
 from dataclasses import asdict
 
@@ -12,7 +14,7 @@ from pyspark.sql import functions as F
 
 from ..config import Config
 from ..functions.dates import megapixels, pretty_date, pretty_time
-from ..operators.catalog import evolve, shortlist, skipped
+from ..operators.catalog import evolve, keyed, shortlist, skipped
 from ..operators.publish import entry_json, manifest_put
 from ..operators.report import catalog_order
 from ..schema import CATALOG, REPORT_COLUMNS
@@ -68,6 +70,26 @@ def read_catalog(spark: SparkSession, path: str) -> DataFrame:
         return spark.createDataFrame([], CATALOG)
 
 
+def write_keyed(catalog: DataFrame, path: str, buckets: int = 200) -> None:
+    """A snapshot dealt into buckets by file (column `_file`) and sorted by it: joins by file read it where it lies."""
+    spark = catalog.sparkSession
+    rows = keyed(catalog)
+    name = f"keyed_{uuid.uuid4().hex}"
+    rows.write.bucketBy(buckets, "_file").sortBy("_file").option("path", path).mode("overwrite").saveAsTable(name)
+    spark.sql(f"DROP TABLE {name}")  # its files stay
+    kinds = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in rows.schema)
+    spark.createDataFrame([(buckets, kinds)], "buckets int, columns string").coalesce(1).write.mode("overwrite").json(f"{path}/_layout")
+
+
+def read_keyed(spark: SparkSession, path: str) -> DataFrame:
+    """A snapshot of `write_keyed`, with its layout."""
+    layout = spark.read.schema("buckets int, columns string").json(f"{path}/_layout").first()
+    name = f"keyed_{hashlib.sha256(path.encode()).hexdigest()[:32]}"
+    spark.sql(f"DROP TABLE IF EXISTS {name}")
+    spark.sql(f"CREATE TABLE {name} ({layout['columns']}) USING parquet CLUSTERED BY (_file) SORTED BY (_file) INTO {layout['buckets']} BUCKETS LOCATION '{path}'")
+    return spark.table(name)
+
+
 def write_catalog(catalog: DataFrame, path: str) -> None:
     """A new snapshot; sorted within files by path, so that lookups prune."""
     catalog.sortWithinPartitions("path").write.mode("overwrite").parquet(path)

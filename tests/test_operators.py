@@ -637,3 +637,48 @@ def test_numbered_names_are_not_one_family(spark):
     assert publish.contested(bases).count() == 0
     got = {r["idx"]: r["slug"] for r in publish.gallery_slugs(sets.unionByName(more)).collect()}
     assert got == {0: "set"} | {k: f"set-{k}" for k in range(1, n + 1)} | {n + 1 + k: "trip" if not k else f"trip-{k + 1}" for k in range(50)}
+
+
+def shuffled_sides(df, marker):
+    """Exchanges of a plan with a scan of the marked table below."""
+    found = []
+
+    def walk(node, above):
+        name = node.nodeName()
+        if "Scan" in name and marker in name:
+            found.append([x for x in above if "Exchange" in x])
+        for k in range(node.children().size()):
+            walk(node.children().apply(k), [*above, name])
+
+    walk(df._jdf.queryExecution().executedPlan(), [])
+    return found
+
+
+def test_keyed_snapshot_is_not_shuffled(spark, tmp_path):
+    """Resuming, existence and upserts by file give what plain catalogs give, and shuffle the other side only."""
+    items = [{"path": f"/lib/{k}.jpg", "filename": f"{k}.jpg", "mtime": float(k), "size": k, "aesthetic_raw": 5.0} for k in range(200)]
+    items += [{"path": f"/lib/c{k}.mp4#{t}", "source_video": f"/lib/c{k}.mp4", "timestamp_s": float(t), "size": 1, "error": "x" if k % 3 == 0 else None} for k in range(20) for t in range(4)]
+    cat = rows(spark, items)
+    where = str(tmp_path / "dealt_by_file")
+    files.write_keyed(cat, where, 6)
+    stored = files.read_keyed(spark, where)
+    assert stored.count() == len(items)
+    listing = spark.createDataFrame([(f"/lib/{k}.jpg", float(k) + (k % 5), k + (k % 7 == 0)) for k in range(0, 300, 2)] + [(f"/lib/c{k}.mp4", 0.0, 0) for k in range(0, 40, 2)], "path string, mtime double, size long")
+    listing.write.parquet(str(tmp_path / "listing"))
+    listing = spark.read.parquet(str(tmp_path / "listing"))
+    new = rows(spark, [{"path": f"/lib/{k}.jpg", "filename": "new", "size": 1000 + k} for k in range(100, 260)] + [{"path": "/lib/c1.mp4#2", "source_video": "/lib/c1.mp4", "size": 9}])
+    pairs = [
+        lambda c: catalog.resume_todo(listing, c).select("path"),
+        lambda c: catalog.existing_only(c, listing).select("path"),
+        lambda c: catalog.upsert(c, new if c is cat else catalog.keyed(new)).select("path", "filename", "size", "error"),
+    ]
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+    spark.conf.set("spark.sql.adaptive.enabled", "false")
+    for f in pairs:
+        plain, own = f(cat), f(stored)
+        sides = shuffled_sides(own, "keyed_")
+        assert sides
+        assert not any(sides), sides
+        assert sorted(map(str, own.collect())) == sorted(map(str, plain.collect()))
+    spark.conf.unset("spark.sql.autoBroadcastJoinThreshold")
+    spark.conf.unset("spark.sql.adaptive.enabled")
