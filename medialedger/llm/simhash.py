@@ -144,7 +144,7 @@ def plan(n: int, corr: np.ndarray, sample: np.ndarray, distance: int) -> list[tu
                 probes = sum(comb(len(p), k) for k in range(t + 1))
                 share = near[: t + 1].sum() / max(1, len(xor))
                 least = probes / 2.0 ** len(p)  # what unrelated bits would give; the sample can't show rates this small
-                row.append(PROBE_COST * n * probes + n * n / 2 * max(share, least))
+                row.append(PROBE_COST * max(1, n) * probes + n * n / 2 * max(share, least))
             cost.append(row)
         plans.append((*allocate(cost, distance - m + 1), parts))
     _, thresholds, parts = min(plans, key=lambda x: x[0])
