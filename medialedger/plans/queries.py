@@ -735,3 +735,82 @@ def manifest_file(s, sf):
     files.append_manifest(manifest, path)
     files.append_manifest(new.where("local_sha is not null").select("photo_id", "kind", "local_sha", F.lit("/n").alias("url_path"), F.lit("g").alias("filename"), F.lit(2).cast("long").alias("uploaded_at")), path)
     return files.read_manifest(s, path).select("photo_id", "kind", "local_sha")
+
+
+#: Files in folders that scans leave out, and beside them.
+PLACED = "placed AS (SELECT CASE k % 7 WHEN 0 THEN 'Thumbs/' WHEN 1 THEN 'a/previews/b/' WHEN 2 THEN 'thumbs.jpg/' WHEN 3 THEN '_extracted\\' WHEN 4 THEN '' ELSE folder || '/' END || CASE WHEN k % 11 = 0 THEN 'thumbs' ELSE filename END AS rel_path FROM cat)"
+
+
+@query(f", {PLACED} SELECT rel_path, len(list_filter(list_transform(string_split(replace(rel_path, '\\', '/'), '/')[:-2], lambda x: lower(x)), lambda x: list_contains(['thumbs', 'previews', '_extracted', '.trash'], x))) > 0 AS skipped FROM placed")
+def skipped_folders(s, sf):
+    k = _number()
+    folder = F.when(k % 7 == 0, "Thumbs/").when(k % 7 == 1, "a/previews/b/").when(k % 7 == 2, "thumbs.jpg/").when(k % 7 == 3, "_extracted\\").when(k % 7 == 4, "").otherwise(F.concat("folder", F.lit("/")))
+    rows = d.raw_catalog(s, sf).select(F.concat(folder, F.when(k % 11 == 0, "thumbs").otherwise(F.col("filename"))).alias("rel_path"))
+    return rows.select("rel_path", cat.skipped(CONFIG).alias("skipped"))
+
+
+#: Homes of programs among folders of pictures; some hold the marker.
+HOMES = "homes AS (SELECT 'h' || (k % 90) || CASE WHEN k % 4 = 0 THEN '/in' ELSE '' END AS home, k, filename FROM cat), tree AS (SELECT home, CASE WHEN k % 30 = 0 AND k % 9 < 4 THEN home || '/pyvenv.cfg' ELSE home || CASE k % 3 WHEN 0 THEN '/Lib/' WHEN 1 THEN '/photos/lib/' ELSE '/' END || filename END AS rel_path FROM homes), marked AS (SELECT DISTINCT home FROM tree WHERE rel_path LIKE '%/pyvenv.cfg')"
+
+
+@query(f", {HOMES} SELECT DISTINCT rel_path FROM tree WHERE NOT EXISTS (SELECT 1 FROM marked m WHERE starts_with(rel_path, m.home || '/Lib/') OR starts_with(rel_path, m.home || '/lib/'))")
+def pruned_environments(s, sf):
+    k = _number()
+    home = F.concat(F.lit("h"), (k % 90).cast("string"), F.when(k % 4 == 0, "/in").otherwise(""))
+    inner = F.when(k % 3 == 0, "/Lib/").when(k % 3 == 1, "/photos/lib/").otherwise("/")
+    rel = F.when((k % 30 == 0) & (k % 9 < 4), F.concat(home, F.lit("/pyvenv.cfg"))).otherwise(F.concat(home, inner, "filename"))
+    return cat.outside_environments(d.raw_catalog(s, sf).select(rel.alias("rel_path")).distinct())
+
+
+@query(f", {d.LISTING_SQL} SELECT l.path, l.kind FROM listing l WHERE NOT EXISTS (SELECT 1 FROM cat c WHERE c.path = l.path AND abs(c.mtime - l.mtime) < 1.0 AND c.size = l.size AND error IS NULL) AND NOT EXISTS (SELECT 1 FROM cat c WHERE c.source_video = l.path AND error IS NULL) ORDER BY l.path LIMIT 200")
+def resume_limit(s, sf):
+    return cat.resume_todo(d.listing(s, sf), d.catalog(s, sf), limit=200).select("path", "kind")
+
+
+@query(f", {FIT} SELECT a_low, a_high, n_low, n_high, round(b1, 6) AS top, n AS keeper_count FROM rng, b, n")
+def calibration_file(s, sf):
+    """A calibration, written and read."""
+    path = _folder(s, "calibration")
+    files.write_calibration(s, calibrate.calibrate(d.catalog(s, sf), CONFIG) or CONFIG, path)
+    c = files.read_calibration(s, path, Config())
+    values = {"a_low": c.aesthetic_range[0], "a_high": c.aesthetic_range[1], "n_low": c.nima_range[0], "n_high": c.nima_range[1], "top": round(c.bands[0][0], 6)}
+    return s.createDataFrame([(*map(float, values.values()), c.keeper_count)], ", ".join(f"{k} double" for k in values) + ", keeper_count long")
+
+
+#: One JSON object of lists by customer, with values that are none, elements that are no text, and keys that are no ids.
+TAG_FILE = "entries AS (SELECT c_custkey AS k, CASE WHEN c_custkey % 4 = 1 THEN 'no id ' || c_custkey WHEN c_custkey % 4 = 2 THEN upper(substr(md5(CAST(c_custkey AS VARCHAR)), 1, 16)) ELSE substr(md5(CAST(c_custkey AS VARCHAR)), 1, 16) END AS key, c_name, c_mktsegment FROM customer)"
+TAG_LISTS = "CASE k % 6 WHEN 0 THEN c_name || '|' || c_mktsegment WHEN 1 THEN c_name WHEN 2 THEN 'a\"],b\\|' || c_mktsegment ELSE '' END"
+
+
+def _tag_file(s, sf) -> str:
+    c = d.read(s, sf, "customer")
+    k = F.col("c_custkey")
+    ident = F.substring(F.md5(k.cast("string")), 1, 16)
+    key = F.when(k % 4 == 1, F.concat(F.lit("no id "), k.cast("string"))).when(k % 4 == 2, F.upper(ident)).otherwise(ident)
+    text = lambda *x: F.to_json(F.array(*x))
+    lists = F.when(k % 6 == 0, text(F.col("c_name"), F.col("c_mktsegment"))).when(k % 6 == 1, F.concat(F.lit('[1, null, {"a": ["b"]}, '), F.substr(text(F.col("c_name")), F.lit(2)))).when(k % 6 == 2, text(F.lit('a"],b\\'), F.col("c_mktsegment"))).when(k % 6 == 3, "[]").when(k % 6 == 4, '"text"').otherwise('{"x": ["y"]}')
+    entry = F.concat(F.regexp_extract(F.to_json(F.array(key)), r"^\[(.*)\]$", 1), F.lit(": "), lists)
+    lines = c.select(k.alias("at"), F.concat(F.when(k == 0, "").otherwise(", "), entry).alias("value"))
+    # one file, in order: the object's first entry has no comma before it
+    first = lines.agg(F.min("at")).first()[0]
+    lines = lines.withColumn("value", F.when(F.col("at") == first, F.concat(F.lit("{"), F.regexp_replace("value", "^, ", ""))).otherwise(F.col("value")))
+    end = s.createDataFrame([(1 << 62, "}")], "at long, value string")
+    path = _folder(s, "tags")
+    lines.unionByName(end).coalesce(1).sortWithinPartitions("at").select("value").write.text(path)
+    return path
+
+
+@query(f"WITH {TAG_FILE} SELECT key, {TAG_LISTS} AS tags FROM entries WHERE k % 6 < 4", "")
+def tag_file(s, sf):
+    """A tag file with malformed values, read."""
+    return files.read_tags(s, _tag_file(s, sf))[0].select("key", F.array_join("tags", "|").alias("tags"))
+
+
+@query(f"WITH {TAG_FILE} SELECT lower(key) AS photo_id, {TAG_LISTS} AS tags FROM entries WHERE k % 6 < 4 AND k % 4 <> 1", "")
+def web_tag_file(s, sf):
+    return files.read_web_tags(s, _tag_file(s, sf))[0].select("photo_id", F.array_join("tags", "|").alias("tags"))
+
+
+@query("SELECT count(*) FILTER (c_custkey % 6 > 3) AS dropped_values, 3 * count(*) FILTER (c_custkey % 6 = 1) AS dropped_elements, count(*) FILTER (c_custkey % 6 < 4 AND c_custkey % 4 = 1) AS dropped_keys FROM customer", "")
+def web_tag_file_drops(s, sf):
+    return files.read_web_tags(s, _tag_file(s, sf))[1]

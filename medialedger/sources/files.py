@@ -97,7 +97,7 @@ def write_catalog(catalog: DataFrame, path: str) -> None:
 
 def read_tags(spark: SparkSession, path: str) -> tuple[DataFrame, DataFrame]:
     """(tags as (key, tags), one row with the numbers of dropped values and elements)."""
-    whole = spark.read.option("wholetext", True).text(path).select(F.try_parse_json("value").alias("v"))
+    whole = spark.read.text(path, wholetext=True).select(F.try_parse_json("value").alias("v"))
     pairs = spark.sql("select e.key, e.value from {whole}, lateral variant_explode(v) e where schema_of_variant(v) like 'OBJECT%'", whole=whole)
     pairs = pairs.withColumn("is_list", F.schema_of_variant("value").startswith("ARRAY"))
     lists = pairs.where("is_list").select("key", F.try_variant_get("value", "$", "array<variant>").alias("items"))
