@@ -18,6 +18,7 @@ from ..operators.catalog import evolve, keyed, shortlist, skipped
 from ..operators.publish import entry_json, manifest_put
 from ..operators.report import catalog_order
 from ..schema import CATALOG, REPORT_COLUMNS
+from .large_json import object_entries
 
 #: Suffixes by kind. Fixed values.
 RAW = ("nef", "cr2", "cr3", "arw", "dng", "orf", "rw2", "raf", "pef", "srw")
@@ -97,8 +98,7 @@ def write_catalog(catalog: DataFrame, path: str) -> None:
 
 def read_tags(spark: SparkSession, path: str) -> tuple[DataFrame, DataFrame]:
     """(tags as (key, tags), one row with the numbers of dropped values and elements)."""
-    whole = spark.read.text(path, wholetext=True).select(F.try_parse_json("value").alias("v"))
-    pairs = spark.sql("select e.key, e.value from {whole}, lateral variant_explode(v) e where schema_of_variant(v) like 'OBJECT%'", whole=whole)
+    pairs = object_entries(spark, path).select("key", "value")
     pairs = pairs.withColumn("is_list", F.schema_of_variant("value").startswith("ARRAY"))
     lists = pairs.where("is_list").select("key", F.try_variant_get("value", "$", "array<variant>").alias("items"))
     keep = F.filter("items", lambda x: F.schema_of_variant(x) == "STRING")

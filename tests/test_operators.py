@@ -1,5 +1,6 @@
 """Operators on small fixtures, against plain versions."""
 
+import json
 import random
 import shutil
 import struct
@@ -14,7 +15,7 @@ from medialedger.config import Config
 from medialedger.functions.paths import slug, slugify
 from medialedger.operators import calibrate, catalog, components, dedup, hearts, measure, publish, report, search, video
 from medialedger.schema import CATALOG
-from medialedger.sources import files
+from medialedger.sources import files, large_json
 from medialedger.streaming import jobs
 
 C = Config()
@@ -682,3 +683,35 @@ def test_keyed_snapshot_is_not_shuffled(spark, tmp_path):
         assert sorted(map(str, own.collect())) == sorted(map(str, plain.collect()))
     spark.conf.unset("spark.sql.autoBroadcastJoinThreshold")
     spark.conf.unset("spark.sql.adaptive.enabled")
+
+
+def test_large_objects_are_read_by_many_tasks(spark, tmp_path):
+    """Against the standard library, with splits of a few bytes: brackets, quotes and commas in keys and values, equal keys."""
+    rng = random.Random(17)
+    texts = ["a", "]", "[x]", 'say "hi"', "b,c", "{", "}", "\\", "\\\\", "é日", "line\nline", "", " "]
+
+    def thing(depth):
+        kind = rng.randrange(6 if depth else 4)
+        if kind == 4:
+            return [thing(depth - 1) for _ in range(rng.randrange(4))]
+        if kind == 5:
+            return {rng.choice(texts): thing(depth - 1) for _ in range(rng.randrange(3))}
+        return (rng.choice(texts), rng.randrange(9), None, True)[kind]
+
+    whole = {}
+    for k in range(6):
+        entries = [(rng.choice(texts) + str(rng.randrange(30)), [thing(2) for _ in range(rng.randrange(4))] if rng.random() < 0.7 else thing(2)) for _ in range(40 * (k > 0))]
+        space = rng.choice(("", " ", "\n  "))
+        body = f",{space}".join(f"{json.dumps(a, ensure_ascii=k % 2 == 0)}:{space}{json.dumps(b, ensure_ascii=k % 2 == 0)}" for a, b in entries)
+        (tmp_path / f"{k}.json").write_text(f"{space}{{{space}{body}{space}}}\n")
+        whole[f"{k}.json"] = dict(entries)
+    for k, text in enumerate(('{"a": [1], "b": [2', '{"a": [1],}', '[{"a": [1]}]', '{"a": ["x]}', "", '{"a": [1,]}', "nothing", '{"a": [1]} {"b": [2]}')):
+        (tmp_path / f"bad{k}.json").write_text(text)
+    spark.conf.set("spark.sql.files.maxPartitionBytes", "900")
+    spark.conf.set("spark.sql.files.openCostInBytes", "0")
+    got = {}
+    for r in large_json.object_entries(spark, str(tmp_path / "*.json")).select("file", "key", F.to_json("value").alias("value")).collect():
+        got.setdefault(r["file"].rsplit("/", 1)[-1], {})[r["key"]] = json.loads(r["value"])
+    spark.conf.unset("spark.sql.files.maxPartitionBytes")
+    spark.conf.unset("spark.sql.files.openCostInBytes")
+    assert got == {k: v for k, v in whole.items() if v}
