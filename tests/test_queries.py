@@ -38,9 +38,8 @@ def test_query_is_its_sql(spark, duck, name):
     assert plain(QUERIES[name](spark, SF).toPandas()) == plain(duck.sql(ORACLE[name]).df())
 
 
-@pytest.mark.parametrize("name", sorted(set(QUERIES) - set(ORACLE)))
-def test_query_runs(spark, name):
-    assert QUERIES[name](spark, SF).count() >= 0
+def test_all_queries_have_sql():
+    assert set(QUERIES) == set(ORACLE)
 
 
 def test_entry(spark):
