@@ -530,7 +530,7 @@ def test_stages_with_odd_rows(spark, odd, empty):
     more = spark.createDataFrame([(6, long + "uno", "en", "a", 1), (6, "eins zwei drei vier fuenf sechs sieben acht", "de", "a", 1), (3, long + "uno", "en", "b", 1), (None, "quite another text of eight words with no id", None, None, None), (None, "and one more of them that is like no other", None, None, None)], odd.schema)
     frame = odd.unionByName(more)
     wide = frame.withColumns({c: F.lit(k) for k, c in enumerate(names)})
-    for name, stage in (("language_id", cp.language_id), ("mix_sources", cp.mix_sources)):
+    for name, stage in cp.STAGES[:4]:
         kept = stage(spark, wide, SF)
         assert kept.columns == wide.columns, name
         assert {tuple(r) for r in kept.select(*names).distinct().collect()} <= {tuple(range(len(names)))}, name
@@ -539,7 +539,28 @@ def test_stages_with_odd_rows(spark, odd, empty):
     assert once.columns == wide.columns
     assert stays(once) == sorted([("6", "eins zwei drei vier fuenf sechs sieben acht"), ("3", long + "uno"), ("None", "quite another text of eight words with no id"), ("None", "and one more of them that is like no other")])
     assert once.where("doc_id in (1, 5)").count() == 1
-    assert cp.suffix_array_dedup(spark, wide, SF).columns == wide.columns
+    last = cp.sentencepiece(spark, wide, SF)
+    assert last.count() == wide.count()
+
+
+@pytest.mark.parametrize("stage", range(5))
+def test_stages_with_no_rows(spark, empty, stage):
+    cp = pytest.importorskip("corpus_pipeline")
+    name, f = cp.STAGES[stage]
+    none = f(spark, empty, SF)
+    assert none.count() == 0
+    assert stage == 4 or none.columns == empty.columns, name
+
+
+@pytest.mark.parametrize("stage", range(5))
+def test_stages_with_long_texts(spark, odd, stage):
+    """Two texts of 2 MB, one of them a single word, beside short ones."""
+    cp = pytest.importorskip("corpus_pipeline")
+    rng = random.Random(1)
+    words = ["".join(rng.choice("abcdefghij") for _ in range(7)) for _ in range(3000)]
+    long = spark.createDataFrame([(21, " ".join(rng.choice(words) for _ in range(250_000)), "en", "a", 1), (22, "x" * 2_000_000, "en", "b", 1)], odd.schema)
+    got = cp.STAGES[stage][1](spark, odd.unionByName(long), SF)
+    assert {r["doc_id"] for r in got.select("doc_id").collect()} >= {21, 22}
 
 
 def test_a_version_line_within_a_block(spark, tmp_path):
