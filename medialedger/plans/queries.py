@@ -140,7 +140,16 @@ def shortlist(s, sf):
     return cat.shortlist(_flagged(s, sf), CONFIG).select("path")
 
 
-for name in ("dup_groups", "flag_duplicates", "strong_rows", "shortlist"):
+@query(f", {REACH} SELECT n AS h, g AS root FROM roots")
+def arriving_hashes(s, sf):
+    """Groups of hashes, a part of which came later."""
+    rows = dedup.hashed_rows(d.raw_catalog(s, sf)).withColumn("late", _number() % 50 == 7)
+    old = rows.where("not late").select("h").distinct()
+    masks = dedup.band_masks(CONFIG.hamming, max(2, old.count()))
+    return dedup.extended_roots(dedup.hash_roots(old, CONFIG.hamming), dedup.probes(old, masks), rows.where("late").select("h"), CONFIG.hamming, masks)
+
+
+for name in ("dup_groups", "flag_duplicates", "strong_rows", "shortlist", "arriving_hashes"):
     ORACLE[name] = ORACLE[name].replace("WITH", R, 1)
 
 

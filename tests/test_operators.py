@@ -715,3 +715,26 @@ def test_large_objects_are_read_by_many_tasks(spark, tmp_path):
     spark.conf.unset("spark.sql.files.maxPartitionBytes")
     spark.conf.unset("spark.sql.files.openCostInBytes")
     assert got == {k: v for k, v in whole.items() if v}
+
+
+def test_arriving_hashes_are_those_of_a_full_run(spark):
+    """Chains that new hashes close, old ones that come again, and hashes that meet nothing."""
+    rng = random.Random(23)
+    hashes = set()
+    for _ in range(60):
+        h = rng.getrandbits(64)
+        for _ in range(rng.choice((1, 1, 4, 12))):
+            hashes.add(h)
+            for _ in range(rng.randint(1, 4)):
+                h ^= 1 << rng.randrange(64)
+    signed = [h - (1 << 64) if h >> 63 else h for h in sorted(hashes)]
+    late = rng.sample(signed, len(signed) // 4)
+    old = [h for h in signed if h not in set(late)]
+    frame = lambda x: spark.createDataFrame([(h,) for h in x], "h long")
+    masks = dedup.band_masks(4, len(old))
+    roots = dedup.hash_roots(frame(old), 4)
+    got = {r["h"]: r["root"] for r in dedup.extended_roots(roots, dedup.probes(frame(old), masks), frame([*late, *old[:5], late[0]]), 4, masks).collect()}
+    assert got == {r["h"]: r["root"] for r in dedup.hash_roots(frame(signed), 4).collect()}
+    assert len(set(got.values())) < len(got)
+    same = dedup.extended_roots(roots, dedup.probes(frame(old), masks), frame([]), 4, masks)
+    assert {tuple(r) for r in same.collect()} == {tuple(r) for r in roots.collect()}
