@@ -20,9 +20,10 @@ def searched_texts() -> Column:
 
 def postings(rows: DataFrame) -> DataFrame:
     """(gram, part, pos, path): every three letters of what a card is searched in, and where they stand."""
-    texts = rows.select("path", F.explode(searched_texts()).alias("t")).select("path", "t.*").where(F.length("text") >= GRAM)
-    placed = texts.withColumn("pos", F.explode(F.sequence(F.lit(1), F.length("text") - GRAM + 1)))
-    return placed.select(F.col("text").substr(F.col("pos"), F.lit(GRAM)).alias("gram"), "part", "pos", "path")
+    texts = rows.select("path", F.explode(searched_texts()).alias("t")).select("path", "t.part", F.regexp_extract_all("t.text", F.lit("(?s)."), F.lit(0)).alias("letters"))
+    # by letters, as a place in a long text is found by counting from its start
+    grams = F.transform(F.slice("letters", F.lit(1), F.greatest(F.size("letters") - (GRAM - 1), F.lit(0))), lambda x, i: F.concat(x, *(F.get("letters", i + k) for k in range(1, GRAM))))
+    return texts.select("path", "part", F.posexplode(grams).alias("pos", "gram")).select("gram", "part", "pos", "path")
 
 
 def write_index(rows: DataFrame, path: str, mode: str = "error") -> None:
