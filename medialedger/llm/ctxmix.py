@@ -53,12 +53,14 @@ SURE = 1e-5
 #: How fast weights move, and the counts that split gates.
 RATE, SEEN = 0.06, (0, 2, 8, 40, 300)
 _M = np.uint64(0x9E3779B97F4A7C15)
+#: Whether a byte belongs to a word: all but ASCII white space.
+_INSIDE = np.array([not bytes([x]).isspace() for x in range(256)])
 
 
 def hashes_of(tokens: list[bytes]) -> np.ndarray:
     """As Spark's xxhash64 of binaries, signed."""
-    digest = xxhash.xxh64_intdigest
-    return np.array([digest(t, 42) for t in tokens], np.uint64).view(np.int64)
+    digest = xxhash.xxh64_digest
+    return np.frombuffer(b"".join([digest(t, 42) for t in tokens]), ">i8").astype(np.int64)
 
 
 def short(hashes: np.ndarray) -> np.ndarray:
@@ -66,11 +68,34 @@ def short(hashes: np.ndarray) -> np.ndarray:
     return hashes.astype(np.int32)
 
 
-def numbered(words: list[bytes]) -> tuple[np.ndarray, list[bytes]]:
-    """The number of each word, and the words in the order of their numbers."""
-    types = list(dict.fromkeys(words))
-    index = dict(zip(types, range(len(types)), strict=True))
-    return np.fromiter(map(index.__getitem__, words), np.int64, len(words)), types
+def bytes_in(column: pa.Array) -> list[bytes]:
+    """The values of a binary column without nulls."""
+    if not len(column):
+        return []
+    column = column.cast(pa.binary())
+    ends = np.frombuffer(column.buffers()[1], np.int32)[column.offset : column.offset + len(column) + 1].tolist()
+    data = column.buffers()[2]
+    whole = data.slice(ends[0], ends[-1] - ends[0]).to_pybytes() if data else b""
+    begin = ends[0]
+    return [whole[a - begin : z - begin] for a, z in zip(ends, ends[1:], strict=False)]
+
+
+def numbered(raw: list[bytes | None]) -> tuple[np.ndarray, list[bytes], np.ndarray]:
+    """The numbers of all tokens of the texts, the tokens in the order of their numbers, and how many each text has."""
+    buf = np.frombuffer(b" ".join([*(t or b"" for t in raw), b""]).lower(), np.uint8)
+    inside = _INSIDE[buf]
+    edge = np.flatnonzero(inside[1:] != inside[:-1]) + 1
+    if len(inside) and inside[0]:
+        edge = np.r_[0, edge]
+    last = np.cumsum([len(t or b"") + 1 for t in raw]) - 1
+    size = np.diff(np.searchsorted(edge[::2], last), prepend=0) + 1
+    length = np.zeros(size.sum(), np.int64)
+    is_word = np.ones(len(length), bool)
+    is_word[np.cumsum(size) - 1] = False
+    length[is_word] = edge[1::2] - edge[::2]
+    offsets = np.r_[0, np.cumsum(length)].astype(np.int32)
+    found = pa.Array.from_buffers(pa.binary(), len(length), [None, pa.py_buffer(offsets), pa.py_buffer(buf[inside])]).dictionary_encode()
+    return np.asarray(found.indices).astype(np.int64), bytes_in(found.dictionary), size
 
 
 def cells_of(contexts: list[np.ndarray], bits: int) -> np.ndarray:
@@ -236,35 +261,48 @@ def _log(x: np.ndarray) -> np.ndarray:
     return np.log2(np.maximum(x, 1)).astype(np.int64)
 
 
+def in_order(key: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """(places by key, equal keys in their order; whether a place is the first of its key)."""
+    n = len(key)
+    if n and int(key.max()) < (1 << 62) // n and int(key.min()) >= -1:
+        both = np.sort((key + 1) * n + np.arange(n))
+        key, order = np.divmod(both, n)
+    else:
+        order = np.argsort(key, kind="stable")
+        key = key[order]
+    return order, np.r_[np.ones(min(n, 1), bool), key[1:] != key[:-1]]
+
+
 class Places:
     """All tokens of a batch of texts in a row, with what precedes them in their text."""
 
     def __init__(self, raw: list[bytes | None], known: Words, own: int = 0):
         """own: 1 while learning, when a token's own occurrence does not count."""
-        words: list[bytes] = []
-        size = []
-        for t in raw:
-            tokens = tokens_of(t)
-            words += tokens
-            size.append(len(tokens))
-        ids, types = numbered(words)
+        ids, types, self.size = numbered(raw)
         hashes = hashes_of(types)
         frequent = np.fromiter(map(known.where.get, types, repeat(-1)), np.int64, len(types))
         if own and len(known.count):
             frequent[(frequent >= 0) & (known.count[frequent] - own < LEAST)] = -1
         n, v = len(ids), len(types)
-        self.size, self.doc = np.array(size), np.repeat(np.arange(len(raw)), size)
-        self.at = at = np.arange(n) - np.repeat(np.cumsum(self.size) - self.size, size)
+        self.doc = np.repeat(np.arange(len(raw)), self.size)
+        self.at = at = np.arange(n) - np.repeat(np.cumsum(self.size) - self.size, self.size)
         one, two = (np.where(at >= k, np.r_[np.zeros(k, np.int64), ids[:-k]][:n], -1) for k in (1, 2))
         self.hash, self.frequent = hashes[ids], frequent[ids]
         self.word1, self.word2 = (np.where(x >= 0, hashes[x], 0) for x in (one, two))
         self.frequent1 = np.where(one >= 0, frequent[one], -1)
+        # how often the token stands earlier in its text
+        order, new = in_order(self.doc * v + ids)
+        first = np.flatnonzero(new)
+        earlier, kind = np.empty(n, np.int64), np.empty(n, np.int64)
+        kind[order] = np.cumsum(new) - 1
+        earlier[order] = np.arange(n) - np.repeat(first, np.diff(np.r_[first, n]))
+        self.cache = earlier / np.maximum(1, at)
         # the token after the same two words, earlier in the text
-        key = (self.doc * (v + 1) + two + 1) * (v + 1) + one + 1
-        order = np.argsort(key, kind="stable")
-        same = key[order[1:]] == key[order[:-1]]
+        key = np.zeros(n, np.int64)
+        key[2:] = kind[:-2] * v + ids[1:-1]
+        order, new = in_order(np.where(at >= 2, key, -1))
         before = np.full(n, -1)
-        before[order[1:][same]] = order[:-1][same]
+        before[order[1:]] = np.where(new[1:], -1, order[:-1])
         before[at < 2] = -1
         self.repeats = before >= 0
         self.again = self.repeats & (ids[before] == ids)
@@ -273,14 +311,6 @@ class Places:
         last = np.maximum.accumulate(np.where(self.again, -1, np.arange(n)))
         self.run = np.where(at >= 1, np.arange(n) - 1 - np.r_[0, last[:-1]], 0)
         self.apart = np.where(self.repeats, np.arange(n) - before, 0)
-        # how often the token stands earlier in its text
-        key = self.doc * v + ids
-        order = np.argsort(key, kind="stable")
-        new = np.r_[True, key[order[1:]] != key[order[:-1]]]
-        first = np.flatnonzero(new)[np.cumsum(new) - 1]
-        earlier = np.empty(n, np.int64)
-        earlier[order] = np.arange(n) - first
-        self.cache = earlier / np.maximum(1, at)
         self.is_rare = (self.frequent < 0).astype(np.int64)
         self.seen = (earlier > 0).astype(np.int64)
 
@@ -428,13 +458,7 @@ def token_counts(docs: DataFrame) -> DataFrame:
     """
 
     def rows(raw: list[bytes | None], held: list[bool]) -> pa.RecordBatch:
-        words: list[bytes] = []
-        size = []
-        for t in raw:
-            own = tokens_of(t)
-            words += own
-            size.append(len(own))
-        ids, types = numbered(words)
+        ids, types, size = numbered(raw)
         train = ~np.repeat(np.array(held, bool), size)
         c = np.bincount(ids[train], minlength=len(types))
         inside = np.ones(len(ids), bool)
@@ -539,7 +563,7 @@ def train_bytes(counts: DataFrame) -> tuple[Codes, Mix]:
     def bytes_of(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         total = np.zeros(256)
         for batch in batches:
-            buf = np.frombuffer(b"".join(t + b" " for t in batch.column("token").to_pylist()), np.uint8)
+            buf = np.frombuffer(b"".join(t + b" " for t in bytes_in(batch.column("token"))), np.uint8)
             total += np.bincount(buf, minlength=256)
         yield pa.RecordBatch.from_arrays([pa.array(np.arange(256, dtype=np.int32)), pa.array(total.astype(np.float32)), pa.array(total.astype(np.float32))], ["slot", "a", "b"])
 
@@ -551,7 +575,7 @@ def train_bytes(counts: DataFrame) -> tuple[Codes, Mix]:
 
     def bits(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[np.ndarray, np.ndarray, np.ndarray]]:
         for batch in batches:
-            tokens = batch.column("token").to_pylist()
+            tokens = bytes_in(batch.column("token"))
             for a, z in pieces(map(len, tokens), 4000):
                 yield byte_bits(tokens[a:z], codes)[1:]
 
@@ -691,7 +715,7 @@ def scored(docs: DataFrame, mod: int = 7, rest: int = 2) -> DataFrame:
 
     def spell(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            got = spelt(batch.column("token").to_pylist(), *letters.value)
+            got = spelt(bytes_in(batch.column("token")), *letters.value)
             yield pa.RecordBatch.from_arrays([*(batch.column(c) for c in ("h", "c", "g", "k")), pa.array(got.astype(np.float32))], ["h", "c", "g", "k", "spelling"])
 
     new = counts.where("c = 0").select("token", "h", "c", "g", "k").mapInArrow(spell, "h long, c long, g int, k long, spelling float")

@@ -279,6 +279,16 @@ def test_scores_are_those_of_a_plain_version(spark, monkeypatch, frequent):
         assert got[i] == pytest.approx(plain_score((t or "").encode(), model, by_word), rel=2e-4)
 
 
+def test_texts_are_numbered_as_they_are_split():
+    for texts in ([None], ["", None], ["A a\x0bb  ", " b\x1cc\u00a0d", "\ta\nB\x0c\r"], ["x" * 99, "x" * 98 + "y"], [" "]):
+        raw = [None if t is None else t.encode() for t in texts]
+        ids, types, size = ctxmix.numbered(raw)
+        want = [ctxmix.tokens_of(t) for t in raw]
+        assert [types[i] for i in ids] == [w for tokens in want for w in tokens]
+        assert size.tolist() == [len(tokens) for tokens in want]
+        assert len(set(types)) == len(types)
+
+
 def test_score_is_above_its_base(spark):
     docs = spark.read.parquet("/root/testdata/sf0.01/documents.parquet")
     mean = F.sum("score") / F.sum("n_tokens"), F.sum("base_score") / F.sum("n_tokens")
