@@ -26,12 +26,14 @@ from __future__ import annotations
 
 import heapq
 import math
+from collections import defaultdict
 from collections.abc import Iterator
 from dataclasses import dataclass
 from itertools import repeat
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -42,8 +44,9 @@ from .langid import remainder
 END = b""
 #: Words that are sent to all tasks: how many, the longest, and how often they were seen at least.
 FREQUENT, LONGEST, LEAST = 200_000, 64, 2
-#: Bytes of text whose tokens a task counts before it passes them on.
-FLUSH = 3_500_000
+#: Tokens that a task counts before it passes them on, groups (as bits of the hash) in which words are dealt out, and bytes of
+#: counts that are added up at once.
+FLUSH, DEALT, HELD = 1_500_000, 12, 8_000_000
 #: Cells of a context's table, for the bits of tokens and for those of bytes.
 WORD_CELLS, BYTE_CELLS = 13, 18
 MAP_STEPS = 24
@@ -449,56 +452,141 @@ def spelt(tokens: list[bytes], codes: Codes, mix: Mix) -> np.ndarray:
     return out
 
 
+def dealt(tokens: list[bytes], c: np.ndarray, pairs: np.ndarray) -> pa.RecordBatch:
+    """Counts of tokens and of all their followers, as one row for each group of words: pairs has, for each place in a training
+    text but its end, the token's number and that of the next (as its low 32 bits).
+    """
+    pairs = np.sort(pairs)
+    first = np.flatnonzero(np.r_[np.ones(min(len(pairs), 1), bool), pairs[1:] != pairs[:-1]])
+    k = np.diff(np.r_[first, len(pairs)])
+    word, follower = pairs[first] >> 32, pairs[first] & 0xFFFFFFFF
+    h = hashes_of(tokens)
+    group = (h.view(np.uint64) >> np.uint64(64 - DEALT)).astype(np.uint16)
+    order = np.argsort(group, kind="stable")
+    n = np.bincount(word, minlength=len(tokens))
+    begin = np.cumsum(n) - n
+    n = n[order]
+    ends = np.cumsum(n)
+    own = np.repeat(begin[order] - (ends - n), n) + np.arange(len(k))  # the pairs in the order of their words
+    size = np.array([len(t) for t in tokens])[order]
+    cut = np.r_[np.flatnonzero(np.r_[True, group[order][1:] != group[order][:-1]]), len(tokens)]
+    at_pair, at_byte = np.r_[0, ends][cut], np.r_[0, np.cumsum(size)][cut]
+
+    def cells(x: np.ndarray, kind: str, at: np.ndarray) -> pa.Array:
+        data = x.astype(kind)
+        return pa.Array.from_buffers(pa.binary(), len(at) - 1, [None, pa.py_buffer((at * data.itemsize).astype(np.int32)), pa.py_buffer(data)])
+
+    spelling = pa.Array.from_buffers(pa.binary(), len(cut) - 1, [None, pa.py_buffer(at_byte.astype(np.int32)), pa.py_buffer(b"".join([tokens[i] for i in order.tolist()]))])
+    words = [cells(x, kind, cut) for x, kind in ((h[order], "<i8"), (c[order], "<i4"), (size, "<i4"), (n, "<i4"))]
+    follows = [cells(x[own], "<i4", at_pair) for x in (short(h)[follower], k)]
+    return pa.RecordBatch.from_arrays([pa.array(group[order][cut[:-1]].astype(np.int32)), *words, spelling, *follows], ["part", "h", "c", "size", "n", "token", "g", "k"])
+
+
+@dataclass
+class Counted:
+    """Tokens by their hash (as unsigned), and pairs of a token's place here and a follower, with their counts."""
+
+    h: np.ndarray
+    c: np.ndarray
+    token: pa.Array
+    word: np.ndarray
+    g: np.ndarray
+    k: np.ndarray
+
+    @staticmethod
+    def read(batch: pa.RecordBatch) -> Counted:
+        h, c, size, n, g, k = (np.frombuffer(b"".join(bytes_in(batch.column(x))), kind) for x, kind in (("h", "<u8"), ("c", "<i4"), ("size", "<i4"), ("n", "<i4"), ("g", "<i4"), ("k", "<i4")))
+        ends = pa.py_buffer(np.r_[0, np.cumsum(size)].astype(np.int32))
+        token = pa.Array.from_buffers(pa.binary(), len(h), [None, ends, pa.py_buffer(b"".join(bytes_in(batch.column("token"))))])
+        return Counted(h, c.astype(np.int64), token, np.repeat(np.arange(len(h)), n), g.astype(np.int64), k.astype(np.int64))
+
+    def with_(self, other: Counted) -> Counted:
+        h, word = np.r_[self.h, other.h], np.r_[self.word, other.word + len(self.h)]
+        order = np.argsort(h)
+        ranked = h[order]
+        new = np.r_[np.ones(min(len(h), 1), bool), ranked[1:] != ranked[:-1]]
+        first = np.flatnonzero(new)
+        place = np.empty(len(h), np.int64)
+        place[order] = np.cumsum(new) - 1
+        c = np.add.reduceat(np.r_[self.c, other.c][order], first)
+        token = pa.concat_arrays([self.token, other.token]).take(pa.array(order[first]))
+        pair = (place[word] << 32) + np.r_[self.g, other.g] + (1 << 31)
+        order = np.argsort(pair)
+        pair = pair[order]
+        start = np.flatnonzero(np.r_[np.ones(min(len(pair), 1), bool), pair[1:] != pair[:-1]])
+        k = np.add.reduceat(np.r_[self.k, other.k][order], start) if len(start) else np.zeros(0, np.int64)
+        pair = pair[start]
+        return Counted(ranked[first], c, token, pair >> 32, (pair & 0xFFFFFFFF) - (1 << 31), k)
+
+    def cut(self, words: int) -> tuple[Counted, Counted]:
+        """The first so many words, and the others."""
+        p = int(np.searchsorted(self.word, words))
+        return (
+            Counted(self.h[:words], self.c[:words], self.token.slice(0, words), self.word[:p], self.g[:p], self.k[:p]),
+            Counted(self.h[words:], self.c[words:], self.token.slice(words), self.word[p:] - words, self.g[p:], self.k[p:]),
+        )
+
+    def best(self) -> pa.RecordBatch:
+        """Each token with its most frequent follower; of several the one with the largest hash."""
+        g, k = (np.zeros(len(self.h), np.int64) for _ in "gk")
+        start = np.flatnonzero(np.r_[np.ones(min(len(self.word), 1), bool), self.word[1:] != self.word[:-1]])
+        if len(start):
+            k[self.word[start]] = np.maximum.reduceat(self.k, start)
+            most = np.flatnonzero(self.k == k[self.word])
+            most = most[np.r_[self.word[most][1:] != self.word[most][:-1], True]]  # followers ascend, so the last one
+            g[self.word[most]] = self.g[most]
+        columns = [self.token, pa.array(self.h.view(np.int64)), pa.array(self.c), pa.array(g.astype(np.int32), mask=k == 0), pa.array(k)]
+        return pa.RecordBatch.from_arrays(columns, ["token", "h", "c", "g", "k"])
+
+
+def added_up(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """The token counts of a partition of `dealt` rows that is sorted by part. What is held are the distinct pairs of one part."""
+    held = Counted.read(pa.RecordBatch.from_pydict({x: pa.array([], pa.binary()) for x in ("h", "c", "size", "n", "token", "g", "k")}))
+    for batch in batches:
+        size = sum(pc.binary_length(batch.column(x)).to_numpy(zero_copy_only=False) for x in ("h", "token", "g", "k"))
+        for a, z in pieces(size.tolist(), HELD):
+            held = held.with_(Counted.read(batch.slice(a, z - a)))
+            last = np.uint64(batch.column("part")[z - 1].as_py()) << np.uint64(64 - DEALT)
+            done, held = held.cut(int(np.searchsorted(held.h, last)))
+            if len(done.h):
+                yield done.best()
+    if len(held.h):
+        yield held.best()
+
+
 def token_counts(docs: DataFrame) -> DataFrame:
     """(token, h, c, g, k): hash, occurrences in training texts, half of the hash of the most frequent follower, its count.
 
-    Tokens that only other texts have are there with a count of 0.
-
-    A batch passes on each word's two most frequent followers, in training texts, with its counts of them.
+    Tokens that only other texts have are there with a count of 0. All followers of a word are counted, wherever they stand; of
+    followers that are equally frequent the one with the largest half hash is taken.
     """
 
-    def rows(raw: list[bytes | None], held: list[bool]) -> pa.RecordBatch:
-        ids, types, size = numbered(raw)
-        train = ~np.repeat(np.array(held, bool), size)
-        c = np.bincount(ids[train], minlength=len(types))
-        inside = np.ones(len(ids), bool)
-        inside[np.cumsum(size) - 1] = False  # nothing follows the end
-        inside = np.flatnonzero(inside & train)
-        pair, k = np.unique(ids[inside] * len(types) + ids[inside + 1], return_counts=True)
-        word, follower = np.divmod(pair, max(1, len(types)))
-        most = (1 << 22) - 1
-        order = np.argsort((word << 22) + most - np.minimum(k, most), kind="stable")  # by word, then falling count
-        word, follower, k = word[order], follower[order], k[order]
-        new = np.flatnonzero(np.r_[True, word[1:] != word[:-1]]) if len(word) else np.zeros(0, np.int64)
-        rank = np.arange(len(word)) - np.repeat(new, np.diff(np.r_[new, len(word)]))
-        hashes = short(hashes_of(types))
-        best, times = np.zeros(len(types), np.int32), np.zeros(len(types), np.int64)
-        best[word[rank == 0]], times[word[rank == 0]] = hashes[follower[rank == 0]], k[rank == 0]
-        more = np.flatnonzero(rank == 1)
-        none = np.zeros(len(more), np.int64)
-        at = np.r_[np.arange(len(types)), word[more]]
-        token = pa.array(types, pa.binary()).take(pa.array(at))
-        g, times = np.r_[best, hashes[follower[more]]], np.r_[times, k[more]]
-        columns = [token, pa.array(np.r_[c, none]), pa.array(g, mask=times == 0), pa.array(times)]
-        return pa.RecordBatch.from_arrays(columns, ["token", "c", "g", "k"])
-
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        raw, held, size = [], [], 0
-        for batch, texts in byte_batches(batches):
-            raw += texts
-            held += batch.column("held_out").to_pylist()
-            size += sum(len(t) for t in texts if t)
+        index: defaultdict[bytes, int] = defaultdict()
+        index.default_factory = index.__len__
+        trained, pairs, size = [], [], 0
+
+        def rows() -> pa.RecordBatch:
+            return dealt(list(index), np.bincount(np.concatenate(trained), minlength=len(index)), np.concatenate(pairs))
+
+        for batch, raw in byte_batches(batches):
+            ids, types, each = numbered(raw)
+            ids = np.fromiter(map(index.__getitem__, types), np.int64, len(types))[ids]
+            train = np.repeat(~np.asarray(batch.column("held_out")), each)
+            trained.append(ids[train].astype(np.int32))
+            train[np.cumsum(each) - 1] = False  # nothing follows the end
+            at = np.flatnonzero(train)
+            pairs.append((ids[at] << 32) + ids[at + 1])
+            size += len(ids)
             if size > FLUSH:
-                yield rows(raw, held)
-                raw, held, size = [], [], 0
-        if raw:
-            yield rows(raw, held)
-
-    found = docs.select("text", "held_out").mapInArrow(run, "token binary, c long, g int, k long").repartition("token")
-    found = found.groupBy("token", "g").agg(F.sum("c").alias("c"), F.sum("k").alias("k"))
-    best = F.max(F.when(F.col("g").isNotNull(), F.struct("k", "g"))).alias("best")
-    found = found.groupBy("token").agg(F.sum("c").alias("c"), best)
-    return found.select("token", F.xxhash64("token").alias("h"), "c", "best.g", F.coalesce("best.k", F.lit(0)).alias("k"))
+                yield rows()
+                index.clear()
+                trained, pairs, size = [], [], 0
+        if size:
+            yield rows()
+
+    found = docs.select("text", "held_out").mapInArrow(run, "part int, h binary, c binary, size binary, n binary, token binary, g binary, k binary")
+    return found.repartition("part").sortWithinPartitions("part").mapInArrow(added_up, "token binary, h long, c long, g int, k long")
 
 
 def frequent(counts: DataFrame) -> list[tuple[bytes, int, int | None, int | None]]:

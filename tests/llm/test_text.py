@@ -279,6 +279,32 @@ def test_scores_are_those_of_a_plain_version(spark, monkeypatch, frequent):
         assert got[i] == pytest.approx(plain_score((t or "").encode(), model, by_word), rel=2e-4)
 
 
+def test_followers_are_counted_over_all_texts(spark, monkeypatch):
+    """One that is third in every partition, and the most frequent of all; and those of random texts, counted by brute force."""
+    monkeypatch.setattr(ctxmix, "FLUSH", 300)
+    monkeypatch.setattr(ctxmix, "HELD", 2000)
+    rng = random.Random(9)
+    texts = [" ".join(f"a {w}" for w in [f"x{i}"] * 3 + [f"y{i}"] * 3 + ["z"] * 2) for i in range(4)]
+    texts += [None, "", " \x0b", "End\x00 \u00c9t\u00e9 end\x00", "long" * 5000]
+    texts += [" ".join(f"w{int(rng.paretovariate(0.5)) % 300}" for _ in range(rng.randrange(80))) for _ in range(200)]
+    held = [i > 3 and i % 5 == 0 for i in range(len(texts))]
+    df = spark.createDataFrame(spark.sparkContext.parallelize(list(zip(texts, held, strict=True)), 4), "text string, held_out boolean")
+    want, after = {}, {}
+    for t, h in zip(texts, held, strict=True):
+        tokens = ctxmix.tokens_of((t or "").encode())
+        for w in tokens:
+            want[w] = want.get(w, 0) + (not h)
+        for a, b in zip(tokens, tokens[1:], strict=False):
+            if not h:
+                after.setdefault(a, Counter())[int(ctxmix.short(ctxmix.hashes_of([b]))[0])] += 1
+    got = {bytes(r["token"]): (r["h"], r["c"], r["g"], r["k"]) for r in ctxmix.token_counts(df).collect()}
+    best = {w: max((k, g) for g, k in f.items()) for w, f in after.items()}
+    assert got == {w: (int(ctxmix.hashes_of([w])[0]), c, best.get(w, (0, None))[1], best.get(w, (0, None))[0]) for w, c in want.items()}
+    assert got[b"a"][2:] == (int(ctxmix.short(ctxmix.hashes_of([b"z"]))[0]), 8)
+    words = spark.createDataFrame([(w,) for w in got], "w binary").select("w", F.xxhash64("w").alias("h")).collect()
+    assert {bytes(r["w"]): r["h"] for r in words} == {w: x[0] for w, x in got.items()}
+
+
 def test_texts_are_numbered_as_they_are_split():
     for texts in ([None], ["", None], ["A a\x0bb  ", " b\x1cc\u00a0d", "\ta\nB\x0c\r"], ["x" * 99, "x" * 98 + "y"], [" "]):
         raw = [None if t is None else t.encode() for t in texts]
