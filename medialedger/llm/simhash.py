@@ -5,9 +5,13 @@ programme gives each partition its own threshold, at least -1 (skipped) and toge
 estimated probes and candidates are fewest. Two fingerprints within the distance then agree within the threshold of at
 least one partition, so none is missed, whatever the estimates say. Probes that meet are verified on all 64 bits.
 
-`near_duplicates` links fingerprints alone. `similar` also asks for a least similarity of the word shingles (their sets'
-intersection by their union). What meets within the distance leaves each block as a forest of its closest pairs, so a large
-group never becomes all of its pairs, and each pair of the forest is then computed exactly from the whole texts.
+`near_duplicates` links fingerprints alone. `similar` asks for a least similarity of the word shingles (their sets' intersection
+by their union), and joins all texts that reach each other over such pairs. Fingerprints come first: what meets within the
+distance leaves each block as a forest of its closest pairs, so a large group never becomes all of its pairs, and each pair of
+the forest is computed exactly from the whole texts. That leaves out pairs whose fingerprints are further apart, and pairs
+that a forest has no place for. So the groups found are then held against each other exactly: in a fixed order of all
+shingles, rare ones first, two similar sets share a known least number among their first ones (prefix filter). Pairs of different
+groups that do are computed exactly as well.
 
 Defined cases: null and blank texts have fingerprint 0 and are linked like any other. Texts of fewer words than a shingle
 hash the whole sequence. Rows with the same fingerprint are one node, so large groups of copies cost one row each. Rows
@@ -40,6 +44,8 @@ SAMPLE = 2000
 GATHERED = 2_000_000
 #: Rows of a group that are compared in squares.
 SQUARE = 48
+#: Texts from which frequent shingles are told, and how many of these are sent to tasks. Only the cost depends on them.
+COMMON_TEXTS, COMMON = 10_000, 200_000
 
 
 def shingles(text: bytes | None, words: int, seed: int) -> np.ndarray:
@@ -270,27 +276,96 @@ def similar_links(docs: DataFrame, links: DataFrame, words: int, similarity: flo
     return links.join(a, "a").join(b, "b").where(both >= similarity * either).select("a", "b")
 
 
+def common_shingles(docs: DataFrame, words: int, seed: int) -> tuple[np.ndarray, np.ndarray]:
+    """Shingles that several of some texts of docs (x, text) have, ascending, and the logarithm of their number of texts."""
+    step = max(1, -(-docs.count() // COMMON_TEXTS))
+    sets = docs.where(F.pmod("x", F.lit(step)) == 0).dropDuplicates(["x"]).mapInArrow(_shingled(words, seed), "x long, set array<long>")
+    found = sets.select(F.explode("set").alias("h")).groupBy("h").agg(F.count(F.lit(1)).alias("n")).where("n > 1")
+    got = found.orderBy(F.desc("n"), "h").limit(COMMON).toArrow()
+    h, n = np.asarray(got.column("h")).astype("<i8").view(np.uint64), np.asarray(got.column("n"))
+    order = np.argsort(h)
+    return h[order], np.minimum(15, np.log2(n[order])).astype(np.uint64)
+
+
+def first_shingles(h: np.ndarray, common: tuple[np.ndarray, np.ndarray], similarity: float) -> tuple[int, np.ndarray]:
+    """(number of different shingles, the first of them in the order of all shingles): two sets of at least this similarity share
+    one of these. No shingle counts as one of its own.
+    """
+    h = np.unique(h) if len(h) else np.zeros(1, np.uint64)
+    rank = h & np.uint64((1 << 58) - 1)
+    if len(common[0]):
+        at = np.minimum(np.searchsorted(common[0], h), len(common[0]) - 1)
+        rank |= np.where(common[0][at] == h, common[1][at], np.uint64(0)) << np.uint64(58)
+    rank = np.unique(rank)
+    n = len(rank)
+    return n, rank[: n - int(np.ceil(similarity * n - 1e-9)) + 1].view(np.int64)
+
+
+def met(similarity: float):
+    """(a, b, need): pairs of different groups that meet in a block, and in how many blocks similar ones meet at least.
+
+    Of two texts, take the one whose first shingles end earlier: all of them that the other text has are among that one's first
+    ones, and at most n - overlap of them are missing there.
+    """
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for t in by_group(batches, ["key", "lo", "hi"], 20_000):
+            key, lo, hi, part, x, root, n, p, last = (np.asarray(t.column(c)) for c in ("key", "lo", "hi", "part", "x", "root", "n", "p", "last"))
+            group = np.cumsum(np.r_[True, (key[1:] != key[:-1]) | (lo[1:] != lo[:-1]) | (hi[1:] != hi[:-1])])
+            for i, j in near_rows(np.zeros(len(x), np.uint64), group, lo, hi, part, BITS):
+                keep = (root[i] != root[j]) & (np.minimum(n[i], n[j]) >= similarity * np.maximum(n[i], n[j]) - 1e-9)
+                i, j = i[keep], j[keep]
+                if not len(i):
+                    continue
+                overlap = np.ceil(similarity / (1 + similarity) * (n[i] + n[j]) - 1e-9).astype(np.int64)
+                early = np.where(last[i] <= last[j], i, j)
+                need = p[early] - (n[early] - overlap)
+                yield pa.RecordBatch.from_arrays([pa.array(np.minimum(x[i], x[j])), pa.array(np.maximum(x[i], x[j])), pa.array(need)], ["a", "b", "need"])
+
+    return run
+
+
+def pairs_between(texts: DataFrame, similarity: float) -> DataFrame:
+    """(a, b): pairs of texts (x, root, n, first) of different roots, among them all that have at least this similarity."""
+    own = texts.select("x", "root", "n", F.size("first").cast("long").alias("p"), F.element_at("first", -1).alias("last"), F.explode("first").alias("key"))
+    shared = own.groupBy("key").agg(F.min("root").alias("low"), F.max("root").alias("high")).where("low < high").select("key")
+    own = own.join(saved(shared, "shared-shingles"), "key")
+    blocks = dealt_blocks(own, "key", "x", BLOCK_ROWS).repartition("key", "lo", "hi").sortWithinPartitions("key", "lo", "hi")
+    pairs = blocks.mapInArrow(met(similarity), "a long, b long, need long")
+    return pairs.groupBy("a", "b").agg(F.count(F.lit(1)).alias("n"), F.max("need").alias("need")).where("n >= need").select("a", "b")
+
+
 def similar(docs: DataFrame, words: int = 5, similarity: float = 0.8, distance: int = 7, looks: int = 2, seed: int = 42) -> DataFrame:
     """(doc_id, x, row, group) for every row of docs (doc_id, text, rest): x and row are hashes of its text and of all of it,
-    group is the same for rows whose texts reach each other over links of at least this similarity. A text has as many
-    fingerprints as `looks` says; texts are compared if two of the same look are within the distance.
+    group is the same for rows whose texts reach each other over links of at least this similarity, and for no others. A text
+    has as many fingerprints as `looks` says; texts of which two of the same look are within the distance are compared first.
     """
     text = F.coalesce(F.col("text").cast("string"), F.lit(""))
     keyed = docs.select(F.col("doc_id"), text.alias("text"), F.xxhash64(text).alias("x"), F.xxhash64("doc_id", "text", F.to_json("rest")).alias("row"))
+    whole = keyed.select("x", "text")
+    common = keyed.sparkSession.sparkContext.broadcast(common_shingles(whole, words, seed))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch, raw in byte_batches(batches):
             h = [shingles(t, words, seed) for t in raw]
             fps = [pa.array(np.array([majority(look(x, k)) for x in h], np.uint64).view(np.int64)) for k in range(looks)]
-            yield pa.RecordBatch.from_arrays([*(batch.column(c) for c in ("doc_id", "x", "row")), *fps], ["doc_id", "x", "row", *names])
+            n, first = zip(*(first_shingles(x, common.value, similarity) for x in h), strict=True)
+            lists = pa.ListArray.from_arrays(pa.array(np.r_[0, np.cumsum([len(x) for x in first])], pa.int32()), pa.array(np.concatenate(first)))
+            yield pa.RecordBatch.from_arrays([*(batch.column(c) for c in ("doc_id", "x", "row")), *fps, pa.array(n, pa.int64()), lists], ["doc_id", "x", "row", *names, "n", "first"])
 
     kind, names = docs.schema["doc_id"].dataType.simpleString(), [f"fp{k}" for k in range(looks)]
-    rows = saved(keyed.mapInArrow(run, f"doc_id {kind}, x long, row long, {', '.join(f'{c} long' for c in names)}"), "fingerprints")
+    rows = saved(keyed.mapInArrow(run, f"doc_id {kind}, x long, row long, {', '.join(f'{c} long' for c in names)}, n long, first array<long>"), "fingerprints")
     nodes = saved(rows.select(F.col("x").alias("rep"), *names).distinct(), "fingerprint-nodes")
     found = [links_within(nodes.select("rep", F.col(c).alias("fp")), distance, closest=True) for c in names]
     both = reduce(DataFrame.unionByName, found).select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b"))
     links = saved(both.distinct(), "close-texts")
-    roots = components(saved(similar_links(keyed.select("x", "text"), links, words, similarity, seed), "similar-texts"))
+    near = saved(similar_links(whole, links, words, similarity, seed), "similar-texts")
+    roots = components(near)
+    texts = rows.select("x", "n", "first").dropDuplicates(["x"]).join(roots.withColumnRenamed("node", "x"), "x", "left")
+    texts = saved(texts.withColumn("root", F.coalesce("root", "x")), "first-shingles")
+    rest = saved(pairs_between(texts, similarity), "other-pairs")
+    more = saved(similar_links(whole, rest, words, similarity, seed), "other-similar-texts")
+    roots = components(near.unionByName(more)) if more.head(1) else roots
     return rows.join(roots, rows["x"] == roots["node"], "left").select("doc_id", "x", "row", F.coalesce("root", "x").alias("group"))
 
 

@@ -301,6 +301,31 @@ def test_similar_texts_are_brute_force(spark):
     assert len(kept - exact) <= 0.15 * (len(texts) - len(exact))  # some just above the similarity are not met
 
 
+@pytest.mark.parametrize(("block", "common"), [(512, 10_000), (7, 30)])
+def test_all_similar_texts_are_joined(spark, monkeypatch, block, common):
+    """Groups at the similarity are those of brute force over all pairs: also of pairs whose fingerprints are far apart, of texts
+    around a frequent passage, and of lengths that make a difference.
+    """
+    monkeypatch.setattr(simhash, "BLOCK_ROWS", block)
+    monkeypatch.setattr(simhash, "COMMON_TEXTS", common)
+    rng = random.Random(block)
+    words = [f"w{i}" for i in range(300)]
+    passage = [rng.choice(words) for _ in range(30)]
+    texts = [None, "", " ", "one two", "One  TWO", "one two three four five", "one two three four five six"]
+    for k in range(50):
+        base = [rng.choice(words) for _ in range(rng.choice([6, 12, 40, 100]))] + passage * (k % 3)
+        for edits in range(5):
+            w = list(base)
+            for _ in range(edits * len(w) // 110):
+                w[rng.randrange(len(w))] = rng.choice(words)
+            texts.append(" ".join(w + [rng.choice(words) for _ in range(rng.randrange(1 + len(w) // 8))]))
+    sets = [set(simhash.shingles((t or "").encode(), 5, 42).tolist()) for t in texts]
+    pairs = [(i, j) for i in range(len(texts)) for j in range(i) if len(sets[i] & sets[j]) >= 0.8 * len(sets[i] | sets[j])]
+    df = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    kept = {r["doc_id"] for r in simhash.one_of_each(df).collect()}
+    assert kept == {i for i, r in enumerate(roots_of(len(texts), pairs)) if i == r}
+
+
 def test_forests_join_what_links_join():
     rng = np.random.default_rng(2)
     for _ in range(30):
