@@ -11,7 +11,9 @@ distance leaves each block as a forest of its closest pairs, so a large group ne
 the forest is computed exactly from the whole texts. That leaves out pairs whose fingerprints are further apart, and pairs
 that a forest has no place for. So the groups found are then held against each other exactly: in a fixed order of all
 shingles, rare ones first, two similar sets share a known least number among their first ones (prefix filter). Pairs of different
-groups that do are computed exactly as well.
+groups that do are computed exactly as well, but for those which share a shingle of many texts: they are computed only if
+sketches of the whole sets, which bound the similarity, allow it, and the closest pairs come first, so that groups which
+join by them make no more pairs.
 
 Defined cases: null and blank texts have fingerprint 0 and are linked like any other. Texts of fewer words than a shingle
 hash the whole sequence. Rows with the same fingerprint are one node, so large groups of copies cost one row each. Rows
@@ -29,6 +31,7 @@ import numpy as np
 import pyarrow as pa
 import xxhash
 from pyspark.sql import DataFrame
+from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from .common import by_group, byte_batches, components, dealt_blocks, local_roots, packed, same_group_pairs, saved, spanning_pairs, unpacked
@@ -44,6 +47,10 @@ SAMPLE = 2000
 GATHERED = 2_000_000
 #: Rows of a group that are compared in squares.
 SQUARE = 48
+#: A first shingle that no more texts have makes pairs without sketches.
+FEW = 16
+#: Bits of the longest sketch of a text's shingles. Only the cost depends on it.
+SKETCH = 1 << 15
 #: Texts from which frequent shingles are told, and how many of these are sent to tasks. Only the cost depends on them.
 COMMON_TEXTS, COMMON = 10_000, 200_000
 
@@ -287,9 +294,32 @@ def common_shingles(docs: DataFrame, words: int, seed: int) -> tuple[np.ndarray,
     return h[order], np.minimum(15, np.log2(n[order])).astype(np.uint64)
 
 
-def first_shingles(h: np.ndarray, common: tuple[np.ndarray, np.ndarray], similarity: float) -> tuple[int, np.ndarray]:
-    """(number of different shingles, the first of them in the order of all shingles): two sets of at least this similarity share
-    one of these. No shingle counts as one of its own.
+def sketch(h: np.ndarray) -> bytes:
+    """Parities of a set's members, dealt by their hash to four places or more for each, SKETCH at most. Two sets differ in no
+    fewer members than their sketches in bits, and the halves of a sketch, xor-ed, are the sketch of half the length.
+    """
+    places = min(SKETCH, max(64, 1 << (4 * len(h) - 1).bit_length()))
+    odd = np.bincount((h & np.uint64(places - 1)).astype(np.int64), minlength=places) & 1
+    return np.packbits(odd.astype(np.uint8), bitorder="little").tobytes()
+
+
+def bits_apart(words: np.ndarray, begin: np.ndarray, size: np.ndarray, i: np.ndarray, j: np.ndarray) -> np.ndarray:
+    """In how many bits the sketches of rows i and j differ, the longer one folded to the length of the shorter."""
+    out, kind = np.zeros(len(i), np.int64), size[i] * SKETCH + size[j]
+    for k in np.unique(kind).tolist():
+        p, q = divmod(k, SKETCH)
+        least, own = min(p, q), np.flatnonzero(kind == k)
+        step = max(1, (1 << 17) // max(p, q))
+        for a in range(0, len(own), step):
+            at = own[a : a + step]
+            one, two = (words[begin[r[at], None] + np.arange(w)].reshape(len(at), -1, least) for r, w in ((i, p), (j, q)))
+            out[at] = np.bitwise_count(np.bitwise_xor.reduce(one, axis=1) ^ np.bitwise_xor.reduce(two, axis=1)).sum(axis=1, dtype=np.int64)
+    return out
+
+
+def first_shingles(h: np.ndarray, common: tuple[np.ndarray, np.ndarray], similarity: float) -> tuple[int, np.ndarray, bytes]:
+    """(number of different shingles, the first of them in the order of all shingles, the sketch of all): two sets of at least
+    this similarity share one of the first. No shingle counts as one of its own.
     """
     h = np.unique(h) if len(h) else np.zeros(1, np.uint64)
     rank = h & np.uint64((1 << 58) - 1)
@@ -298,25 +328,67 @@ def first_shingles(h: np.ndarray, common: tuple[np.ndarray, np.ndarray], similar
         rank |= np.where(common[0][at] == h, common[1][at], np.uint64(0)) << np.uint64(58)
     rank = np.unique(rank)
     n = len(rank)
-    return n, rank[: n - int(np.ceil(similarity * n - 1e-9)) + 1].view(np.int64)
+    return n, rank[: n - int(np.ceil(similarity * n - 1e-9)) + 1].view(np.int64), sketch(rank)
+
+
+def met(similarity: float, forest: bool):
+    """(a, b): pairs of different groups that meet in a block, but for those whose sketches differ in too many bits. With
+    `forest`, only pairs that join the same groups, closest first: never more rows than the blocks have.
+    """
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for t in by_group(batches, ["key", "lo", "hi"], 5_000):
+            key, lo, hi, part, x, root, n = (np.asarray(t.column(c)) for c in ("key", "lo", "hi", "part", "x", "root", "n"))
+            raw = t.column("sketch").to_pylist()
+            words, size = np.frombuffer(b"".join(raw), "<u8"), np.array([len(r) // 8 for r in raw])
+            begin = np.cumsum(size) - size
+            group = np.cumsum(np.r_[True, (key[1:] != key[:-1]) | (lo[1:] != lo[:-1]) | (hi[1:] != hi[:-1])])
+            names, place = np.unique(root, return_inverse=True)
+            held = np.zeros((3, 0), np.int64)
+            more: list[np.ndarray] = []
+
+            def thinned(x=x, names=names, place=place, more=more):
+                i, j, cost = all_ = np.concatenate([held, *more], axis=1)
+                more.clear()
+                if forest:
+                    return all_[:, spanning_pairs(len(names), place[i], place[j], cost)]
+                a, b = np.minimum(x[i], x[j]), np.maximum(x[i], x[j])
+                order = np.lexsort((b, a))
+                a, b = a[order], b[order]
+                return all_[:, order[np.r_[True, (a[1:] != a[:-1]) | (b[1:] != b[:-1])][: len(order)]]]
+
+            for i, j in near_rows(np.zeros(len(x), np.uint64), group, lo, hi, part, BITS):
+                keep = (root[i] != root[j]) & (np.minimum(n[i], n[j]) >= similarity * np.maximum(n[i], n[j]) - 1e-9)
+                i, j = i[keep], j[keep]
+                both = n[i] + n[j]
+                most = both - 2 * np.ceil(similarity / (1 + similarity) * both - 1e-9).astype(np.int64)
+                apart = bits_apart(words, begin, size, i, j)
+                near = apart <= most
+                more.append(np.stack([i, j, 16 * apart // (most + 1)])[:, near])
+                if sum(m.shape[1] for m in more) > GATHERED // 10:
+                    held = thinned()
+            if more:
+                held = thinned()
+            i, j, _ = held
+            if len(i):
+                yield pa.RecordBatch.from_arrays([pa.array(np.minimum(x[i], x[j])), pa.array(np.maximum(x[i], x[j]))], ["a", "b"])
+
+    return run
 
 
-def met(similarity: float):
-    """(a, b, need): pairs of different groups that meet in a block, and in how many blocks similar ones meet at least.
+def met_by_few(similarity: float):
+    """(a, b, need): pairs of different groups that share a key of few texts, and how many such keys similar ones share at least.
 
     Of two texts, take the one whose first shingles end earlier: all of them that the other text has are among that one's first
     ones, and at most n - overlap of them are missing there.
     """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for t in by_group(batches, ["key", "lo", "hi"], 20_000):
-            key, lo, hi, part, x, root, n, p, last = (np.asarray(t.column(c)) for c in ("key", "lo", "hi", "part", "x", "root", "n", "p", "last"))
-            group = np.cumsum(np.r_[True, (key[1:] != key[:-1]) | (lo[1:] != lo[:-1]) | (hi[1:] != hi[:-1])])
-            for i, j in near_rows(np.zeros(len(x), np.uint64), group, lo, hi, part, BITS):
+        for t in by_group(batches, ["key"], 20_000):
+            key, x, root, n, p, last = (np.asarray(t.column(c)) for c in ("key", "x", "root", "n", "p", "last"))
+            for i, j in same_group_pairs(key, FEW + 1):
                 keep = (root[i] != root[j]) & (np.minimum(n[i], n[j]) >= similarity * np.maximum(n[i], n[j]) - 1e-9)
                 i, j = i[keep], j[keep]
-                if not len(i):
-                    continue
                 overlap = np.ceil(similarity / (1 + similarity) * (n[i] + n[j]) - 1e-9).astype(np.int64)
                 early = np.where(last[i] <= last[j], i, j)
                 need = p[early] - (n[early] - overlap)
@@ -325,14 +397,28 @@ def met(similarity: float):
     return run
 
 
-def pairs_between(texts: DataFrame, similarity: float) -> DataFrame:
-    """(a, b): pairs of texts (x, root, n, first) of different roots, among them all that have at least this similarity."""
-    own = texts.select("x", "root", "n", F.size("first").cast("long").alias("p"), F.element_at("first", -1).alias("last"), F.explode("first").alias("key"))
-    shared = own.groupBy("key").agg(F.min("root").alias("low"), F.max("root").alias("high")).where("low < high").select("key")
-    own = own.join(saved(shared, "shared-shingles"), "key")
-    blocks = dealt_blocks(own, "key", "x", BLOCK_ROWS).repartition("key", "lo", "hi").sortWithinPartitions("key", "lo", "hi")
-    pairs = blocks.mapInArrow(met(similarity), "a long, b long, need long")
-    return pairs.groupBy("a", "b").agg(F.count(F.lit(1)).alias("n"), F.max("need").alias("need")).where("n >= need").select("a", "b")
+def shared_shingles(texts: DataFrame) -> DataFrame:
+    """(key, x): the first shingles that several different texts of the rows (x, first) have, and who has them."""
+    own, each = texts.select("x", F.explode("first").alias("key")), W.partitionBy("key")
+    return own.withColumns({"_low": F.min("x").over(each), "_high": F.max("x").over(each)}).where("_low < _high").select("key", "x").distinct()
+
+
+def pairs_between(shared: DataFrame, texts: DataFrame, similarity: float, forest: bool) -> DataFrame:
+    """(a, b): pairs of texts (x, root, n, p, last, sketch) of different roots that share (key, x), among them all that have at
+    least this similarity. Pairs that share a key of over FEW texts are told by their sketches, all others by how many keys
+    they share. With `forest`, only of the former, and only some that join the same roots if they are similar.
+    """
+    each = W.partitionBy("key")
+    own = shared.join(texts.drop("sketch"), "x").repartition("key")
+    own = own.withColumns({"low": F.min("root").over(each), "high": F.max("root").over(each), "texts": F.count(F.lit(1)).over(each)}).where("low < high")
+    dealt = dealt_blocks(own.where(F.col("texts") > FEW).select("key", "x", "root", "n"), "key", "x", BLOCK_ROWS).join(texts.select("x", "sketch"), "x")
+    blocks = dealt.repartition("key", "lo", "hi").sortWithinPartitions("key", "lo", "hi")
+    pairs = blocks.mapInArrow(met(similarity, forest), "a long, b long").distinct()
+    if forest:
+        return pairs
+    few = own.where(F.col("texts") <= FEW).sortWithinPartitions("key").mapInArrow(met_by_few(similarity), "a long, b long, need long")
+    few = few.groupBy("a", "b").agg(F.count(F.lit(1)).alias("n"), F.max("need").alias("need")).where("n >= need")
+    return few.select("a", "b").unionByName(pairs).distinct()
 
 
 def similar(docs: DataFrame, words: int = 5, similarity: float = 0.8, distance: int = 7, looks: int = 2, seed: int = 42) -> DataFrame:
@@ -349,23 +435,28 @@ def similar(docs: DataFrame, words: int = 5, similarity: float = 0.8, distance:
         for batch, raw in byte_batches(batches):
             h = [shingles(t, words, seed) for t in raw]
             fps = [pa.array(np.array([majority(look(x, k)) for x in h], np.uint64).view(np.int64)) for k in range(looks)]
-            n, first = zip(*(first_shingles(x, common.value, similarity) for x in h), strict=True)
+            n, first, sketches = zip(*(first_shingles(x, common.value, similarity) for x in h), strict=True)
             lists = pa.ListArray.from_arrays(pa.array(np.r_[0, np.cumsum([len(x) for x in first])], pa.int32()), pa.array(np.concatenate(first)))
-            yield pa.RecordBatch.from_arrays([*(batch.column(c) for c in ("doc_id", "x", "row")), *fps, pa.array(n, pa.int64()), lists], ["doc_id", "x", "row", *names, "n", "first"])
+            yield pa.RecordBatch.from_arrays([*(batch.column(c) for c in ("doc_id", "x", "row")), *fps, pa.array(n, pa.int64()), lists, pa.array(sketches, pa.binary())], ["doc_id", "x", "row", *names, "n", "first", "sketch"])
 
     kind, names = docs.schema["doc_id"].dataType.simpleString(), [f"fp{k}" for k in range(looks)]
-    rows = saved(keyed.mapInArrow(run, f"doc_id {kind}, x long, row long, {', '.join(f'{c} long' for c in names)}, n long, first array<long>"), "fingerprints")
+    rows = saved(keyed.mapInArrow(run, f"doc_id {kind}, x long, row long, {', '.join(f'{c} long' for c in names)}, n long, first array<long>, sketch binary"), "fingerprints")
     nodes = saved(rows.select(F.col("x").alias("rep"), *names).distinct(), "fingerprint-nodes")
     found = [links_within(nodes.select("rep", F.col(c).alias("fp")), distance, closest=True) for c in names]
     both = reduce(DataFrame.unionByName, found).select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b"))
     links = saved(both.distinct(), "close-texts")
     near = saved(similar_links(whole, links, words, similarity, seed), "similar-texts")
     roots = components(near)
-    texts = rows.select("x", "n", "first").dropDuplicates(["x"]).join(roots.withColumnRenamed("node", "x"), "x", "left")
-    texts = saved(texts.withColumn("root", F.coalesce("root", "x")), "first-shingles")
-    rest = saved(pairs_between(texts, similarity), "other-pairs")
-    more = saved(similar_links(whole, rest, words, similarity, seed), "other-similar-texts")
-    roots = components(near.unionByName(more)) if more.head(1) else roots
+    shared = saved(shared_shingles(rows), "shared-shingles")
+    own = saved(rows.select("x", "n", F.size("first").cast("long").alias("p"), F.element_at("first", -1).alias("last"), "sketch").join(shared.select("x").distinct(), "x", "left_semi").dropDuplicates(["x"]), "sketches")
+    # first what joins groups at all, then, between groups that are left, every pair
+    for forest in (True, False):
+        grouped = own.join(roots.withColumnRenamed("node", "x"), "x", "left").withColumn("root", F.coalesce("root", "x"))
+        pairs = saved(pairs_between(shared, grouped, similarity, forest), "other-pairs")
+        more = saved(similar_links(whole, pairs, words, similarity, seed), "other-similar-texts")
+        if more.head(1):
+            near = near.unionByName(more)
+            roots = components(near)
     return rows.join(roots, rows["x"] == roots["node"], "left").select("doc_id", "x", "row", F.coalesce("root", "x").alias("group"))
 
 

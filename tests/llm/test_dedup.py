@@ -2,7 +2,9 @@
 
 import hashlib
 import random
+import uuid
 from collections import Counter
+from pathlib import Path
 
 import numpy as np
 import pytest
@@ -326,6 +328,50 @@ def test_all_similar_texts_are_joined(spark, monkeypatch, block, common):
     assert kept == {i for i, r in enumerate(roots_of(len(texts), pairs)) if i == r}
 
 
+def test_sketches_tell_no_more_than_differs():
+    """Of sets of any sizes, and far more alike for like ones."""
+    rng = np.random.default_rng(3)
+    for _ in range(40):
+        a = np.unique(rng.integers(0, 1 << 63, int(rng.integers(1, 900))).astype(np.uint64))
+        b = np.unique(np.r_[a[int(rng.integers(0, len(a))) :], rng.integers(0, 1 << 63, int(rng.integers(0, 2000))).astype(np.uint64)])
+        raw = [simhash.sketch(x) for x in (a, b)]
+        size = np.array([len(r) // 8 for r in raw])
+        apart = simhash.bits_apart(np.frombuffer(b"".join(raw), "<u8"), np.cumsum(size) - size, size, np.array([0, 1, 0]), np.array([1, 0, 0]))
+        differ = len(np.setxor1d(a, b))
+        assert 0.25 * min(differ, min(size) * 64) <= apart[0] + 20 and apart[0] == apart[1] <= differ and apart[2] == 0
+
+
+def test_large_groups_hand_on_few_pairs(spark, monkeypatch, tmp_path):
+    """One large group of variants around the similarity: the pairs that blocks hand on don't grow with its square."""
+    inner, folder = simhash.met, str(tmp_path)
+
+    def counted(*settings):
+        run = inner(*settings)
+
+        def counting(batches):
+            for out in run(batches):
+                (Path(folder) / uuid.uuid4().hex).write_text(str(out.num_rows))
+                yield out
+
+        return counting
+
+    monkeypatch.setattr(simhash, "met", counted)
+    rng = random.Random(8)
+    base = [f"w{rng.randrange(400)}" for _ in range(150)]
+    texts = []
+    for _ in range(300):
+        w = list(base)
+        for _ in range(rng.randrange(4, 12)):
+            w[rng.randrange(150)] = f"v{rng.randrange(400)}"
+        texts.append(" ".join(w))
+    sets = [set(simhash.shingles(t.encode(), 5, 42).tolist()) for t in texts]
+    pairs = [(i, j) for i in range(len(texts)) for j in range(i) if len(sets[i] & sets[j]) >= 0.8 * len(sets[i] | sets[j])]
+    df = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    kept = {r["doc_id"] for r in simhash.one_of_each(df).collect()}
+    assert kept == {i for i, r in enumerate(roots_of(len(texts), pairs)) if i == r}
+    assert sum(int(f.read_text()) for f in tmp_path.iterdir()) <= 10 * len(texts)
+
+
 def test_forests_join_what_links_join():
     rng = np.random.default_rng(2)
     for _ in range(30):
