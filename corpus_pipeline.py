@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from medialedger.llm import langid, mixing, pieces, simhash, suffix_dedup
-from medialedger.llm.common import packed, shared_dir, unpacked
+from medialedger.llm.common import packed, removed, shared_dir, unpacked
 
 #: SQL can't express the trained field, the suffix arrays or the tokeniser; the tests hold stages against plain versions.
 ORACLE_SQL = None
@@ -70,12 +70,6 @@ STAGES = [
 ]
 
 
-def removed(spark: SparkSession, path: str) -> None:
-    """Deletes a table that the next stage has read to its end."""
-    folder = spark._jvm.org.apache.hadoop.fs.Path(path)
-    folder.getFileSystem(spark._jsc.hadoopConfiguration()).delete(folder, True)
-
-
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
     folder, before = f"{shared_dir(spark)}/pipeline-{uuid.uuid4().hex}", None

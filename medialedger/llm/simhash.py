@@ -34,7 +34,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from .common import by_group, byte_batches, components, dealt_blocks, local_roots, packed, same_group_pairs, saved, spanning_pairs, unpacked
+from .common import by_group, byte_batches, components, dealt_blocks, local_roots, marked, packed, passing_tables, same_group_pairs, saved, spanning_pairs, unpacked
 
 BITS = 64
 #: Largest group of probes that one block compares; larger ones are dealt into pairs of parts.
@@ -274,8 +274,10 @@ def _shingled(words: int, seed: int):
 
 def similar_links(docs: DataFrame, links: DataFrame, words: int, similarity: float, seed: int) -> DataFrame:
     """The links (a, b) between texts of docs (x, text) whose shingle sets are at least that similar; sets of no shingle are alike."""
-    needed = links.select(F.col("a").alias("x")).union(links.select("b")).distinct()
-    sets = docs.join(needed, "x", "left_semi").dropDuplicates(["x"]).mapInArrow(_shingled(words, seed), "x long, set array<long>")
+    needed = saved(links.select(F.col("a").alias("x")).union(links.select("b")).distinct(), "linked-texts")
+    # texts are long: those that no link has aren't shuffled
+    found = marked(docs, needed, "x", "linked").where("linked").select("x", "text")
+    sets = found.join(needed, "x").dropDuplicates(["x"]).mapInArrow(_shingled(words, seed), "x long, set array<long>")
     sets = saved(sets, "shingle-sets")
     a, b = (sets.select(F.col("x").alias(c), F.col("set").alias(f"{c}_set")) for c in "ab")
     both = F.size(F.array_intersect("a_set", "b_set"))
@@ -465,12 +467,19 @@ def one_of_each(docs: DataFrame, words: int = 5, similarity: float = 0.8, distan
     the smallest hash. Of rows that are equal throughout one stays. Columns beside doc_id and text may have any name.
     """
     own = packed(docs, "doc_id", "text")
-    groups = similar(own, words, similarity, distance, looks)
     first = F.min(F.struct(F.col("doc_id").isNull().alias("nameless"), "doc_id", "x", "row"))
-    kept = groups.groupBy("group").agg(first.alias("first")).select(F.col("first.x").alias("x"), F.col("first.row").alias("row"))
+    with passing_tables(docs.sparkSession):
+        groups = similar(own, words, similarity, distance, looks)
+        groups = saved(groups, "groups")
+        firsts = groups.groupBy("group").agg(first.alias("first"), F.count(F.lit(1)).alias("rows"))
+        kept = saved(firsts.select("group", F.col("first.x").alias("x"), F.col("first.row").alias("row"), "rows"), "kept-rows", lasting=True)
+        several = saved(groups.join(kept.where("rows > 1").select("group"), "group").select("x").distinct(), "texts-of-groups", lasting=True)
     text = F.coalesce(F.col("text").cast("string"), F.lit(""))
     keyed = own.withColumns({"x": F.xxhash64(text), "row": F.xxhash64("doc_id", "text", F.to_json("rest"))})
-    return unpacked(keyed.join(kept, ["x", "row"]).dropDuplicates(["x", "row"]), docs.columns)
+    # a row that is alone in its group stays as it is, without a shuffle
+    told = marked(keyed, several, "x", "several")
+    chosen = told.where("several").join(kept.select("x", "row"), ["x", "row"]).dropDuplicates(["x", "row"])
+    return unpacked(told.where("not several").unionByName(chosen), docs.columns)
 
 
 def op9_simhash(spark, sf_dir: str) -> DataFrame:

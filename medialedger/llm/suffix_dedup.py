@@ -31,7 +31,7 @@ from .common import by_group, packed, pieces, saved, table, texts, unpacked
 
 WIDTH, GRAM = 100, 40
 #: Text that one pass holds; positions within it take 21 bits.
-SLICE = 1 << 20
+SLICE = 1 << 19
 #: Shards are cut into suffix arrays of about so many bytes, never within a group.
 SHARD_BYTES = 1_000_000
 #: Most different runs of one hash that make a group as they are, and about so many that a group of a split hash has.
@@ -68,7 +68,9 @@ def _mixed(h: np.ndarray) -> np.ndarray:
 
 def _prefix(b: np.ndarray, base: int) -> np.ndarray:
     power, _ = _powers(base)
-    return np.concatenate([np.zeros(1, np.uint64), np.cumsum(b * power[: len(b)], dtype=np.uint64)])
+    out = np.zeros(len(b) + 1, np.uint64)
+    np.multiply(b, power[: len(b)], out=out[1:])
+    return np.cumsum(out, out=out)
 
 
 def runs(buf: np.ndarray, ends: np.ndarray, width: int, gram: int) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
@@ -80,7 +82,10 @@ def runs(buf: np.ndarray, ends: np.ndarray, width: int, gram: int) -> tuple[np.n
     b = buf.astype(np.uint64) + np.uint64(1)
     _, inverse = _powers(_BASES[0])
     p = _prefix(b, _BASES[0])
-    h = _mixed((p[gram:] - p[:-gram]) * inverse[: len(b) - gram + 1])
+    h = p[gram:] - p[:-gram]
+    del p  # a pass holds few arrays of its text's length at once
+    h *= inverse[: len(b) - gram + 1]
+    h = _mixed(h)
     low = np.uint64(_LOW)
     key = (h & ~low) | (low - np.arange(len(h), dtype=np.uint64))
     span, have = width - gram + 1, 1
@@ -88,21 +93,27 @@ def runs(buf: np.ndarray, ends: np.ndarray, width: int, gram: int) -> tuple[np.n
         step = min(have, span - have)
         key = np.minimum(key[:-step], key[step:])
         have += step
-    at = (low - (key & low)).astype(np.int64)
+    key &= low
+    at = (low - key).view(np.int64)
+    del key
     # windows that lie in one text
     end = np.repeat(ends, np.diff(np.r_[0, ends]))[:windows]
     valid = np.arange(width, windows + width) <= end
     new = np.r_[True, (at[1:] != at[:-1]) | (end[1:] != end[:-1])] & valid
+    del end
     first = np.flatnonzero(new)
     if not len(first):
         return none
     # a run ends where the next begins or windows stop being valid
     edge = np.flatnonzero(np.r_[new[1:] | ~valid[1:], True] & valid)
     count = edge - first + 1
+    del new, valid, edge
+    name = h[at[first]].view(np.int64)
+    del h, at
     q = _prefix(b, _BASES[1])
     _, inverse2 = _powers(_BASES[1])
     ctx = _mixed((q[first + count + width - 1] - q[first]) * inverse2[first])
-    return h[at[first]].view(np.int64), first, count, ctx.view(np.int64)
+    return name, first, count, ctx.view(np.int64)
 
 
 def _slices(raw: list[bytes | None], width: int) -> Iterator[tuple[list[int], list[int], np.ndarray, np.ndarray]]:
@@ -326,7 +337,7 @@ def run_windows(width: int):
     def go(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             raw = batch.column("bytes").to_pylist()
-            for a, z in pieces(map(len, raw), SLICE // 8):
+            for a, z in pieces(map(len, raw), SLICE // 4):
                 b = np.frombuffer(b"".join(raw[a:z]), np.uint8).astype(np.uint64) + np.uint64(1)
                 n = np.asarray(batch.column("n"))[a:z]
                 size = n + width - 1

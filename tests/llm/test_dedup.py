@@ -372,6 +372,63 @@ def test_large_groups_hand_on_few_pairs(spark, monkeypatch, tmp_path):
     assert sum(int(f.read_text()) for f in tmp_path.iterdir()) <= 10 * len(texts)
 
 
+def shuffled(spark):
+    """Bytes that each stage so far has written for shuffles."""
+    jvm = spark.sparkContext._jvm
+    spark.sparkContext._jsc.sc().listenerBus().waitUntilEmpty(30_000)
+    stages = spark.sparkContext._jsc.sc().statusStore().stageList(None, False, False, spark.sparkContext._gateway.new_array(jvm.double, 0), jvm.java.util.ArrayList())
+    return {stages.apply(k).stageId(): stages.apply(k).shuffleWriteBytes() for k in range(stages.size())}
+
+
+def test_texts_without_links_are_not_shuffled(spark, tmp_path, monkeypatch):
+    """Few of many long texts have links; the others stay where they are, and no table of a step stays at all."""
+    rng = random.Random(12)
+    texts = [" ".join(rng.randbytes(60).hex() for _ in range(120)) for _ in range(400)]
+    texts += [t + " more" for t in texts[:6]] + texts[6:9]
+    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    docs.write.parquet(f"{tmp_path}/docs")
+    (tmp_path / "shared").mkdir()
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+    monkeypatch.setattr(common, "shared_dir", lambda spark: f"{tmp_path}/shared")
+    monkeypatch.setattr(simhash, "COMMON_TEXTS", 20)
+    try:
+        before = max(shuffled(spark))
+        kept = simhash.one_of_each(spark.read.parquet(f"{tmp_path}/docs"))
+        assert {r["doc_id"] for r in kept.select("doc_id", "text").collect()} == set(range(400))
+        assert max(n for k, n in shuffled(spark).items() if k > before) < 0.25 * sum(map(len, texts))
+    finally:
+        spark.conf.unset("spark.sql.autoBroadcastJoinThreshold")
+    assert {f.name[:-33] for f in (tmp_path / "shared").iterdir()} == {"kept-rows", "texts-of-groups"}
+
+
+@pytest.mark.parametrize("most", [64, 1 << 24])
+def test_marks_leave_no_key_out(spark, monkeypatch, most):
+    monkeypatch.setattr(common, "MARKS", most)
+    rows = spark.range(20_000).select("id", F.xxhash64("id").alias("x"))
+    keys = rows.where("id % 50 = 3").select("x")
+    for own, want in ((keys, {i for i in range(20_000) if i % 50 == 3}), (keys.where("false"), set())):
+        got = {r["id"] for r in common.marked(rows, own, "x", "hit").where("hit").collect()}
+        assert want <= got
+        assert len(got) <= 20_000 * (1 if own is keys and most == 64 else 0.15)
+    assert common.marked(rows, keys, "x", "hit").count() == 20_000
+
+
+def test_passing_tables_go(spark, tmp_path, monkeypatch):
+    monkeypatch.setattr(common, "shared_dir", lambda spark: str(tmp_path))
+    names = lambda: sorted(f.name[:-33] for f in tmp_path.iterdir())
+    with common.passing_tables(spark):
+        with common.passing_tables(spark):
+            common.saved(spark.range(3), "inner")
+            outer = common.saved(spark.range(4), "outer", lasting=True)
+        assert names() == ["outer"]
+        last = common.saved(outer, "last", lasting=True)
+    assert names() == ["last"] and last.count() == 4
+    with pytest.raises(ValueError), common.passing_tables(spark):
+        common.saved(spark.range(3), "failed")
+        raise ValueError
+    assert names() == ["last"]
+
+
 def test_forests_join_what_links_join():
     rng = np.random.default_rng(2)
     for _ in range(30):
