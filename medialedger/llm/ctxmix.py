@@ -26,10 +26,9 @@ from __future__ import annotations
 
 import heapq
 import math
-from collections import defaultdict
 from collections.abc import Iterator
 from dataclasses import dataclass
-from itertools import repeat
+from functools import cached_property
 
 import numpy as np
 import pyarrow as pa
@@ -56,8 +55,8 @@ SURE = 1e-5
 #: How fast weights move, and the counts that split gates.
 RATE, SEEN = 0.06, (0, 2, 8, 40, 300)
 _M = np.uint64(0x9E3779B97F4A7C15)
-#: Whether a byte belongs to a word: all but ASCII white space.
-_INSIDE = np.array([not bytes([x]).isspace() for x in range(256)])
+#: ASCII white space, which separates words.
+_WHITE = b"\t\n\x0b\x0c\r "
 
 
 def hashes_of(tokens: list[bytes]) -> np.ndarray:
@@ -83,10 +82,11 @@ def bytes_in(column: pa.Array) -> list[bytes]:
     return [whole[a - begin : z - begin] for a, z in zip(ends, ends[1:], strict=False)]
 
 
-def numbered(raw: list[bytes | None]) -> tuple[np.ndarray, list[bytes], np.ndarray]:
-    """The numbers of all tokens of the texts, the tokens in the order of their numbers, and how many each text has."""
-    buf = np.frombuffer(b" ".join([*(t or b"" for t in raw), b""]).lower(), np.uint8)
-    inside = _INSIDE[buf]
+def encoded(raw: list[bytes | None]) -> tuple[pa.DictionaryArray, np.ndarray]:
+    """All tokens of the texts in a row, and how many each text has."""
+    lower = b" ".join([*(t or b"" for t in raw), b""]).lower()
+    buf = np.frombuffer(lower, np.uint8)
+    inside = (buf - np.uint8(9) > 4) & (buf != 32)  # as unsigned, what is below 9 comes out large
     edge = np.flatnonzero(inside[1:] != inside[:-1]) + 1
     if len(inside) and inside[0]:
         edge = np.r_[0, edge]
@@ -97,7 +97,13 @@ def numbered(raw: list[bytes | None]) -> tuple[np.ndarray, list[bytes], np.ndarr
     is_word[np.cumsum(size) - 1] = False
     length[is_word] = edge[1::2] - edge[::2]
     offsets = np.r_[0, np.cumsum(length)].astype(np.int32)
-    found = pa.Array.from_buffers(pa.binary(), len(length), [None, pa.py_buffer(offsets), pa.py_buffer(buf[inside])]).dictionary_encode()
+    letters = pa.py_buffer(lower.translate(None, _WHITE))
+    return pa.Array.from_buffers(pa.binary(), len(length), [None, pa.py_buffer(offsets), letters]).dictionary_encode(), size
+
+
+def numbered(raw: list[bytes | None]) -> tuple[np.ndarray, list[bytes], np.ndarray]:
+    """The numbers of all tokens of the texts, the tokens in the order of their numbers, and how many each text has."""
+    found, size = encoded(raw)
     return np.asarray(found.indices).astype(np.int64), bytes_in(found.dictionary), size
 
 
@@ -105,9 +111,13 @@ def cells_of(contexts: list[np.ndarray], bits: int) -> np.ndarray:
     """The cell of each context's value, contexts x n; every context has a table of its own."""
     out = np.empty((len(contexts), len(contexts[0])), np.int64)
     for k, c in enumerate(contexts):
-        h = (c.astype(np.int64).view(np.uint64) + np.uint64(k + 1)) * _M
-        h = (h ^ (h >> np.uint64(32))) * _M
-        out[k] = (h >> np.uint64(64 - bits)).astype(np.int64) + (k << bits)
+        h = c.astype(np.int64).view(np.uint64)
+        h += np.uint64(k + 1)
+        h *= _M
+        h ^= h >> np.uint64(32)
+        h *= _M
+        h >>= np.uint64(64 - bits)
+        np.add(h.view(np.int64), k << bits, out=out[k])
     return out
 
 
@@ -133,22 +143,27 @@ class Mix:
 
     def counts(self, cells: np.ndarray, own: np.ndarray | None = None) -> tuple[np.ndarray, np.ndarray]:
         """Ones and zeros of the cells; without the bits themselves if these are given."""
-        if own is None:
-            return self.ones[cells], self.zeros[cells]
-        own = own.astype(np.float32)
-        return np.maximum(self.ones[cells] - own, 0), np.maximum(self.zeros[cells] - (1 - own), 0)
+        ones, zeros = self.ones.take(cells), self.zeros.take(cells)
+        if own is not None:
+            own = own.astype(np.float32)
+            ones, zeros = np.maximum(ones - own, 0), np.maximum(zeros - (1 - own), 0)
+        return ones, zeros
 
     def gate(self, counts: tuple[np.ndarray, np.ndarray], asked: np.ndarray) -> np.ndarray:
         return asked * (len(SEEN) + 1) + np.searchsorted(SEEN, counts[0][self.by] + counts[1][self.by], "left")
 
     def inputs(self, counts: tuple[np.ndarray, np.ndarray]) -> np.ndarray:
-        x = np.log((counts[0] + np.float32(0.4)) / (counts[1] + np.float32(0.4)))
-        return np.concatenate([np.clip(x, -9, 9), np.ones((1, x.shape[1]), np.float32)])
+        x = np.ones((self.contexts + 1, counts[0].shape[1]))
+        x[:-1] = self.odds(*counts)
+        return x
+
+    def odds(self, ones: np.ndarray, zeros: np.ndarray) -> np.ndarray:
+        return np.clip(np.log((ones + np.float32(0.4)) / (zeros + np.float32(0.4))), -9, 9)
 
     def mixed(self, x: np.ndarray, gate: np.ndarray) -> np.ndarray:
         z = np.zeros(x.shape[1])
-        for k in range(len(x)):
-            z += x[k] * self.weights[gate, k]
+        for k, w in enumerate(np.ascontiguousarray(self.weights.T)):
+            z += x[k] * w.take(gate)
         return np.clip(z, -12, 12)
 
     def looked_up(self, cells: np.ndarray, asked: np.ndarray, own: np.ndarray | None = None) -> tuple[np.ndarray, np.ndarray]:
@@ -156,9 +171,12 @@ class Mix:
         if own is not None or len(self.ones) > cells.size:
             counts = self.counts(cells, own)
             return self.inputs(counts), self.gate(counts, asked)
-        seen = np.searchsorted(SEEN, self.ones + self.zeros, "left")
-        odds = np.clip(np.log((self.ones + np.float32(0.4)) / (self.zeros + np.float32(0.4))), -9, 9)
-        return np.concatenate([odds[cells], np.ones((1, cells.shape[1]), np.float32)]), asked * (len(SEEN) + 1) + seen[cells[self.by]]
+        own_cells = len(self.ones) // self.contexts
+        by = slice(self.by * own_cells, (self.by + 1) * own_cells)
+        seen = np.searchsorted(SEEN, self.ones[by] + self.zeros[by], "left")
+        x = np.ones((self.contexts + 1, cells.shape[1]))
+        x[:-1] = self.odds(self.ones, self.zeros).take(cells)
+        return x, asked * (len(SEEN) + 1) + seen.take(cells[self.by] - by.start)
 
     def _place(self, z: np.ndarray, gate: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         at = (np.clip(z, -8, 8) + 8) / 16 * (MAP_STEPS - 1)
@@ -170,11 +188,16 @@ class Mix:
         x, gate = self.looked_up(cells, gate)
         z = self.mixed(x, gate)
         low, share = self._place(z, gate)
-        refined = (self.sums[low] / self.hits[low]) * (1 - share) + (self.sums[low + 1] / self.hits[low + 1]) * share
+        known = self.sums / self.hits
+        refined = known.take(low) * (1 - share) + known.take(low + 1) * share
         return np.clip((1 / (1 + np.exp(-z)) + refined) / 2, SURE, 1 - SURE)
 
     def count(self, cells: np.ndarray, bit: np.ndarray) -> None:
-        if len(self.ones) > cells.size:
+        """Bits, as integers, or the probabilities of hidden ones."""
+        if bit.dtype.kind == "i":
+            for counts, own in ((self.ones, bit == 1), (self.zeros, bit == 0)):
+                np.add.at(counts, cells[:, own].ravel(), np.float32(1))
+        elif len(self.ones) > cells.size:
             one = bit.astype(np.float32)
             for c in cells:
                 np.add.at(self.ones, c, one)
@@ -235,7 +258,10 @@ class Words:
     """The frequent words: count, follower (its hash) and the follower's count, for each."""
 
     def __init__(self, rows: list[tuple[bytes, int, int | None, int | None]], total: int, once: int, twice: int):
-        self.where = {t: i for i, (t, *_) in enumerate(rows)}
+        self.tokens = pa.array([r[0] for r in rows], pa.binary())
+        hashes = hashes_of([r[0] for r in rows])
+        self.order = np.argsort(hashes)
+        self.ranked = hashes[self.order]
         self.count = np.array([r[1] for r in rows], np.int64)
         self.follower = np.array([r[2] or 0 for r in rows], np.int32)
         self.follows = np.array([r[3] or 0 for r in rows], np.int64)
@@ -246,6 +272,27 @@ class Words:
         rare_kinds = total - self.frequent - once
         self.rare = self.new + self.once * once + max(0, rare_kinds)
 
+    @cached_property
+    def where(self) -> dict[bytes, int]:
+        """The place of each word."""
+        return {t: i for i, t in enumerate(bytes_in(self.tokens))}
+
+    def places(self, tokens: pa.Array, hashes: np.ndarray) -> np.ndarray:
+        """The places of tokens with these hashes, -1 for others; the tokens are compared themselves, too."""
+        if not len(self.order) or not len(hashes):
+            return np.full(len(hashes), -1)
+        by_hash = np.argsort(hashes)
+        at = np.empty(len(hashes), np.int64)
+        at[by_hash] = np.searchsorted(self.ranked, hashes[by_hash])
+        at = np.minimum(at, len(self.order) - 1)
+        found = self.order[at]
+        found[self.ranked[at] != hashes] = -1
+        known = np.flatnonzero(found >= 0)
+        same = pc.equal(tokens.take(pa.array(known)), self.tokens.take(pa.array(found[known])))
+        found[known[~np.asarray(same)]] = -1
+        return found
+
+
 def _past(flag: np.ndarray, at: np.ndarray, k: int) -> np.ndarray:
     """The flag k places earlier in the same text."""
     out = np.zeros(len(flag), np.int64)
@@ -281,9 +328,10 @@ class Places:
 
     def __init__(self, raw: list[bytes | None], known: Words, own: int = 0):
         """own: 1 while learning, when a token's own occurrence does not count."""
-        ids, types, self.size = numbered(raw)
-        hashes = hashes_of(types)
-        frequent = np.fromiter(map(known.where.get, types, repeat(-1)), np.int64, len(types))
+        tokens, self.size = encoded(raw)
+        ids, types = np.asarray(tokens.indices).astype(np.int64), tokens.dictionary
+        hashes = hashes_of(bytes_in(types))
+        frequent = known.places(types, hashes)
         if own and len(known.count):
             frequent[(frequent >= 0) & (known.count[frequent] - own < LEAST)] = -1
         n, v = len(ids), len(types)
@@ -327,14 +375,16 @@ class Places:
         at, seen, rare = self.at, self.seen, self.is_rare
         past = _past(seen, at, 1) * 4 + _past(seen, at, 2) * 2 + _past(seen, at, 3)
         share = _share_before(seen, at, 8)
-        cells = cells_of([_log(at[i]) * 4 + past[i] // 2, self.word1[i], past[i] * 4 + (_past(rare, at, 1) * 2 + _past(rare, at, 2))[i], _log(at[i]) * 8 + share[i]], WORD_CELLS)
-        return cells, share[i]
+        log, past, share = _log(at[i]), past[i], share[i]
+        cells = cells_of([log * 4 + past // 2, self.word1[i], past * 4 + (_past(rare, at, 1) * 2 + _past(rare, at, 2))[i], log * 8 + share], WORD_CELLS)
+        return cells, share
 
     def rare_bit(self, i: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         at, rare = self.at, self.is_rare
         past = _past(rare, at, 1) * 8 + _past(rare, at, 2) * 4 + _past(rare, at, 3) * 2 + _past(rare, at, 4)
         share = _share_before(rare, at, 16)
-        return cells_of([past[i], self.word1[i], self.word1[i] * 3 + self.word2[i], share[i] * 2 + past[i] // 8], WORD_CELLS), share[i] // 2
+        past, share, word1 = past[i], share[i], self.word1[i]
+        return cells_of([past, word1, word1 * 3 + self.word2[i], share * 2 + past // 8], WORD_CELLS), share // 2
 
 
 def follow_bit(word1: np.ndarray, follower: np.ndarray, follows: np.ndarray, count: np.ndarray, state: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -358,14 +408,15 @@ def learn_words(raw: list[bytes | None], known: Words, mixes: list[Mix]) -> None
     f = p.frequent1
     has = left & (f >= 0)
     if len(known.count):
-        hit = has & (known.follower[f] == p.short)
-        follows, count = np.where(has, known.follows[f], 0) - hit, np.where(has, known.count[f], 0) - 1
-        i = np.flatnonzero(has & (follows > 0) & (known.follower[f] != p.not_again))
+        follower = known.follower.take(f)  # of any word where has is not set
+        hit = has & (follower == p.short)
+        follows = np.where(has, known.follows.take(f), 0) - hit
+        i = np.flatnonzero(has & (follows > 0) & (follower != p.not_again))
         state = np.where(p.repeats[i], np.minimum(p.run[i] + 1, 7), 0)
-        cells, gate = follow_bit(p.word1[i], known.follower[f[i]], follows[i], count[i], state)
+        cells, gate = follow_bit(p.word1[i], follower[i], follows[i], known.count[f[i]] - 1, state)
         for s in steps(len(i)):
             mixes[FOLLOWS].learn(cells[:, s], gate[s], hit[i[s]].astype(float))
-        left &= ~np.isin(np.arange(len(left)), i[hit[i]])
+        left[i[hit[i]]] = False
     i = np.flatnonzero(left)
     cells, gate = p.rare_bit(i)
     for s in steps(len(i)):
@@ -418,8 +469,8 @@ def huffman(freq: np.ndarray) -> Codes:
 
 def byte_bits(tokens: list[bytes], codes: Codes) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
     """(token, cells, gate, bit) of each bit of all tokens, a closing blank after each."""
-    size = np.array([len(t) + 1 for t in tokens])
-    buf = np.frombuffer(b"".join(t + b" " for t in tokens), np.uint8)
+    size = np.fromiter(map(len, tokens), np.int64, len(tokens)) + 1
+    buf = np.frombuffer(b" ".join([*tokens, b""]), np.uint8)
     start = np.repeat(np.cumsum(size) - size, size)
     at = np.arange(len(buf)) - start
     b = buf.astype(np.int64) + 1
@@ -429,13 +480,14 @@ def byte_bits(tokens: list[bytes], codes: Codes) -> tuple[np.ndarray, np.ndarray
     so_far = (run[:-1] - run[start]).view(np.int64)
     n = codes.length[buf]
     which = np.repeat(np.arange(len(buf)), n)
-    step = np.arange(len(which)) - np.repeat(np.cumsum(n) - n, n)
-    node, bit = codes.nodes[buf[which], step], codes.bits[buf[which], step]
-    place = np.minimum(at, 7)[which]
-    l1, l2, l3, l4 = (x[which] for x in last)
-    three = (l1 * 257 + l2) * 257 + l3
-    contexts = [place * 512 + node, l1 * 512 + node, (l1 * 257 + l2) * 512 + node, three * 512 + node, (three * 257 + l4) * 512 + node, so_far[which] * 31 + node]
-    return np.repeat(np.arange(len(tokens)), size)[which], cells_of(contexts, BYTE_CELLS), place, bit
+    step = (buf.astype(np.int64) * codes.nodes.shape[1] - np.cumsum(n) + n).take(which) + np.arange(len(which))
+    node, bit = codes.nodes.ravel().take(step), codes.bits.ravel().take(step)
+    place = np.minimum(at, 7)
+    l1, l2, l3, l4 = last
+    two = l1 * 257 + l2
+    three = two * 257 + l3
+    contexts = [x.take(which) + node for x in (place * 512, l1 * 512, two * 512, three * 512, (three * 257 + l4) * 512, so_far * 31)]
+    return np.repeat(np.arange(len(tokens)), size).take(which), cells_of(contexts, BYTE_CELLS), place.take(which), bit
 
 
 def new_spelling() -> Mix:
@@ -452,7 +504,7 @@ def spelt(tokens: list[bytes], codes: Codes, mix: Mix) -> np.ndarray:
     return out
 
 
-def dealt(tokens: list[bytes], c: np.ndarray, pairs: np.ndarray) -> pa.RecordBatch:
+def dealt(tokens: pa.Array, c: np.ndarray, pairs: np.ndarray) -> pa.RecordBatch:
     """Counts of tokens and of all their followers, as one row for each group of words: pairs has, for each place in a training
     text but its end, the token's number and that of the next (as its low 32 bits).
     """
@@ -460,7 +512,7 @@ def dealt(tokens: list[bytes], c: np.ndarray, pairs: np.ndarray) -> pa.RecordBat
     first = np.flatnonzero(np.r_[np.ones(min(len(pairs), 1), bool), pairs[1:] != pairs[:-1]])
     k = np.diff(np.r_[first, len(pairs)])
     word, follower = pairs[first] >> 32, pairs[first] & 0xFFFFFFFF
-    h = hashes_of(tokens)
+    h = hashes_of(bytes_in(tokens))
     group = (h.view(np.uint64) >> np.uint64(64 - DEALT)).astype(np.uint16)
     order = np.argsort(group, kind="stable")
     n = np.bincount(word, minlength=len(tokens))
@@ -468,7 +520,7 @@ def dealt(tokens: list[bytes], c: np.ndarray, pairs: np.ndarray) -> pa.RecordBat
     n = n[order]
     ends = np.cumsum(n)
     own = np.repeat(begin[order] - (ends - n), n) + np.arange(len(k))  # the pairs in the order of their words
-    size = np.array([len(t) for t in tokens])[order]
+    size = pc.binary_length(tokens).to_numpy()[order]
     cut = np.r_[np.flatnonzero(np.r_[True, group[order][1:] != group[order][:-1]]), len(tokens)]
     at_pair, at_byte = np.r_[0, ends][cut], np.r_[0, np.cumsum(size)][cut]
 
@@ -476,7 +528,7 @@ def dealt(tokens: list[bytes], c: np.ndarray, pairs: np.ndarray) -> pa.RecordBat
         data = x.astype(kind)
         return pa.Array.from_buffers(pa.binary(), len(at) - 1, [None, pa.py_buffer((at * data.itemsize).astype(np.int32)), pa.py_buffer(data)])
 
-    spelling = pa.Array.from_buffers(pa.binary(), len(cut) - 1, [None, pa.py_buffer(at_byte.astype(np.int32)), pa.py_buffer(b"".join([tokens[i] for i in order.tolist()]))])
+    spelling = pa.Array.from_buffers(pa.binary(), len(cut) - 1, [None, pa.py_buffer(at_byte.astype(np.int32)), tokens.take(pa.array(order)).buffers()[2]])
     words = [cells(x, kind, cut) for x, kind in ((h[order], "<i8"), (c[order], "<i4"), (size, "<i4"), (n, "<i4"))]
     follows = [cells(x[own], "<i4", at_pair) for x in (short(h)[follower], k)]
     return pa.RecordBatch.from_arrays([pa.array(group[order][cut[:-1]].astype(np.int32)), *words, spelling, *follows], ["part", "h", "c", "size", "n", "token", "g", "k"])
@@ -562,26 +614,25 @@ def token_counts(docs: DataFrame) -> DataFrame:
     """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        index: defaultdict[bytes, int] = defaultdict()
-        index.default_factory = index.__len__
-        trained, pairs, size = [], [], 0
-
         def rows() -> pa.RecordBatch:
-            return dealt(list(index), np.bincount(np.concatenate(trained), minlength=len(index)), np.concatenate(pairs))
+            found = pa.chunked_array(held).unify_dictionaries()
+            ids = np.concatenate([np.asarray(x.indices) for x in found.chunks])
+            train = np.concatenate(trained)
+            c = np.bincount(ids[train], minlength=len(found.chunk(0).dictionary))
+            train[np.cumsum(np.concatenate(sizes)) - 1] = False  # nothing follows the end
+            at = np.flatnonzero(train)
+            return dealt(found.chunk(0).dictionary, c, (ids[at].astype(np.int64) << 32) + ids[at + 1])
 
+        held, trained, sizes, size = [], [], [], 0
         for batch, raw in byte_batches(batches):
-            ids, types, each = numbered(raw)
-            ids = np.fromiter(map(index.__getitem__, types), np.int64, len(types))[ids]
-            train = np.repeat(~np.asarray(batch.column("held_out")), each)
-            trained.append(ids[train].astype(np.int32))
-            train[np.cumsum(each) - 1] = False  # nothing follows the end
-            at = np.flatnonzero(train)
-            pairs.append((ids[at] << 32) + ids[at + 1])
-            size += len(ids)
+            tokens, each = encoded(raw)
+            held.append(tokens)
+            trained.append(np.repeat(~np.asarray(batch.column("held_out")), each))
+            sizes.append(each)
+            size += len(tokens)
             if size > FLUSH:
                 yield rows()
-                index.clear()
-                trained, pairs, size = [], [], 0
+                held, trained, sizes, size = [], [], [], 0
         if size:
             yield rows()
 
@@ -711,10 +762,12 @@ def scored_places(raw: list[bytes | None], known: Words, mixes: list[Mix], floor
     state = np.where(p.repeats, np.minimum(p.run + 1, 7), 0)
     f = p.frequent1
     if len(known.count):
-        i = np.flatnonzero(~done & (f >= 0) & (known.follows[f] > 0) & (known.follower[f] != p.not_again))
-        cells, gate = follow_bit(p.word1[i], known.follower[f[i]], known.follows[f[i]], known.count[f[i]], state[i])
+        i = np.flatnonzero(~done & (f >= 0))
+        i = i[(known.follows[f[i]] > 0) & (known.follower[f[i]] != p.not_again[i])]
+        follower = known.follower[f[i]]
+        cells, gate = follow_bit(p.word1[i], follower, known.follows[f[i]], known.count[f[i]], state[i])
         odds = mixes[FOLLOWS].probability(cells, gate)
-        hit = known.follower[f[i]] == p.short[i]
+        hit = follower == p.short[i]
         pre[i] += np.log10(np.where(hit, odds, 1 - odds))
         done[i[hit]] = True
     rest, drawn = np.zeros(n), np.zeros(n)
@@ -742,10 +795,11 @@ def scored_places(raw: list[bytes | None], known: Words, mixes: list[Mix], floor
     after, itself, both = (np.flatnonzero(x) for x in (after_rare & is_known, ~is_known & ~after_rare, ~is_known & after_rare))
     odds = 10.0**pre[itself]
     needs = {
-        "after": (after, own | {"hw": p.short, "other": np.log10(np.maximum(a + b, 1e-300))}),
+        "after": (after, own | {"hw": p.short, "other": np.zeros(n)}),
         "itself": (itself, {"hw": p.hash, "a": a.copy(), "b": b.copy()}),
         "both": (both, own | {"hw": p.hash, "a": a, "b": b}),
     }
+    needs["after"][1]["other"][after] = np.log10(np.maximum(a[after] + b[after], 1e-300))
     x = needs["itself"][1]
     x["a"][itself], x["b"][itself] = odds * np.where(done[itself], 1.0, a[itself]), odds * np.where(done[itself], 0.0, b[itself])
     return sums, {k: (p.doc[i], {c: v[i] for c, v in x.items()}) for k, (i, x) in needs.items()}

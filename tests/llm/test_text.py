@@ -10,6 +10,7 @@ from collections import Counter
 from itertools import product
 
 import numpy as np
+import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
@@ -305,6 +306,56 @@ def test_followers_are_counted_over_all_texts(spark, monkeypatch):
     assert {bytes(r["w"]): r["h"] for r in words} == {w: x[0] for w, x in got.items()}
 
 
+class Tasks:
+    """In place of a DataFrame: keeps what its tasks would run."""
+
+    def __init__(self):
+        self.runs = []
+
+    def mapInArrow(self, run, schema):
+        self.runs.append(run)
+        return self
+
+    def __getattr__(self, name):
+        return lambda *a: self
+
+
+def test_words_of_many_batches_are_taken_apart_once(monkeypatch):
+    """However many batches bring a word before counts are passed on, only one object is made of it."""
+    made, plain = [], ctxmix.bytes_in
+    monkeypatch.setattr(ctxmix, "bytes_in", lambda column: made.append(plain(column)) or made[-1])
+    tasks = Tasks()
+    ctxmix.token_counts(tasks)
+    text = " ".join(f"W{i} w{i + 1}" for i in range(500))
+    batch = pa.RecordBatch.from_arrays([pa.array([text, None, "only here"]), pa.array([False, False, True])], ["text", "held_out"])
+    rows = list(tasks.runs[0](iter([batch] * 10)))
+    assert sum(map(len, made)) == 501 + 1 + 2
+    got = {t: c for b in ctxmix.added_up(iter(rows)) for t, c in zip(b.column("token").to_pylist(), b.column("c").to_pylist(), strict=True)}
+    want = {f"w{i}".encode(): 10 if i in (0, 500) else 20 for i in range(501)}
+    assert got == want | {b"": 20, b"only": 0, b"here": 0}
+
+
+def test_sent_words_are_found_by_hash_and_compared():
+    known = ctxmix.Words([(b"", 9, None, None), (b"a", 5, 1, 2), (b"bc", 3, None, None)], 3, 0, 0)
+    words = [b"bc", b"x", b"", b"a", b"zz"]
+    tokens, hashes = pa.array(words, pa.binary()), ctxmix.hashes_of(words)
+    assert known.places(tokens, hashes).tolist() == [known.where.get(w, -1) for w in words] == [2, -1, 0, 1, -1]
+    hashes[[1, 4]] = hashes[[3, 2]]  # other tokens with the hashes of known words
+    assert known.places(tokens, hashes).tolist() == [2, -1, 0, 1, -1]
+    assert known.places(tokens[:0], hashes[:0]).tolist() == []
+    assert ctxmix.Words([], 0, 0, 0).places(tokens, hashes).tolist() == [-1] * 5
+
+
+def test_bits_are_counted_as_probabilities_are():
+    rng = np.random.default_rng(4)
+    cells, bit = ctxmix.cells_of([rng.integers(0, 50, 900), rng.integers(0, 9, 900)], 6), rng.integers(0, 2, 900)
+    whole, real = ctxmix.Mix(2, 6, 1, 0), ctxmix.Mix(2, 6, 1, 0)
+    whole.count(cells, bit.astype(np.int8))
+    real.count(cells, bit.astype(float))
+    assert np.array_equal(whole.ones, real.ones) and np.array_equal(whole.zeros, real.zeros)
+    assert whole.ones.sum() == 2 * bit.sum() and whole.zeros.sum() == 2 * (900 - bit.sum())
+
+
 def test_texts_are_numbered_as_they_are_split():
     for texts in ([None], ["", None], ["A a\x0bb  ", " b\x1cc\u00a0d", "\ta\nB\x0c\r"], ["x" * 99, "x" * 98 + "y"], [" "]):
         raw = [None if t is None else t.encode() for t in texts]
