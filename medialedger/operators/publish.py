@@ -165,7 +165,8 @@ def payload_entries(items: DataFrame, index: DataFrame, config: Config, tags: Da
     entry = F.struct(
         F.col("photo_id").alias("id"),
         F.col("verdict").alias("v"),
-        F.bround("composite", 1).alias("s"),
+        # as SQL rounds: the scaled number, half away from zero
+        (F.round(F.col("composite") * 10) / 10).alias("s"),
         F.col("filename").alias("n"),
         shown.alias("f"),
         F.col("idx").alias("g"),

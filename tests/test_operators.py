@@ -738,3 +738,12 @@ def test_arriving_hashes_are_those_of_a_full_run(spark):
     assert len(set(got.values())) < len(got)
     same = dedup.extended_roots(roots, dedup.probes(frame(old), masks), frame([]), 4, masks)
     assert {tuple(r) for r in same.collect()} == {tuple(r) for r in roots.collect()}
+
+
+def test_scores_round_as_sql(spark):
+    duckdb = pytest.importorskip("duckdb")
+    scores = [67.85, 67.25, 70.35, 66.05, 88.15, 66.84999999999999, 70.04999999999998, 99.95]
+    items = rows(spark, [{"path": f"/{i}", "rel_path": f"{i}.jpg", "folder": "A", "filename": f"{i}.jpg", "composite": x, "verdict": "STRONG", "note": ""} for i, x in enumerate(scores)])
+    g = publish.gallery_items(items, C)
+    got = {r["composite"]: r["s"] for r in publish.payload_entries(g, publish.gallery_index(g), C).select("composite", "entry.s").collect()}
+    assert got == {x: duckdb.sql(f"select round(cast('{x!r}' as double), 1)").fetchall()[0][0] for x in scores}
