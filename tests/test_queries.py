@@ -56,3 +56,25 @@ def test_shuffles_do_not_change_results(spark):
         got.append(plain(QUERIES["dup_groups"](spark, SF).toPandas()))
     spark.conf.set("spark.sql.shuffle.partitions", before)
     assert got[0] == got[1]
+
+
+def on_tables(spark, folder, name, **tables):
+    """A query and its SQL over tables of its own."""
+    duckdb = pytest.importorskip("duckdb")
+    con = duckdb.connect()
+    for table, select in tables.items():
+        con.sql(f"copy ({select}) to '{folder}/{table}.parquet' (format parquet)")
+        con.sql(f"create view {table} as select * from '{folder}/{table}.parquet'")
+    got, want = QUERIES[name](spark, str(folder)).toPandas(), con.sql(ORACLE[name]).df()
+    return plain(got), plain(want)
+
+
+def test_rate_limit_counts_in_nearest_seconds(spark, tmp_path):
+    """Three writes, then one that is within the window by whole seconds only if both ends are rounded, or not; halves to even."""
+    starts = {1: ("0.6", "0.2"), 2: ("0.4", "0.9"), 3: ("0.5", "0.5"), 4: ("1.5", "1.5"), 5: ("1.5", "2.5"), 6: ("0.5", "1.5")}
+    times = [(user, f"2024-01-01 00:00:0{a}", n) for user, (a, _) in starts.items() for n in range(3)]
+    times += [(user, f"2024-01-02 00:00:0{float(b) + k}", 3 + k) for user, (_, b) in starts.items() for k in range(2)]
+    values = ", ".join(f"({user * 1000 + n * 60}, timestamp '{t}', {user})" for user, t, n in times)
+    got, want = on_tables(spark, tmp_path, "rate_limit", events=f"select event_id::bigint as event_id, ts, user_id::bigint as user_id, 'view' as event_type from (values {values}) v(event_id, ts, user_id)")
+    assert got == want
+    assert len({r for r in got}) == len(got) > 20
