@@ -78,3 +78,14 @@ def test_rate_limit_counts_in_nearest_seconds(spark, tmp_path):
     got, want = on_tables(spark, tmp_path, "rate_limit", events=f"select event_id::bigint as event_id, ts, user_id::bigint as user_id, 'view' as event_type from (values {values}) v(event_id, ts, user_id)")
     assert got == want
     assert len({r for r in got}) == len(got) > 20
+
+
+@pytest.mark.parametrize("name", ["tag_menu"])
+def test_tags_belong_to_one_order(spark, tmp_path, name):
+    """File names hold seven digits of a key, so that eleven orders here have the name of the first."""
+    keys = ", ".join(f"({k})" for k in [*range(1_234_300, 1_234_700), *range(12_345_000, 12_346_000, 3), 2])
+    orders = f"select k::bigint as o_orderkey, k::bigint as o_custkey, timestamp '2020-01-01' + to_days(cast(k % 300 as int)) as o_orderdate, 'p' || k as o_orderpriority from (values {keys}) v(k)"
+    documents = f"select k::bigint - 1 as doc_id, 'The tree, the Tree' || chr(10) || 'THE sea ' || k || ' ' || (k % 7) as text from (values {keys}) v(k) where k < 2000000"
+    got, want = on_tables(spark, tmp_path, name, orders=orders, documents=documents)
+    assert got == want
+    assert got
