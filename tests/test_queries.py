@@ -80,7 +80,7 @@ def test_rate_limit_counts_in_nearest_seconds(spark, tmp_path):
     assert len({r for r in got}) == len(got) > 20
 
 
-@pytest.mark.parametrize("name", ["tag_menu", "merge_web_tags", "tag_counts", "resolve_tags"])
+@pytest.mark.parametrize("name", ["tag_menu", "merge_web_tags", "tag_counts", "resolve_tags", "first_spellings"])
 def test_tags_belong_to_one_order(spark, tmp_path, name):
     """File names hold seven digits of a key, so that eleven orders here have the name of the first."""
     keys = ", ".join(f"({k})" for k in [*range(1_234_300, 1_234_700), *range(12_345_000, 12_346_000, 3), 2])
