@@ -8,6 +8,7 @@ import zlib
 from collections import deque
 
 import numpy as np
+import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
@@ -747,3 +748,22 @@ def test_scores_round_as_sql(spark):
     g = publish.gallery_items(items, C)
     got = {r["composite"]: r["s"] for r in publish.payload_entries(g, publish.gallery_index(g), C).select("composite", "entry.s").collect()}
     assert got == {x: duckdb.sql(f"select round(cast('{x!r}' as double), 1)").fetchall()[0][0] for x in scores}
+
+
+def test_index_has_no_row_for_each_letter(spark, tmp_path):
+    df = rows(spark, [{"path": f"/{k}", "folder": "f", "filename": f"{k}.jpg"} for k in range(40)]).withColumn("tags", F.array(F.lit("ab cd, " * 500), F.col("path")))
+    index = str(tmp_path / "index")
+    search.write_index(df.repartition(2), index)
+    assert spark.read.parquet(index).count() < 2000 < 40 * 3500
+    assert {r["path"] for r in search.search_cards(df, index, "|/17", report.card_filter(duplicates=True)).collect()} == {"/17"}
+
+
+def test_posted_grams_are_brute_force(monkeypatch):
+    rng = random.Random(5)
+    texts = ["", "ab", "日本", *("".join(rng.choice("ab é日|\0") for _ in range(rng.randint(0, 60))) for _ in range(200)), "", "x"]
+    want = {(int.from_bytes(t[k : k + 3], "big"), n) for n, t in enumerate(x.encode() for x in texts) for k in range(len(t) - 2)}
+    for size in (10, 200, 1 << 22):
+        monkeypatch.setattr(search, "BYTES", size)
+        for at in (0, 7):
+            gram, card = search.posted(pa.array(["before"] * at + texts, pa.string()).slice(at))
+            assert list(zip(gram.tolist(), card.tolist(), strict=True)) == sorted(want)
