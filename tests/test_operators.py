@@ -14,7 +14,7 @@ from pyspark.sql import functions as F
 
 from medialedger.config import Config
 from medialedger.functions.paths import slug, slugify
-from medialedger.operators import calibrate, catalog, components, dedup, hearts, measure, publish, report, search, video
+from medialedger.operators import blocks, calibrate, catalog, components, dedup, hearts, measure, publish, report, search, video
 from medialedger.schema import CATALOG
 from medialedger.sources import files, large_json
 from medialedger.streaming import jobs
@@ -767,3 +767,18 @@ def test_posted_grams_are_brute_force(monkeypatch):
         for at in (0, 7):
             gram, card = search.posted(pa.array(["before"] * at + texts, pa.string()).slice(at))
             assert list(zip(gram.tolist(), card.tolist(), strict=True)) == sorted(want)
+
+
+def test_hashes_are_shuffled_once(spark):
+    """Probes go to their blocks in one exchange; groups are counted from a part of them."""
+    rng = random.Random(3)
+    h = spark.createDataFrame([(rng.getrandbits(63),) for _ in range(500)], "h long")
+    plan = blocks.dealt(dedup.probes(h, dedup.band_masks(5)), "key", "h", 64)._jdf.queryExecution().executedPlan().toString()
+    assert plan.count("Exchange hashpartitioning") == 1
+
+
+def test_a_large_group_is_dealt(spark):
+    df = spark.range(4000).select(F.lit(1).alias("key"), F.col("id").alias("h"))
+    got = blocks.dealt(df, "key", "h", 500).groupBy("key", "lo", "hi").count().collect()
+    assert len(got) > 20
+    assert max(r["count"] for r in got) < 2000
